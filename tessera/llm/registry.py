@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash_bk
+from . import simhash_bk, suffix_dedup
 
 
 def queries() -> dict:
     return {
+        "op2_suffix_dedup": suffix_dedup.op2,
         "op9_simhash_bk_trees": simhash_bk.op9,
     }
 
