@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash_bk, suffix_dedup
+from . import packing, simhash_bk, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op2_suffix_dedup": suffix_dedup.op2,
+        "op3_best_fit_packing": packing.op3,
         "op9_simhash_bk_trees": simhash_bk.op9,
     }
 
