@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import packing, simhash_bk, suffix_dedup
+from . import mixing, packing, simhash_bk, suffix_dedup, weak_quality
 
 
 def queries() -> dict:
     return {
         "op2_suffix_dedup": suffix_dedup.op2,
         "op3_best_fit_packing": packing.op3,
+        "op5_weak_label_quality": weak_quality.op5,
+        "op6_source_mixing": mixing.op6,
         "op9_simhash_bk_trees": simhash_bk.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_source_mixing": mixing.OP6_SQL,
+    }
