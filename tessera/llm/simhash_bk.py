@@ -203,3 +203,134 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def bottom_keys(h: np.ndarray, n: int) -> np.ndarray:
+    """n min-hashes of a set of shingle hashes: the least under n mixings."""
+    if not len(h):
+        return np.zeros(n, np.int64)
+    out = np.empty(n, np.uint64)
+    for j in range(n):
+        x = h ^ np.uint64((0x9E3779B97F4A7C15 * (2 * j + 3)) & 0xFFFFFFFFFFFFFFFF)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+        out[j] = x.min()
+    return out.view(np.int64)
+
+
+def signatures(docs: DataFrame, k: int, keys: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, digest, fp, keys): digest of the shingle sequence, SimHash, and min-hashes of the k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, fps, mins = [], [], []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py(), k)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                fps.append(simhash(h))
+                mins.append(bottom_keys(h, keys))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "fp", "keys"],
+            )
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, digest binary, fp long, keys array<long>"
+    )
+
+
+def similar_in_shard(ids: list[int], fps: list[int], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges of a shard: neighbours in its BK-tree within radius whose shingle sets are similar enough.
+
+    Documents that the shard has joined already are not compared again.
+    """
+    tree, held, edges = BKTree(), [], []
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, v in enumerate(fps):
+        for node in tree.within(v, radius):
+            for j in held[node]:
+                a, b = root(i), root(j)
+                if a == b:
+                    continue
+                x, y = sets[i], sets[j]
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    parent[max(a, b)] = min(a, b)
+                    edges.append((ids[i], ids[j]))
+        node = tree.add(v)
+        if node == len(held):
+            held.append([])
+        held[node].append(i)
+    return edges
+
+
+def similar_groups(
+    docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, component_id) for each row: documents linked by the Jaccard similarity of their k-word shingles.
+
+    Equal shingle sequences are one entry (their least id). Shards are dealt by `keys` min-hashes
+    of the shingles (documents of similarity s share one with a chance of 1 - (1 - s) ** keys, over
+    99.8 % at 0.8), each searched through a BK-tree of SimHashes within `radius`; a pair found is
+    linked if the exact similarity of its shingle sets reaches the threshold. Null and empty texts
+    are equal to one another; null ids come back null and are never the name of a group unless it
+    has no other id; an empty table gives no rows.
+    """
+    n = partitions(docs.sparkSession)
+    found = written(signatures(docs, k, keys, id_col, text_col), "signatures")
+    entries = written(
+        found.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).where("id IS NOT NULL"),
+        "entries",
+    )
+    keyed = entries.select("id", "fp", F.posexplode("keys").alias("j", "key"))
+    shared = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").select("j", "key")
+    pairs = written(keyed.join(shared, ["j", "key"], "left_semi"), "sharded")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [np.unique(shingle_hashes(t.as_py(), k).astype(np.uint32)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["id", "shingles"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sharing = pairs.select("id").distinct()
+    shingles = texts.join(sharing, "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(rows: list[dict]) -> pa.RecordBatch:
+            s = [np.frombuffer(r["shingles"], np.uint32) for r in rows]
+            out = similar_in_shard([r["id"] for r in rows], [r["fp"] & 0xFFFFFFFFFFFFFFFF for r in rows], s, radius, similarity)
+            a, b = (np.array(x, np.int64) for x in (zip(*out) if out else ((), ())))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held: list[dict] = []
+        for b in batches:
+            for r in b.to_pylist():
+                if held and (held[-1]["j"], held[-1]["key"]) != (r["j"], r["key"]):
+                    if len(held) > 1:
+                        yield emit(held)
+                    held = []
+                held.append(r)
+        if len(held) > 1:
+            yield emit(held)
+
+    links = (
+        pairs.join(shingles, "id")
+        .select("j", "key", "id", "fp", "shingles")
+        .repartition(n, "j", "key")
+        .sortWithinPartitions("j", "key", "id")
+        .mapInArrow(run, "a long, b long")
+    )
+    comp = components(links)
+    named = entries.join(comp, entries.id == comp.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    return found.join(named, "digest", "left").select("doc_id", "component_id")
