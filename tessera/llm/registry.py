@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, simhash_bk, suffix_dedup, weak_quality
+from . import hash_forest, link_trust, mixing, packing, simhash_bk, suffix_dedup, weak_quality
 
 
 def queries() -> dict:
     return {
+        "op1_link_trust": link_trust.op1,
         "op2_suffix_dedup": suffix_dedup.op2,
         "op3_best_fit_packing": packing.op3,
+        "op4_hash_forest": hash_forest.op4,
         "op5_weak_label_quality": weak_quality.op5,
         "op6_source_mixing": mixing.op6,
         "op9_simhash_bk_trees": simhash_bk.op9,
@@ -17,5 +19,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_link_trust": link_trust.OP1_SQL,
         "op6_source_mixing": mixing.OP6_SQL,
     }
