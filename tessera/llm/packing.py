@@ -9,19 +9,19 @@ a table of runs of slots, and pieces take their slots by joining on their rank w
 from __future__ import annotations
 
 import bisect
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, table, written
+from .shared import partitions, per_worker, table, written
 
 CAPACITY = 2048
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 700_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,6 +38,8 @@ class WordIds(dict):
     are cut as the tokenizer cuts them and only their pieces meet the model; others go through it.
     """
 
+    #: Printing characters whose case and composition are the same everywhere.
+    LATIN = r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+"
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, limit: int = CACHED_WORDS) -> None:
@@ -47,27 +49,37 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.cut, self.pieces, self.letters = regex.compile(self.SPLIT).findall, {}, byte_letters()
+        self.latin = regex.compile(self.LATIN).fullmatch
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
         if len(self.pieces) >= self.limit:
             self.pieces.clear()
-        text = word.decode()
-        if b"<|" in word or max(text) > "ſ" or "İ" in text or not text.isprintable():
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
+        if word.isalpha():  # ASCII letters only
+            ids = self.piece(word.lower().decode())
         else:
-            if not word.isascii():
-                text = unicodedata.normalize("NFC", text)
-            ids = b"".join(self.pieces.get(p) or self.piece(p) for p in self.cut(text.lower()))
+            text = word.decode()
+            if self.latin(text) and "<|" not in text:
+                text = (text if word.isascii() else unicodedata.normalize("NFC", text)).lower()
+                if text.isalpha():
+                    ids = self.piece(text)
+                elif text[-1] in ".," and text[:-1].isalpha():
+                    ids = self.piece(text[:-1]) + self.piece(text[-1])
+                else:
+                    ids = b"".join(map(self.piece, self.cut(text)))
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+                ids = struct.pack(f"<{len(found)}I", *found)
         self[word] = ids
         return ids
 
     def piece(self, piece: str) -> bytes:
-        written = piece if piece.isascii() else piece.encode().decode("latin-1")
-        tokens = self.tokenizer.model.tokenize(written.translate(self.letters))
-        ids = self.pieces[piece] = np.array([t.id for t in tokens], "<u4").tobytes()
+        ids = self.pieces.get(piece)
+        if ids is None:
+            plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.tokenizer.model.tokenize(plain)]
+            ids = self.pieces[piece] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
 
@@ -81,7 +93,8 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, step = WordIds(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        words = per_worker(("words", tokenizer_path), lambda: WordIds(tokenizer_path))
+        end, step = struct.pack("<I", end_id), 4 * capacity
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):

@@ -42,6 +42,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_worker(key: tuple, make):
+    """What make() gives, kept for the life of a Python worker (functions come by value: their globals end with a task)."""
+    import builtins
+
+    kept = vars(builtins).setdefault("_tessera_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
