@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hash_forest, link_trust, mixing, packing, simhash_bk, suffix_dedup, tool_calls, warc, weak_quality
+from . import chroma, hash_forest, link_trust, mixing, packing, simhash_bk, suffix_dedup, tool_calls, warc, weak_quality
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_hash_forest": hash_forest.op4,
         "op5_weak_label_quality": weak_quality.op5,
         "op6_source_mixing": mixing.op6,
+        "op7_chroma_fingerprints": chroma.op7,
         "op8_warc_capture_index": warc.op8,
         "op9_simhash_bk_trees": simhash_bk.op9,
         "op10_tool_call_linking": tool_calls.op10,
