@@ -34,7 +34,8 @@ def parse_dtg(value: Column) -> Column:
     hours = F.try_element_at(_literal_map(zone_hours()), part(4))
     at = F.try_make_timestamp(year, month, part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("int"), F.lit(0).cast("decimal(16,6)"), F.lit("UTC"))
     grouped = at - F.make_dt_interval(F.lit(0), hours, F.lit(0), F.lit(0).cast("decimal(18,6)"))
-    iso = F.when(F.trim(value).rlike(ISO), F.trim(value)).try_cast("timestamp")
+    whole = F.regexp_replace(F.trim(value), r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?!:)", "$1:00")
+    iso = F.when(F.trim(value).rlike(ISO), whole).try_cast("timestamp")
     return F.when(v.rlike(DTG), grouped).otherwise(iso)
 
 

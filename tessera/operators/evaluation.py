@@ -45,7 +45,7 @@ def keyword_present(text: Column, keyword: Column) -> Column:
 
     def one(alt: Column) -> Column:
         a = F.lower(F.trim(alt))
-        alone = low.rlike(F.concat(F.lit("(?<![a-z0-9])"), a, F.lit("(?![a-z0-9])")))
+        alone = F.rlike(low, F.concat(F.lit("(?<![a-z0-9])"), a, F.lit("(?![a-z0-9])")))
         return F.when(a == "", False).when(a.rlike("^[a-z0-9]$"), alone).otherwise(low.contains(a))
 
     return F.exists(F.split(keyword, r"\|"), one)

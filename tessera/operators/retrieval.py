@@ -243,7 +243,7 @@ def listing(hits: DataFrame, chunks: DataFrame, queries: DataFrame, max_chars: i
     meta = F.when(F.size(bits) > 0, F.concat(F.lit(", "), F.array_join(bits, " · "))).otherwise("")
     line = F.concat(
         F.lit("["), F.col("rank").cast("string"), F.lit("] "), ref, F.lit(" (출처: "), "source", meta, F.lit(", 점수 "),
-        F.format_number("score", "0.00"), F.lit(")"),
+        F.format_string("%.2f", "score"), F.lit(")"),
     )
     return full.withColumn("line", line).withColumn("snippet", snippet("text", "window_start", max_chars)).select(
         "query_id", "rank", "chunk_id", "line", "snippet"

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import governance_queries, session_queries, text_queries
+
+MODULES = (text_queries, governance_queries, session_queries)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return text_queries.r9(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for m in MODULES for name, (fn, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
