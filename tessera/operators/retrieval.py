@@ -141,7 +141,7 @@ def synonym_groups(groups: DataFrame, max_rounds: int = 30) -> DataFrame:
 
     Overlap goes by the lower-cased word. A dictionary's groups are few; labels spread until none changes.
     """
-    word = groups.select("group_id", F.posexplode(F.array_distinct(F.filter(F.transform("words", F.trim), lambda w: w != ""))).alias("pos", "word"))
+    word = groups.select("group_id", F.posexplode(F.array_distinct(F.filter(F.transform("words", lambda w: F.trim(w)), lambda w: w != ""))).alias("pos", "word"))
     sized = word.groupBy("group_id").count().where("count > 1").select("group_id")
     word = word.join(sized, "group_id", "left_semi").withColumn("key", F.lower("word")).withColumn("label", F.col("group_id"))
     for _ in range(max_rounds):

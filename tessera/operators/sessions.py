@@ -196,6 +196,6 @@ def client_address(peer: Column, forwarded: Column, trusted: list[tuple[str, int
             hit = hit | F.coalesce(n.between(lo, hi), F.lit(False))
         return hit
 
-    hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), F.trim), lambda h: h != "")
+    hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda h: F.trim(h)), lambda h: h != "")
     outside = F.filter(F.reverse(hops), lambda h: ~inside(h))
     return F.when(inside(peer), F.coalesce(F.get(outside, F.lit(0)), F.get(hops, F.lit(0)), peer)).otherwise(peer)

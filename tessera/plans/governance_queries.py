@@ -101,6 +101,8 @@ def s9(spark, sf):
     return S.last_audit(e, 5000).select("session_id", "event")
 
 
+SINKS_SQL = f"WITH {GATED_SQL} SELECT conv_id, turn, CASE WHEN level > max_level THEN 'blocked' ELSE 'passed' END AS sink FROM g"
+
 QUERIES = {
     "c1_markings": (c1, C1_SQL),
     "c3_level_aliases": (c3, C3_SQL),

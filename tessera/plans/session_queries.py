@@ -121,7 +121,13 @@ def u10_window(spark, sf):
     return S.recent_failures(V.attempts(spark, sf), 7200).select("attempt_id", "recent_failures")
 
 
-ATTEMPTS = "at AS (SELECT user_id % 20 AS k, event_id AS attempt_id, ts, event_type = 'signup' AS success FROM events WHERE event_type IN ('error', 'signup'))"
+ATTEMPTS = "att AS (SELECT user_id % 20 AS k, event_id AS attempt_id, ts, event_type = 'signup' AS success FROM events WHERE event_type IN ('error', 'signup'))"
+
+LOCKOUT_SQL = f"""WITH RECURSIVE {ATTEMPTS}, o AS (SELECT k, attempt_id, epoch_us(ts) AS t, success, row_number() OVER (PARTITION BY k ORDER BY ts, attempt_id) AS rn FROM att),
+r AS (SELECT k, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS recent, CAST(-1 AS BIGINT) AS attempt_id, false AS locked, CAST(0 AS BIGINT) AS failures FROM (SELECT DISTINCT k FROM o)
+  UNION ALL SELECT k, rn, CASE WHEN len(f) >= 5 THEN f WHEN success THEN CAST([] AS BIGINT[]) ELSE list_append(f, t) END, attempt_id, len(f) >= 5, CAST(len(f) AS BIGINT)
+  FROM (SELECT o.k, o.rn, o.t, o.success, o.attempt_id, list_filter(r.recent, lambda x: o.t - x < 600000000) AS f FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1))
+SELECT attempt_id, locked, failures FROM r WHERE rn > 0"""
 
 
 def u12(spark, sf):
@@ -146,7 +152,7 @@ QUERIES = {
     "u7_token_resolution": (u7, f"WITH {USERS}, {TOKENS} SELECT token_hash, username, role, clearance FROM tk JOIN us USING (username) WHERE expires_at > TIMESTAMP '1998-01-01' AND NOT disabled"),
     "u8_purged_tokens": (u8, f"WITH {USERS}, {TOKENS} SELECT token_hash, username FROM tk WHERE expires_at > TIMESTAMP '1998-01-01' AND username NOT IN (SELECT username FROM us WHERE disabled)"),
     "u9_updated_users": (u9, f"WITH {USERS} SELECT username, role, CASE WHEN username LIKE '%3' THEN 4 ELSE clearance END AS clearance, disabled, unit FROM us"),
-    "u10_lockouts": (u10, None),
-    "u10_recent_failures": (u10_window, f"WITH {ATTEMPTS} SELECT attempt_id, CAST(sum(CAST(NOT success AS INT)) OVER (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM at"),
+    "u10_lockouts": (u10, LOCKOUT_SQL),
+    "u10_recent_failures": (u10_window, f"WITH {ATTEMPTS} SELECT attempt_id, CAST(sum(CAST(NOT success AS INT)) OVER (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM att"),
     "u12_client_address": (u12, U12_SQL),
 }
