@@ -69,8 +69,9 @@ def tokens(text: Column) -> Column:
         empty = F.array().cast("array<string>")
         return F.concat(F.array(stem), english, F.when(F.length(stem) >= 3, pairs).otherwise(empty))
 
-    latins = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(LATIN_RUN), F.lit(0)), latin))
-    # Most texts hold no Hangul: the lambda is not entered for them.
+    runs = F.regexp_extract_all(low, F.lit(LATIN_RUN), F.lit(0))
+    # Most texts join no words by . - / and hold no Hangul: no lambda is entered for them.
+    latins = F.when(low.rlike(r"[a-z0-9][.\-/][a-z0-9]"), F.flatten(F.transform(runs, latin))).otherwise(runs)
     hanguls = F.flatten(F.transform(F.regexp_extract_all(low, F.lit("[가-힣]+"), F.lit(0)), hangul))
     return F.concat(latins, hanguls)
 

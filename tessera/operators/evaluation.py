@@ -24,10 +24,10 @@ def retrieval_results(cases: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def retrieval_metrics(results: DataFrame) -> DataFrame:
-    """One row: cases, hit_at_k, hit_at_1, mrr (4 digits; null without cases)."""
+def retrieval_metrics(results: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each group: cases, hit_at_k, hit_at_1, mrr (4 digits; null without cases)."""
     scored = results.where("NOT skipped")
-    return scored.agg(
+    return scored.groupBy(*by).agg(
         F.count("*").alias("cases"),
         F.round(F.avg(F.col("hit").cast("int")), 4).alias("hit_at_k"),
         F.round(F.avg(F.coalesce((F.col("rank") == 1).cast("int"), F.lit(0))), 4).alias("hit_at_1"),

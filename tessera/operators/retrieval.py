@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import best_windows, content_hash, embed, snippet, tokens
+from ..sources.shared import shared_folder
 
 K1, B = 1.5, 0.75
 DIGITS = 6
@@ -20,7 +21,7 @@ QUERY_BLOCK = 2048
 def index_tokens(title: Column, section: Column, tags: Column, category: Column, text: Column) -> Column:
     """The header's tokens twice, then the body's."""
     header = tokens(F.concat_ws(" ", title, section, F.array_join(tags, " "), category))
-    return F.concat(header, header, tokens(text))
+    return F.concat(F.flatten(F.array_repeat(header, 2)), tokens(text))
 
 
 def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
@@ -31,11 +32,13 @@ def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
     """
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "section")]
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    listed = chunks.select(
-        "chunk_id", index_tokens(*parts, tags, F.coalesce("category", F.lit("")), F.col("text")).alias("tokens")
-    )
+    # Through a generator, so that the tokens are made once for their count and their rows.
+    made = index_tokens(*parts, tags, F.coalesce("category", F.lit("")), F.col("text"))
+    listed = chunks.select("chunk_id", F.inline(F.array(F.struct(made.alias("tokens")))))
+    # The length first: else each exploded row would carry the whole array for it.
+    sized = listed.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"), "tokens")
     postings = (
-        listed.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"), F.explode("tokens").alias("token"))
+        sized.select("chunk_id", "doc_len", F.explode("tokens").alias("token"))
         .groupBy("token", "chunk_id")
         .agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     )
@@ -57,6 +60,7 @@ def bm25(queries: DataFrame, index: dict[str, DataFrame], k1: float = K1, b: flo
     counted on that cut: no statistics of other tokens are built.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
+    # One pass over the postings: scores need the postings of the query tokens only.
     met = index["postings"].join(asked.select("token").distinct(), "token", "left_semi")
     df = met.groupBy("token").agg(F.count("*").alias("df"))
     one = index["corpus_stats"].withColumn("avg_len", F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0))
@@ -141,6 +145,7 @@ def synonym_groups(groups: DataFrame, max_rounds: int = 30) -> DataFrame:
 
     Overlap goes by the lower-cased word. A dictionary's groups are few; labels spread until none changes.
     """
+    shared_folder(groups.sparkSession)  # where checkpoints go
     word = groups.select("group_id", F.posexplode(F.array_distinct(F.filter(F.transform("words", lambda w: F.trim(w)), lambda w: w != ""))).alias("pos", "word"))
     sized = word.groupBy("group_id").count().where("count > 1").select("group_id")
     word = word.join(sized, "group_id", "left_semi").withColumn("key", F.lower("word")).withColumn("label", F.col("group_id"))

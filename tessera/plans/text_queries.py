@@ -232,6 +232,25 @@ def e1_metrics(spark, sf):
     return E.retrieval_metrics(eval_results(spark, sf))
 
 
+def e7(spark, sf):
+    """The same for each kind of case."""
+    r = eval_results(spark, sf).withColumn("category", F.concat(F.lit("k"), (F.col("case_id") % 3).cast("string")))
+    return E.retrieval_metrics(r, "category")
+
+
+def r4(spark, sf):
+    return R.synonym_groups(synonyms_of(spark, sf)).select("group_id", "word", F.col("pos").cast("long").alias("pos"))
+
+
+R4_SQL = """WITH RECURSIVE w AS (SELECT item_id AS group_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 4)[1:3] AS ws FROM benchmark),
+d AS (SELECT group_id, word, min(pos) AS pos FROM (SELECT group_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM w) GROUP BY ALL),
+s AS (SELECT * FROM d WHERE group_id IN (SELECT group_id FROM d GROUP BY group_id HAVING count(*) > 1)),
+reach AS (SELECT DISTINCT group_id AS a, group_id AS b FROM s UNION SELECT r.a, y.group_id FROM reach r JOIN s x ON x.group_id = r.b JOIN s y ON x.word = y.word),
+l AS (SELECT a AS group_id, min(b) AS label FROM reach GROUP BY a),
+f AS (SELECT label, word, min(CAST(group_id AS BIGINT) * 1000 + pos) AS place FROM s JOIN l USING (group_id) GROUP BY ALL)
+SELECT label AS group_id, word, row_number() OVER (PARTITION BY label ORDER BY place) - 1 AS pos FROM f"""
+
+
 def e2(spark, sf):
     return E.misses(eval_results(spark, sf)).select("case_id", F.size("got").cast("long").alias("n_got"))
 
@@ -305,6 +324,7 @@ QUERIES = {
     "r1_corpus_stats": (r1_stats, f"WITH {INDEX_SQL} SELECT n, round(avg_len, 6) AS avg_len FROM one"),
     "r2_idf": (r2, f"WITH {INDEX_SQL} SELECT token, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, one"),
     "r3_bm25_top10": (r3, f"{BM25_SQL} SELECT query_id, bm25_rank, chunk_id, bm25 FROM r WHERE bm25_rank <= 10"),
+    "r4_synonym_groups": (r4, R4_SQL),
     "r5_synonym_expansion": (r5, R5_SQL),
     "r6_filtered_search": (r6, R6_SQL),
     "r7_vector_top10": (r7, R7_SQL),
@@ -317,5 +337,6 @@ QUERIES = {
     "e4_answer_results": (e4, f"{ANSWER_SQL} SELECT case_id, CAST(hit AS BIGINT) AS n_hit, CAST(nkw - hit AS BIGINT) AS n_missed, CAST(bad AS BIGINT) AS n_forbidden, passed FROM pa"),
     "e5_answer_metrics": (e5, E5_SQL),
     "e6_compare_runs": (e6, E6_SQL),
+    "e7_metrics_by_category": (e7, f"{E_SQL} SELECT 'k' || (case_id % 3) AS category, count(*) AS cases, round(avg(CAST(rank IS NOT NULL AS INT)), 4) AS hit_at_k, round(avg(CAST(coalesce(rank = 1, false) AS INT)), 4) AS hit_at_1, round(avg(coalesce(1 / CAST(rank AS DOUBLE), 0)), 4) AS mrr FROM res WHERE NOT skipped GROUP BY 1"),
     "e8_top_failures": (e8, f"{ANSWER_SQL} SELECT case_id FROM pa WHERE NOT passed ORDER BY case_id LIMIT 10"),
 }

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CASE = "id string, question string, expected_refs array<string>, expected_keywords array<string>, forbidden array<string>, blocked boolean, category string, note string"
+#: Tables whose rows take long.
+TEXTS = ("documents", "pages", "conversations")
 AUDIT = (
     "session_id string, user_id string, event string, input_sha256 string, input_chars bigint, classification string, redactions map<string,int>, "
     "tools_called array<string>, model string, served_by string, stop_reason string, input_tokens bigint, output_tokens bigint, "
@@ -14,7 +16,10 @@ AUDIT = (
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one that comes in fewer pieces than there are cores (so a small one) is spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:

@@ -63,7 +63,6 @@ def test_pages(spark):
 
 
 def test_synonyms(spark):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir("/tmp/tessera-test-checkpoints")
     groups = spark.createDataFrame([(0, ["경계근무", "보초 ", "불침번"]), (1, ["불침번", "야간 근무"]), (2, ["one"])], "group_id int, words array<string>")
     g = R.synonym_groups(groups)
     assert [(r.group_id, r.word) for r in g.orderBy("group_id", "pos").collect()] == [(0, "경계근무"), (0, "보초"), (0, "불침번"), (0, "야간 근무")]
