@@ -110,7 +110,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
     raw = vectors.withColumn("__q", F.coalesce(queries, F.lit(False))).select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), "__q"
     ).where("id IS NOT NULL")
-    dim = raw.where("size(vec) > 0").agg(F.mode(F.size("vec"))).first()[0] or 0
+    dim = raw.where("size(vec) > 0").agg(F.mode(F.size("vec"))).first()[0] or 1
     rows = written(raw.where(_usable("vec", dim)), "vectors")
     n, asked = rows.agg(F.count("*"), F.count_if("__q")).first()
     shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // BLOCK_ROWS))
