@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import partitions, per_worker, table, written
 
 CAPACITY = 2048
-CACHED_WORDS = 700_000
+CACHED_WORDS = 450_000
 
 
 def byte_letters() -> dict[int, str]:
