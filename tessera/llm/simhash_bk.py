@@ -221,7 +221,7 @@ def bottom_keys(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, keys: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, fp, keys): digest of the shingle sequence, SimHash, and min-hashes of the k-word shingles."""
+    """(doc_id, digest, fp, keys): digest of the shingle sequence; SimHash and min-hashes of the set of k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,6 +229,7 @@ def signatures(docs: DataFrame, k: int, keys: int, id_col: str, text_col: str) -
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), k)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                h = np.unique(h)  # repeats do not count in the similarity
                 fps.append(simhash(h))
                 mins.append(bottom_keys(h, keys))
             yield pa.RecordBatch.from_arrays(
@@ -241,33 +242,58 @@ def signatures(docs: DataFrame, k: int, keys: int, id_col: str, text_col: str) -
     )
 
 
+def shared_counts(sets: list[np.ndarray]):
+    """A function of i: how many shingles set i shares with each of the sets."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
+
+    def counts(i: int) -> np.ndarray:
+        out = np.zeros(len(sets), np.int64)
+        for s in range(0, len(sets[i]), 4096):
+            part = sets[i][s : s + 4096]
+            lo = np.searchsorted(flat, part, "left")
+            width = np.searchsorted(flat, part, "right") - lo
+            at = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
+            out += np.bincount(owner[at], minlength=len(sets))
+        return out
+
+    return counts
+
+
 def similar_in_shard(ids: list[int], fps: list[int], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Edges of a shard: neighbours in its BK-tree within radius whose shingle sets are similar enough.
+    """Edges that join all documents of a shard whose shingle sets are similar enough.
 
-    Documents that the shard has joined already are not compared again.
+    Neighbours in the BK-tree within radius come first, since they are most often similar; what
+    is not joined after them is compared exactly as well, whatever the distance of the fingerprints.
     """
     tree, held, edges = BKTree(), [], []
-    parent = list(range(len(ids)))
+    group, sizes, counts = np.arange(len(ids)), np.array([len(x) for x in sets]), None
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def join(i: int, j: int) -> None:
+        a, b = group[i], group[j]
+        group[group == max(a, b)] = min(a, b)
+        edges.append((ids[i], ids[j]))
 
     for i, v in enumerate(fps):
         for node in tree.within(v, radius):
             for j in held[node]:
-                a, b = root(i), root(j)
-                if a == b:
+                if group[i] == group[j]:
                     continue
                 x, y = sets[i], sets[j]
                 if min(len(x), len(y)) < similarity * max(len(x), len(y)):
                     continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
-                    parent[max(a, b)] = min(a, b)
-                    edges.append((ids[i], ids[j]))
+                    join(i, j)
+        near = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])
+        rest = np.flatnonzero((group[:i] != group[i]) & near)
+        if len(rest):
+            counts = counts or shared_counts(sets)
+            both = counts(i)[rest]
+            for j in rest[both >= similarity * (sizes[i] + sizes[rest] - both)].tolist():
+                if group[i] != group[j]:
+                    join(i, j)
         node = tree.add(v)
         if node == len(held):
             held.append([])
@@ -281,9 +307,10 @@ def similar_groups(
     """(doc_id, component_id) for each row: documents linked by the Jaccard similarity of their k-word shingles.
 
     Equal shingle sequences are one entry (their least id). Shards are dealt by `keys` min-hashes
-    of the shingles (documents of similarity s share one with a chance of 1 - (1 - s) ** keys, over
-    99.8 % at 0.8), each searched through a BK-tree of SimHashes within `radius`; a pair found is
-    linked if the exact similarity of its shingle sets reaches the threshold. Null and empty texts
+    of the shingles; all documents of a shard that its BK-tree of SimHashes (searched within
+    `radius`) has not joined are compared as well, and a pair is linked if the exact similarity of
+    its shingle sets reaches the threshold. So the min-hashes alone can lose a link: documents of
+    similarity s share none with a chance of (1 - s) ** keys, 0.16 % at 0.8, less the closer they are. Null and empty texts
     are equal to one another; null ids come back null and are never the name of a group unless it
     has no other id; an empty table gives no rows.
     """

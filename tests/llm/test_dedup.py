@@ -93,6 +93,27 @@ def test_similar_groups(spark, sf):
     assert SH.similar_groups(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_similar_groups_of_repeated_and_distant_texts(spark):
+    """Repeats do not part a text from the one without them; no distance of fingerprints parts what is similar."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(n))
+    rows = []
+    for i in range(40):
+        line = text(14)
+        rest = text(94)
+        rows += [(2 * i, f"{rest} {line}"), (2 * i + 1, f"{rest} {line} " + " ".join([line] * 49))]
+    sets = {i: frozenset(SH.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    linked = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    comp = brute_groups(sets, linked)
+    assert {r.doc_id: r.component_id for r in SH.similar_groups(spark.createDataFrame(rows, DOC)).collect()} == comp
+    assert set(comp.values()) == set(range(0, 80, 2))
+    # In a shard the fingerprints decide nothing: here all differ in every bit or half of them.
+    sets = {i: set(rng.sample(range(60 * (i // 5), 60 * (i // 5) + 60), rng.randint(48, 60))) for i in range(60)}
+    fps = [((1 << 64) - 1) * (i & 1) ^ 0xFFFFFFFF * (i >> 1 & 1) for i in range(60)]
+    edges = SH.similar_in_shard(list(sets), fps, [np.array(sorted(s), np.uint32) for s in sets.values()], 18, 0.8)
+    assert brute_groups({i: i for i in sets}, lambda a, b: (a, b) in edges or (b, a) in edges) == brute_groups(sets, linked)
+
+
 def brute_removal(rows, size=50):
     first = {}
     for i, t in rows:
