@@ -220,26 +220,24 @@ def bottom_keys(h: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int, keys: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, digest, fp, keys): digest of the shingle sequence; SimHash and min-hashes of the set of k-word shingles."""
+def signatures(rows: DataFrame, k: int, keys: int) -> DataFrame:
+    """(row, doc_id, digest, fp, keys) of (row, doc_id, text): digest of the shingle sequence; SimHash and min-hashes of the set of k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, fps, mins = [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 h = shingle_hashes(t.as_py(), k)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 h = np.unique(h)  # repeats do not count in the similarity
                 fps.append(simhash(h))
                 mins.append(bottom_keys(h, keys))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "fp", "keys"],
+                [b.column(0), b.column(1), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))],
+                ["row", "doc_id", "digest", "fp", "keys"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, digest binary, fp long, keys array<long>"
-    )
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, digest binary, fp long, keys array<long>")
 
 
 def shared_counts(sets: list[np.ndarray]):
@@ -301,42 +299,39 @@ def similar_in_shard(ids: list[int], fps: list[int], sets: list[np.ndarray], rad
     return edges
 
 
-def similar_groups(
-    docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 4, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, component_id) for each row: documents linked by the Jaccard similarity of their k-word shingles.
+def numbered(docs: DataFrame, row_col: str = "row") -> DataFrame:
+    """docs with a number for each row, made once: ids may be null or used again."""
+    return written(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows")
 
-    Equal shingle sequences are one entry (their least id). Shards are dealt by `keys` min-hashes
-    of the shingles; all documents of a shard that its BK-tree of SimHashes (searched within
-    `radius`) has not joined are compared as well, and a pair is linked if the exact similarity of
-    its shingle sets reaches the threshold. So the min-hashes alone can lose a link: documents of
-    similarity s share none with a chance of (1 - s) ** keys, 0.16 % at 0.8, less the closer they are. Null and empty texts
-    are equal to one another; null ids come back null and are never the name of a group unless it
-    has no other id; an empty table gives no rows.
+
+def similar_entries(rows: DataFrame, k: int, similarity: float, radius: int, keys: int) -> tuple[DataFrame, DataFrame]:
+    """For (row, doc_id, text), row numbering them: (doc_id, digest) of each, and (digest, group, first) of each digest.
+
+    first (nameless, id, row) is the first of a digest's rows: by id, null ids last, then by row.
     """
-    n = partitions(docs.sparkSession)
-    found = written(signatures(docs, k, keys, id_col, text_col), "signatures")
+    n = partitions(rows.sparkSession)
+    found = written(signatures(rows, k, keys), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "row")
     entries = written(
-        found.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).where("id IS NOT NULL"),
+        found.groupBy("digest").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")),
         "entries",
-    )
-    keyed = entries.select("id", "fp", F.posexplode("keys").alias("j", "key"))
+    ).withColumn("row", F.col("first.row"))
+    keyed = entries.select("row", "fp", F.posexplode("keys").alias("j", "key"))
     shared = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").select("j", "key")
     pairs = written(keyed.join(shared, ["j", "key"], "left_semi"), "sharded")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [np.unique(shingle_hashes(t.as_py(), k).astype(np.uint32)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["row", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sharing = pairs.select("id").distinct()
-    shingles = texts.join(sharing, "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"])
+    sharing = pairs.select("row").distinct()
+    shingles = rows.select("row", "text").join(sharing, "row", "left_semi").mapInArrow(sets, "row long, shingles binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: list[dict]) -> pa.RecordBatch:
             s = [np.frombuffer(r["shingles"], np.uint32) for r in rows]
-            out = similar_in_shard([r["id"] for r in rows], [r["fp"] & 0xFFFFFFFFFFFFFFFF for r in rows], s, radius, similarity)
+            out = similar_in_shard([r["row"] for r in rows], [r["fp"] & 0xFFFFFFFFFFFFFFFF for r in rows], s, radius, similarity)
             a, b = (np.array(x, np.int64) for x in (zip(*out) if out else ((), ())))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -352,12 +347,46 @@ def similar_groups(
             yield emit(held)
 
     links = (
-        pairs.join(shingles, "id")
-        .select("j", "key", "id", "fp", "shingles")
+        pairs.join(shingles, "row")
+        .select("j", "key", "row", "fp", "shingles")
         .repartition(n, "j", "key")
-        .sortWithinPartitions("j", "key", "id")
+        .sortWithinPartitions("j", "key", "row")
         .mapInArrow(run, "a long, b long")
     )
     comp = components(links)
-    named = entries.join(comp, entries.id == comp.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    return found.join(named, "digest", "left").select("doc_id", "component_id")
+    named = entries.join(comp, entries["row"] == comp.node, "left").select("digest", F.coalesce("component", "row").alias("group"), "first")
+    return found.select("doc_id", "digest"), named
+
+
+def similar_groups(
+    docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, component_id) for each row: documents linked by the Jaccard similarity of their k-word shingles.
+
+    Equal shingle sequences are one entry. Shards are dealt by `keys` min-hashes
+    of the shingles; all documents of a shard that its BK-tree of SimHashes (searched within
+    `radius`) has not joined are compared as well, and a pair is linked if the exact similarity of
+    its shingle sets reaches the threshold. So the min-hashes alone can lose a link: documents of
+    similarity s share none with a chance of (1 - s) ** keys, 0.16 % at 0.8, less the closer they are.
+    component_id is a group's least id. Null and empty texts are equal to one another; rows with
+    null ids are searched like others, come back null and name no group (it is null if it has no
+    other id); rows with equal ids are judged each by its own text; an empty table gives no rows.
+    """
+    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    found, named = similar_entries(rows, k, similarity, radius, keys)
+    named = written(named, "named")
+    least = named.groupBy("group").agg(F.min("first.id").alias("component_id"))
+    of_digest = named.select("digest", "group").join(least, "group").select("digest", "component_id")
+    return found.join(of_digest, "digest", "left").select("doc_id", "component_id")
+
+
+def first_of_groups(
+    docs: DataFrame, row_col: str, k: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 4, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(row_col) of one row of each group of similar_groups: that with the least id, null ids last.
+
+    row_col numbers the rows (see numbered), so rows with null or equal ids are told apart.
+    """
+    rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    _, named = similar_entries(rows, k, similarity, radius, keys)
+    return named.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_col))

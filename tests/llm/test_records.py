@@ -173,5 +173,29 @@ def test_pipeline(spark, sf):
     assert sizes[0] < 200 and sizes[1] < sizes[0] and docs.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
 
 
+def test_stages_keep_rows_with_null_or_equal_ids(spark, sf):
+    """Unlike texts stay, whatever their ids; of copies one row stays, and passages are cut row by row."""
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    a, b, c, d, e, f = (text(60) for _ in range(6))
+    passage = text(20)
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, c), (8, d), (8, e), (8, d), (9, d), (5, passage), (11, f"{f} {passage}"), (11, f"{passage} {a[:20]} {b[:20]}")]
+    d0 = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    path = fresh_path(spark, "ids")
+    d0.write.parquet(path)
+    docs = spark.read.parquet(path)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf)
+    assert kept.columns == docs.columns
+    left = [r for r in rows if r not in ((None, c), (9, d))]
+    left.remove((8, d))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(left, key=str)
+    path = fresh_path(spark, "ids")
+    kept.write.parquet(path)
+    cut = corpus_pipeline.repeated_passages(spark, spark.read.parquet(path), sf)
+    got = sorted(((r.doc_id, r.text) for r in cut.collect()), key=str)
+    assert len(got) == len(left) and {(None, a), (None, b), (7, c), (8, d), (8, e), (5, passage)} <= set(got)
+    assert sum(passage in t for _, t in got) == 1 and sum(t.startswith(f) for _, t in got) == 1
+
+
 def test_registry():
     assert [k.split("_")[0] for k in registry.queries()] == [f"op{i}" for i in range(1, 11)]
