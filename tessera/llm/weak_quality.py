@@ -30,6 +30,8 @@ N_FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS) + 1
 NOISE = ("symbols", "capitals", "repeats", "separators", "word_length", "variety", "annotated_quality")
 ABUSE = ("insults", "second_person", "annotated_toxic")
 ABSTAIN, GOOD, BAD = 0, 1, 2
+#: Words that the variety of a text is judged on at once.
+WINDOW = 2000
 #: Share of its votes in which an annotation is taken to be right.
 RIGHT = 0.998
 # Common English insults that the lexicon labeller looks for.
@@ -44,22 +46,28 @@ def _by(share: float, good: float, bad: float) -> int:
     return BAD if share >= bad else GOOD if share <= good else ABSTAIN
 
 
+def variety(words: list[bytes]) -> float:
+    """Share of words that occurred before, less what the length explains: the mean over consecutive parts of near-equal size, at most WINDOW words."""
+    n = -(-len(words) // WINDOW)
+    cuts = [len(words) * i // n for i in range(n + 1)]
+    return sum(1 - len(set(words[a:b])) / (b - a) - 0.05 * np.log(b - a) for a, b in zip(cuts, cuts[1:])) / n
+
+
 def noise_votes(text: bytes) -> list[int]:
-    """A vote of each labeller in NOISE but the last; short texts get few votes."""
+    """A vote of each labeller in NOISE but the last, on all words; short texts get few votes."""
     count = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     n, words = len(text), text.split()
     if len(words) < 5:
         return [BAD if n and count[SYMBOLS].sum() * 4 > n else ABSTAIN] + [ABSTAIN] * 5
     upper, lower = int(count[65:91].sum()), int(count[97:123].sum())
     same = sum(map(eq, words, words[1:])) / (len(words) - 1)
-    part = words[:: len(words) // 2000 + 1]
     return [
         _by(count[SYMBOLS].sum() / n, 0.008, 0.04),
         _by(upper / max(1, upper + lower), 0.12, 0.35),
         _by(same, 0.01, 0.08),
-        _by(sum(len(w) == 1 and not w.isalnum() for w in part) / len(part), 0.01, 0.12),
+        _by(sum(len(w) == 1 and not w.isalnum() for w in words) / len(words), 0.01, 0.12),
         _by(abs(n / len(words) - 6.5), 2.5, 5.0),
-        _by(1 - len(set(part)) / len(part) - 0.05 * np.log(len(part)), 0.35, 0.6) if len(part) >= 20 else ABSTAIN,
+        _by(variety(words), 0.35, 0.6) if len(words) >= 20 else ABSTAIN,
     ]
 
 

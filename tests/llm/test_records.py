@@ -29,6 +29,20 @@ def test_labels_held_out(spark):
     assert r.keep[clean].mean() > 0.99
 
 
+def test_votes_see_all_words_of_long_texts():
+    """A long table is seen to be one, wherever its separators stand; few words over and over are no variety."""
+    at = {name: i for i, name in enumerate(Q.NOISE)}
+    for n in (1000, 1500, 3000, 9000):
+        for table in ([b"word%d |" % i for i in range(n)], [b"| word%d" % i for i in range(n)], [b"a%d b%d |" % (i, i) for i in range(n)]):
+            assert Q.noise_votes(b" ".join(table))[at["separators"]] == Q.BAD
+    distinct = [b"word%d" % i for i in range(5000)]
+    assert Q.noise_votes(b" ".join(distinct))[at["variety"]] == Q.GOOD
+    # Every other word is one and the same hundred: half of each part repeats, at any length.
+    mixed = [w for i, x in enumerate(distinct) for w in (x, b"again%d" % (i % 100))]
+    assert abs(Q.variety(mixed[:2000]) - Q.variety(mixed)) < 1e-9
+    assert Q.variety([b"a", b"b"] * 1500) > 0.6 > Q.variety(distinct)
+
+
 def test_estimated_chances_are_near_the_true_ones():
     rng = np.random.default_rng(3)
     truth = rng.random(20000) < 0.3
