@@ -10,6 +10,8 @@ All of it is DataFrame operations; page counts and links are summed per host bef
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING, ROUNDS, MARGIN = 0.85, 12, 1.0
+#: The walk has settled when four rounds change no host's rank by more than this share of it.
+TOLERANCE = 1e-12
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,24 +75,39 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = ROUNDS) -> DataFrame:
     """(host, rank) of a walk along edges (src, dst, share) that restarts at seeds (host, seed; summing to 1).
 
     What reaches a host without edges ends there; sending it back to the seeds would scale all
-    ranks alike.
+    ranks alike. Without `rounds` the walk goes on until it has settled (TOLERANCE), so until
+    every host that the seeds reach has its rank.
     """
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     rank = seeds.select("host", F.col("seed").alias("rank"))
-    for i in range(rounds):
+    before = rank
+    for i in count() if rounds is None else range(rounds):
         moved = rank.join(edges, rank.host == edges.src).select(
             F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank")
         )
         rank = start.union(moved).groupBy("host").agg(F.sum("rank").alias("rank"))
         if i % 4 == 3:
             rank = written(rank, "rank")
+            if rounds is None:
+                old = before.select(F.col("host").alias("known"), F.col("rank").alias("old"))
+                changed = rank.join(old, rank.host == old.known, "left").where(
+                    F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > TOLERANCE * F.col("rank"))
+                )
+                if changed.isEmpty():
+                    break
+                before = rank
     return rank
 
 
+def rounded(x: Column) -> Column:
+    """x to twelve significant digits, since sums in another order differ in the last ones; however small, it stays above 0."""
+    return F.format_string("%.11e", x).cast("double")
+
+
 def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", html: str = "html", margin: float = MARGIN) -> DataFrame:
     """pages with host, path, rule, verdict, trust and distrust.
 
@@ -110,11 +129,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", html: str =
     def seeds(name: str, n: int | None) -> DataFrame:
         return counts.where(F.col(name) > 0).select("host", (F.col(name) / F.lit(n or 1)).alias("seed"))
 
-    trust = personalised_rank(edges, seeds("allowed", total[0])).withColumnRenamed("rank", "trust")
-    distrust = personalised_rank(reversed_edges(edges), seeds("blocked", total[1])).withColumnRenamed("rank", "distrust")
-    # Rounded, since sums in another order differ in the last digits.
+    trust = personalised_rank(edges, seeds("allowed", total[0]), rounds=None).withColumnRenamed("rank", "trust")
+    distrust = personalised_rank(reversed_edges(edges), seeds("blocked", total[1]), rounds=None).withColumnRenamed("rank", "distrust")
     hosts = trust.join(distrust, "host", "full").select(
-        F.col("host").alias("h"), F.round(F.coalesce("trust", F.lit(0.0)), 10).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 10).alias("distrust")
+        F.col("host").alias("h"), rounded(F.coalesce("trust", F.lit(0.0))).alias("trust"), rounded(F.coalesce("distrust", F.lit(0.0))).alias("distrust")
     )
     hosts = written(hosts, "hosts")
     joined = known.join(hosts, known.host == hosts.h, "left").drop("h")
@@ -129,7 +147,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", html: str =
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    """Trust and distrust are shown to ten decimals, as the SQL has them; the verdict is by the values before that."""
+    return judge(table(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict", F.round("trust", 10).alias("trust"), F.round("distrust", 10).alias("distrust")
+    )
 
 
 def _walk_sql(name: str, seed: str, edges: str) -> str:

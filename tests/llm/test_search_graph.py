@@ -94,3 +94,19 @@ def test_link_trust_edges(spark):
     # Both link to a host with one page allowed and one blocked: distrust comes back along the link, trust does not.
     assert got[9][3] == "block" and got[11] == ("friend.net", "/a", None, "block")
     assert LT.judge(d.limit(0)).count() == 0
+
+
+def test_small_and_distant_distrust_blocks(spark):
+    """A rank below ten decimals counts, and so does one that comes over more than twelve edges."""
+    pages = [(0, "http://bad.com/de/", None), (1, "http://h1.net/", '<a href="//bad.com/">')]
+    pages += [(i, f"http://h{i}.net/", f'<a href="//h{i - 1}.net/">') for i in range(2, 17)]
+    many = "".join(f'<a href="//x{i}.net/">' for i in range(50))
+    pages += [(20, "http://far.net/", '<a href="//h16.net/">' + many), (21, "http://fine.net/", '<a href="//x1.net/">')]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.distrust) for r in LT.judge(d).collect()}
+    assert all(got[i][0] == "block" and got[i][1] > 0 for i in [*range(17), 20]) and got[21] == ("allow", 0.0)
+    edges = LT.host_edges(d.withColumn("host", LT.host_of())).checkpoint()
+    seeds = spark.createDataFrame([("bad.com", 1e-9)], "host string, seed double")
+    rank = LT.personalised_rank(LT.reversed_edges(edges), seeds, rounds=None).withColumn("rank", LT.rounded(F.col("rank")))
+    ranks = {r.host: r["rank"] for r in rank.collect()}
+    assert all(ranks[f"h{i}.net"] > 0 for i in range(1, 17)) and 0 < ranks["far.net"] < 5e-11
