@@ -23,7 +23,8 @@ def folder(spark) -> str:
 
 
 def events(spark, sf):
-    s = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    source = spark.readStream.schema(EVENTS)
+    s = source.option("pathGlobFilter", "events.parquet").parquet(sf) if _is_file(spark, sf, "events") else source.parquet(f"{sf}/events.parquet")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -49,12 +50,16 @@ def st3(spark, sf):
 
 def st4(spark, sf):
     """Sessions of activity with a gap of half an hour, closed by the watermark or the end."""
-    s = ST.activity_sessions(events(spark, sf))
+    s = ST.activity_sessions(events(spark, sf)).select("user_id", "start", "n")
     at = folder(spark)
-    name = "st4_" + at[-32:]
-    q = s.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    out = f"{at}/out"
+    spark.createDataFrame([], s.schema).write.parquet(out)  # what an empty stream gives
+
+    def write(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)  # complete: each batch has all sessions
+
+    s.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(s.schema).parquet(out).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 ST4_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -66,7 +71,7 @@ def st1(spark, sf):
     c = read_table(spark, sf, "conversations")
     kind = c.schema
     source = spark.readStream.schema(kind)
-    glob = source.option("pathGlobFilter", "conversations.parquet").parquet(sf) if _is_file(spark, sf) else source.parquet(f"{sf}/conversations.parquet")
+    glob = source.option("pathGlobFilter", "conversations.parquet").parquet(sf) if _is_file(spark, sf, "conversations") else source.parquet(f"{sf}/conversations.parquet")
     mark = F.element_at(F.array(*[F.lit(m) for m, _ in V.MARKS]), ((F.col("conv_id") + F.col("turn")) % len(V.MARKS) + 1).cast("int"))
     m = glob.select(
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), F.concat(F.lit("u"), (F.col("conv_id") % 50).cast("string")).alias("user_id"),
@@ -78,10 +83,10 @@ def st1(spark, sf):
     return p.union(spark.read.parquet(f"{at}/out/blocked").select("conv_id", "turn", F.lit("blocked")))
 
 
-def _is_file(spark, sf: str) -> bool:
+def _is_file(spark, sf: str, table: str) -> bool:
     """Whether the table is one file (streams read folders only): its rows then all come from that path."""
-    name = spark.read.parquet(f"{sf}/conversations.parquet").select(F.input_file_name()).first()
-    return bool(name) and name[0].rstrip("/").endswith("conversations.parquet")
+    name = spark.read.parquet(f"{sf}/{table}.parquet").select(F.input_file_name()).first()
+    return bool(name) and name[0].rstrip("/").endswith(f"{table}.parquet")
 
 
 QUERIES = {

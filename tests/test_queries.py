@@ -21,3 +21,10 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(registry.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["st2_windowed_counts", "st3_lockout_stream", "st4_activity_sessions"])
+def test_streams_of_a_folder_of_part_files(spark, sf, tmp_path, name):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    one, parts = (sorted(map(str, QUERIES[name](spark, at).collect())) for at in (sf, str(tmp_path)))
+    assert one and one == parts
