@@ -1,33 +1,21 @@
-"""Helpers that several operators use: the shared folder, written tables, components."""
+"""Helpers that several operators use: written tables, what a worker keeps, components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Where written() put a table.
+PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests on one machine) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-            found = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -39,14 +27,30 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    PATHS[found] = path
+    return found
+
+
+def erase(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing reads any more (others are left alone)."""
+    for t in tables:
+        if path := PATHS.pop(t, None):
+            sc = t.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def per_worker(key: tuple, make):
-    """What make() gives, kept for the life of a Python worker (functions come by value: their globals end with a task)."""
-    import builtins
+    """What make() gives, kept for the life of a Python worker.
 
-    kept = vars(builtins).setdefault("_tessera_kept", {})
+    Functions come to the workers by value, so the globals of their module end with a task: what
+    is kept lies in a module of its own.
+    """
+    import sys
+    import types
+
+    kept = vars(sys.modules.setdefault("tessera_worker_cache", types.ModuleType("tessera_worker_cache")))
     if key not in kept:
         kept[key] = make()
     return kept[key]
@@ -56,19 +60,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b: long) as (node, component), component the least node.
 
     Alternates large-star and small-star rounds: each is one aggregation and one join on the
-    edges, so a component never meets in one task. Ends when a round changes nothing.
+    edges, so a component never meets in one task. Goes on until a round changes nothing (rounds
+    grow with the logarithm of the longest path); each round's edges replace those before it.
     """
     e = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -81,7 +84,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(root.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = written(small, "edges")
+        before, e = e, written(small, "edges")
+        erase(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
         if tuple(now) == tuple(state):
             break
