@@ -3,7 +3,7 @@
 Each document gets an exponential key, divided by its quality weight; within its source documents
 are taken in the order of their keys until their summed sizes reach the budget. Budgets above the
 source are met by complete epochs first, then by such a fraction. Sums run in two steps (over
-slices of the key range, then within a slice), so a source with most of the rows is many tasks'.
+slices of the keys' quantiles, then within a slice), so a source with most of the rows is many tasks'.
 """
 
 from __future__ import annotations
@@ -67,13 +67,26 @@ def targets(by_source: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL
     )
 
 
+def sliced(narrow: DataFrame) -> DataFrame:
+    """narrow with slice: how many of the source's approximate quantiles lie at or below the key.
+
+    So slices are about equal whatever the keys' range. Equal keys have one slice, and all keys of
+    a slice lie below those of the next; how near the quantiles are bears on the work only.
+    """
+    n = min(4 * partitions(narrow.sparkSession), 256)
+    marks = narrow.groupBy("source").agg(F.approx_percentile("key", [i / n for i in range(1, n)], 20 * n).alias("marks"))
+    marks = marks.select(F.col("source").alias("__s"), "marks")  # one row per source
+    joined = narrow.join(marks, F.col("source").eqNullSafe(F.col("__s")))
+    return joined.withColumn("slice", F.size(F.filter("marks", lambda m: m <= F.col("key")))).drop("__s", "marks")
+
+
 def cuts(narrow: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """Per source: target, whole epochs, and where in the order of keys the fraction ends.
+    """Per source: target, whole epochs, and where in the order of (key, id, size) the fraction ends.
 
-    narrow: id, source, size, key. The document at (cut_key, cut_id) gives cut_words of its own.
+    narrow: id, source, size, key. Rows that are alike in all of these share a place in the order;
+    those at the end of the fraction (at cut_key, cut_id, cut_size) give cut_words each.
     """
-    slices = 4 * partitions(narrow.sparkSession)
-    cut = narrow.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * slices).cast("int"))
+    cut = sliced(narrow)
     sums = cut.groupBy("source", "slice").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     plan = targets(sums.groupBy("source").agg(F.sum("held").alias("source_size")), **how)
@@ -84,34 +97,39 @@ def cuts(narrow: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
         sums.withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
         .join(plan.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
         .where("before < rest AND rest <= before + held")
-        .select("source", "slice", "before", "rest")
+        .select(F.col("source").alias("s"), F.col("slice").alias("sl"), "before", "rest")
     )
-    at = at.select(F.col("source").alias("s"), F.col("slice").alias("sl"), "before", "rest")
-    inside = Window.partitionBy("source").orderBy("key", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    # One slice of each source; repeated rows are counted before they are put in order.
+    here = cut.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl")))
+    here = here.groupBy("source", "key", F.col(id_col).alias("id"), "size", "before", "rest").agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    words_left = F.col("rest") - F.col("before")
     border = (
-        cut.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("sl")))  # one slice of each source
-        .withColumn("before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .where("before < rest AND rest <= before + size")
-        .groupBy("source")
-        .agg(F.min(F.struct("key", F.col(id_col).alias("id"), (F.col("rest") - F.col("before")).alias("words"))).alias("border"))
+        here.withColumn("before", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+        .where("before < rest AND rest <= before + size * n")
+        .select(
+            F.col("source").alias("s"), F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), F.col("size").alias("cut_size"),
+            F.floor((2 * words_left + F.col("n")) / (2 * F.col("n"))).cast("long").alias("cut_words"),
+        )
     )
-    border = border.select(F.col("source").alias("s"), "border.*")
     return plan.join(border, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("mix_source"), "source_size", "target", "epochs",
-        F.col("key").alias("cut_key"), F.col("id").alias("cut_id"), F.col("words").alias("cut_words"),
+        F.col("source").alias("mix_source"), "source_size", "target", "epochs", "cut_key", "cut_id", "cut_size", "cut_words",
     )
 
 
 def taken(sized_docs: DataFrame, plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """sized_docs with source_size, target and taken (words the mix takes, repeats counted)."""
     joined = sized_docs.join(plan, F.col("source").eqNullSafe(F.col("mix_source")))
+    mine = F.struct(F.col("key").alias("k"), F.col(id_col).alias("i"), F.col("size").alias("n"))
+    border = F.struct(F.col("cut_key").alias("k"), F.col("cut_id").alias("i"), F.col("cut_size").alias("n"))
     fraction = (
-        F.when(F.col("key") < F.col("cut_key"), F.col("size"))
-        .when((F.col("key") == F.col("cut_key")) & F.col(id_col).eqNullSafe(F.col("cut_id")), F.least("cut_words", "size"))
+        F.when(F.col("cut_key").isNull(), F.lit(0))
+        .when(mine < border, F.col("size"))
+        .when(mine.eqNullSafe(border), F.least("cut_words", "size"))
         .otherwise(F.lit(0))
     )
-    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + F.coalesce(fraction, F.lit(0))).cast("long")).drop(
-        "mix_source", "cut_key", "cut_id", "cut_words", "key"
+    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + fraction).cast("long")).drop(
+        "mix_source", "cut_key", "cut_id", "cut_size", "cut_words", "key"
     )
 
 
@@ -119,8 +137,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality
     """docs with size, source_size, target, epochs and taken.
 
     Null and empty texts have size 0 and nothing taken; a null source is a source of its own,
-    the last; null ids share one key; repeated rows have equal keys and, at the border, each take
-    the border's words; an empty table gives no rows. Columns named like the new ones are replaced.
+    the last; null ids are one id; repeated rows (equal id, source, size and key) cannot be told
+    apart, so at the end of the fraction each takes an equal part of the words still missing, to
+    the nearest word (the sum is off by half a word for each of them at most); an empty table
+    gives no rows. Columns named like the new ones are replaced.
     The text is never shuffled: it meets the plan, one row per source.
     """
     clean = docs.drop("size", "key", "source_size", "target", "epochs", "taken", "slice")
