@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import erase, table, written
 
 #: (verdict, host, path)
 RULES = (
@@ -25,6 +25,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+HIT = "struct<rule:string,verdict:string>"
+#: Rules that are tested one by one; more are joined as a table.
+LISTED = 64
 DAMPING, ROUNDS, MARGIN = 0.85, 12, 1.0
 #: The walk has settled when four rounds change no host's rank by more than this share of it.
 TOLERANCE = 1e-12
@@ -43,16 +46,37 @@ def path_of(url: str = "url") -> Column:
 
 
 def best_rule(rules: tuple = RULES, host: str = "host", path: str = "path") -> Column:
-    """The longest rule that fits as (rule, verdict), or null. The rules are a short list of the caller's."""
-    if len(rules) > 1000:
-        raise ValueError("give more than 1000 rules as a table")
-    found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1:])):  # a longer one replaces
+    """The longest rule that fits as (rule, verdict), or null: an expression that grows with the list of rules."""
+    found = F.lit(None).cast(HIT)
+    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1:], r[0])):  # a longer one replaces
         fits = ((F.col(host) == h) | F.col(host).endswith("." + h)) & F.col(path).startswith(p)
         found = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
     return found
 
 
+def with_rules(pages: DataFrame, rules: tuple | DataFrame = RULES, out: str = "__r") -> DataFrame:
+    """pages (host, path, ...) with the longest rule that fits as (rule, verdict), or null.
+
+    A short list of rules is one expression. A table (verdict, host, path) of any size, or a long
+    list, is joined on each host that a page's host lies under; distinct (host, path) meet it once.
+    Of rules that are equally long the last by host and path is taken, and block before allow.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= LISTED:
+            return pages.withColumn(out, best_rule(rules))
+        rules = pages.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    labels = F.split("host", "[.]")
+    over = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    places = pages.select("host", "path").distinct().withColumn("over", F.explode(over))
+    listed = rules.select(F.col("host").alias("over"), F.col("path").alias("begins"), F.col("verdict").alias("v"))
+    order = F.struct(F.length(F.concat("over", "begins")), F.col("over"), F.col("begins"), F.col("v"))
+    best = (
+        places.join(listed, "over").where(F.col("path").startswith(F.col("begins")))
+        .groupBy("host", "path").agg(F.max_by(F.struct(F.concat("over", "begins").alias("rule"), F.col("v").alias("verdict")), order).alias(out))
+    )
+    return pages.join(best, ["host", "path"], "left")
+
+
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     """(src, dst, share): a host's links and its tie upwards, each edge's share of what leaves src."""
     links = pages.where(f"{html} LIKE '%//%'").select(
@@ -92,12 +116,17 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
         rank = start.union(moved).groupBy("host").agg(F.sum("rank").alias("rank"))
         if i % 4 == 3:
             rank = written(rank, "rank")
+            if rounds is not None:
+                erase(before)
+                before = rank
             if rounds is None:
                 old = before.select(F.col("host").alias("known"), F.col("rank").alias("old"))
                 changed = rank.join(old, rank.host == old.known, "left").where(
                     F.col("old").isNull() | (F.abs(F.col("rank") - F.col("old")) > TOLERANCE * F.col("rank"))
                 )
-                if changed.isEmpty():
+                settled = changed.isEmpty()
+                erase(before)
+                if settled:
                     break
                 before = rank
     return rank
@@ -108,7 +137,7 @@ def rounded(x: Column) -> Column:
     return F.format_string("%.11e", x).cast("double")
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", html: str = "html", margin: float = MARGIN) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple | DataFrame = RULES, url: str = "url", html: str = "html", margin: float = MARGIN) -> DataFrame:
     """pages with host, path, rule, verdict, trust and distrust.
 
     Null urls and urls without :// have an empty host and path; what no rule and no edge reaches
@@ -116,7 +145,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", html: str =
     (and count as often); an empty table gives no rows. Columns named like the new ones are replaced.
     """
     clean = pages.drop("host", "path", "rule", "verdict", "trust", "distrust")
-    known = clean.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("__r", best_rule(rules))
+    known = with_rules(clean.withColumn("host", host_of(url)).withColumn("path", path_of(url)), rules)
     edges = written(host_edges(known, html), "edges")
     counts = written(
         known.where("host <> '' AND __r IS NOT NULL").groupBy("host").agg(
