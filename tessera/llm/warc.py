@@ -27,6 +27,8 @@ from .shared import partitions, table, written
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 300
+#: Shared digests that are broadcast at most, and tasks that each is dealt to beyond that.
+BROADCAST_ROWS, SALTS = 200_000, 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -78,17 +80,28 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         archive = member.unused_data
 
 
-def with_types(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", html: str = "html") -> DataFrame:
+def with_types(
+    pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", html: str = "html", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """(page_id, url, html, digest, record_type, refers_to): who holds each payload and who revisits it.
 
-    Only ids and digests are grouped; a payload that many pages share is summed before it moves.
+    Digests and ids are grouped, never payloads. Only digests that several pages have are joined
+    back: up to broadcast_rows of them (about 100 bytes each) are broadcast and no payload moves;
+    more are joined by digest, each dealt to SALTS tasks, so a payload that many pages share is
+    no single task's.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    keyed = p.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8")))).withColumn("bytes", F.octet_length("html"))
-    holder = keyed.where(F.col("bytes") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
-    # Payloads with one page need no partner: only the shared ones are joined.
-    shared = holder.where("n > 1").select(F.col("sha").alias("s"), "holder")
-    joined = keyed.join(shared, F.col("sha") == F.col("s"), "left")
+    sha = F.unhex(F.sha1(F.encode("html", "UTF-8")))
+    small = p.select("page_id", sha.alias("sha"), F.octet_length("html").alias("bytes")).where(F.col("bytes") >= min_bytes)
+    holder = small.groupBy("sha").agg(F.max("page_id").alias("holder"), F.count("*").alias("n"))
+    shared = written(holder.where("n > 1").select(F.col("sha").alias("s"), "holder"), "shared-payloads")
+    keyed = p.withColumn("sha", sha)
+    if shared.count() <= broadcast_rows:
+        joined = keyed.join(F.broadcast(shared), F.col("sha") == F.col("s"), "left")
+    else:
+        salted = shared.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = keyed.withColumn("salt", salt).join(salted, (F.col("sha") == F.col("s")) & (F.col("salt") == F.col("s_salt")), "left")
     revisit = F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     return joined.select(
         "page_id", "url", "html",
@@ -153,7 +166,7 @@ def build_index(places: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
         if held:
             yield emit(n, held)
 
-    order = ["key", "page_id"]
+    order = ["key", "page_id", "archive", "offset"]  # records of one key may fill several parts
     ranged = places.repartitionByRange(partitions(places.sparkSession), *order).sortWithinPartitions(*order)
     return written(
         ranged.select("key", "page_id", "archive", "offset", "length").mapInArrow(
@@ -167,14 +180,13 @@ def _escape(x: str) -> str:
     return x.replace("\\", "\\\\").replace("\t", "\\t").replace("\n", "\\n").replace("\r", "\\r")
 
 
-def find(directory: list[tuple], opened, key: tuple) -> tuple[int, int, int] | None:
-    """Binary search: the last block whose first key is not above key, then its lines."""
-    k = bisect.bisect_right(directory, key) - 1
-    if k < 0:
-        return None
-    keys, places = opened(k)
-    i = bisect.bisect_left(keys, key)
-    return places[i] if i < len(keys) and keys[i] == key else None
+def find(directory: list[tuple], opened, key: tuple) -> list[tuple[int, int, int]]:
+    """The places of all records of a key: binary search in the directory, then in the lines of each block that may hold it."""
+    found = []
+    for k in range(max(0, bisect.bisect_left(directory, key) - 1), bisect.bisect_right(directory, key)):
+        keys, places = opened(k)
+        found += places[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+    return found
 
 
 def _order(key: str, page: int | None) -> tuple:
@@ -182,19 +194,25 @@ def _order(key: str, page: int | None) -> tuple:
 
 
 def look_up(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """(page_id, archive, offset, length) for each (key, page_id) of wanted, through the index.
+    """(key, page_id, archive, offset, length) of every record of each distinct (key, page_id) of wanted, through the index.
 
-    The range of each part comes from its own first key; a key goes to the last part that begins
-    at or before it. Parts are as many as shuffle partitions, so their first keys are a short list.
+    The range of each part comes from its own first key; a key goes to all parts that may hold it.
+    Parts are as many as shuffle partitions, so their first keys are a short list.
     """
-    parts = index.where("block = 0").select("part", "first_key", "first_page").orderBy("part").limit(1 << 20).collect()
+    parts = index.where("block = 0").select("part", "first_key", "first_page").orderBy("part").collect()
     firsts = [(_order(r["first_key"], r["first_page"]), r["part"]) for r in parts]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begins = [k for k, _ in firsts]
         for b in batches:
-            at = [max(0, bisect.bisect_right(begins, _order(k, p)) - 1) for k, p in zip(*(c.to_pylist() for c in b.columns))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([firsts[i][1] if firsts else 0 for i in at], pa.int32())], ["key", "page_id", "part"])
+            rows: list[tuple] = []
+            for k, p in zip(*(c.to_pylist() for c in b.columns)):
+                key = _order(k, p)
+                lo, hi = max(0, bisect.bisect_left(begins, key) - 1), bisect.bisect_right(begins, key)
+                rows += [(k, p, part) for _, part in firsts[lo:hi]]
+            cols = list(zip(*rows)) or [(), (), ()]
+            kinds = (pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "page_id", "part"])
 
     def run(keys: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         blocks = blocks.sort_values("block")
@@ -213,11 +231,13 @@ def look_up(wanted: DataFrame, index: DataFrame) -> DataFrame:
 
         rows = [(k, None if pd.isna(p) else int(p)) for k, p in zip(keys["key"], keys["page_id"])]
         rows.sort(key=lambda r: _order(*r))
-        found = [(p, *(find(directory, opened, _order(k, p)) or (None, None, None))) for k, p in rows]
-        return pd.DataFrame(found, columns=["page_id", "archive", "offset", "length"]).astype("Int64")
+        found = [(k, p, *place) for k, p in rows for place in find(directory, opened, _order(k, p))]
+        return pd.DataFrame(found, columns=["key", "page_id", "archive", "offset", "length"]).astype(
+            {"key": object, "page_id": "Int64", "archive": "Int64", "offset": "Int64", "length": "Int64"}
+        )
 
-    keyed = wanted.select("key", "page_id").mapInArrow(dealt, "key string, page_id long, part int")
-    return keyed.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(run, "page_id long, archive long, offset long, length long")
+    keyed = wanted.select("key", "page_id").distinct().mapInArrow(dealt, "key string, page_id long, part int")
+    return keyed.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(run, "key string, page_id long, archive long, offset long, length long")
 
 
 def _unescape(x: str) -> str:
@@ -261,9 +281,10 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", ht
 
     Of equal payloads of min_bytes or more the largest page id is the response and the others
     revisit it. Null markup is an empty payload, a null url an empty one; null ids count as less
-    than all others (where all are null, all are responses); repeated rows with the largest id are
-    responses alike, and each lookup of a repeated row finds the first of its records; an empty
-    table gives no rows; further columns are ignored.
+    than all others (where all are null, all are responses); rows with one url and id are a record
+    each, and a lookup finds all records of its key, so they come back whatever their markup;
+    repeated rows with the largest id are responses alike; an empty table gives no rows; further
+    columns are ignored.
     """
     typed = with_types(pages, min_bytes, id_col, html)
     archives, places = write_archives(typed, archive_bytes)
