@@ -3,20 +3,23 @@ their arguments checked against schemas, and are written as canonical JSON.
 
 Order comes from depth (how many calls a call builds on, one after the other), found by pointer
 doubling: a chain of n calls takes log2(n) joins, and no conversation has to fit in one task.
-Sorted by conversation, depth, turn and id, each call stands after the one it builds on.
+Sorted by conversation, depth, turn and id, each call stands after all that it builds on.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from math import isfinite
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import erase, table, written
 
+SURROGATES = re.compile("[\ud800-\udfff]").sub
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 #: Schemas of the tools that op10 derives.
 TOOLS = {
@@ -29,8 +32,6 @@ TOOLS = {
         "properties": {"text": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}},
     },
 }
-MAX_ROUNDS = 48
-
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """Where value breaks schema: type, enum, bounds, lengths, required, properties and items of JSON Schema."""
@@ -63,44 +64,117 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value) -> str:
-    """Sorted keys, no blanks, characters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no blanks, characters as they are; halves of surrogate pairs, which UTF-8 has not, escaped."""
+    return escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def escaped(text: str) -> str:
+    return SURROGATES(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def parsed(text: str):
+    """The JSON value of a text. NaN, infinities and numbers beyond the doubles are none (ValueError)."""
+    def refuse(x: str):
+        raise ValueError(f"{x} is not JSON")
+
+    def number(x: str) -> float:
+        return float(x) if isfinite(float(x)) else refuse(x)
+
+    return json.loads(text, parse_constant=refuse, parse_float=number)
 
 
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): 0 for a call that builds on none; null on a cycle or above one.
 
-    calls: conv_id, call_id, parent. A parent that is no call of the conversation counts as none.
+    calls: conv_id, call_id, parent, which is one id or an array of ids; the depth is that of the
+    longest chain. A parent that is no call of the conversation counts as none.
+
+    A call with one parent points to it; pointers double until they reach a call with none, or
+    with several. What is left is a graph of the calls with several parents, whose depths settle
+    from below, one generation a round. Both end when a round settles nothing more, or when no
+    chain without a cycle could be longer.
     """
-    ids = calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("parent").alias("parent"))
-    known = ids.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"))
+    many = calls.schema["parent"].dataType.typeName() == "array"
+    ids = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", F.explode_outer("parent").alias("parent") if many else "parent").distinct()
+    known = ids.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k")).distinct()
     on = (F.col("parent") == F.col("k")) & F.col("conv_id").eqNullSafe(F.col("c"))
-    state = ids.join(known, on, "left").select("conv_id", "call_id", F.col("k").alias("up"), F.col("k").isNotNull().cast("long").alias("depth"))
-    state = written(state, "depth")
-    for _ in range(MAX_ROUNDS):
-        open_ = state.where("up IS NOT NULL")
-        if open_.isEmpty():
+    edges = ids.join(known, on, "left").groupBy("conv_id", "call_id").agg(F.collect_set("k").alias("ups"))
+    edges = written(edges, "calls")
+    # A call's own entry: where it points (null at a root or at a call with several parents), how far away, and where that way ends.
+    state = edges.select(
+        "conv_id", "call_id", F.when(F.size("ups") == 1, F.col("ups")[0]).alias("up"), (F.size("ups") == 1).cast("long").alias("depth"), F.col("call_id").alias("end")
+    )
+    state = written(state.withColumn("end", F.coalesce("up", "end")), "depth")
+    longest = state.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        if state.where("up IS NOT NULL").isEmpty():
             break
-        above = state.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        above = state.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("end").alias("last"))
         on = (F.col("up") == F.col("k")) & F.col("conv_id").eqNullSafe(F.col("c"))
-        state = written(
+        before, state = state, written(
             state.join(above, on, "left").select(
-                "conv_id", "call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
+                "conv_id", "call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("last", "end").alias("end")
             ),
             "depth",
         )
-    return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        erase(before)
+    forks = edges.where("size(ups) > 1").select("conv_id", "call_id", F.explode("ups").alias("parent"))
+    if not many or forks.isEmpty():
+        return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    return _forked(state, forks)
+
+
+def _forked(state: DataFrame, forks: DataFrame) -> DataFrame:
+    """Depths where calls have several parents: state (up null where the way ends at a root or a fork), forks (call, parent)."""
+    ways = state.select(F.col("conv_id").alias("c"), F.col("call_id").alias("k"), F.when(F.col("up").isNull(), F.col("end")).alias("to"), F.col("depth").alias("far"))
+    here = forks.select("conv_id", "call_id").distinct()
+    on = (F.col("parent") == F.col("k")) & F.col("conv_id").eqNullSafe(F.col("c"))
+    # to: the fork or root where the way over a parent ends; null on a cycle.
+    legs = written(forks.join(ways, on).select("conv_id", "call_id", "to", (F.col("far") + 1).alias("far")), "legs")
+    roots = state.where("up IS NULL AND depth = 0").join(here, ["conv_id", "call_id"], "left_anti")
+    at = (F.col("to") == F.col("dk")) & F.col("conv_id").eqNullSafe(F.col("dc"))
+    done = written(roots.select("conv_id", "call_id", F.lit(0).cast("long").alias("depth")), "settled")
+    n, left = -1, legs.select("conv_id", "call_id").distinct().count()
+    while left and n != left:
+        n = left
+        base = done.select(F.col("conv_id").alias("dc"), F.col("call_id").alias("dk"), F.col("depth").alias("base"))
+        new = (
+            legs.join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(base, at, "left")
+            .groupBy("conv_id", "call_id").agg(F.max(F.col("base") + F.col("far")).alias("depth"), F.bool_and(F.col("base").isNotNull()).alias("all"))
+            .where("all").select("conv_id", "call_id", "depth")
+        )
+        before, done = done, written(done.union(new), "settled")
+        erase(before)
+        left = legs.select("conv_id", "call_id").distinct().join(done, ["conv_id", "call_id"], "left_anti").count()
+    ends = done.select(F.col("conv_id").alias("dc"), F.col("call_id").alias("dk"), F.col("depth").alias("base"))
+    to = F.when(F.col("up").isNull(), F.col("end"))
+    return state.join(ends, (to == F.col("dk")) & F.col("conv_id").eqNullSafe(F.col("dc")), "left").select(
+        "conv_id", "call_id", (F.col("depth") + F.col("base")).alias("depth")
+    )
+
+
+def checked(text: str | None, schema: dict | None) -> tuple[object, list[str]]:
+    """The value of a call's arguments, and what is wrong with it (then the value is null if it is no JSON)."""
+    if text is None:
+        return None, ["not JSON"]
+    try:
+        value = parsed(text)
+        canonical(value)  # nested too deep to be written again is no value either
+    except (ValueError, RecursionError):
+        return None, ["not JSON"]
+    return value, ["unknown tool"] if schema is None else [escaped(x) for x in violations(value, schema)]
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = TOOLS) -> DataFrame:
     """One row per call and per result that answers none.
 
-    calls: conv_id, turn, call_id, name, arguments (JSON), parent; results: conv_id, turn, call_id,
-    content. status: answered, unanswered, orphan (a result without a call) or cyclic. Of several
+    calls: conv_id, turn, call_id, name, arguments (JSON), parent (an id, or an array of ids);
+    results: conv_id, turn, call_id, content. status: answered, unanswered, orphan (a result without a call) or cyclic. Of several
     results the earliest is taken (by turn, then content) and all are counted; a call id that
     occurs again in a conversation is one call each time, with the same result; null call ids link
-    to nothing; null or broken arguments are violations; empty tables give no rows; further
-    columns are ignored. valid, violations and canonical come from a small helper per row.
+    to nothing; null or broken arguments are violations, and so are NaN and numbers beyond the
+    doubles, which JSON has not; halves of surrogate pairs are written as escapes; empty tables
+    give no rows; further columns are ignored. valid, violations and canonical come from a small helper per row.
     """
     c = calls.select("conv_id", "turn", "call_id", "name", "arguments", "parent")
     first = (
@@ -134,11 +208,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = TOOLS) -> DataFra
                 if r["status"] == "orphan":
                     arguments, found = None, ["no call"]
                 else:
-                    try:
-                        arguments = json.loads(r["arguments"])
-                        found = violations(arguments, schemas[r["name"]]) if r["name"] in schemas else ["unknown tool"]
-                    except (TypeError, ValueError, RecursionError):
-                        arguments, found = None, ["not JSON"]
+                    arguments, found = checked(r["arguments"], schemas.get(r["name"]))
                 valid.append(not found)
                 broken.append(found)
                 texts.append(canonical({"arguments": arguments, "depth": r["depth"], "id": r["call_id"], "name": r["name"], "result": r["result"], "status": r["status"]}))
