@@ -9,6 +9,8 @@ a table of runs of slots, and pieces take their slots by joining on their rank w
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import struct
 import unicodedata
 import zlib
@@ -34,10 +36,16 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Ids (little-endian unsigned 32 bits) of words without ASCII white space, kept once made.
 
-    No token spans white space, so a text's ids are those of its words. Words of Latin letters
-    are cut as the tokenizer cuts them and only their pieces meet the model; others go through it.
+    Only for a tokenizer that normalises and splits as NORMALIZER and SPLIT say (see by_words): then
+    no token spans white space, so a text's ids are those of its words. Words of Latin letters are
+    cut as the tokenizer cuts them and only their pieces meet the model; others go through it.
     """
 
+    NORMALIZER = {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    }
+
     #: Printing characters whose case and composition are the same everywhere.
     LATIN = r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+"
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -83,6 +91,35 @@ class WordIds(dict):
         return ids
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file is one whose texts may be tokenized word by word."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    split, letters = {"type": "Split", "pattern": {"Regex": WordIds.SPLIT}, "behavior": "Removed", "invert": True}, rules["pre_tokenizer"] or {}
+    parts = letters.get("pretokenizers", [])
+    return (
+        rules["normalizer"] == WordIds.NORMALIZER and len(parts) == 2 and parts[0] == split
+        and parts[1]["type"] == "ByteLevel" and not parts[1]["add_prefix_space"] and not parts[1].get("use_regex", True)
+        and all(not re.search(r"\s", t["content"]) and t["content"].startswith("<|") for t in rules["added_tokens"])
+    )
+
+
+def tokenized(path: str):
+    """A function from a text to its ids: word by word where the tokenizer allows that, else by the tokenizer itself."""
+    if by_words(path):
+        words = WordIds(path)
+        return lambda text: b"".join(map(words.__getitem__, text.encode().split()))
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+
+    def ids(text: str) -> bytes:
+        found = tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    return ids
+
+
 def token_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False,
     id_col: str = "doc_id", text_col: str = "text",
@@ -93,12 +130,12 @@ def token_pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = per_worker(("words", tokenizer_path), lambda: WordIds(tokenizer_path))
+        ids_of = per_worker(("ids", tokenizer_path), lambda: tokenized(tokenizer_path))
         end, step = struct.pack("<I", end_id), 4 * capacity
         for b in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = b"".join(map(words.__getitem__, (t.as_py() or "").encode().split())) + end
+                ids = ids_of(t.as_py() or "") + end
                 for n, s in enumerate(range(0, len(ids), step)):
                     part = ids[s : s + step]
                     for col, x in zip(rows, (i, n, s // 4, len(part) // 4, zlib.crc32(part), part)):
