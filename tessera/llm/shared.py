@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import uuid
-import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 
-#: Where written() put a table.
-PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: Scopes that are open, inmost last.
+SCOPES: list = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,19 +27,41 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
-    PATHS[found] = path
+    found._tessera_path = path
+    if SCOPES:
+        SCOPES[-1].made.append(found)
     return found
 
 
 def erase(*tables: DataFrame) -> None:
     """Delete tables that written() made and that nothing reads any more (others are left alone)."""
     for t in tables:
-        if path := PATHS.pop(t, None):
+        if path := vars(t).pop("_tessera_path", None):
             sc = t.sparkSession.sparkContext
             place = sc._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class scratch:
+    """A scope whose tables by written() are deleted at its end, but for those given to keep()."""
+
+    def __enter__(self) -> scratch:
+        self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+        SCOPES.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        SCOPES.remove(self)
+        erase(*(t for t in self.made if not any(t is k for k in self.kept)))
+        if SCOPES:
+            SCOPES[-1].made += self.kept
+
+
 def per_worker(key: tuple, make):
     """What make() gives, kept for the life of a Python worker.
 

@@ -1,10 +1,11 @@
 """SimHash near-dedup with BK-trees.
 
-Fingerprints of word shingles are collapsed to distinct values, dealt into shards that share
-bit blocks (pigeonhole: values within `radius` bits agree in at least two of radius + 2 blocks),
-and each shard is searched through a BK-tree: children are keyed by their integer Hamming
-distance to the parent, and a search follows only edges within the radius. A tree lives in the
-task that holds its shard; no tree of the whole corpus is broadcast, since that grows with it.
+Fingerprints of word shingles are collapsed to distinct values and dealt into shards that share
+bit blocks (pigeonhole: values within `radius` bits agree in at least two of radius + 2 blocks).
+Each shard of two values or more has a BK-tree (a large one several, of bounded size): children
+are keyed by their integer Hamming distance to the parent, and a search follows only edges within
+the radius. The trees are broadcast to the shards' values as long as all of them together are
+small, which is looked up before; beyond that they are joined by shard and part.
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, partitions, table, written
+from .linking import Joined, block_links, edges_batch, leader_pairs, star_links, with_groups
+from .shared import components, scratch, table, written
 
 SEED = 42
 SLAB = 1 << 15
+#: Values of one tree, about; and how large all trees together may be to be broadcast.
+TREE_VALUES, BROADCAST_BYTES = 4096, 32 << 20
+#: Min-hashes of a key, and keys of a document: of two with similarity 0.8, 4 in 100,000 share none.
+ROWS, BANDS = 3, 14
 
 
 class BKTree:
@@ -116,64 +122,78 @@ def shard_keys(fp: str, radius: int) -> F.Column:
     )
 
 
-def shard_links(values: list[int], ids: list[int], radius: int) -> list[tuple[int, int]]:
-    """Edges that join all values of a shard that are linked in it: a tree for each group."""
-    tree, owner, edges = BKTree(), [], []
-    parent = list(range(len(values)))
+def packed_tree(tree: BKTree) -> tuple[bytes, bytes]:
+    """Each node's parent (-1: none) and distance to it, in the order of the nodes; a parent comes before its children."""
+    parent, edge = np.full(len(tree.values), -1, np.int32), np.zeros(len(tree.values), np.uint8)
+    for at, kids in enumerate(tree.children):
+        for d, kid in kids.items():
+            parent[kid], edge[kid] = at, d
+    return parent.tobytes(), edge.tobytes()
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for i, v in enumerate(values):
-        for node in tree.within(v, radius):
-            a, b = root(i), root(owner[node])
-            if a != b:
-                parent[a] = b
-                edges.append((ids[i], ids[owner[node]]))
-        if tree.add(v) == len(owner):
-            owner.append(i)
+def opened_tree(values: list[int], parent: bytes, edge: bytes) -> BKTree:
+    tree = BKTree()
+    tree.values, tree.children = values, [{} for _ in values]
+    for kid, (at, d) in enumerate(zip(np.frombuffer(parent, np.int32).tolist(), np.frombuffer(edge, np.uint8).tolist())):
+        if at >= 0:
+            tree.children[at][d] = kid
+    return tree
+
+
+def tree_links(values: list[int], ids: list[int], tree: BKTree, tree_ids: list[int], radius: int) -> list[tuple[int, int]]:
+    """Edges that join each value with all of the tree's within radius: a forest, not all pairs."""
+    joined, edges = Joined(), []
+    for v, i in zip(values, ids):
+        edges += [(i, tree_ids[node]) for node in tree.within(v, radius) if joined.join(i, tree_ids[node])]
     return edges
 
 
-def hamming_links(values: DataFrame, radius: int) -> DataFrame:
+def unsigned(values) -> list[int]:
+    return np.array(values, np.int64).view(np.uint64).tolist()
+
+
+def hamming_links(values: DataFrame, radius: int, part: int = TREE_VALUES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Edges (a, b) between the ids of distinct fingerprints (id, fp) that connect all within radius."""
+    keyed = values.select("id", "fp", F.explode(shard_keys("fp", radius)).alias("k")).select("k.c", "k.x", "k.y", "fp", "id")
+    key = ["c", "x", "y"]
+    shared = keyed.groupBy(*key).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt = keyed.join(shared, key).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    packed = dealt.groupBy(*key, "part", "parts").agg(F.sort_array(F.collect_list(F.struct("fp", "id"))).alias("m"))  # about `part` values
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for fps in b.column(5).to_pylist():
+                tree = BKTree()
+                for v in unsigned(fps):
+                    tree.add(v)
+                made.append(packed_tree(tree))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[i] for m in made], pa.binary()) for i in (0, 1))], [*names, "parent", "edge"])
+
+    names = [*key, "part", "parts", "fps", "ids"]
+    trees = written(
+        packed.select(*key, "part", "parts", F.col("m.fp").alias("fps"), F.col("m.id").alias("ids")).mapInArrow(
+            build, "c int, x long, y long, part int, parts int, fps array<long>, ids array<long>, parent binary, edge binary"
+        ),
+        "trees",
+    )
+    # Each part of a shard is searched in the shard's trees, those before it and its own.
+    asking = trees.select(*key, F.col("part").alias("mine"), F.col("fps").alias("q"), F.col("ids").alias("qi"))
+    size = trees.agg(F.sum(F.size("fps") * 21 + 100)).first()[0] or 0
+    if size <= broadcast_bytes:
+        meetings = asking.join(F.broadcast(trees), key).where("mine >= part")
+    else:
+        spread = trees.withColumn("mine", F.explode(F.expr("sequence(part, parts - 1)")))
+        meetings = asking.join(spread, [*key, "mine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(cols: list[np.ndarray]) -> pa.RecordBatch:
-            key, fps, ids = cols
-            cuts = np.flatnonzero(np.concatenate(([True], np.any(key[1:] != key[:-1], axis=1), [True])))
+        for b in batches:
             out: list[tuple[int, int]] = []
-            for s in np.flatnonzero(np.diff(cuts) > 1):
-                lo, hi = cuts[s], cuts[s + 1]
-                out += shard_links(fps[lo:hi].tolist(), ids[lo:hi].tolist(), radius)
-            a, b = (np.array(x, np.int64) for x in (zip(*out) if out else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            for q, qi, fps, ids, parent, edge in zip(*(c.to_pylist() for c in b.columns)):
+                out += tree_links(unsigned(q), qi, opened_tree(unsigned(fps), parent, edge), ids, radius)
+            yield edges_batch(out)
 
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            cols = [np.stack([x.astype(np.int64) for x in n[:3]], 1), n[3].view(np.uint64), n[4]]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            last = int(np.flatnonzero(np.any(cols[0] != cols[0][-1], axis=1))[-1]) + 1 if np.any(cols[0] != cols[0][-1]) else 0
-            if last:
-                yield emit([x[:last] for x in cols])
-            held = [x[last:] for x in cols]
-        if held is not None:
-            yield emit(held)
-
-    keyed = values.select("id", "fp", F.explode(shard_keys("fp", radius)).alias("k")).select(
-        "k.c", "k.x", "k.y", "fp", "id"
-    )
-    n = partitions(values.sparkSession)
-    return (
-        keyed.repartition(n, "c", "x", "y").sortWithinPartitions("c", "x", "y", "id").mapInArrow(run, "a long, b long")
-    )
+    return meetings.select("q", "qi", "fps", "ids", "parent", "edge").mapInArrow(run, "a long, b long")
 
 
 def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +205,7 @@ def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc
     collapsed before the search, so a group of copies costs one entry.
     """
     fps = written(fingerprints(docs, k, id_col, text_col), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     # Values are named by themselves: an id may be null or occur with two texts.
     links = hamming_links(distinct.select(F.col("fp").alias("id"), "fp"), radius)
     comp = components(links)
@@ -197,59 +217,64 @@ def near_groups(docs: DataFrame, k: int = 3, radius: int = 2, id_col: str = "doc
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-
-
 def op9(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def bottom_keys(h: np.ndarray, n: int) -> np.ndarray:
-    """n min-hashes of a set of shingle hashes: the least under n mixings."""
+def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of a set of shingle hashes: each mixes `rows` min-hashes (the least under as many multiplications)."""
     if not len(h):
-        return np.zeros(n, np.int64)
-    out = np.empty(n, np.uint64)
-    for j in range(n):
-        x = h ^ np.uint64((0x9E3779B97F4A7C15 * (2 * j + 3)) & 0xFFFFFFFFFFFFFFFF)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(32)
-        out[j] = x.min()
+        return np.zeros(bands, np.int64)
+    least = np.empty(bands * rows, np.uint64)
+    for j in range(len(least)):
+        least[j] = (h * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 3)) & 0xFFFFFFFFFFFFFFFF)).min()
+    out = np.zeros(bands, np.uint64)
+    for r in range(rows):
+        out = (out ^ least[r::rows]) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
 
-def signatures(rows: DataFrame, k: int, keys: int) -> DataFrame:
-    """(row, doc_id, digest, fp, keys) of (row, doc_id, text): digest of the shingle sequence; SimHash and min-hashes of the set of k-word shingles."""
+def signatures(rows: DataFrame, k: int) -> DataFrame:
+    """(row, doc_id, digest, fp, keys) of (row, doc_id, text): digest of the shingle sequence; SimHash and keys of the set of k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, fps, mins = [], [], []
+            digests, fps, keys = [], [], []
             for t in b.column(2):
                 h = shingle_hashes(t.as_py(), k)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 h = np.unique(h)  # repeats do not count in the similarity
                 fps.append(simhash(h))
-                mins.append(bottom_keys(h, keys))
+                keys.append(band_keys(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(mins, pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(digests), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
                 ["row", "doc_id", "digest", "fp", "keys"],
             )
 
     return rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, digest binary, fp long, keys array<long>")
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets reach a Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
 def shared_counts(sets: list[np.ndarray]):
-    """A function of i: how many shingles set i shares with each of the sets."""
+    """A function of a set: how many shingles it shares with each of the sets."""
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])[order]
 
-    def counts(i: int) -> np.ndarray:
+    def counts(mine: np.ndarray) -> np.ndarray:
         out = np.zeros(len(sets), np.int64)
-        for s in range(0, len(sets[i]), 4096):
-            part = sets[i][s : s + 4096]
+        for s in range(0, len(mine), 4096):
+            part = mine[s : s + 4096]
             lo = np.searchsorted(flat, part, "left")
             width = np.searchsorted(flat, part, "right") - lo
             at = np.repeat(lo - np.cumsum(width) + width, width) + np.arange(width.sum())
@@ -259,134 +284,137 @@ def shared_counts(sets: list[np.ndarray]):
     return counts
 
 
-def similar_in_shard(ids: list[int], fps: list[int], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Edges that join all documents of a shard whose shingle sets are similar enough.
+def similar_in_block(asking: list[tuple], asked: list[tuple], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges that join each of `asking` with all of `asked` whose shingle sets are similar enough.
 
-    Neighbours in the BK-tree within radius come first, since they are most often similar; what
-    is not joined after them is compared exactly as well, whatever the distance of the fingerprints.
+    Both hold (row, fp, grp, shingles). Neighbours in the BK-tree within radius come first, since
+    they are most often similar; what is not joined after them is compared exactly as well,
+    whatever the distance of the fingerprints.
     """
-    tree, held, edges = BKTree(), [], []
-    group, sizes, counts = np.arange(len(ids)), np.array([len(x) for x in sets]), None
+    sets = [np.frombuffer(r[3], np.uint32) for r in asked]
+    sizes, rows, counts = np.array([len(x) for x in sets]), [r[0] for r in asked], None
+    joined, edges, tree, held = Joined(), [], BKTree(), []
+    for r in [*asking, *asked]:
+        joined.join(r[0], r[2])
+    for at, v in enumerate(unsigned([r[1] for r in asked])):
+        if tree.add(v) == len(held):
+            held.append([])
+        held[tree.add(v)].append(at)
 
-    def join(i: int, j: int) -> None:
-        a, b = group[i], group[j]
-        group[group == max(a, b)] = min(a, b)
-        edges.append((ids[i], ids[j]))
+    def link(i: int, at: int) -> None:
+        if joined.join(i, rows[at]):
+            edges.append((i, rows[at]))
 
-    for i, v in enumerate(fps):
+    for (i, _, _, raw), v in zip(asking, unsigned([r[1] for r in asking])):
+        mine = np.frombuffer(raw, np.uint32)
         for node in tree.within(v, radius):
-            for j in held[node]:
-                if group[i] == group[j]:
-                    continue
-                x, y = sets[i], sets[j]
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= similarity * (len(x) + len(y) - both):
-                    join(i, j)
-        near = np.minimum(sizes[:i], sizes[i]) >= similarity * np.maximum(sizes[:i], sizes[i])
-        rest = np.flatnonzero((group[:i] != group[i]) & near)
-        if len(rest):
+            for at in held[node]:
+                if joined.root(i) != joined.root(rows[at]) and similar(mine, sets[at], similarity):
+                    link(i, at)
+        root = joined.root(i)
+        rest = np.array([joined.root(x) != root for x in rows]) & (np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)))
+        if rest.any():
             counts = counts or shared_counts(sets)
-            both = counts(i)[rest]
-            for j in rest[both >= similarity * (sizes[i] + sizes[rest] - both)].tolist():
-                if group[i] != group[j]:
-                    join(i, j)
-        node = tree.add(v)
-        if node == len(held):
-            held.append([])
-        held[node].append(i)
+            both = counts(mine)
+            for at in np.flatnonzero(rest & (both >= similarity * (len(mine) + sizes - both))).tolist():
+                link(i, at)
     return edges
 
 
-def numbered(docs: DataFrame, row_col: str = "row") -> DataFrame:
-    """docs with a number for each row, made once: ids may be null or used again."""
-    return written(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows")
+def told_apart(docs: DataFrame, row_col: str = "row", id_col: str = "doc_id") -> DataFrame:
+    """docs with a number for each row: its id, or where ids are null or used again, the row's place in the
+    order of ids, null ids last (written, as it is made once)."""
+    used = docs.groupBy(id_col).agg(F.count("*").alias("n"))
+    if used.where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty():
+        return docs.withColumn(row_col, F.col(id_col).cast("long"))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = rows.select(id_col, "__row").orderBy(F.col(id_col).asc_nulls_last(), "__row").select("__row", F.monotonically_increasing_id().alias(row_col))
+    return rows.join(written(order, "order"), "__row").drop("__row")
 
 
-def similar_entries(rows: DataFrame, k: int, similarity: float, radius: int, keys: int) -> tuple[DataFrame, DataFrame]:
-    """For (row, doc_id, text), row numbering them: (doc_id, digest) of each, and (digest, group, first) of each digest.
+def similar_entries(rows: DataFrame, k: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
+    """For (row, doc_id, text), row numbering them: (row, doc_id, digest) of each, and (digest, group, first) of each digest.
 
     first (nameless, id, row) is the first of a digest's rows: by id, null ids last, then by row.
     """
-    n = partitions(rows.sparkSession)
-    found = written(signatures(rows, k, keys), "signatures")
+    found = written(signatures(rows, k), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "row")
     entries = written(
         found.groupBy("digest").agg(F.min(first).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")),
         "entries",
     ).withColumn("row", F.col("first.row"))
-    keyed = entries.select("row", "fp", F.posexplode("keys").alias("j", "key"))
-    shared = keyed.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").select("j", "key")
-    pairs = written(keyed.join(shared, ["j", "key"], "left_semi"), "sharded")
+    every = entries.select("row", "fp", F.posexplode("keys").alias("j", "key"))
+    several = every.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # at: the fingerprint, which the blocks' trees take.
+    posts = written(every.join(several, ["j", "key"]).select("j", "key", "row", F.col("fp").alias("at")), "posts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = [np.unique(shingle_hashes(t.as_py(), k).astype(np.uint32)).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["row", "shingles"])
-
-    sharing = pairs.select("row").distinct()
-    shingles = rows.select("row", "text").join(sharing, "row", "left_semi").mapInArrow(sets, "row long, shingles binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(rows: list[dict]) -> pa.RecordBatch:
-            s = [np.frombuffer(r["shingles"], np.uint32) for r in rows]
-            out = similar_in_shard([r["row"] for r in rows], [r["fp"] & 0xFFFFFFFFFFFFFFFF for r in rows], s, radius, similarity)
-            a, b = (np.array(x, np.int64) for x in (zip(*out) if out else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        held: list[dict] = []
-        for b in batches:
-            for r in b.to_pylist():
-                if held and (held[-1]["j"], held[-1]["key"]) != (r["j"], r["key"]):
-                    if len(held) > 1:
-                        yield emit(held)
-                    held = []
-                held.append(r)
-        if len(held) > 1:
-            yield emit(held)
-
-    links = (
-        pairs.join(shingles, "row")
-        .select("j", "key", "row", "fp", "shingles")
-        .repartition(n, "j", "key")
-        .sortWithinPartitions("j", "key", "row")
-        .mapInArrow(run, "a long, b long")
-    )
-    comp = components(links)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["row", "payload"])
+
+    def payloads(needed: DataFrame) -> DataFrame:
+        return rows.select("row", "text").join(needed.distinct(), "row", "left_semi").mapInArrow(sets, "row long, payload binary")
+
+    def fits(x: bytes, y: bytes, _: int) -> bool:
+        return similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity)
+
+    comp, links = None, None
+    for bands in ("j = 0", "j > 0"):  # most of what is alike shares the first key: the others see what it left
+        pairs = leader_pairs(with_groups(posts, comp).where(bands)).select("a", "b", F.lit(0).cast("long").alias("off")).distinct()
+        pairs = written(pairs, "pairs")
+        new = written(star_links(pairs, payloads(pairs.select(F.col("a").alias("row")).union(pairs.select("b"))), fits), "links")
+        links = new if links is None else links.union(new)
+        comp = written(components(links), "groups")
+    split = written(with_groups(posts, comp), "posts")
+    kinds = split.groupBy("j", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("j", "key")
+    needed = written(split.join(kinds, ["j", "key"], "left_semi"), "open")
+    if not needed.isEmpty():
+        more = block_links(needed, payloads(needed.select("row")), lambda q, t: similar_in_block(q, t, radius, similarity))
+        comp = written(components(links.union(written(more, "links"))), "groups")
     named = entries.join(comp, entries["row"] == comp.node, "left").select("digest", F.coalesce("component", "row").alias("group"), "first")
-    return found.select("doc_id", "digest"), named
+    return found.select("row", "doc_id", "digest"), named
 
 
 def similar_groups(
-    docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 18, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, component_id) for each row: documents linked by the Jaccard similarity of their k-word shingles.
 
-    Equal shingle sequences are one entry. Shards are dealt by `keys` min-hashes
-    of the shingles; all documents of a shard that its BK-tree of SimHashes (searched within
-    `radius`) has not joined are compared as well, and a pair is linked if the exact similarity of
-    its shingle sets reaches the threshold. So the min-hashes alone can lose a link: documents of
-    similarity s share none with a chance of (1 - s) ** keys, 0.16 % at 0.8, less the closer they are.
+    Equal shingle sequences are one entry. Documents meet by BANDS keys of ROWS min-hashes each,
+    and a pair is linked if the exact similarity of its shingle sets reaches the threshold: each
+    is tested against the first of every key that it shares, and where groups are left apart all
+    of a key are, by blocks, neighbours in the block's BK-tree of SimHashes (within `radius`)
+    first. So the keys alone can lose a link: documents of similarity s share none with a chance
+    of (1 - s ** ROWS) ** BANDS, 0.004 % at 0.8, less the closer they are.
     component_id is a group's least id. Null and empty texts are equal to one another; rows with
     null ids are searched like others, come back null and name no group (it is null if it has no
-    other id); rows with equal ids are judged each by its own text; an empty table gives no rows.
+    other id); rows with equal ids are judged each by its own text, and repeated rows come back as
+    often as they came; an empty table gives no rows; further columns, whatever their names, are ignored.
     """
-    rows = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    found, named = similar_entries(rows, k, similarity, radius, keys)
-    named = written(named, "named")
-    least = named.groupBy("group").agg(F.min("first.id").alias("component_id"))
-    of_digest = named.select("digest", "group").join(least, "group").select("digest", "component_id")
-    return found.join(of_digest, "digest", "left").select("doc_id", "component_id")
-
-
-def first_of_groups(
-    docs: DataFrame, row_col: str, k: int = 5, similarity: float = 0.8, radius: int = 18, keys: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    rows = told_apart(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    with scratch() as made:
+        found, named = similar_entries(rows, k, similarity, radius)
+        named = written(named, "named")
+        least = named.groupBy("group").agg(F.min("first.id").alias("component_id"))
+        of_digest = named.select("digest", "group").join(least, "group").select("digest", "component_id")
+        out = made.keep(written(found.join(of_digest, "digest", "left").select("doc_id", "component_id"), "similar"))
+    return out
+
+
+def later_of_groups(
+    docs: DataFrame, row_col: str, k: int = 5, similarity: float = 0.8, radius: int = 18, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(row_col) of one row of each group of similar_groups: that with the least id, null ids last.
+    """(row_col) of all rows of similar_groups but one of each group: that with the least id, null ids last, stays.
 
-    row_col numbers the rows (see numbered), so rows with null or equal ids are told apart.
+    row_col numbers the rows (see told_apart), so rows with null or equal ids are told apart.
     """
     rows = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    _, named = similar_entries(rows, k, similarity, radius, keys)
-    return named.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row_col))
+    with scratch() as made:
+        found, named = similar_entries(rows, k, similarity, radius)
+        named = written(named, "named")
+        stays = named.groupBy("group").agg(F.min("first").alias("first")).select("group", F.col("first.row").alias("stays"))
+        of_digest = named.select("digest", "group").join(stays, "group").select("digest", "stays")
+        out = found.join(of_digest, "digest").where("row <> stays").select(F.col("row").alias(row_col))
+        out = made.keep(written(out, "later"))
+    return out

@@ -107,13 +107,52 @@ def test_similar_groups_of_repeated_and_distant_texts(spark):
     comp = brute_groups(sets, linked)
     assert {r.doc_id: r.component_id for r in SH.similar_groups(spark.createDataFrame(rows, DOC)).collect()} == comp
     assert set(comp.values()) == set(range(0, 80, 2))
-    # In a shard the fingerprints decide nothing: here all differ in every bit or half of them.
+    # In a block the fingerprints decide nothing: here all differ in every bit or half of them.
     sets = {i: set(rng.sample(range(60 * (i // 5), 60 * (i // 5) + 60), rng.randint(48, 60))) for i in range(60)}
-    fps = [((1 << 64) - 1) * (i & 1) ^ 0xFFFFFFFF * (i >> 1 & 1) for i in range(60)]
-    edges = SH.similar_in_shard(list(sets), fps, [np.array(sorted(s), np.uint32) for s in sets.values()], 18, 0.8)
+    fps = [(-1 if i & 1 else 0) ^ (0xFFFFFFFF * (i >> 1 & 1)) for i in range(60)]
+    block = [(i, fp, i, np.array(sorted(s), np.uint32).tobytes()) for (i, s), fp in zip(sets.items(), fps)]
+    edges = SH.similar_in_block(block, block, 18, 0.8)
     assert brute_groups({i: i for i in sets}, lambda a, b: (a, b) in edges or (b, a) in edges) == brute_groups(sets, linked)
 
 
+def test_large_shards_are_searched_by_parts(spark):
+    """Small parts, and no broadcast: the same components."""
+    rng = random.Random(5)
+    values = list({rng.getrandbits(6) << rng.randrange(58) ^ 0xABCDEF0123456789 for _ in range(400)})
+    d = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) * 2 for v in values], "id long, fp long")
+    mask = (1 << 64) - 1
+    comp = brute_groups({v: v for v in values}, lambda a, b: (a ^ b).bit_count() <= 2)
+    for how in ({"part": 7}, {"part": 7, "broadcast_bytes": 0}, {}):
+        links = {frozenset((r.a & mask, r.b & mask)) for r in SH.hamming_links(d, 2, **how).collect()}
+        assert brute_groups({v: v for v in values}, lambda a, b: frozenset((a, b)) in links) == comp
+
+
+def test_blocks_after_stars(spark):
+    """A large group of near copies whose members are not all alike the first, and a passage in unlike texts, in small blocks."""
+    from tessera.llm import linking as LK
+
+    rng = random.Random(11)
+    sets, at = {}, 0
+    for chain in range(3):
+        base = list(range(1000 * chain, 1000 * chain + 100))
+        for step in range(40):
+            base[rng.randrange(100)] = 10**6 + at
+            base[rng.randrange(100)] = 2 * 10**6 + at
+            sets[at] = frozenset(base)
+            at += 1
+    ids = list(sets)
+    posts = spark.createDataFrame([(0, 7, i, 0, i) for i in ids], "j int, key long, row long, at long, grp long")
+    payloads = spark.createDataFrame([(i, bytearray(np.array(sorted(sets[i]), np.uint32).tobytes())) for i in ids], "row long, payload binary")
+    alike, in_block = SH.similar, SH.similar_in_block
+    fits = lambda x, y, _: alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), 0.8)
+    first = LK.star_links(LK.leader_pairs(posts), payloads, fits, chunk=16)
+    comp = SH.components(first).checkpoint()
+    split = LK.with_groups(posts, comp)
+    more = LK.block_links(split, payloads, lambda q, t: in_block(q, t, 18, 0.8), chunk=16)
+    links = {frozenset((r.a, r.b)) for r in first.union(more).collect()}
+    assert brute_groups({i: i for i in ids}, lambda a, b: frozenset((a, b)) in links) == brute_groups(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+
+
 def brute_removal(rows, size=50):
     first = {}
     for i, t in rows:
