@@ -13,7 +13,10 @@ hash of the q-grams in it), so the work is dealt by minimiser:
    decides, and one bit for each string goes back to the block;
 3. each block marks, covers and cuts.
 
-What moves are packed arrays: a third of a byte for each byte of text, and the repeated text.
+What moves are packed arrays: a third of a byte for each byte of text, and the repeated text. A
+block sends one row to each bucket that it has something for, so there are never more rows than
+hashes. A minimiser that many blocks have (a very common line, set in unlike text) is dealt on:
+its strings go by a second minimiser too, so its pieces spread over buckets.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import fresh_path, partitions, table, written
 
@@ -35,6 +39,8 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 #: Suffixes sorted at a time; the pieces of one hash stay together.
 SORTED_AT_A_TIME = 1 << 20
+#: From so many blocks on that have it, a minimiser is dealt on by a second one.
+HOT_BLOCKS = 32
 QGRAM = 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 LAST_ID = np.iinfo(np.int64).max
@@ -118,13 +124,22 @@ def place(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, bytes, ids, nulls, lens, data): whole documents, about block_bytes to a row."""
+    """(block, bytes, ids, nulls, lens, data, rest): whole documents, about block_bytes to a row.
+
+    rest holds the documents' other columns (struct column `rest`, if docs has one) as an Arrow stream.
+    """
+    others = ["rest"] if "rest" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
 
-        def emit(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        def emit(ids: list, texts: list[bytes], rest: list[pa.RecordBatch]) -> pa.RecordBatch:
             nulls = np.array([i is None for i in ids], np.bool_)
+            stream = pa.BufferOutputStream()
+            for x in rest[:1]:
+                with pa.ipc.new_stream(stream, x.schema) as out:
+                    for y in rest:
+                        out.write_batch(y)
             row = [
                 (task << 32) + n,
                 held,
@@ -132,29 +147,34 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
                 nulls.tobytes(),
                 np.array([len(t) for t in texts], np.int64).tobytes(),
                 b"".join(texts),
+                stream.getvalue().to_pybytes(),
             ]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in zip(row, kinds)], ["block", "bytes", "ids", "nulls", "lens", "data"]
+                [pa.array([x], k) for x, k in zip(row, kinds)], ["block", "bytes", "ids", "nulls", "lens", "data", "rest"]
             )
 
         ids: list = []
         texts: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         held = 0
         for b in batches:
-            for i, t in zip(b.column(0), b.column(1).cast(pa.binary())):
+            since = 0
+            for at, (i, t) in enumerate(zip(b.column(0), b.column(1).cast(pa.binary())), 1):
                 i, t = i.as_py(), t.as_py() or b""
                 ids.append(i)
                 texts.append(t)
                 held += len(t)
                 if held >= block_bytes:
-                    yield emit(ids, texts)
-                    ids, texts, held, n = [], [], 0, n + 1
+                    yield emit(ids, texts, [*rest, *[b.select(others).slice(since, at - since)] * len(others)])
+                    ids, texts, rest, held, n, since = [], [], [], 0, n + 1, at
+            if others and since < b.num_rows:
+                rest.append(b.select(others).slice(since))
         if ids:
-            yield emit(ids, texts)
+            yield emit(ids, texts, rest)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "block long, bytes long, ids binary, nulls binary, lens binary, data binary"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others).mapInArrow(
+        run, "block long, bytes long, ids binary, nulls binary, lens binary, data binary, rest binary"
     )
 
 
@@ -180,29 +200,34 @@ def distinct_hashes(h: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.nd
     return k[at], many, where
 
 
+def buckets_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted keys: their buckets, the distinct buckets, and where each begins (and the end)."""
+    b = (key >> np.uint64(32)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.empty(0, np.int64)
+    return b, b[at], np.append(at, len(b))
+
+
 def send_hashes(rows: Iterator[pa.RecordBatch], size: int, q: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for row in batch.to_pylist():
             data, lens, ids = _opened(row)
             _, _, h, doc = runs(data, lens, size, q)
             key, many, _ = distinct_hashes(h, ids[doc], buckets)
-            b = (key >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(b, np.arange(buckets + 1))
-            name = key.astype(np.uint32)
-            full = np.flatnonzero(np.diff(cut))
+            _, full, cut = buckets_of(key)
+            name, spans = key.astype(np.uint32), list(zip(cut[:-1], cut[1:]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(full), row["block"], np.int64)),
                     pa.array(full.astype(np.int32)),
-                    pa.array([name[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()),
-                    pa.array([np.packbits(many[cut[i] : cut[i + 1]]).tobytes() for i in full], pa.binary()),
+                    pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([np.packbits(many[a:b]).tobytes() for a, b in spans], pa.binary()),
                 ],
                 ["block", "bucket", "names", "many"],
             )
 
 
-def answer_hashes(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bit for each name that a block sent: whether another document has it too."""
+def answer_hashes(rows: pd.DataFrame, hot: int = HOT_BLOCKS) -> pd.DataFrame:
+    """Two bits for each name that a block sent: whether another document has it too, and whether `hot` blocks have it."""
     names = [np.frombuffer(x, np.uint32) for x in rows["names"]]
     many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(rows["many"], names)]
     every = np.concatenate(names)
@@ -210,39 +235,59 @@ def answer_hashes(rows: pd.DataFrame) -> pd.DataFrame:
     s = every[order]
     new = np.concatenate(([True], s[1:] != s[:-1]))
     at = np.flatnonzero(new)
-    held = np.diff(np.append(at, len(s))) > 1
-    held |= np.logical_or.reduceat(np.concatenate(many)[order], at)
-    bits = np.empty(len(s), bool)
+    times = np.diff(np.append(at, len(s)))
+    held = (times > 1) | np.logical_or.reduceat(np.concatenate(many)[order], at)
+    bits, often = np.empty(len(s), bool), np.empty(len(s), bool)
     bits[order] = held[np.cumsum(new) - 1]
+    often[order] = (times >= hot)[np.cumsum(new) - 1]
     cuts = np.cumsum([0] + [len(n) for n in names])
     return pd.DataFrame(
         {
             "block": rows["block"],
             "bucket": rows["bucket"],
             "bits": [np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])],
+            "hot": [np.packbits(often[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])],
         }
     )
 
 
-def _repeated(row: dict, key: np.ndarray, buckets: int) -> np.ndarray:
-    """For each distinct hash of a block, the bit that its bucket answered."""
-    b = (key >> np.uint64(32)).astype(np.int64)
-    cut = np.searchsorted(b, np.arange(buckets + 1))
-    out = np.zeros(len(key), bool)
+def _answered(row: dict, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct hash of a block, the bits that its bucket answered: repeated, hot."""
+    b, _, _ = buckets_of(key)
+    out = np.zeros((2, len(key)), bool)
     for x in row["answers"] or ():
-        lo, hi = cut[x["bucket"]], cut[x["bucket"] + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo)
-    return out
+        lo, hi = np.searchsorted(b, x["bucket"], "left"), np.searchsorted(b, x["bucket"], "right")
+        for i, name in enumerate(("bits", "hot")):
+            out[i, lo:hi] = np.unpackbits(np.frombuffer(x[name], np.uint8), count=hi - lo)
+    return out[0], out[1]
+
+
+def split_runs(data: np.ndarray, start: np.ndarray, count: np.ndarray, h: np.ndarray, doc: np.ndarray, size: int, q: int) -> tuple:
+    """Runs cut where the second minimiser of their strings changes; the hash is then of both."""
+    with np.errstate(over="ignore"):
+        second = sliding_min(qgram_hashes(data, q) * np.uint64(0xA0761D6478BD642F), size - q + 1)
+    owner = np.repeat(np.arange(len(start)), count)
+    at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+    v = second[at]
+    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (v[1:] != v[:-1]))))
+    mixed = (h[owner[new]] ^ (v[new] >> np.uint64(17))) * np.uint64(MULTIPLIER)
+    return at[new], np.diff(np.append(new, len(at))), mixed ^ (mixed >> np.uint64(32)), doc[owner[new]]
 
 
 def pieces(row: dict, size: int, q: int, buckets: int) -> tuple:
     """The repeated runs of a block, and their distinct pieces of text in the order of bucket and name."""
     data, lens, ids = _opened(row)
-    start, count, h, doc = runs(data, lens, size, q)
-    key, _, where = distinct_hashes(h, ids[doc], buckets)
-    mine = np.flatnonzero(_repeated(row, key, buckets)[where])
-    mine = mine[np.argsort(where[mine], kind="stable")]
-    start, count, doc, key = start[mine], count[mine], doc[mine], key[where[mine]]
+    found_runs = runs(data, lens, size, q)
+    key, _, where = distinct_hashes(found_runs[2], ids[found_runs[3]], buckets)
+    repeated, hot = (bits[where] for bits in _answered(row, key))
+    plain, often = ([x[m] for x in found_runs] for m in (repeated & ~hot, repeated & hot))
+    if len(often[0]):
+        plain = [np.concatenate(x) for x in zip(plain, split_runs(data, *often, size, q))]
+    b, name = place(plain[2], buckets)
+    key = (b.astype(np.uint64) << np.uint64(32)) | name
+    order = np.argsort(key, kind="stable")
+    start, count, _, doc = (x[order] for x in plain)
+    key = key[order]
     raw = row["data"]
     found: dict[bytes, int] = {}
     of_run = np.fromiter(
@@ -262,12 +307,10 @@ def send_pieces(rows: Iterator[pa.RecordBatch], size: int, q: int, buckets: int)
     for batch in rows:
         for row in batch.to_pylist():
             *_, texts, least, key, _, _ = pieces(row, size, q, buckets)
-            b = (key >> np.uint64(32)).astype(np.int64)
-            cut = np.searchsorted(b, np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
+            _, full, cut = buckets_of(key)
             sizes = np.array([len(t) for t in texts], np.uint32)
             name = key.astype(np.uint32)
-            spans = [slice(cut[i], cut[i + 1]) for i in full]
+            spans = [slice(a, b) for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(full), row["block"], np.int64)),
@@ -399,11 +442,10 @@ def cut(rows: Iterator[pa.RecordBatch], size: int, q: int, buckets: int) -> Iter
             start, count, doc, of_run, texts, least, key, lens, ids = pieces(row | {"answers": row["repeats"]}, size, q, buckets)
             strings = np.array([len(t) - size + 1 for t in texts], np.int64)
             ends = np.cumsum(strings)
-            b = (key >> np.uint64(32)).astype(np.int64)
-            edge = np.searchsorted(b, np.arange(buckets + 1))
+            b, _, _ = buckets_of(key)
             bits = np.zeros(int(ends[-1]) if len(ends) else 0, bool)
             for x in row["marks"] or ():
-                lo, hi = edge[x["bucket"]], edge[x["bucket"] + 1]
+                lo, hi = np.searchsorted(b, x["bucket"], "left"), np.searchsorted(b, x["bucket"], "right")
                 if hi > lo:
                     s, e = int(ends[lo] - strings[lo]), int(ends[hi - 1])
                     bits[s:e] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=e - s)
@@ -435,43 +477,50 @@ def _documents(row: dict, data: np.ndarray, covered: np.ndarray, lens: np.ndarra
         kept.append(data[s:e][~c].tobytes())
         turn = np.flatnonzero(np.diff(np.concatenate(([0], c.view(np.int8), [0]))))
         spans.append([{"start": a, "end": b} for a, b in turn.reshape(-1, 2).tolist()])
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids, pa.int64(), mask=nulls),
-            pa.array(lens, pa.int64()),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            pa.array(kept, pa.binary()),
-        ],
-        ["doc_id", "n_bytes", "spans", "kept"],
-    )
+    cols = [
+        pa.array(ids, pa.int64(), mask=nulls),
+        pa.array(lens, pa.int64()),
+        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        pa.array(kept, pa.binary()),
+    ]
+    names = ["doc_id", "n_bytes", "spans", "kept"]
+    if row["rest"]:
+        with pa.ipc.open_stream(row["rest"]) as stream:
+            cols.append(stream.read_all().combine_chunks().column("rest").combine_chunks())
+        names.append("rest")
+    return pa.RecordBatch.from_arrays(cols, names)
 
 
 def remove_repeats(
-    docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text", q: int = QGRAM, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, min_bytes: int = 50, id_col: str = "doc_id", text_col: str = "text", q: int = QGRAM, block_bytes: int = BLOCK_BYTES, hot_blocks: int = HOT_BLOCKS
 ) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) for each row: text without what an earlier document also has.
+    """(doc_id, n_bytes, spans, kept[, rest]) for each row: text without what an earlier document also has.
 
     A byte goes if a string of min_bytes bytes over it also starts in a document with a smaller
     id; overlaps count, and strings are judged on the input. Null and empty texts give 0 bytes
     and no spans; null ids count as later than all others and come back null; repeated rows
     (equal ids) are not earlier than one another and both stay; an empty table gives no rows;
-    further columns are ignored. `kept` holds bytes: a cut may fall inside a character.
+    further columns are ignored, but for a struct named rest, which comes along with its row
+    without being joined to it. `kept` holds bytes: a cut may fall inside a character.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "blocks")
     name = "tessera_" + path.rsplit("-", 1)[1]
+    if not ("rest" in docs.columns and isinstance(docs.schema["rest"].dataType, StructType)):
+        docs = docs.drop("rest")
     # Bucketed by block: the joins below move answers only, never the text.
     pack_blocks(docs, id_col, text_col, block_bytes).write.bucketBy(partitions(spark), "block").option(
         "compression", "zstd"
     ).option("path", path).saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalog only: the files stay, and the plan knows them
     buckets = max(1, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
     how = {"size": min_bytes, "q": q, "buckets": buckets}
 
     asked = blocks.mapInArrow(partial(send_hashes, **how), "block long, bucket int, names binary, many binary")
-    answered = asked.groupBy("bucket").applyInPandas(answer_hashes, "block long, bucket int, bits binary")
+    answered = asked.groupBy("bucket").applyInPandas(lambda rows: answer_hashes(rows, hot_blocks), "block long, bucket int, bits binary, hot binary")
     repeats = written(
-        answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("repeats")), "repeats"
+        answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("repeats")), "repeats"
     )
     with_repeats = blocks.join(repeats.hint("shuffle_hash"), "block", "left")
     sent = with_repeats.withColumnRenamed("repeats", "answers").mapInArrow(
@@ -484,9 +533,10 @@ def remove_repeats(
         .agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")),
         "marks",
     )
-    return with_repeats.join(marks.hint("shuffle_hash"), "block", "left").mapInArrow(
-        partial(cut, **how), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    )
+    schema = StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    if "rest" in docs.columns:
+        schema = schema.add("rest", docs.schema["rest"].dataType)
+    return with_repeats.join(marks.hint("shuffle_hash"), "block", "left").mapInArrow(partial(cut, **how), schema)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

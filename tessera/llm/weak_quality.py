@@ -279,7 +279,11 @@ def classify(
     counts; where nothing is labelled all is kept; an empty table gives no rows. Further columns
     come along if keep_columns is set (columns named p_noise, p_abuse or keep are replaced).
     """
-    model = fit(docs, labels, id_col, text_col)
+    return judged(docs, fit(docs, labels, id_col, text_col), noise, abuse, id_col, text_col, keep_columns)
+
+
+def judged(docs: DataFrame, model: dict, noise: float = 0.6, abuse: float = 0.45, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+    """Each row with what a fitted model says of it: p_noise, p_abuse and keep."""
     found = score(docs, model, id_col, text_col, keep_columns)
     return found.withColumn("keep", (F.col("p_noise") < noise) & (F.col("p_abuse") < abuse))
 

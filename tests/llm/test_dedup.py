@@ -190,7 +190,18 @@ def test_removal_of_repeats(spark, sf):
     rows = list(rows.items())
     assert removal(spark.createDataFrame(rows, DOC).repartition(3).withColumn("kept", F.lit(1)), block_bytes=4000) == brute_removal(rows)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    assert removal(docs, block_bytes=100000) == brute_removal([tuple(r) for r in docs.collect()])
+    whole = brute_removal([tuple(r) for r in docs.collect()])
+    assert removal(docs, block_bytes=100000) == whole
+    # Blocks smaller than a document; minimisers that two blocks have are dealt on by a second one.
+    assert removal(docs, block_bytes=20000, hot_blocks=2) == whole
+
+
+def test_other_columns_come_along(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", F.struct("source", "lang", F.col("doc_id").alias("kept")).alias("rest")).repartition(3)
+    got = {r.doc_id: (r.kept, r.rest) for r in SD.remove_repeats(rows, block_bytes=50000).collect()}
+    plain = {r.doc_id: r.kept for r in SD.remove_repeats(docs).collect()}
+    assert {r.doc_id: (plain[r.doc_id], (r.source, r.lang, r.doc_id)) for r in docs.collect()} == {i: (k, tuple(x)) for i, (k, x) in got.items()}
 
 
 def test_removal_edges(spark):
