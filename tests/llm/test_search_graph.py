@@ -28,9 +28,11 @@ def recall(spark, vectors, **how):
 
 
 def test_recall_of_the_forest(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    assert recall(spark, vectors, least=64) >= 0.9  # by the share alone
-    assert recall(spark, vectors) >= 0.9
+    for size in ("sf0.001", "sf0.1"):
+        vectors = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+        assert recall(spark, vectors) >= 0.9
+    # Several shards, and more packed query rows than one.
+    assert recall(spark, vectors, shard_rows=600, query_rows=32) >= 0.9
 
 
 def test_prefixes_meet_all_rows_in_the_end():
