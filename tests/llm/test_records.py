@@ -150,8 +150,8 @@ def song(n, seed):
 def test_audio(spark):
     a, c = song(120, 1), song(120, 2)
     b = np.concatenate([song(20, 5), a]) + np.random.default_rng(0).normal(0, 300, 140 * 256)
-    fa, fb, fc, late = (C.fingerprint(C.chroma(x.astype("<i2"))) for x in (a, b, c, a[256 * 10 + 64 :] * 0.5))
-    assert C.align(fa, fb)[0] == -40 and C.align(fa, fb)[1] < 0.05 and not C.same_recording(fa, fc) and C.same_recording(fa, late)
+    fa, fb, fc, late = (C.fingerprint(C.chroma(x.astype("<i2"))) for x in (a, b, c, a[256 * 10 + 32 :] * 0.5))
+    assert C.offsets(fa, fb)[0] == -40 and C.at_offset(fa, fb, -40)[0] < 0.05 and not C.same_recording(fa, fc) and C.same_recording(fa, late)
     assert len(C.fingerprint(C.chroma(np.zeros(10000)))) > 0 and len(C.fingerprint(C.chroma(np.zeros(10)))) == 0
     raw = lambda x: bytearray(x.astype("<i2").tobytes())
     rows = [(5, raw(a)), (3, raw(b)), (9, raw(c)), (7, raw(a)), (1, None), (2, bytearray(b"x")), (None, raw(c)), (5, raw(a))]
@@ -161,10 +161,67 @@ def test_audio(spark):
     assert C.recording_groups(d.limit(0)).count() == 0
 
 
-def test_audio_of_conversations(spark, sf):
-    """Turns that start alike or are cut from one another are found; the fingerprints are those of each turn alone."""
-    r = C.op7(spark, sf).toPandas()
-    assert len(r) == spark.read.parquet(f"{sf}/conversations.parquet").count() and (r.group_id <= r.media_id).all()
+def brute_recordings(fps, run=C.RUN):
+    """Groups of recordings by the rule itself: every pair, every offset at which the signs of a run of integers are equal."""
+    words = {i: {} for i in fps}
+    for i, x in fps.items():
+        begun = [(x[at : at + run] & C.SIGNS).tobytes() for at in range(len(x) - run + 1)]
+        for at, w in enumerate(begun):
+            if not (0 < at < len(begun) - 1 and begun[at - 1] == w == begun[at + 1]):  # inside a held tone
+                words[i].setdefault(w, []).append(at)
+
+    def same(i, j):
+        x, y = fps[i], fps[j]
+        for o in {p - q for w in words[i].keys() & words[j].keys() for p in words[i][w] for q in words[j][w]}:
+            u, v = x[max(0, o) :], y[max(0, -o) :]
+            n = min(len(u), len(v))
+            if n >= max(8, 0.5 * min(len(x), len(y))) and sum(int(a ^ b).bit_count() for a, b in zip(u[:n], v[:n])) <= 0.2 * 32 * n:
+                return True
+        return False
+
+    from tests.llm.test_dedup import brute_groups
+
+    return brute_groups({i: i for i in fps}, same)
+
+
+def test_recordings_against_brute_force(spark):
+    """Songs with noisy copies (10 dB), excerpts and held tones: every pair that fits is joined, and nearly all copies fit."""
+    rng, rows, copies = np.random.default_rng(3), [], []
+    for i in range(40):
+        s = song(int(rng.integers(30, 120)), 100 + i).astype(float)
+        if i % 4 == 0:
+            s = np.concatenate([s, np.tile(song(1, i), 40)])
+        noisy = s + rng.normal(size=len(s)) * s.std() / 10 ** (10 / 20)
+        cut = 128 * int(rng.integers(0, len(s) // 400)) + int(rng.integers(-32, 33)) % 128
+        excerpt = s[cut : cut + max(len(s) // 2, 256 * 20)]
+        copies += [(3 * i, 3 * i + 1), (3 * i, 3 * i + 2)]
+        rows += [(3 * i + k, bytearray(x.clip(-32768, 32767).astype("<i2").tobytes())) for k, x in enumerate((s, noisy, excerpt))]
+    got = C.recording_groups(spark.createDataFrame(rows, "media_id long, audio binary")).collect()
+    groups = {r.media_id: r.group_id for r in got}
+    assert groups == brute_recordings({r.media_id: np.frombuffer(r.fp, "<u4") for r in got})
+    assert sum(groups[a] == groups[b] for a, b in copies) >= 0.9 * len(copies)
+    assert len({groups[3 * i] for i in range(40)}) == 40
+
+
+def test_audio_of_conversations(spark):
+    """All turns of a larger table against brute force over their distinct fingerprints."""
+    sf = "/root/testdata/sf0.01"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("media_id", F.col("conv_id") * 65536 + F.col("turn"))
+    fps = {}
+    for r in C.fingerprints(C.tones(turns, "media_id", "text")).orderBy("media_id").collect():
+        fps.setdefault(r.fp if len(r.fp) else r.media_id, r.media_id)
+    ids = {i: np.frombuffer(fp, "<u4") for fp, i in fps.items() if isinstance(fp, (bytes, bytearray))}
+    comp = brute_recordings(ids)
+    got = {r.media_id: r.group_id for r in C.op7(spark, sf).collect()}
+    assert len(got) == turns.count() and {i: got[i] for i in ids} == comp
+
+
+def test_long_audio(spark):
+    """Half an hour in one recording, and an excerpt of more than half of it."""
+    s = song(14000, 9)
+    rows = [(1, bytearray(s.astype("<i2").tobytes())), (2, bytearray(s[256 * 3000 + 24 :].astype("<i2").tobytes())), (3, bytearray(song(14000, 10).astype("<i2").tobytes()))]
+    got = {r.media_id: r.group_id for r in C.recording_groups(spark.createDataFrame(rows, "media_id long, audio binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
 
 
 def test_pipeline(spark, sf):
