@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Months, and how date-time groups and ISO times look.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 DTG = r"^(\d{2})(\d{2})(\d{2})([A-IK-Z])([A-Z]{3})(\d{2}|\d{4})$"
 ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})$"
@@ -16,6 +17,11 @@ def zone_hours() -> dict[str, int]:
     return east | {c: -i - 1 for i, c in enumerate("NOPQRSTUVWXY")} | {"Z": 0}
 
 
+def zone_letter(hours: Column) -> Column:
+    """The letter of an offset in whole hours; null beyond -12 to +12."""
+    return F.try_element_at(_literal_map({h: c for c, h in zone_hours().items()}), hours.cast("int"))
+
+
 def _literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
@@ -73,29 +79,33 @@ UNIT_NAMES = {
 }
 
 
-def unit_key(unit: Column) -> Column:
-    u = F.lower(F.trim(unit))
-    return F.coalesce(F.try_element_at(_literal_map(UNIT_NAMES), u), u)
+def unit_table(spark: SparkSession) -> DataFrame:
+    """(name, kind, factor, shift): every name of a unit, and x * factor + shift in its kind's base (degrees Celsius for heat)."""
+    linear = [(u, kind, f, 0.0) for kind, units in UNITS.items() for u, f in units.items()]
+    heat = [("c", "heat", 1.0, 0.0), ("f", "heat", 5 / 9, -160 / 9), ("k", "heat", 1.0, -273.15)]
+    known = {u: rest for u, *rest in linear + heat}
+    rows = [(u, *rest) for u, rest in known.items()] + [(name, *known[u]) for name, u in UNIT_NAMES.items()]
+    return spark.createDataFrame(rows, "name string, kind string, factor double, shift double")
+
+
+def with_converted(df: DataFrame, value: str, source: str, target: str, out: str = "converted") -> DataFrame:
+    """df with the value of column `value` in another unit of the same kind; null for unknown units and across kinds."""
+    units = unit_table(df.sparkSession)  # a fixed list of under a hundred names
 
+    def side(col: str, tag: str) -> tuple[DataFrame, Column]:
+        named = F.broadcast(units.select(*[F.col(c).alias(f"__{tag}_{c}") for c in units.columns]))
+        return named, F.lower(F.trim(F.col(col))) == F.col(f"__{tag}_name")
 
-def convert_units(value: Column, source: Column, target: Column) -> Column:
-    """value in another unit of the same category, or of temperature; null across categories."""
-    a, b = unit_key(source), unit_key(target)
-    factor = _literal_map({f"{c} {u}": f for c, t in UNITS.items() for u, f in t.items()})
-    linear = F.coalesce(*[
-        value * F.try_element_at(factor, F.concat(F.lit(c + " "), a)) / F.try_element_at(factor, F.concat(F.lit(c + " "), b)) for c in UNITS
-    ])
-    celsius = F.when(a == "c", value).when(a == "f", (value - 32) * 5 / 9).when(a == "k", value - 273.15)
-    heat = F.when(b == "c", celsius).when(b == "f", celsius * 9 / 5 + 32).when(b == "k", celsius + 273.15)
-    return F.coalesce(heat, linear)
+    a, b = side(source, "a"), side(target, "b")
+    joined = df.join(a[0], a[1], "left").join(b[0], b[1], "left")
+    x = (F.col(value) * F.col("__a_factor") + F.col("__a_shift") - F.col("__b_shift")) / F.col("__b_factor")
+    return joined.withColumn(out, F.when(F.col("__a_kind") == F.col("__b_kind"), x)).drop(*[f"__{t}_{c}" for t in "ab" for c in units.columns])
 
 
 def significant(x: Column, digits: int = 4) -> Column:
     """A number rounded to so many significant digits, without trailing zeros, thousands set apart."""
     places = F.least(F.greatest(digits - 1 - F.floor(F.log10(F.abs(x))), F.lit(0)), F.lit(12)).cast("int")
-    shown = F.when(x == 0, "0").otherwise(F.format_number(F.lit(0), 0))
-    for p in range(13):
-        shown = F.when((x != 0) & (places == p), F.format_number(x, p)).otherwise(shown)
+    shown = F.when(x == 0, "0").otherwise(F.call_function("format_number", x, places))
     return F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", ""))
 
 
@@ -165,6 +175,7 @@ FORMS = {
         ("command_signal", "5. 지휘 및 통신 (지휘소 위치, 지휘 승계, 통신 운용)"),
     ]),
 }
+# Other names of the forms.
 FORM_NAMES = {
     "상황보고": "SITREP", "sitrep": "SITREP", "시트렙": "SITREP", "싯렙": "SITREP",
     "첩보보고": "SPOTREP", "spotrep": "SPOTREP", "salute": "SPOTREP", "스팟렙": "SPOTREP", "스폿렙": "SPOTREP",

@@ -164,6 +164,18 @@ def embed(df: DataFrame, key: str, text: str, embedder=None, batch: int = 1024)
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, vector array<double>")
 
 
+def running_sums(x: Column) -> Column:
+    """Sums of all elements before each: in groups of about the root of their number, as a fold copies what it has at each step."""
+    def scan(a: Column) -> Column:
+        return F.aggregate(a, F.array(F.lit(0)), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+
+    width = F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda k: F.slice(x, k * width + 1, width))
+    heads = scan(F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, v: a + v)))
+    whole = F.zip_with(groups, F.slice(heads, 1, F.size(groups)), lambda g, h: F.transform(F.slice(scan(g), 1, F.size(g)), lambda v: v + h))
+    return F.when(F.size(x) > 0, F.flatten(whole)).otherwise(F.array().cast("array<int>"))
+
+
 def best_windows(df: DataFrame, text: str, query: str, size: int, key: list[str]) -> DataFrame:
     """df with window_start (0-based): the line start whose next `size` characters hold most query words.
 
@@ -173,19 +185,15 @@ def best_windows(df: DataFrame, text: str, query: str, size: int, key: list[str]
     found = df.withColumn("__terms", F.filter(F.array_distinct(tokens(F.col(query))), lambda t: (F.length(t) >= 2))).withColumn(
         "__low", low
     ).withColumn("__terms", F.filter("__terms", lambda t: F.col("__low").contains(t)))
-    lines = F.split(text, "\n")
-    starts = F.aggregate(
-        F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.lit(0)),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)),
-    )
-    usable = F.filter(starts, lambda s: (s == 0) | (s < F.length(text)))
+    found = found.withColumn("__lines", F.split("__low", "\n"))
+    starts = running_sums(F.transform("__lines", lambda x: F.length(x) + 1))
+    # A window is cut out of the lines that it can reach, so the text is not walked from its start for each.
+    window = lambda i: F.left(F.array_join(F.slice("__lines", i + 1, F.lit(size)), "\n"), F.lit(size))
     scored = F.transform(
-        usable,
-        lambda s: F.struct(
-            (-F.size(F.filter("__terms", lambda t: F.substring(F.col("__low"), s + 1, F.lit(size)).contains(t)))).alias("n"), s.alias("s")
-        ),
+        F.filter(F.transform(starts, lambda s, i: F.struct(s.alias("s"), window(i).alias("w"))), lambda x: (x["s"] == 0) | (x["s"] < F.length(text))),
+        lambda x: F.struct((-F.size(F.filter("__terms", lambda t: x["w"].contains(t)))).alias("n"), x["s"].alias("s")),
     )
-    return found.withColumn("window_start", F.when(F.size("__terms") > 0, F.array_min(scored)["s"]).otherwise(0)).drop("__terms", "__low")
+    return found.withColumn("window_start", F.when(F.size("__terms") > 0, F.array_min(scored)["s"]).otherwise(0)).drop("__terms", "__low", "__lines")
 
 
 def snippet(text: str, start: str, size: int) -> Column:

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def sliced(cases: DataFrame, category: str | None = None, limit: int | None = None, order: str = "case_id") -> DataFrame:
+    """The cases of a category, and of those the first `limit` in their order."""
+    if category:
+        cases = cases.where(F.col("category") == category)
+    return cases.orderBy(order).limit(limit) if limit else cases
+
+
 def retrieval_results(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """Per case: refs found, the rank of the first expected one, hit, skipped.
 
@@ -55,13 +62,15 @@ def answer_results(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """Per case: keywords hit and missed, forbidden words found, passed.
 
     cases: case_id, expected_keywords, forbidden, blocked; answers: case_id, answer, blocked, error,
-    seconds and token counts (which stay null where unknown).
+    seconds and token counts (which stay null where unknown). A case without an answer has failed,
+    with that as its error.
     """
     none = F.array().cast("array<string>")
     joined = cases.select(
         "case_id", F.coalesce("expected_keywords", none).alias("kw"), F.coalesce("forbidden", none).alias("fb"),
         F.coalesce("blocked", F.lit(False)).alias("expected_blocked"),
-    ).join(answers, "case_id")
+    ).join(answers.withColumn("__answered", F.lit(True)), "case_id", "left")
+    joined = joined.withColumn("error", F.when(F.col("__answered").isNull(), "no answer").otherwise(F.col("error"))).drop("__answered")
     text = F.coalesce(F.col("answer"), F.lit(""))
     judged = (
         joined.withColumn("keywords_hit", F.filter("kw", lambda k: keyword_present(text, k)))

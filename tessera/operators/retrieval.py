@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import best_windows, content_hash, embed, snippet, tokens
-from ..sources.shared import shared_folder
+from ..sources.shared import written
+from .graph import components
 
 K1, B = 1.5, 0.75
-DIGITS = 6
-#: Queries that meet each batch of vectors as one matrix; more are searched block by block.
-QUERY_BLOCK = 2048
+#: Scores that differ beyond so many digits only are ties: sums of floating point numbers come in any order.
+DIGITS = 9
+#: Queries in a packed row, vectors in a packed row, and bytes of packed queries that are broadcast at once.
+QUERY_ROWS, VECTOR_ROWS, WAVE_BYTES = 2048, 4096, 64 << 20
 
 
 def index_tokens(title: Column, section: Column, tags: Column, category: Column, text: Column) -> Column:
@@ -25,16 +27,17 @@ def index_tokens(title: Column, section: Column, tags: Column, category: Column,
 
 
 def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
-    """postings (token, chunk_id, tf, doc_len), token_stats (token, df) and corpus_stats (n, avg_len).
+    """postings (token, chunk_id, tf, doc_len), lengths (chunk_id, doc_len), token_stats (token, df) and corpus_stats (n, avg_len).
 
-    chunks: chunk_id, title, section, tags, category, text. doc_len rides on the postings, so that
-    scoring needs no join for it.
+    chunks: chunk_id, title, section, tags, category, text. Tokens are made once: postings and
+    lengths are written in the shared folder. doc_len rides on the postings, so that scoring needs
+    no join for it; chunks without a token have a length and no postings.
     """
     parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "section")]
     tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    # Through a generator, so that the tokens are made once for their count and their rows.
     made = index_tokens(*parts, tags, F.coalesce("category", F.lit("")), F.col("text"))
-    listed = chunks.select("chunk_id", F.inline(F.array(F.struct(made.alias("tokens")))))
+    listed = written(chunks.select("chunk_id", made.alias("tokens")), "tokens")
+    lengths = listed.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"))
     # The length first: else each exploded row would carry the whole array for it.
     sized = listed.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"), "tokens")
     postings = (
@@ -42,10 +45,16 @@ def build_index(chunks: DataFrame) -> dict[str, DataFrame]:
         .groupBy("token", "chunk_id")
         .agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     )
+    return index_of(written(postings, "postings"), lengths)
+
+
+def index_of(postings: DataFrame, lengths: DataFrame) -> dict[str, DataFrame]:
+    """The tables of an index from its two written ones."""
     return {
         "postings": postings,
+        "lengths": lengths,
         "token_stats": postings.groupBy("token").agg(F.count("*").alias("df")),
-        "corpus_stats": listed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len")),
+        "corpus_stats": lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len")),
     }
 
 
@@ -77,55 +86,78 @@ def ranked(df: DataFrame, score: str, rank: str, limit: int) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def usable(vector: str) -> Column:
+    """Whether a vector may take part: it is there, has numbers only, and all are finite."""
+    x = F.col(vector)
+    return x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+
+def packed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """(ids, matrix, dim): up to `rows` neighbours with vectors of one length in a row, each vector scaled to length 1 (or 0)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, rows):
+                b = whole.slice(s, rows)
+                size, flat = b.column(1).value_lengths().to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False)
+                ids, ends, out = b.column(0).to_numpy(), np.cumsum(size), []
+                for dim in np.unique(size).tolist():
+                    at = np.flatnonzero(size == dim)
+                    v = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
+                    length = np.sqrt((v**2).sum(1, keepdims=True))
+                    out.append((ids[at].tobytes(), (v / np.where(length > 0, length, 1)).tobytes(), dim))
+                cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.int32()))] if out else []
+                if cols:
+                    yield pa.RecordBatch.from_arrays(cols, ["ids", "matrix", "dim"])
+
+    kept = df.select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable("vector"))
+    return kept.mapInArrow(run, "ids binary, matrix binary, dim int")
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best of each row, ties to the smaller id; only what may be among them is sorted."""
+    out_s, out_i = [], []
+    border = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k] if scores.shape[1] > k else scores.min(1)
+    for s, i, least in zip(scores, np.broadcast_to(ids, scores.shape), border):
+        at = np.flatnonzero(s >= least)
+        top = at[np.lexsort((i[at], -s[at]))[:k]]
+        out_s.append(s[top])
+        out_i.append(i[top])
+    return np.array(out_s), np.array(out_i)
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, chunk_id, cosine, vector_rank): the k best by inner product of normalised vectors.
 
-    vectors: chunk_id, vector; queries: query_id, vector. Query vectors travel in blocks of bounded
-    size (one row each); every batch of vectors keeps its k best per query before anything moves.
+    vectors: chunk_id, vector; queries: query_id, vector. Both are packed into rows of bounded
+    size; packed queries are broadcast, as many at a time as WAVE_BYTES hold, and every task keeps
+    its k best per query before anything moves. Vectors that are null, empty or hold null or
+    non-finite parts take no part, nor do vectors of another length than the query's; without
+    queries or vectors there are no rows.
     """
-    def pack(pdf):
-        v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        import pandas as pd
-
-        return pd.DataFrame([[pdf["query_id"].to_numpy(np.int64).tobytes(), v.tobytes(), v.shape[1]]], columns=["ids", "matrix", "dim"])
-
-    blocks = max(1, -(-queries.count() // block))
-    packed = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").groupBy(
-        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")
-    ).applyInPandas(pack, "ids binary, matrix binary, dim int")
-    sent = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["matrix"], np.float64).reshape(-1, r["dim"])) for r in packed.collect()]
-
-    def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best_s = np.full((len(ids), 0), 0.0)
-            best_c = np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                v = flat.reshape(b.num_rows, -1)
-                length = np.sqrt((v**2).sum(1, keepdims=True))
-                s = np.round(matrix @ (v / np.where(length > 0, length, 1)).T, DIGITS)
-                s = np.concatenate((best_s, s), 1)
-                c = np.concatenate((best_c, np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))), 1)
-                order = np.lexsort((c, -s), axis=1)[:, :k]
-                best_s, best_c = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, n)), pa.array(best_c.ravel()), pa.array(best_s.ravel())], ["query_id", "chunk_id", "cosine"]
-            )
-
-        return vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
-            run, "query_id long, chunk_id long, cosine double"
-        )
-
-    parts = []
-    for ids, matrix in sent:
-        length = np.sqrt((matrix**2).sum(1, keepdims=True))
-        parts.append(search(ids, matrix / np.where(length > 0, length, 1)))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    asked = written(packed(queries.repartition(max(1, -(-queries.count() // query_rows))), "query_id", query_rows).withColumn("b", F.monotonically_increasing_id()), "queries")
+    held = packed(vectors, "chunk_id", VECTOR_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, v = (np.frombuffer(r[m], np.float64).reshape(-1, r["dim"]) for m in ("qm", "matrix"))
+                s = np.round(q @ v.T, DIGITS)
+                ids = np.broadcast_to(np.frombuffer(r["ids"], np.int64), s.shape)
+                if r["b"] in best:
+                    s, ids = np.concatenate((best[r["b"]][1], s), 1), np.concatenate((best[r["b"]][2], ids), 1)
+                best[r["b"]] = (np.frombuffer(r["qids"], np.int64), *best_of(s, ids, k))
+        for qids, s, ids in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, s.shape[1])), pa.array(ids.ravel()), pa.array(s.ravel())], ["query_id", "chunk_id", "cosine"])
+
+    found = None
+    waves = asked.select("b", F.sum(F.length("matrix") + F.length("ids")).over(Window.orderBy("b")).alias("upto"))  # one row for each packed row
+    waves = waves.select("b", F.floor(F.col("upto") / WAVE_BYTES).alias("wave"))
+    numbers = [r["wave"] for r in waves.select("wave").distinct().orderBy("wave").collect()] or [0]
+    for w in numbers:
+        wave = asked.join(waves.where(F.col("wave") == w), "b").select("b", F.col("ids").alias("qids"), F.col("matrix").alias("qm"), "dim")
+        hits = held.join(F.broadcast(wave), "dim").mapInArrow(run, "query_id long, chunk_id long, cosine double")
+        found = hits if found is None else found.union(hits)
     return ranked(found, "cosine", "vector_rank", k)
 
 
@@ -140,36 +172,42 @@ def allowed(chunks: DataFrame, category: str | None = None, doc_id: str | None =
     return chunks
 
 
-def synonym_groups(groups: DataFrame, max_rounds: int = 30) -> DataFrame:
+def synonym_groups(groups: DataFrame) -> DataFrame:
     """(group_id, word, pos): groups (group_id, words) trimmed, cut to distinct words, merged where they overlap.
 
-    Overlap goes by the lower-cased word. A dictionary's groups are few; labels spread until none changes.
+    Overlap goes by the lower-cased word, over any number of groups in between.
     """
-    shared_folder(groups.sparkSession)  # where checkpoints go
     word = groups.select("group_id", F.posexplode(F.array_distinct(F.filter(F.transform("words", lambda w: F.trim(w)), lambda w: w != ""))).alias("pos", "word"))
     sized = word.groupBy("group_id").count().where("count > 1").select("group_id")
-    word = word.join(sized, "group_id", "left_semi").withColumn("key", F.lower("word")).withColumn("label", F.col("group_id"))
-    for _ in range(max_rounds):
-        by_key = word.groupBy("key").agg(F.min("label").alias("l1"))
-        by_group = word.join(by_key, "key").groupBy("group_id").agg(F.min("l1").alias("l2"))
-        new = word.drop("label").join(by_group, "group_id").withColumnRenamed("l2", "label").select(*word.columns).checkpoint()
-        changed = new.join(word.select("group_id", F.col("label").alias("old")).distinct(), "group_id").where("label <> old").isEmpty()
-        word = new
-        if changed:
-            break
+    word = word.join(sized, "group_id", "left_semi").withColumn("key", F.lower("word"))
+    least = word.groupBy("key").agg(F.min("group_id").alias("b"))
+    edges = word.join(least, "key").select(F.col("group_id").cast("long").alias("a"), F.col("b").cast("long"))
+    named = word.join(components(edges), F.col("group_id").cast("long") == F.col("node"), "left")
+    kind = groups.schema["group_id"].dataType
+    word = named.withColumn("label", F.coalesce(F.col("component").cast(kind), F.col("group_id")))
     first = word.groupBy("label", "word").agg(F.min(F.struct("group_id", "pos")).alias("at"))
     order = Window.partitionBy("label").orderBy("at")
     return first.select(F.col("label").alias("group_id"), "word", (F.row_number().over(order) - 1).alias("pos"))
 
 
+GRAM = 3
+
+
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """queries with `expanded`: where a word of a group occurs in the query, the group's words that do not."""
+    """queries with `expanded`: where a word of a group occurs in the query, the group's words that do not.
+
+    A word is looked for only in queries that hold its first GRAM characters (all, if it is shorter),
+    which is a join on equality; whole queries of any length are expanded.
+    """
     low = F.lower("query")
-    q = queries.select("query_id", "query")
-    # The dictionary is a broadcast side only as long as Spark finds it small enough.
-    hit = q.join(synonyms, low.contains(F.lower("word"))).select("query_id", "group_id").distinct()
+    words = synonyms.withColumn("low", F.lower("word")).withColumn("gram", F.left("low", F.lit(GRAM)))
+    grams = F.array_distinct(F.concat(*[F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]))
+    q = queries.select("query_id", low.alias("low"))
+    used = words.select("gram").distinct()
+    holding = q.select("query_id", F.explode(grams).alias("gram")).join(used, "gram").join(words.select("gram", "group_id", F.col("low").alias("w")), "gram")
+    hit = holding.join(q, "query_id").where(F.col("low").contains(F.col("w"))).select("query_id", "group_id").distinct()
     extra = (
-        hit.join(synonyms, "group_id").join(q, "query_id").where(~low.contains(F.lower("word")))
+        hit.join(words, "group_id").join(q.withColumnRenamed("low", "text"), "query_id").where(~F.col("text").contains(F.col("low")))
         .groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("group_id", "pos", "word"))).alias("x"))
     )
     return queries.join(extra, "query_id", "left").withColumn(

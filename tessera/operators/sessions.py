@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +56,30 @@ def fitted_context(messages: DataFrame, budget: int | Column, used: int | Column
 
 
 def fitted_hits(requests: DataFrame, hits: DataFrame, budget: int) -> DataFrame:
-    """(query_id, n_hits, status): how many of the ranked hits fit with the system text and the question.
+    """(query_id, n_hits, status, merged): how many of the ranked hits fit with the system text and the question.
 
-    requests: query_id, base_cost (system and question). hits: query_id, rank, cost. status is
-    fitted, no_documents (nothing was found) or rejected (not even one hit, or the question, fits).
+    requests: query_id, base_cost (system and question) and, if there is one, pending_cost: what a
+    question that was never answered adds when it goes before this one; it is merged if that
+    fits too. hits: query_id, rank, cost. status is fitted, no_documents (nothing was found) or
+    rejected (not even one hit, or the question, fits).
     """
+    pending = F.col("pending_cost") if "pending_cost" in requests.columns else F.lit(None)
+    asked = requests.select("query_id", "base_cost", pending.cast("long").alias("pending_cost"))
     running = hits.withColumn("sum", F.sum("cost").over(Window.partitionBy("query_id").orderBy("rank")))
-    found = requests.join(running, "query_id", "left").groupBy("query_id", "base_cost").agg(
-        F.count("rank").alias("found"), F.max(F.when(F.col("base_cost") + F.col("sum") <= budget, F.col("rank"))).alias("fit")
+    fits = F.col("base_cost") + F.col("sum") <= budget
+    found = asked.join(running, "query_id", "left").groupBy("query_id", "base_cost", "pending_cost").agg(
+        F.count("rank").alias("found"), F.max(F.when(fits, F.struct("rank", "sum"))).alias("fit")
     )
     status = F.when((F.col("found") == 0) & (F.col("base_cost") <= budget), "no_documents").when(F.col("fit").isNotNull(), "fitted").otherwise("rejected")
-    return found.select("query_id", F.coalesce("fit", F.lit(0)).cast("long").alias("n_hits"), status.alias("status"))
+    used = F.col("base_cost") + F.coalesce("fit.sum", F.lit(0))
+    merged = (F.col("status") != "rejected") & F.coalesce(used + F.col("pending_cost") <= budget, F.lit(False))
+    return found.withColumn("status", status).select("query_id", F.coalesce("fit.rank", F.lit(0)).cast("long").alias("n_hits"), "status", merged.alias("merged"))
+
+
+def pending_question(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, text): the last message of each conversation, where it is a user's and so was never answered."""
+    last = messages.groupBy("conv_id").agg(F.max_by(F.struct("turn", "role", "text"), "turn").alias("m"))
+    return last.where("m.role = 'user'").select("conv_id", "m.turn", "m.text")
 
 
 def session_list(sessions: DataFrame, limit: int = 50) -> DataFrame:
@@ -116,33 +132,55 @@ def user_list(users: DataFrame) -> DataFrame:
     return users.orderBy("username")
 
 
+def user_count(users: DataFrame) -> DataFrame:
+    return users.agg(F.count("*").alias("n"))
+
+
+def user_named(users: DataFrame, username: str) -> DataFrame:
+    """The user of that name, or no row."""
+    return users.where(F.col("username") == username)
+
+
 def owned_session(sessions: DataFrame, session_id: str, username: str | None = None) -> DataFrame:
     found = sessions.where(F.col("session_id") == session_id)
     return found if username is None else found.where(F.col("username") == username)
 
 
+def without_sessions(sessions: DataFrame, deletions: DataFrame) -> DataFrame:
+    """sessions after deletions (session_id, username): by its owner where a username is given, by anyone where it is null."""
+    by = F.col("by").isNull() | (F.col("by") == F.col("username"))
+    d = deletions.select(F.col("session_id").alias("gone"), F.col("username").alias("by"))
+    return sessions.join(d, (F.col("session_id") == F.col("gone")) & by, "left_anti")
+
+
 def lockouts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
     """attempts (client_key, attempt_id, ts, success) with locked and failures.
 
     An attempt is locked if max_attempts failures or more lie within `seconds` before it; locked
-    attempts leave no trace; success forgets the failures. A fold over each key's attempts in time
-    carries no more than max_attempts times.
+    attempts leave no trace; success forgets the failures. The attempts of a key come to one task
+    in order of time (then id) and pass through it: what is kept is the last max_attempts times.
     """
-    ordered = attempts.groupBy("client_key").agg(
-        F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "attempt_id", "success"))).alias("x")
-    )
-    none = F.array().cast("array<bigint>")
-    row = "struct<attempt_id:bigint,locked:boolean,failures:int>"
-    start = F.struct(none.alias("recent"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        recent = F.filter(a["recent"], lambda t: x["t"] - t < seconds * 1_000_000)
-        locked = F.size(recent) >= max_attempts
-        after = F.when(locked, recent).when(x["success"], none).otherwise(F.array_append(recent, x["t"]))
-        seen = F.struct(x["attempt_id"].cast("bigint").alias("attempt_id"), locked.alias("locked"), F.size(recent).alias("failures"))
-        return F.struct(after.alias("recent"), F.array_append(a["out"], seen).alias("out"))
-
-    return ordered.select("client_key", F.inline(F.aggregate("x", start, step, lambda a: a["out"])))
+    span = seconds * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, recent = None, []
+        for b in batches:
+            locked, failures = [], []
+            for k, t, success in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+                if k != key:
+                    key, recent = k, []
+                recent = [x for x in recent if t - x < span]
+                locked.append(len(recent) >= max_attempts)
+                failures.append(len(recent))
+                if not locked[-1]:
+                    recent = [] if success else [*recent, t]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(locked, pa.bool_()), pa.array(failures, pa.int32())], names)
+
+    names = ["client_key", "attempt_id", "locked", "failures"]
+    key = attempts.schema["client_key"].dataType.simpleString()
+    ordered = attempts.select("client_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("attempt_id").cast("bigint").alias("attempt_id"), "success")
+    dealt = ordered.repartition("client_key").sortWithinPartitions("client_key", "t", "attempt_id")
+    return dealt.mapInArrow(run, f"client_key {key}, attempt_id bigint, locked boolean, failures int")
 
 
 def recent_failures(attempts: DataFrame, seconds: int = LOCKOUT_SECONDS) -> DataFrame:

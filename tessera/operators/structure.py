@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_CHARS, HEADING_CHARS = 1200, 60
+# Keys of the front matter.
 KNOWN = ("title", "category", "effective_date", "version", "source_file", "tags")
 U = "(?U)"
 STRIP = r"(?U)^\s+|\s+$"
@@ -116,20 +117,24 @@ def sections(lines: DataFrame) -> DataFrame:
 
 
 def _packed(items: Column, limit: int, joiner: str, joiner_counts: int) -> Column:
-    """Greedy packing of an array of strings into an array of joined strings of at most limit characters."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("cur"), F.lit(0).alias("size"))
+    """Greedy packing of an array of strings into an array of joined strings of at most limit characters.
 
-    def step(a: Column, x: Column) -> Column:
-        extra = F.when(F.size(a["cur"]) > 0, joiner_counts).otherwise(0)
-        full = (a["size"] + extra + F.length(x) > limit) & (F.size(a["cur"]) > 0)
+    The fold carries lengths only: where each piece begins. The strings are cut out and joined once.
+    """
+    first = F.struct(F.array(F.lit(1)).alias("begins"), F.lit(0).alias("size"), F.lit(0).alias("i"))
+
+    def step(a: Column, n: Column) -> Column:
+        grown = a["size"] + F.when(a["size"] > 0, joiner_counts).otherwise(0) + n
+        full = (grown > limit) & (a["i"] >= F.element_at(a["begins"], -1))
         return F.struct(
-            F.when(full, F.array_append(a["done"], F.array_join(a["cur"], joiner))).otherwise(a["done"]).alias("done"),
-            F.when(full, F.array(x)).otherwise(F.array_append(a["cur"], x)).alias("cur"),
-            F.when(full, F.length(x)).otherwise(a["size"] + extra + F.length(x)).alias("size"),
+            F.when(full, F.array_append(a["begins"], a["i"] + 1)).otherwise(a["begins"]).alias("begins"),
+            F.when(full, n).otherwise(grown).alias("size"), (a["i"] + 1).alias("i"),
         )
 
-    return F.aggregate(items, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.array_append(a["done"], F.array_join(a["cur"], joiner))).otherwise(a["done"]))
+    begins = F.aggregate(F.transform(items, lambda x: F.length(x)), first, step, lambda a: a["begins"])
+    ends = F.concat(F.slice(begins, 2, F.size(items) + 1), F.array(F.size(items) + 1))
+    cut = F.zip_with(begins, ends, lambda b, e: F.array_join(F.slice(items, b, e - b), joiner))
+    return F.when(F.size(items) > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
 def paragraphs(text: Column, limit: int = CHUNK_CHARS) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 CASE = "id string, question string, expected_refs array<string>, expected_keywords array<string>, forbidden array<string>, blocked boolean, category string, note string"
 #: Tables whose rows take long.
 TEXTS = ("documents", "pages", "conversations")
+# The fields of an audit record.
 AUDIT = (
     "session_id string, user_id string, event string, input_sha256 string, input_chars bigint, classification string, redactions map<string,int>, "
     "tools_called array<string>, model string, served_by string, stop_reason string, input_tokens bigint, output_tokens bigint, "
@@ -32,6 +33,18 @@ def _file_lines(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).select("path", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of text files, read as splits of bounded size: a number is its place in its split after the lines of the splits before."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"),
+        F.make_valid_utf8("value").alias("line"),
+    )
+    place = F.row_number().over(Window.partitionBy("path", "at").orderBy("id"))
+    held = raw.groupBy("path", "at").agg(F.count("*").alias("n"))  # one row for each split
+    before = held.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return raw.withColumn("place", place).join(before.drop("n"), ["path", "at"]).select("path", (F.col("before") + F.col("place")).alias("line_no"), "line")
+
+
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, source, content) of *.md and *.txt below a folder; files that are not UTF-8 are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").load(folder)
@@ -94,7 +107,7 @@ def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     """Audit records of JSON lines; a line that is no object stays, as event `corrupt` with its number and first 200 characters."""
-    lines = _file_lines(spark, path).where(F.trim("line") != "")
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
     parsed = lines.withColumn("r", F.from_json("line", AUDIT + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("r._bad").isNotNull() | F.col("r").isNull() | ~F.trim("line").startswith("{")
     names = [c.split()[0] for c in AUDIT.split(", ") if " " in c]

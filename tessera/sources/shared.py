@@ -1,10 +1,14 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables that are written in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Scopes that are open, inmost last.
+SCOPES: list = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,3 +22,48 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df in the shared folder and read it again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._tessera_path = path
+    if SCOPES:
+        SCOPES[-1].made.append(found)
+    return found
+
+
+def erase(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing reads any more (others are left alone)."""
+    for t in tables:
+        if path := vars(t).pop("_tessera_path", None):
+            sc = t.sparkSession.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class scratch:
+    """A scope whose tables by written() are deleted at its end, but for those given to keep()."""
+
+    def __enter__(self) -> scratch:
+        self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+        SCOPES.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, *_) -> None:
+        SCOPES.remove(self)
+        erase(*(t for t in self.made if not any(t is k for k in self.kept)))
+        if SCOPES:
+            SCOPES[-1].made += self.kept

@@ -11,7 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.governance import govern
+from ..operators.retrieval import build_index, index_of
 from ..operators.sessions import LOCKOUT_SECONDS, MAX_ATTEMPTS, upsert_sessions
+from ..operators.structure import chunks as cut_chunks
+from ..sources.shared import scratch
 
 
 def read_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -24,10 +27,9 @@ def govern_stream(messages: DataFrame, users: DataFrame, out: str, checkpoint: s
     A batch that is run again overwrites its own folder, so nothing is counted twice.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        for name, part in zip(("passed", "blocked", "audit"), govern(batch, users, limit)):
-            part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        batch.unpersist()
+        with scratch():  # what the batch was judged to be is written once, and goes when its parts are
+            for name, part in zip(("passed", "blocked", "audit"), govern(batch, users, limit)):
+                part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -49,8 +51,8 @@ def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1
 def lockout_stream(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, seconds: int = LOCKOUT_SECONDS, late: str = "10 minutes") -> DataFrame:
     """attempts (client_key, attempt_id, ts, success) with locked and failures, as they come.
 
-    State is the times of the last failures, at most max_attempts of them; it goes when the
-    watermark has passed the lockout. Within a batch attempts are taken in order of time.
+    State is the times of the last failures, at most max_attempts of them; it goes with a success,
+    and when the watermark has passed the lockout. Within a batch attempts are taken in order of time.
     """
     span = pd.Timedelta(seconds=seconds)
 
@@ -66,8 +68,11 @@ def lockout_stream(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, second
             rows.append((key[0], r.attempt_id, locked, len(recent)))
             if not locked:
                 recent = [] if r.success else [*recent, r.ts]
-        state.update(([int(t.value // 1000) for t in recent],))
-        if recent:
+        if not recent:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(([int(t.value // 1000) for t in recent],))
             state.setTimeoutTimestamp(max(int(recent[-1].value // 10**6) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=["client_key", "attempt_id", "locked", "failures"])
 
@@ -86,17 +91,34 @@ def upsert_stream(changes: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_stream(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """New chunks (chunk_id, title, section, tags, category, text) appended as postings below `path`;
-    document frequencies and the mean length are aggregates when they are read."""
-    from ..operators.retrieval import build_index
+def index_stream(chunks: DataFrame, path: str, checkpoint: str, documents: bool = False) -> StreamingQuery:
+    """New chunks (chunk_id, title, section, tags, category, text) appended below `path` as postings and lengths.
 
+    With `documents` the stream holds documents (doc_id, source, content), which each batch cuts
+    into chunks; a chunk's id is a hash of document, section and part. read_index() reads it all.
+    """
     def add(batch: DataFrame, number: int) -> None:
-        build_index(batch)["postings"].write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch():
+            index = build_index(chunk_rows(batch) if documents else batch)
+            for name in ("postings", "lengths"):
+                index[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, source, content) as chunks to be indexed."""
+    return cut_chunks(docs).select(
+        F.xxhash64("doc_id", "section_no", "part").alias("chunk_id"), "doc_id", "title", "section", "source",
+        F.col("meta.tags").alias("tags"), F.col("meta.category").alias("category"), "text",
+    )
+
+
+def read_index(spark, path: str) -> dict[str, DataFrame]:
+    """The index that index_stream has written so far: document frequencies, number and mean length of chunks follow from it."""
+    return index_of(*(spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("postings", "lengths")))
+
+
 def replay(stream: DataFrame, folder: str, schema: str, mode: str = "append") -> DataFrame:
     """Run a stream over all there is and read its result: for checks against the batch form."""
     spark = stream.sparkSession

@@ -92,4 +92,4 @@ def test_upsert_and_index_streams_equal_their_batch_forms(spark, tmp_path):
     from tessera.operators.retrieval import build_index
 
     names = ["token", "chunk_id", "tf", "doc_len"]
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/post").select(*names).collect())) == sorted(map(tuple, build_index(chunks)["postings"].select(*names).collect()))
+    assert sorted(map(tuple, ST.read_index(spark, f"{tmp_path}/post")["postings"].select(*names).collect())) == sorted(map(tuple, build_index(chunks)["postings"].select(*names).collect()))
