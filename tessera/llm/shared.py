@@ -1,67 +1,19 @@
-"""Helpers that several operators use: written tables, what a worker keeps, components."""
+"""Helpers that several operators use."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
+from ..operators.graph import components
+from ..sources.shared import erase, fresh_path, scratch, shared_folder, written
 
-#: Scopes that are open, inmost last.
-SCOPES: list = []
+__all__ = ["components", "erase", "fresh_path", "partitions", "per_worker", "scratch", "shared_folder", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df in the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found._tessera_path = path
-    if SCOPES:
-        SCOPES[-1].made.append(found)
-    return found
-
-
-def erase(*tables: DataFrame) -> None:
-    """Delete tables that written() made and that nothing reads any more (others are left alone)."""
-    for t in tables:
-        if path := vars(t).pop("_tessera_path", None):
-            sc = t.sparkSession.sparkContext
-            place = sc._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
-
-
-class scratch:
-    """A scope whose tables by written() are deleted at its end, but for those given to keep()."""
-
-    def __enter__(self) -> scratch:
-        self.made: list[DataFrame] = []
-        self.kept: list[DataFrame] = []
-        SCOPES.append(self)
-        return self
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.kept.append(df)
-        return df
-
-    def __exit__(self, *_) -> None:
-        SCOPES.remove(self)
-        erase(*(t for t in self.made if not any(t is k for k in self.kept)))
-        if SCOPES:
-            SCOPES[-1].made += self.kept
-
-
 def per_worker(key: tuple, make):
     """What make() gives, kept for the life of a Python worker.
 
@@ -79,37 +31,3 @@ def per_worker(key: tuple, make):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b: long) as (node, component), component the least node.
-
-    Alternates large-star and small-star rounds: each is one aggregation and one join on the
-    edges, so a component never meets in one task. Goes on until a round changes nothing (rounds
-    grow with the logarithm of the longest path); each round's edges replace those before it.
-    """
-    e = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-    while state[0]:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(root, "u")
-        small = (
-            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(root.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        before, e = e, written(small, "edges")
-        erase(before)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
-        if tuple(now) == tuple(state):
-            break
-        state = now
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
