@@ -32,11 +32,16 @@ def g3(spark, sf):
     return o.select("o_orderkey", G.convert_dtg(F.concat("d", F.lit("+09:00")), F.lit("UTC")).alias("dtg"))
 
 
+def g3_zones(spark, sf):
+    """The zone letter of each order's offset, from 13 hours west to 13 hours east."""
+    return read_table(spark, sf, "orders").select("o_orderkey", G.zone_letter(F.col("o_orderkey") % 27 - 13).alias("letter"))
+
+
 def g4(spark, sf):
     pairs = (("kg", "lb"), ("mi", "km"), ("노트", "km/h"), ("C", "F"), ("mil", "deg"), ("kg", "m"))
     a, b = (F.element_at(F.array(*[F.lit(p[i]) for p in pairs]), (F.col("l_orderkey") % len(pairs) + 1).cast("int")) for i in (0, 1))
-    d = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", G.convert_units(F.col("l_quantity"), a, b).alias("x"))
-    return d.select("l_orderkey", "l_linenumber", F.round("x", 6).alias("converted"))
+    d = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", a.alias("a"), b.alias("b"))
+    return G.with_converted(d, "l_quantity", "a", "b", "x").select("l_orderkey", "l_linenumber", F.round("x", 6).alias("converted"))
 
 
 G4_SQL = """SELECT l_orderkey, l_linenumber, round(CASE l_orderkey % 6 WHEN 0 THEN l_quantity * 1.0::DOUBLE / 0.45359237::DOUBLE WHEN 1 THEN l_quantity * 1609.344::DOUBLE / 1000 WHEN 2 THEN l_quantity * (1852.0::DOUBLE / 3600) / (1000.0::DOUBLE / 3600)
@@ -101,6 +106,7 @@ QUERIES = {
     "g1_glossary_lookup": (g1, G1_SQL),
     "g2_date_time_groups": (g2, G2_SQL),
     "g3_dtg_conversion": (g3, "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 9 HOUR, '%d%H%M') || 'Z' || upper(strftime(o_orderdate - INTERVAL 9 HOUR, '%b%y')) AS dtg FROM orders"),
+    "g3_zone_letters": (g3_zones, "SELECT o_orderkey, CASE WHEN h = 0 THEN 'Z' WHEN h BETWEEN 1 AND 12 THEN substr('ABCDEFGHIKLM', h, 1) WHEN h BETWEEN -12 AND -1 THEN substr('NOPQRSTUVWXY', -h, 1) END AS letter FROM (SELECT o_orderkey, CAST(o_orderkey % 27 - 13 AS INT) AS h FROM orders)"),
     "g4_unit_conversion": (g4, G4_SQL),
     "g4_significant_digits": (g4_shown, r"SELECT p_partkey, regexp_replace(regexp_replace(CASE WHEN p_retailprice >= 1000 THEN format('{:,.0f}', p_retailprice) ELSE format('{:,.1f}', p_retailprice) END, '(\.\d*?)0+$', '\1'), '\.$', '') AS shown FROM part"),
     "g5_spelling": (g5, G5_SQL),

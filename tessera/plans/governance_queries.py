@@ -9,10 +9,17 @@ from ..operators import sessions as S
 from ..sources.files import read_table
 from . import views as V
 
-LEVEL_SQL = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN {lv}" for i, (_, lv) in enumerate(V.MARKS)) + " END"
-MARK_SQL = "CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, (m, _) in enumerate(V.MARKS)) + " END"
-GATED_SQL = f"""g AS (SELECT conv_id, turn, text, {MARK_SQL} || text AS marked, {LEVEL_SQL} AS level, least(2, coalesce(CAST(c_custkey % 5 AS INT), 2)) AS max_level
-  FROM conversations LEFT JOIN customer ON c_custkey = conv_id % 50)"""
+PLACE = f"(conv_id + turn) % {len(V.MARKS)}"
+
+
+def by_place(values) -> str:
+    return f"CASE {PLACE} " + " ".join(f"WHEN {i} THEN {v!r}" for i, v in enumerate(values)) + " END"
+
+
+LEVEL_SQL, MARK_SQL = by_place(lv for _, lv, _ in V.MARKS), by_place(m for m, _, _ in V.MARKS)
+TAILED = "CASE WHEN (conv_id + turn) % 3 = 0 THEN '{}' ELSE '' END"
+GATED_SQL = f"""g AS (SELECT conv_id, turn, text, {MARK_SQL} || text || {TAILED.format(V.TAIL)} AS marked, {MARK_SQL} || text || {TAILED.format(V.TAIL_MASKED)} AS masked, {LEVEL_SQL} AS level,
+  least(2, coalesce(CAST(c_custkey % 5 AS INT), 2)) AS max_level FROM conversations LEFT JOIN customer ON c_custkey = conv_id % 50)"""
 NAME_SQL = "CASE level " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(G.LEVELS)) + " END"
 
 
@@ -21,8 +28,7 @@ def c1(spark, sf):
     return d.select("conv_id", "turn", "level", F.array_join("markings", "|").alias("markings"))
 
 
-C1_SQL = f"""SELECT conv_id, turn, {LEVEL_SQL} AS level, CASE (conv_id + turn) % 8 WHEN 1 THEN '대외비' WHEN 2 THEN 'CONFIDENTIAL' WHEN 3 THEN 'S//' WHEN 4 THEN 'II급 비밀' WHEN 5 THEN 'TOP-SECRET' ELSE '' END AS markings
-FROM conversations"""
+C1_SQL = f"SELECT conv_id, turn, {LEVEL_SQL} AS level, {by_place(found for _, _, found in V.MARKS)} AS markings FROM conversations"
 
 
 def c3(spark, sf):
@@ -80,11 +86,12 @@ C8_SQL = f"""WITH {GATED_SQL} SELECT 's' || conv_id AS session_id, 'u' || (conv_
 
 def c9(spark, sf):
     passed, blocked, _ = governed(spark, sf)
-    out = passed.select("conv_id", "turn", F.lit("passed").alias("sink"), F.length("masked").cast("long").alias("chars"))
-    return out.union(blocked.select("conv_id", "turn", F.lit("blocked"), F.lit(None).cast("long")))
+    out = passed.select("conv_id", "turn", F.lit("passed").alias("sink"), F.md5("masked").alias("masked_md5"), F.col("mask_total").cast("long").alias("mask_total"))
+    return out.union(blocked.select("conv_id", "turn", F.lit("blocked"), F.lit(None).cast("string"), F.lit(0).cast("long")))
 
 
-C9_SQL = f"WITH {GATED_SQL} SELECT conv_id, turn, CASE WHEN level > max_level THEN 'blocked' ELSE 'passed' END AS sink, CASE WHEN level <= max_level THEN CAST(length(marked) AS BIGINT) END AS chars FROM g"
+C9_SQL = f"""WITH {GATED_SQL} SELECT conv_id, turn, CASE WHEN level > max_level THEN 'blocked' ELSE 'passed' END AS sink, CASE WHEN level <= max_level THEN md5(masked) END AS masked_md5,
+  CAST(CASE WHEN level <= max_level AND (conv_id + turn) % 3 = 0 THEN 2 ELSE 0 END AS BIGINT) AS mask_total FROM g"""
 
 
 def u11(spark, sf):

@@ -10,6 +10,8 @@ from ..operators import sessions as S
 from ..sources.files import read_table
 from . import views as V
 
+#: Ten days, so that users of a small table are locked out now and then.
+SECONDS = 864000
 AS_OF = datetime.datetime(1998, 1, 1)
 COST = "4 + length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) + (length(text) - length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) + 2) // 3"
 USERS = "us AS (SELECT 'u' || c_custkey AS username, CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role, CAST(c_custkey % 5 AS INT) AS clearance, c_custkey % 7 = 0 AS disabled, c_mktsegment AS unit FROM customer)"
@@ -60,13 +62,14 @@ SELECT conv_id, turn, running_cost FROM f WHERE turn >= first"""
 def u4(spark, sf):
     """The pages of orders: how many line items fit into a budget."""
     li = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("rank"), F.col("l_quantity").cast("long").alias("cost"))
-    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 130).alias("base_cost"))
+    o = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 130).alias("base_cost"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 40).alias("pending_cost"))
     return S.fitted_hits(o, li, 110)
 
 
 U4_SQL = """WITH r AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS s FROM lineitem),
 f AS (SELECT o_orderkey AS query_id, o_orderkey % 130 AS base, count(l_linenumber) AS found, max(l_linenumber) FILTER (WHERE o_orderkey % 130 + s <= 110) AS fit FROM orders LEFT JOIN r ON l_orderkey = o_orderkey GROUP BY ALL)
-SELECT query_id, CAST(coalesce(fit, 0) AS BIGINT) AS n_hits, CASE WHEN found = 0 AND base <= 110 THEN 'no_documents' WHEN fit IS NOT NULL THEN 'fitted' ELSE 'rejected' END AS status FROM f"""
+SELECT query_id, CAST(coalesce(fit, 0) AS BIGINT) AS n_hits, CASE WHEN found = 0 AND base <= 110 THEN 'no_documents' WHEN fit IS NOT NULL THEN 'fitted' ELSE 'rejected' END AS status,
+  query_id % 3 = 0 AND (fit IS NOT NULL OR (found = 0 AND base <= 110)) AND base + coalesce((SELECT max(s) FROM r WHERE l_orderkey = query_id AND l_linenumber = fit), 0) + query_id % 40 <= 110 AS merged FROM f"""
 
 
 def current_sessions(spark, sf):
@@ -114,19 +117,19 @@ def u9(spark, sf):
 
 
 def u10(spark, sf):
-    return S.lockouts(V.attempts(spark, sf)).select("attempt_id", "locked", F.col("failures").cast("long").alias("failures"))
+    return S.lockouts(V.attempts(spark, sf), seconds=SECONDS).select("attempt_id", "locked", F.col("failures").cast("long").alias("failures"))
 
 
 def u10_window(spark, sf):
-    return S.recent_failures(V.attempts(spark, sf), 7200).select("attempt_id", "recent_failures")
+    return S.recent_failures(V.attempts(spark, sf), SECONDS).select("attempt_id", "recent_failures")
 
 
-ATTEMPTS = "att AS (SELECT user_id % 20 AS k, event_id AS attempt_id, ts, event_type = 'signup' AS success FROM events WHERE event_type IN ('error', 'signup'))"
+ATTEMPTS = "att AS (SELECT user_id AS k, event_id AS attempt_id, ts, event_type = 'signup' AS success FROM events WHERE event_type IN ('error', 'signup'))"
 
 LOCKOUT_SQL = f"""WITH RECURSIVE {ATTEMPTS}, o AS (SELECT k, attempt_id, epoch_us(ts) AS t, success, row_number() OVER (PARTITION BY k ORDER BY ts, attempt_id) AS rn FROM att),
 r AS (SELECT k, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS recent, CAST(-1 AS BIGINT) AS attempt_id, false AS locked, CAST(0 AS BIGINT) AS failures FROM (SELECT DISTINCT k FROM o)
   UNION ALL SELECT k, rn, CASE WHEN len(f) >= 5 THEN f WHEN success THEN CAST([] AS BIGINT[]) ELSE list_append(f, t) END, attempt_id, len(f) >= 5, CAST(len(f) AS BIGINT)
-  FROM (SELECT o.k, o.rn, o.t, o.success, o.attempt_id, list_filter(r.recent, lambda x: o.t - x < 600000000) AS f FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1))
+  FROM (SELECT o.k, o.rn, o.t, o.success, o.attempt_id, list_filter(r.recent, lambda x: o.t - x < {SECONDS}000000) AS f FROM r JOIN o ON o.k = r.k AND o.rn = r.rn + 1))
 SELECT attempt_id, locked, failures FROM r WHERE rn > 0"""
 
 
@@ -153,6 +156,6 @@ QUERIES = {
     "u8_purged_tokens": (u8, f"WITH {USERS}, {TOKENS} SELECT token_hash, username FROM tk WHERE expires_at > TIMESTAMP '1998-01-01' AND username NOT IN (SELECT username FROM us WHERE disabled)"),
     "u9_updated_users": (u9, f"WITH {USERS} SELECT username, role, CASE WHEN username LIKE '%3' THEN 4 ELSE clearance END AS clearance, disabled, unit FROM us"),
     "u10_lockouts": (u10, LOCKOUT_SQL),
-    "u10_recent_failures": (u10_window, f"WITH {ATTEMPTS} SELECT attempt_id, CAST(sum(CAST(NOT success AS INT)) OVER (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN 7199999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM att"),
+    "u10_recent_failures": (u10_window, f"WITH {ATTEMPTS} SELECT attempt_id, CAST(sum(CAST(NOT success AS INT)) OVER (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN {SECONDS * 1000000 - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM att"),
     "u12_client_address": (u12, U12_SQL),
 }

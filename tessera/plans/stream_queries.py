@@ -10,7 +10,7 @@ from ..sources.files import read_table
 from ..streaming import streams as ST
 from . import views as V
 from .governance_queries import SINKS_SQL
-from .session_queries import LOCKOUT_SQL
+from .session_queries import LOCKOUT_SQL, SECONDS
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -28,38 +28,45 @@ def events(spark, sf):
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def st2(spark, sf):
-    """Counts for each hour and kind of event, complete after the whole table."""
-    s = ST.windowed_counts(events(spark, sf), size="1 hour")
+def appended(spark, stream, schema):
+    """What a stream in append mode has written after all of its table and one row far later, whose watermark closes what is open."""
+    return ST.replay(stream, folder(spark), schema)
+
+
+def closed(spark, sf):
+    """events as a stream whose last rows lie a year later, so that every window and session before is closed."""
+    last = read_table(spark, sf, "events").agg(F.max("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("max(ts)") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("user_id"),
+        F.lit("end").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"),
+    )
     at = folder(spark)
-    name = "st2_" + at[-32:]
-    q = s.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    last.write.parquet(f"{at}/end")
+    later = spark.readStream.schema(EVENTS).parquet(f"{at}/end")
+    return events(spark, sf).union(later.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def st2(spark, sf):
+    """Counts for each hour and kind of event, appended as the watermark passes."""
+    s = ST.windowed_counts(closed(spark, sf), size="1 hour")
+    d = appended(spark, s, "start timestamp, event_type string, n long, total double").where("event_type <> 'end'")
+    return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def st3(spark, sf):
     """Lockouts as a stream with state."""
     s = events(spark, sf).where("event_type IN ('error', 'signup')").select(
-        (F.col("user_id") % 20).cast("string").alias("client_key"), F.col("event_id").alias("attempt_id"), "ts", (F.col("event_type") == "signup").alias("success")
+        F.col("user_id").cast("string").alias("client_key"), F.col("event_id").alias("attempt_id"), "ts", (F.col("event_type") == "signup").alias("success")
     )
-    return ST.replay(ST.lockout_stream(s), folder(spark), "client_key string, attempt_id long, locked boolean, failures int").select(
+    return appended(spark, ST.lockout_stream(s, seconds=SECONDS), "client_key string, attempt_id long, locked boolean, failures int").select(
         "attempt_id", "locked", F.col("failures").cast("long").alias("failures")
     )
 
 
 def st4(spark, sf):
-    """Sessions of activity with a gap of half an hour, closed by the watermark or the end."""
-    s = ST.activity_sessions(events(spark, sf)).select("user_id", "start", "n")
-    at = folder(spark)
-    out = f"{at}/out"
-    spark.createDataFrame([], s.schema).write.parquet(out)  # what an empty stream gives
-
-    def write(batch, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)  # complete: each batch has all sessions
-
-    s.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(s.schema).parquet(out).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    """Sessions of activity with a gap of half an hour, appended as the watermark passes their end."""
+    s = ST.activity_sessions(closed(spark, sf)).select("user_id", "start", "n")
+    d = appended(spark, s, "user_id long, start timestamp, n long").where("user_id >= 0")
+    return d.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 ST4_SQL = """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -72,11 +79,7 @@ def st1(spark, sf):
     kind = c.schema
     source = spark.readStream.schema(kind)
     glob = source.option("pathGlobFilter", "conversations.parquet").parquet(sf) if _is_file(spark, sf, "conversations") else source.parquet(f"{sf}/conversations.parquet")
-    mark = F.element_at(F.array(*[F.lit(m) for m, _ in V.MARKS]), ((F.col("conv_id") + F.col("turn")) % len(V.MARKS) + 1).cast("int"))
-    m = glob.select(
-        F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), F.concat(F.lit("u"), (F.col("conv_id") % 50).cast("string")).alias("user_id"),
-        "conv_id", "turn", F.concat(mark, "text").alias("text"),
-    )
+    m = V.marked(glob)
     at = folder(spark)
     ST.govern_stream(m, V.users(spark, sf), f"{at}/out", f"{at}/checkpoint", 2).awaitTermination()
     p = spark.read.parquet(f"{at}/out/passed").select("conv_id", "turn", F.lit("passed").alias("sink"))

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..sources.files import read_table
+from ..sources.shared import written
 from . import views as V
 
 
@@ -24,7 +25,7 @@ p AS (SELECT chunk_id, len(tokens) AS doc_len, token, count(*) AS tf FROM (SELEC
 post AS (SELECT token, chunk_id, CAST(doc_len AS BIGINT) AS doc_len, tf FROM p),
 df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
 q AS (SELECT DISTINCT query_id, unnest(tokens) AS token FROM (SELECT item_id AS query_id, {tok("text")} AS tokens FROM benchmark)),
-s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 6) AS bm25
+s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))), 9) AS bm25
   FROM q JOIN post USING (token) JOIN df USING (token), one GROUP BY ALL)"""
 BM25_SQL = f"WITH {INDEX_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS bm25_rank FROM s WHERE bm25 > 0)"
 
@@ -124,56 +125,56 @@ def r2(spark, sf):
 
 def r3(spark, sf):
     """BM25: the ten best documents for each benchmark passage."""
-    return R.ranked(R.bm25(V.passages(spark, sf), R.build_index(V.chunks(spark, sf))), "bm25", "bm25_rank", 10).select("query_id", "bm25_rank", "chunk_id", "bm25")
+    return R.ranked(R.bm25(V.passages(spark, sf), R.build_index(V.chunks(spark, sf))), "bm25", "bm25_rank", 10).select("query_id", "bm25_rank", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def r6(spark, sf):
     hits = R.search(V.passages(spark, sf), V.chunks(spark, sf), R.build_index(V.chunks(spark, sf)), top_k=4, category="EN", tag="SRC0")
-    return hits.select("query_id", "rank", "chunk_id", "score")
+    return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 R6_SQL = f"""WITH {INDEX_SQL}, f AS (SELECT s.* FROM s JOIN c USING (chunk_id) WHERE bm25 > 0 AND lower(category) = 'en' AND lower(source) = 'src0'),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS bm25_rank FROM f),
-x AS (SELECT query_id, chunk_id, bm25_rank, round(bm25 / max(bm25) OVER (PARTITION BY query_id) * 10, 6) AS score FROM r WHERE bm25_rank <= 20),
+x AS (SELECT query_id, chunk_id, bm25_rank, round(bm25 / max(bm25) OVER (PARTITION BY query_id) * 10, 9) AS score FROM r WHERE bm25_rank <= 20),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank, chunk_id) AS rank FROM x)
-SELECT query_id, rank, chunk_id, score FROM o WHERE rank <= 4"""
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM o WHERE rank <= 4"""
 
 
 def r7(spark, sf):
     e = read_table(spark, sf, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return R.vector_top(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), asked, 10)
+    return R.vector_top(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), asked, 10).withColumn("cosine", F.round("cosine", 6))
 
 
 R7_SQL = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e),
-s AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, round(list_inner_product(q.v, u.v), 6) AS cosine FROM u q, u WHERE q.vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, round(list_inner_product(q.v, u.v), 9) AS cosine FROM u q, u WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS vector_rank FROM s)
-SELECT query_id, chunk_id, cosine, vector_rank FROM r WHERE vector_rank <= 10"""
+SELECT query_id, chunk_id, round(cosine, 6) AS cosine, vector_rank FROM r WHERE vector_rank <= 10"""
 
 
 def r9(spark, sf):
     """Hybrid search for each passage: BM25 and n-gram vectors fused, the four best."""
     ch = V.chunks(spark, sf)
-    return R.search(V.passages(spark, sf), ch, R.build_index(ch), T.embed(ch, "chunk_id", "text"))
+    return R.search(V.passages(spark, sf), ch, R.build_index(ch), T.embed(ch, "chunk_id", "text")).withColumn("score", F.round("score", 6))
 
 
 R9_SQL = f"""{BM25_SQL}, lex AS (SELECT query_id, chunk_id, bm25_rank, bm25 / max(bm25) OVER (PARTITION BY query_id) AS l FROM r WHERE bm25_rank <= 20),
 src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {GRAMS_SQL},
 cs AS (SELECT -1 - a.id AS query_id, b.id AS chunk_id, sum(a.w * b.w) AS cosine FROM vec a JOIN vec b USING (bucket) WHERE a.id < 0 AND b.id >= 0 GROUP BY ALL),
-c0 AS (SELECT i.item_id AS query_id, d.doc_id AS chunk_id, round(coalesce(cosine, 0), 6) AS cosine FROM benchmark i CROSS JOIN documents d LEFT JOIN cs ON cs.query_id = i.item_id AND cs.chunk_id = d.doc_id),
+c0 AS (SELECT i.item_id AS query_id, d.doc_id AS chunk_id, round(coalesce(cosine, 0), 9) AS cosine FROM benchmark i CROSS JOIN documents d LEFT JOIN cs ON cs.query_id = i.item_id AND cs.chunk_id = d.doc_id),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS vector_rank FROM c0),
 vk AS (SELECT *, max(cosine) OVER (PARTITION BY query_id) AS hi, min(cosine) OVER (PARTITION BY query_id) AS lo FROM vr WHERE vector_rank <= 20),
 f AS (SELECT coalesce(lex.query_id, vk.query_id) AS query_id, coalesce(lex.chunk_id, vk.chunk_id) AS chunk_id, bm25_rank, vector_rank,
-    round((coalesce(l, 0) + 0.15::DOUBLE * coalesce(CASE WHEN hi > lo THEN (cosine - lo) / (hi - lo) ELSE least(greatest(cosine, 0), 1) END, 0)) * 10, 6) AS score
+    round((coalesce(l, 0) + 0.15::DOUBLE * coalesce(CASE WHEN hi > lo THEN (cosine - lo) / (hi - lo) ELSE least(greatest(cosine, 0), 1) END, 0)) * 10, 9) AS score
   FROM lex FULL JOIN vk ON lex.query_id = vk.query_id AND lex.chunk_id = vk.chunk_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(bm25_rank, 1000000), coalesce(vector_rank, 1000000), chunk_id) AS rank FROM f WHERE score > 0)
-SELECT query_id, rank, chunk_id, score, bm25_rank, vector_rank FROM o WHERE rank <= 4"""
+SELECT query_id, rank, chunk_id, round(score, 6) AS score, bm25_rank, vector_rank FROM o WHERE rank <= 4"""
 
 
 def synonyms_of(spark, sf):
-    """A dictionary from the passages: each stands for its first three words as one group."""
-    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 4), 1, 3)
+    """A dictionary from the passages: the longer words of each are one group."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) >= 4)
     return read_table(spark, sf, "benchmark").select(F.col("item_id").alias("group_id"), words.alias("words"))
 
 
@@ -181,13 +182,13 @@ def r5(spark, sf):
     from ..operators.retrieval import expand
 
     named = synonyms_of(spark, sf).select("group_id", F.posexplode("words").alias("pos", "word"))
-    q = read_table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.substring_index("text", "\n", 1).alias("query"))
+    q = read_table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return expand(q, named).select("query_id", F.md5("expanded").alias("expanded_md5"))
 
 
 R5_SQL = """WITH s AS (SELECT item_id AS group_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM (
-    SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 4)[1:3] AS w FROM benchmark)),
-q AS (SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS query FROM documents),
+    SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 4) AS w FROM benchmark)),
+q AS (SELECT doc_id AS query_id, text AS query FROM documents),
 h AS (SELECT DISTINCT query_id, group_id FROM q JOIN s ON contains(lower(query), lower(word))),
 x AS (SELECT query_id, string_agg(word, ' ' ORDER BY group_id, pos, word) AS extra FROM (
     SELECT DISTINCT h.query_id, s.group_id, s.pos, s.word FROM h JOIN s USING (group_id) JOIN q USING (query_id) WHERE NOT contains(lower(query), lower(word))) GROUP BY query_id)
@@ -207,7 +208,7 @@ def r12(spark, sf):
     return R.listing(hits_of(spark, sf, 2), V.chunks(spark, sf), V.passages(spark, sf)).select("query_id", "rank", "line")
 
 
-R12_SQL = f"""{BM25_SQL}, x AS (SELECT query_id, chunk_id, bm25_rank AS rank, round(bm25 / max(bm25) OVER (PARTITION BY query_id) * 10, 6) AS score FROM r)
+R12_SQL = f"""{BM25_SQL}, x AS (SELECT query_id, chunk_id, bm25_rank AS rank, round(bm25 / max(bm25) OVER (PARTITION BY query_id) * 10, 9) AS score FROM r)
 SELECT query_id, rank, '[' || rank || '] ' || title || ' › ' || section || ' (출처: ' || source || ', ' || category || ' · 시행 2024-01-01, 점수 ' || printf('%.2f', score) || ')' AS line
 FROM x JOIN c USING (chunk_id) WHERE rank <= 2"""
 
@@ -242,7 +243,7 @@ def r4(spark, sf):
     return R.synonym_groups(synonyms_of(spark, sf)).select("group_id", "word", F.col("pos").cast("long").alias("pos"))
 
 
-R4_SQL = """WITH RECURSIVE w AS (SELECT item_id AS group_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 4)[1:3] AS ws FROM benchmark),
+R4_SQL = """WITH RECURSIVE w AS (SELECT item_id AS group_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 4) AS ws FROM benchmark),
 d AS (SELECT group_id, word, min(pos) AS pos FROM (SELECT group_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS pos FROM w) GROUP BY ALL),
 s AS (SELECT * FROM d WHERE group_id IN (SELECT group_id FROM d GROUP BY group_id HAVING count(*) > 1)),
 reach AS (SELECT DISTINCT group_id AS a, group_id AS b FROM s UNION SELECT r.a, y.group_id FROM reach r JOIN s x ON x.group_id = r.b JOIN s y ON x.word = y.word),
@@ -259,7 +260,7 @@ def answer_parts(spark, sf):
     """Passages as cases, and the text of the best hit as their answer."""
     words = F.filter(F.split("query", r"\s+"), lambda w: F.length(w) >= 5)
     cases = V.passages(spark, sf).select(
-        F.col("query_id").alias("case_id"), F.slice(words, 1, 3).alias("expected_keywords"),
+        F.col("query_id").alias("case_id"), words.alias("expected_keywords"),
         F.array(F.lit("idiot|moron"), F.lit("Z")).alias("forbidden"), (F.col("query_id") % 9 == 8).alias("blocked"),
     )
     best = hits_of(spark, sf, 1).join(V.chunks(spark, sf).select("chunk_id", "text"), "chunk_id")
@@ -272,9 +273,9 @@ def answer_parts(spark, sf):
     return cases, answers
 
 
-ANSWER_SQL = f"""{BM25_SQL}, k AS (SELECT item_id AS case_id, lower(c.text) AS a, length(c.text) AS n,
-    list_filter(string_split_regex(b.text, '\\s+'), lambda w: length(w) >= 5)[1:3] AS kw FROM benchmark b JOIN r ON query_id = item_id AND bm25_rank = 1 JOIN c USING (chunk_id)),
-j AS (SELECT case_id, n, case_id % 9 = 8 AS expected_blocked, case_id % 4 = 0 AS blocked, case_id % 11 = 10 AS failed,
+ANSWER_SQL = f"""{BM25_SQL}, k AS (SELECT item_id AS case_id, lower(coalesce(c.text, '')) AS a, length(c.text) AS n, c.text IS NULL AS missing,
+    list_filter(string_split_regex(b.text, '\\s+'), lambda w: length(w) >= 5) AS kw FROM benchmark b LEFT JOIN r ON query_id = item_id AND bm25_rank = 1 LEFT JOIN c USING (chunk_id)),
+j AS (SELECT case_id, n, missing, case_id % 9 = 8 AS expected_blocked, case_id % 4 = 0 AND NOT missing AS blocked, case_id % 11 = 10 OR missing AS failed,
     len(list_filter(kw, lambda w: contains(a, lower(w)))) AS hit, len(kw) AS nkw,
     (CASE WHEN contains(a, 'idiot') OR contains(a, 'moron') THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(a, '(^|[^a-z0-9])z([^a-z0-9]|$)') THEN 1 ELSE 0 END) AS bad FROM k),
 pa AS (SELECT *, CASE WHEN expected_blocked THEN blocked AND NOT failed ELSE NOT failed AND NOT blocked AND hit = nkw AND bad = 0 END AS passed FROM j)"""
@@ -292,13 +293,14 @@ def e5(spark, sf):
 E5_SQL = f"""{ANSWER_SQL} SELECT count(*) AS cases, round(avg(CAST(passed AS INT)), 4) AS pass_rate,
   round(sum(hit) FILTER (WHERE NOT expected_blocked) / CAST(sum(nkw) FILTER (WHERE NOT expected_blocked) AS DOUBLE), 4) AS keyword_rate,
   count(*) FILTER (WHERE bad > 0) AS forbidden_violations, round(avg(CAST(blocked AS INT)) FILTER (WHERE expected_blocked), 4) AS block_accuracy,
-  count(*) FILTER (WHERE failed) AS errors, round(avg(case_id % 5), 2) AS avg_seconds, CAST(coalesce(sum(n) FILTER (WHERE case_id % 2 = 0), 0) AS BIGINT) AS total_input_tokens,
-  count(*) AS total_output_tokens, CAST(0 AS BIGINT) AS total_cache_read_tokens, CAST(0 AS BIGINT) AS total_cache_creation_tokens FROM pa"""
+  count(*) FILTER (WHERE failed) AS errors, round(avg(case_id % 5) FILTER (WHERE NOT missing), 2) AS avg_seconds, CAST(coalesce(sum(n) FILTER (WHERE case_id % 2 = 0), 0) AS BIGINT) AS total_input_tokens,
+  count(*) FILTER (WHERE NOT missing) AS total_output_tokens, CAST(0 AS BIGINT) AS total_cache_read_tokens, CAST(0 AS BIGINT) AS total_cache_creation_tokens FROM pa"""
 
 
 def e6(spark, sf):
-    a = eval_results(spark, sf, 4).select("case_id", F.col("hit").alias("good"), "skipped")
-    b = eval_results(spark, sf, 4).select("case_id", (F.col("hit") & (F.col("rank") == 1) & (F.col("case_id") % 3 != 0)).alias("good"), "skipped")
+    run = written(eval_results(spark, sf, 4).select("case_id", "rank", "hit", "skipped"), "run")
+    a = run.select("case_id", F.col("hit").alias("good"), "skipped")
+    b = run.select("case_id", (F.col("hit") & (F.col("rank") == 1) & (F.col("case_id") % 3 != 0)).alias("good"), "skipped")
     return E.compare_runs(b, a)
 
 
@@ -323,7 +325,7 @@ QUERIES = {
     "r1_postings": (r1, f"WITH {INDEX_SQL} SELECT token, chunk_id, tf, doc_len FROM post"),
     "r1_corpus_stats": (r1_stats, f"WITH {INDEX_SQL} SELECT n, round(avg_len, 6) AS avg_len FROM one"),
     "r2_idf": (r2, f"WITH {INDEX_SQL} SELECT token, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, one"),
-    "r3_bm25_top10": (r3, f"{BM25_SQL} SELECT query_id, bm25_rank, chunk_id, bm25 FROM r WHERE bm25_rank <= 10"),
+    "r3_bm25_top10": (r3, f"{BM25_SQL} SELECT query_id, bm25_rank, chunk_id, round(bm25, 6) AS bm25 FROM r WHERE bm25_rank <= 10"),
     "r4_synonym_groups": (r4, R4_SQL),
     "r5_synonym_expansion": (r5, R5_SQL),
     "r6_filtered_search": (r6, R6_SQL),

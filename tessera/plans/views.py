@@ -43,20 +43,32 @@ def markdown(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("doc_id").agg(body.alias("b")).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.concat(front, "b").alias("content"))
 
 
-#: The marking that a message gets by its place, and the level that it means.
-MARKS = (("", 0), ("대외비 ", 1), ("CONFIDENTIAL//REL ", 2), ("S//NF ", 3), ("II급 비밀 ", 3), ("TOP-SECRET//SI ", 4), ("군사기밀보호법 ", 0), ("", 0))
-
-
-def messages(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of conversations as messages of customers, some with a marking in front."""
-    c = read_table(spark, sf, "conversations")
-    mark = F.element_at(F.array(*[F.lit(m) for m, _ in MARKS]), ((F.col("conv_id") + F.col("turn")) % len(MARKS) + 1).cast("int"))
+#: The marking that a message gets by its place, the level that it means, and what is found of it.
+MARKS = (
+    ("", 0, ""), ("대외비 ", 1, "대외비"), ("CONFIDENTIAL//REL ", 2, "CONFIDENTIAL"), ("S//NF ", 3, "S//"), ("II급 비밀 ", 3, "II급 비밀"), ("TOP-SECRET//SI ", 4, "TOP-SECRET"),
+    ("군사기밀보호법 ", 0, ""), ("12급 비밀 ", 0, ""), ("Ⅱ급비밀 ", 3, "II급비밀"), ("비밀등급: II급 ", 3, "비밀등급: II급"), ("비밀 (III급) ", 2, "비밀 (III급)"), ("극비 ", 4, "극비"),
+    ("극비리에 ", 0, ""), ("RESTRICTED ", 1, "RESTRICTED"), ("FOUO ", 1, "FOUO"), ("FOR OFFICIAL USE ONLY ", 1, "FOR OFFICIAL USE ONLY"), ("(TS) ", 4, "(TS)"), ("C//X ", 2, "C//"),
+    ("비밀취급인가 갱신 절차 ", 0, ""), ("CLIENT_SECRET ", 0, ""), ("SECRET ", 3, "SECRET"), ("비밀 문서 ", 2, "비밀 문서"), ("III급 기밀 ", 2, "III급 기밀"), ("", 0, ""),
+)
+#: What follows every third message, and what is left of it.
+TAIL, TAIL_MASKED = " 010-1234-5678 a@b.kr", " [휴대전화] [이메일]"
+
+
+def marked(c: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as messages, some with a marking in front or a tail."""
+    place = F.col("conv_id") + F.col("turn")
+    mark = F.element_at(F.array(*[F.lit(m) for m, _, _ in MARKS]), (place % len(MARKS) + 1).cast("int"))
     return c.select(
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), F.concat(F.lit("u"), (F.col("conv_id") % 50).cast("string")).alias("user_id"),
-        "conv_id", "turn", F.concat(mark, "text").alias("text"),
+        "conv_id", "turn", F.concat(mark, "text", F.when(place % 3 == 0, TAIL).otherwise("")).alias("text"),
     )
 
 
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as messages of customers."""
+    return marked(read_table(spark, sf, "conversations"))
+
+
 def users(spark: SparkSession, sf: str) -> DataFrame:
     """customers as users: their key decides role, clearance and whether they are disabled."""
     return read_table(spark, sf, "customer").select(
@@ -81,5 +93,5 @@ SESSIONS_SQL = """SELECT CAST(o_orderkey % 5000 AS VARCHAR) AS session_id, 'u' |
 def attempts(spark: SparkSession, sf: str) -> DataFrame:
     """events as login attempts: an error is a failure, a signup a success."""
     return read_table(spark, sf, "events").where("event_type IN ('error', 'signup')").select(
-        (F.col("user_id") % 20).cast("string").alias("client_key"), F.col("event_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").alias("success")
+        F.col("user_id").cast("string").alias("client_key"), F.col("event_id").alias("attempt_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "signup").alias("success")
     )
