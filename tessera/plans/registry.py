@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import domain_queries, governance_queries, session_queries, stream_queries, structure_queries, text_queries
+from . import domain_queries, governance_queries, round_trips, session_queries, stream_queries, structure_queries, text_queries
 
-MODULES = (text_queries, governance_queries, session_queries, structure_queries, domain_queries, stream_queries)
+MODULES = (text_queries, governance_queries, session_queries, structure_queries, domain_queries, stream_queries, round_trips)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,14 @@ def upsert_stream(changes: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark, path: str) -> DataFrame:
+    """The sessions as the last batch of upsert_stream left them."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in place.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(place)]
+    return spark.read.parquet(f"{path}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+
+
 def index_stream(chunks: DataFrame, path: str, checkpoint: str, documents: bool = False) -> StreamingQuery:
     """New chunks (chunk_id, title, section, tags, category, text) appended below `path` as postings and lengths.
 
