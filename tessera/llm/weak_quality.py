@@ -16,8 +16,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .shared import table, written
 
@@ -32,8 +34,9 @@ ABUSE = ("insults", "second_person", "annotated_toxic")
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Words that the variety of a text is judged on at once.
 WINDOW = 2000
-#: Share of its votes in which an annotation is taken to be right.
-RIGHT = 0.998
+#: What is believed of annotations before the votes are seen: right in this share of their votes, and
+#: how many times the votes themselves that belief counts. EM estimates their accuracy from both.
+RIGHT, BELIEF = 0.998, 4.0
 # Common English insults that the lexicon labeller looks for.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#$%&*|!<>{}~^@=_\\", np.uint8))
@@ -127,10 +130,10 @@ def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def estimate(counts: dict[int, int], labellers: int, rounds: int = 500, trusted: tuple[int, ...] = ()) -> tuple[dict[int, float], np.ndarray]:
     """EM for the posterior of bad for each vote pattern, and each labeller's chances of a vote.
 
-    chances[j, class, vote], class 0 good and 1 bad. Starts from the majority of the votes. A
-    trusted labeller counts as right in RIGHT of its votes and speaks as often on either class;
-    where labellers overlap little, the votes alone leave open whether one misses what another
-    finds, or the other invents it.
+    chances[j, class, vote], class 0 good and 1 bad. Starts from the majority of the votes. For a
+    trusted labeller votes are added, BELIEF times as many as it gave, of which it is right in
+    RIGHT and which it gives as often on either class: where labellers overlap little, the votes
+    alone leave open whether one misses what another finds, or the other invents it.
     """
     patterns = np.array(sorted(counts), np.int64)
     n = np.array([counts[p] for p in patterns.tolist()], float)
@@ -138,14 +141,16 @@ def estimate(counts: dict[int, int], labellers: int, rounds: int = 500, trusted:
     bad, good = (v == BAD).sum(1), (v == GOOD).sum(1)
     post = np.clip(0.1 + 0.8 * np.where(bad > 0, (bad + 0.5) / (bad + 0.5 * good + 0.5), 0.0), 0.02, 0.98)
     chances = np.full((labellers, 2, 3), 1 / 3)
+    added = np.full((labellers, 2, 3), 0.5)
     for j in trusted:
         silent = (np.dot(n, v[:, j] == ABSTAIN) + 0.5) / (n.sum() + 1)
-        chances[j] = [[silent, (1 - silent) * RIGHT, (1 - silent) * (1 - RIGHT)], [silent, (1 - silent) * (1 - RIGHT), (1 - silent) * RIGHT]]
+        chances[j] = prior_j = [[silent, (1 - silent) * RIGHT, (1 - silent) * (1 - RIGHT)], [silent, (1 - silent) * (1 - RIGHT), (1 - silent) * RIGHT]]
+        added[j] += BELIEF * np.dot(n, v[:, j] != ABSTAIN) * np.array(prior_j)
     for _ in range(rounds):
         prior = (np.dot(n, post) + 1) / (n.sum() + 2)
-        for j in set(range(labellers)) - set(trusted):
+        for j in range(labellers):
             for c, p in enumerate((1 - post, post)):
-                s = np.array([np.dot(n, p * (v[:, j] == k)) for k in range(3)]) + 0.5
+                s = np.array([np.dot(n, p * (v[:, j] == k)) for k in range(3)]) + added[j, c]
                 chances[j, c] = s / s.sum()
         log = np.log([1 - prior, prior])[None] + sum(np.log(chances[j][:, v[:, j]]).T for j in range(labellers))
         log -= log.max(1, keepdims=True)
@@ -218,26 +223,24 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
         post[k], chances[k] = estimate(counts[k], len(names), trusted=(len(names) - 1,))  # the annotations
     # Annotated documents come first into the sample, then the others; by hash within both.
     last = 3 ** (len(ABUSE) - 1)
-    chosen = (
-        voted.withColumn("h", F.xxhash64("doc_id")).orderBy((F.col("abuse") < last).cast("int"), "h").limit(sample)
-    )
+    each = voted.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("noise", "abuse")).alias("v")).select("doc_id", "v.*")
+    chosen = each.withColumn("h", F.xxhash64("doc_id")).orderBy((F.col("abuse") < last).cast("int"), "h", "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [features(t.as_py() or b"") for t in b.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in f]), pa.array([v.tobytes() for _, v in f])],
-                ["noise", "abuse", "at", "val"],
+                [b.column(0), b.column(1), pa.array([a.tobytes() for a, _ in f], pa.binary()), pa.array([v.tobytes() for _, v in f], pa.binary()), b.column(3)],
+                ["noise", "abuse", "at", "val", "doc_id"],
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    taken = (
-        texts.join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
-        .select("noise", "abuse", "text")
-        .mapInArrow(run, "noise long, abuse long, at binary, val binary")
-        .limit(2 * sample)
-        .collect()
+    # At most `sample` ids; rows with one id and unlike texts count as the one with the least features.
+    made = (
+        texts.join(F.broadcast(chosen), "doc_id").select("noise", "abuse", "text", "doc_id")
+        .mapInArrow(run, "noise long, abuse long, at binary, val binary, doc_id long")
     )
+    taken = made.groupBy("doc_id").agg(F.min(F.struct("at", "val", "noise", "abuse")).alias("r")).select("r.*").collect()
     model = {"labellers": chances}
     for k in ("noise", "abuse"):
         heard = [r for r in taken if r[k]]  # some labeller has voted
@@ -247,26 +250,31 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Each row with its chances of noise and of abuse."""
+    """Each row with its chances of noise and of abuse; text_col may lie in a struct column that is kept (struct.field)."""
     (wn, bn), (wa, ba) = model["noise"], model["abuse"]
+    given = [f for f in docs.schema.fields if f.name not in ("p_noise", "p_abuse")] if keep_columns else []
+    outer, _, field = text_col.partition(".")
+    # A text that comes along anyway is not sent twice.
+    at = [f.name for f in given].index(outer) if keep_columns and outer in [f.name for f in given] else None
+    names = [f.name for f in given] if keep_columns else ["doc_id"]
+    names += ["p_noise", "p_abuse"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            texts = b.column(-1 if at is None else at)
+            if at is not None and field:
+                texts = pc.struct_field(texts, field)
             out = np.empty((b.num_rows, 2))
-            for i, t in enumerate(b.column(1).cast(pa.binary())):
-                at, val = features(t.as_py() or b"")
-                out[i] = wn[at] @ val + bn, wa[at] @ val + ba
+            for i, t in enumerate(texts.cast(pa.binary())):
+                places, val = features(t.as_py() or b"")
+                out[i] = wn[places] @ val + bn, wa[places] @ val + ba
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            given = list(b.columns[2:] if keep_columns else b.columns[:1])
-            yield pa.RecordBatch.from_arrays([*given, pa.array(p[:, 0]), pa.array(p[:, 1])], names)
+            kept = list(b.columns[: len(names) - 2])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(p[:, 0]), pa.array(p[:, 1])], names)
 
-    given = [f for f in docs.schema.fields if f.name not in ("p_noise", "p_abuse")] if keep_columns else []
-    key = [F.col(id_col).cast("long").alias("tessera_id"), F.col(text_col).alias("tessera_text")]
-    names = [f.name for f in given] if keep_columns else ["doc_id"]
-    names += ["p_noise", "p_abuse"]
-    kinds = [f.dataType.simpleString() for f in given] if keep_columns else ["bigint"]
-    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, [*kinds, "double", "double"]))
-    return docs.select(*key, *[F.col(f"`{f.name}`") for f in given]).mapInArrow(run, schema)
+    first = [F.col(f"`{f.name}`") for f in given] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
+    schema = StructType([*(given or [StructField("doc_id", LongType())]), StructField("p_noise", DoubleType()), StructField("p_abuse", DoubleType())])
+    return docs.select(*first, *([F.col(text_col).alias("tessera_text")] if at is None else [])).mapInArrow(run, schema)
 
 
 def classify(

@@ -43,6 +43,68 @@ def test_votes_see_all_words_of_long_texts():
     assert Q.variety([b"a", b"b"] * 1500) > 0.6 > Q.variety(distinct)
 
 
+def plain_em(votes, right=None, rounds=2000):
+    """EM over documents one by one: posteriors of bad. right: (labeller, share) that is believed in as Q.BELIEF says."""
+    n, labellers = len(votes), len(votes[0])
+    post = []
+    for v in votes:
+        bad, good = v.count(Q.BAD), v.count(Q.GOOD)
+        post.append(min(0.98, max(0.02, 0.1 + 0.8 * ((bad + 0.5) / (bad + 0.5 * good + 0.5) if bad else 0))))
+    for _ in range(rounds):
+        prior = (sum(post) + 1) / (n + 2)
+        table = {}
+        for j in range(labellers):
+            spoken = sum(v[j] != Q.ABSTAIN for v in votes)
+            silent = (n - spoken + 0.5) / (n + 1)
+            for c in (0, 1):
+                count = [0.5] * 3
+                if right and j == right[0]:
+                    for k, share in ((Q.ABSTAIN, silent), (Q.GOOD, (1 - silent) * (1 - right[1] if c else right[1])), (Q.BAD, (1 - silent) * (right[1] if c else 1 - right[1]))):
+                        count[k] += Q.BELIEF * spoken * share
+                for v, p in zip(votes, post):
+                    count[v[j]] += p if c else 1 - p
+                table[j, c] = [x / sum(count) for x in count]
+        new = []
+        for v in votes:
+            good, bad = 1 - prior, prior
+            for j in range(labellers):
+                good, bad = good * table[j, 0][v[j]], bad * table[j, 1][v[j]]
+            new.append(bad / (good + bad))
+        moved, post = max(abs(a - b) for a, b in zip(new, post)), new
+        if moved < 1e-6:
+            break
+    return post
+
+
+def test_votes_and_posteriors_by_brute_force(spark, sf):
+    """The counts of vote patterns are those of the documents one by one, and EM on counts is EM on documents."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    noise, abuse = {}, {}
+    for r in docs.collect():
+        q, t = known.get(r.doc_id, (None, None))
+        text = (r.text or "").encode()
+        noise[r.doc_id] = [*Q.noise_votes(text), {None: Q.ABSTAIN, 1: Q.GOOD, 0: Q.BAD}[q]]
+        abuse[r.doc_id] = [*Q.abuse_votes(text), {None: Q.ABSTAIN, 0: Q.GOOD, 1: Q.BAD}[t]]
+    code = lambda v: sum(x * 3**i for i, x in enumerate(v))
+    got = {r.doc_id: (r.noise, r.abuse) for r in Q.annotate(docs, labels, "doc_id", "text").collect()}
+    assert got == {i: (code(noise[i]), code(abuse[i])) for i in noise}
+    for votes in (noise, abuse):
+        codes, last = [code(v) for v in votes.values()], len(next(iter(votes.values()))) - 1
+        post, _ = Q.estimate({c: codes.count(c) for c in codes}, last + 1, trusted=(last,))
+        assert max(abs(post[c] - p) for c, p in zip(codes, plain_em(list(votes.values()), (last, Q.RIGHT)))) < 1e-3
+
+
+def test_training_is_the_same_in_any_order(spark, sf):
+    """Repeated ids with unlike texts, ties and another dealing of rows change nothing."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.union(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("you are an idiot"))).withColumn("keep", F.lit(7))
+    a, b = (sorted((r.doc_id, round(r.p_noise, 9), round(r.p_abuse, 9)) for r in Q.classify(d, labels).collect()) for d in (docs, docs.repartition(5)))
+    assert a == b and len(a) == docs.count()
+    empty = Q.classify(docs.limit(0), labels)
+    assert empty.count() == 0 and {"doc_id", "p_noise", "p_abuse", "keep"} <= set(empty.columns)
+
+
 def test_estimated_chances_are_near_the_true_ones():
     rng = np.random.default_rng(3)
     truth = rng.random(20000) < 0.3
