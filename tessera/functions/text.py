@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -164,16 +164,25 @@ def embed(df: DataFrame, key: str, text: str, embedder=None, batch: int = 1024)
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, vector array<double>")
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it (an expression is copied to each use)."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def running_sums(x: Column) -> Column:
     """Sums of all elements before each: in groups of about the root of their number, as a fold copies what it has at each step."""
     def scan(a: Column) -> Column:
         return F.aggregate(a, F.array(F.lit(0)), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
 
-    width = F.greatest(F.ceil(F.sqrt(F.size(x))), F.lit(1)).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / width).cast("int")), lambda k: F.slice(x, k * width + 1, width))
-    heads = scan(F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, v: a + v)))
-    whole = F.zip_with(groups, F.slice(heads, 1, F.size(groups)), lambda g, h: F.transform(F.slice(scan(g), 1, F.size(g)), lambda v: v + h))
-    return F.when(F.size(x) > 0, F.flatten(whole)).otherwise(F.array().cast("array<int>"))
+    def cut(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda k: F.slice(v, k * width + 1, width))
+
+    def summed(groups: Column) -> Column:
+        heads = scan(F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda a, v: a + v)))
+        return F.flatten(F.zip_with(groups, F.slice(heads, 1, F.size(groups)), lambda g, h: F.transform(F.slice(scan(g), 1, F.size(g)), lambda v: v + h)))
+
+    return let(x, lambda v: F.when(F.size(v) > 0, let(cut(v), summed)).otherwise(F.array().cast("array<int>")))
 
 
 def best_windows(df: DataFrame, text: str, query: str, size: int, key: list[str]) -> DataFrame:

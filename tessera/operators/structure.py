@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 CHUNK_CHARS, HEADING_CHARS = 1200, 60
 # Keys of the front matter.
 KNOWN = ("title", "category", "effective_date", "version", "source_file", "tags")
@@ -131,10 +133,15 @@ def _packed(items: Column, limit: int, joiner: str, joiner_counts: int) -> Colum
             F.when(full, n).otherwise(grown).alias("size"), (a["i"] + 1).alias("i"),
         )
 
-    begins = F.aggregate(F.transform(items, lambda x: F.length(x)), first, step, lambda a: a["begins"])
-    ends = F.concat(F.slice(begins, 2, F.size(items) + 1), F.array(F.size(items) + 1))
-    cut = F.zip_with(begins, ends, lambda b, e: F.array_join(F.slice(items, b, e - b), joiner))
-    return F.when(F.size(items) > 0, cut).otherwise(F.array().cast("array<string>"))
+    def cut(all_: Column, begins: Column) -> Column:
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(all_) + 1))
+        return F.zip_with(begins, ends, lambda b, e: F.array_join(F.slice(all_, b, e - b), joiner))
+
+    def packed(all_: Column) -> Column:
+        begins = F.aggregate(F.transform(all_, lambda x: F.length(x)), first, step, lambda a: a["begins"])
+        return F.when(F.size(all_) > 0, let(begins, lambda b: cut(all_, b))).otherwise(F.array().cast("array<string>"))
+
+    return let(items, packed)
 
 
 def paragraphs(text: Column, limit: int = CHUNK_CHARS) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import with_normalised
 from ..operators import governance as G
 from ..operators import sessions as S
 from ..sources.files import read_table
@@ -48,6 +49,51 @@ def c4(spark, sf):
     return d.select("conv_id", "turn", "level", "max_level", "blocked")
 
 
+#: Questions, and whether they only ask what a grade means.
+ASKED = (
+    ("II급 비밀이 뭐야?", True), ("I급 비밀과 II급 비밀 차이", True), ("SECRET의 정의", True), ("군사기밀이란?", True), ("II급 비밀 문서 요약해 줘", False), ("Ⅲ급 비밀은 무엇인가요?", True),
+    ("CONFIDENTIAL 자료를 보내줘", False), ("TOP SECRET 의미", True), ("", False), ("비밀이 뭐야", False),
+)
+#: What is masked, alone and in what is no match, and what is left (reference rows of the rules).
+MASKS = (
+    ("집결지 37.5665N 126.9780E 로 이동", "집결지 [좌표] 로 이동"), ("버전 10.1.2.3 릴리스 노트", "버전 10.1.2.3 릴리스 노트"), ("오차 0.001, 0.002", "오차 0.001, 0.002"), ("FY24-12345 예산", "FY24-12345 예산"),
+    ("내 번호는 010-1234-5678 이야", "내 번호는 [휴대전화] 이야"), ("tel 02)123-4567", "tel [전화번호]"), ("no. 900101-1234567", "no. [주민등록번호]"), ("a@b.com 10.1.2.3, 192.168.0.1 999", "[이메일] [내부IP], [내부IP] 999"),
+    ("host 10.1.2.300", "host 10.1.2.300"), ("at 52S CG 12345 67890", "at [좌표]"), ("at 99S CG 12345 67890", "at 99S CG 12345 67890"), ("at 51S CG 12345 67890", "at 51S CG 12345 67890"), ("at 37.5665, 126.9780", "at [좌표]"),
+    ("at 95.1234, 45.6789, 120.4567", "at 95.1234, 45.6789, 120.4567"), ("at 37.5665 126.9780", "at [좌표]"), ("no. 24-12345678", "no. [군번]"), ("펌웨어: 10.2.3.4 그리고 10.2.3.4", "펌웨어: 10.2.3.4 그리고 [내부IP]"),
+    ("at 52S CG 1234567", "at 52S CG 1234567"), ("at 90.000, 180.000", "at [좌표]"), ("at 90.001, 100.000", "at 90.001, 100.000"),
+)
+DIGITS, WIDE = "0123456789", "０１２３４５６７８９"
+
+
+def listed(spark, sf, rows, name: str):
+    """part with a text from a short list by its key."""
+    n = F.element_at(F.array(*[F.lit(t) for t, _ in rows]), (F.col("p_partkey") % len(rows) + 1).cast("int"))
+    return read_table(spark, sf, "part").select("p_partkey", n.alias(name))
+
+
+def listed_sql(values) -> str:
+    values = list(values)
+    quoted = [str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" for v in values]
+    return f"CASE p_partkey % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(quoted)) + " END"
+
+
+def c2(spark, sf):
+    d = with_normalised(listed(spark, sf, ASKED, "q"), "q", "view")
+    return d.select("p_partkey", G.is_concept_question(F.col("view")).alias("asks"))
+
+
+def c5_rows(spark, sf):
+    """Texts of every rule, between the part's name and brand."""
+    d = listed(spark, sf, MASKS, "t").join(read_table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey")
+    return G.mask(d.withColumn("text", F.concat("t", F.lit(" | "), "p_brand"))).select("p_partkey", "masked", F.col("mask_total").cast("long").alias("mask_total"))
+
+
+def c6(spark, sf):
+    """The same with digits in full width: masked by what they count as, in the text as it is."""
+    d = listed(spark, sf, MASKS, "t").withColumn("text", F.translate("t", DIGITS, WIDE))
+    return G.mask(d).select("p_partkey", "masked")
+
+
 def c5(spark, sf):
     """All rules over all documents."""
     return G.mask(read_table(spark, sf, "documents")).select("doc_id", F.col("mask_total").cast("long").alias("mask_total"), F.md5("masked").alias("masked_md5"))
@@ -112,6 +158,9 @@ SINKS_SQL = f"WITH {GATED_SQL} SELECT conv_id, turn, CASE WHEN level > max_level
 
 QUERIES = {
     "c1_markings": (c1, C1_SQL),
+    "c2_concept_questions": (c2, f"SELECT p_partkey, {listed_sql(a for _, a in ASKED)} AS asks FROM part"),
+    "c5_masked_rows": (c5_rows, f"SELECT p_partkey, {listed_sql(m for _, m in MASKS)} || ' | ' || p_brand AS masked, CAST(len(regexp_extract_all({listed_sql(m for _, m in MASKS)}, '[[][^]]+[]]')) AS BIGINT) AS mask_total FROM part"),
+    "c6_odd_texts": (c6, f"SELECT p_partkey, translate({listed_sql(m for _, m in MASKS)}, '{DIGITS}', '{WIDE}') AS masked FROM part"),
     "c3_level_aliases": (c3, C3_SQL),
     "c4_clearance_gate": (c4, f"WITH {GATED_SQL} SELECT conv_id, turn, level, max_level, level > max_level AS blocked FROM g"),
     "c5_masking": (c5, None),

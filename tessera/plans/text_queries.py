@@ -30,6 +30,20 @@ s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df +
 BM25_SQL = f"WITH {INDEX_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS bm25_rank FROM s WHERE bm25 > 0)"
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in LETTERS)
+
+
+def t1(spark, sf):
+    """Documents whose ASCII letters and digits are written in full width, with format characters between, brought back."""
+    odd = F.regexp_replace(F.translate("text", LETTERS, WIDE), " ", "\u200b \u00ad")
+    d = T.with_normalised(read_table(spark, sf, "documents").withColumn("odd", odd), "odd", "plain")
+    return d.select("doc_id", F.md5("plain").alias("plain_md5"), (F.length("odd") - F.length("plain")).cast("long").alias("n_less"))
+
+
+T1_SQL = "SELECT doc_id, md5(nfc_normalize(text)) AS plain_md5, CAST(2 * (length(text) - length(replace(text, ' ', ''))) AS BIGINT) AS n_less FROM documents"
+
+
 def t2(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
@@ -140,6 +154,53 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm
 SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM o WHERE rank <= 4"""
 
 
+def r8(spark, sf):
+    """The lexical candidates of each passage in one language: twenty, and their places."""
+    kept = R.allowed(V.chunks(spark, sf), category="DE").select("chunk_id")
+    lexical = R.bm25(V.passages(spark, sf), R.build_index(V.chunks(spark, sf))).join(kept, "chunk_id", "left_semi")
+    return R.ranked(lexical, "bm25", "bm25_rank", 20).select("query_id", "chunk_id", "bm25_rank")
+
+
+R8_SQL = f"""WITH {INDEX_SQL}, f AS (SELECT s.* FROM s JOIN c USING (chunk_id) WHERE bm25 > 0 AND lower(category) = 'de'),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS bm25_rank FROM f) SELECT query_id, chunk_id, bm25_rank FROM r WHERE bm25_rank <= 20"""
+
+
+def r10(spark, sf):
+    """Search without vectors: the four best by BM25 alone, scaled to ten."""
+    return hits_of(spark, sf, 4).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "vector_rank")
+
+
+R10_SQL = f"""{BM25_SQL}, x AS (SELECT query_id, chunk_id, bm25_rank, round(bm25 / max(bm25) OVER (PARTITION BY query_id) * 10, 9) AS score FROM r WHERE bm25_rank <= 20),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm25_rank, chunk_id) AS rank FROM x)
+SELECT query_id, rank, chunk_id, round(score, 6) AS score, CAST(NULL AS INT) AS vector_rank FROM o WHERE rank <= 4"""
+
+
+def letter_counts(texts: list) -> list:
+    """An embedder for r13: how often each of three letters occurs."""
+    return [[float((t or "").count(c)) for c in "etn"] for t in texts]
+
+
+def r13(spark, sf):
+    """Vectors by a function of the caller's."""
+    d = T.embed(read_table(spark, sf, "documents"), "doc_id", "text", letter_counts)
+    return d.select("doc_id", *[F.round(F.col("vector")[i], 9).alias(c) for i, c in enumerate("etn")])
+
+
+R13_SQL = """WITH n AS (SELECT doc_id, length(text) - length(replace(text, 'e', '')) AS e, length(text) - length(replace(text, 't', '')) AS t, length(text) - length(replace(text, 'n', '')) AS n FROM documents),
+l AS (SELECT *, sqrt(CAST(e * e + t * t + n * n AS DOUBLE)) AS l FROM n)
+SELECT doc_id, round(CASE WHEN l > 0 THEN e / l ELSE 0 END, 9) AS e, round(CASE WHEN l > 0 THEN t / l ELSE 0 END, 9) AS t, round(CASE WHEN l > 0 THEN n / l ELSE 0 END, 9) AS n FROM l"""
+
+
+def e3(spark, sf):
+    """Documents that hold one of several words, or a letter that stands alone."""
+    found = {"abuse": "idiot| Moron ", "alone": "z", "none": " | ", "licence": "apache|nothing"}
+    return read_table(spark, sf, "documents").select("doc_id", *[E.keyword_present(F.col("text"), F.lit(k)).alias(n) for n, k in found.items()])
+
+
+E3_SQL = """SELECT doc_id, contains(t, 'idiot') OR contains(t, 'moron') AS abuse, regexp_matches(t, '(^|[^a-z0-9])z([^a-z0-9]|$)') AS alone, false AS none,
+  contains(t, 'apache') OR contains(t, 'nothing') AS licence FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)"""
+
+
 def r7(spark, sf):
     e = read_table(spark, sf, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -314,6 +375,11 @@ def e8(spark, sf):
 
 
 QUERIES = {
+    "t1_normalised": (t1, T1_SQL),
+    "r8_candidates": (r8, R8_SQL),
+    "r10_bm25_search": (r10, R10_SQL),
+    "r13_embedder": (r13, R13_SQL),
+    "e3_keywords": (e3, E3_SQL),
     "t2_tokens": (t2, T2_SQL),
     "t3_term_counts": (t3, T3_SQL),
     "t4_ngram_vectors": (t4, T4_SQL),
