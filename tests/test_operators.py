@@ -108,3 +108,87 @@ def test_forms(spark):
     r = G.fill_forms(spark.createDataFrame([("스팟렙", {"size": "3", "zz": "1"}), ("nope", None)], "kind string, fields map<string,string>")).collect()
     assert r[0].form == "SPOTREP" and len(r[0].missing) == 6 and r[0].unknown == ["zz"] and "Size): 3" in r[0].report
     assert r[1].form is None and r[1].report is None
+
+
+def test_chains_of_synonyms_end_in_one_group(spark):
+    groups = spark.createDataFrame([(i, [f"w{i}", f"W{i + 1}"]) for i in range(80)] + [(200, ["a", "b"])], "group_id int, words array<string>")
+    got = R.synonym_groups(groups).groupBy("group_id").count().collect()
+    assert {r.group_id: r["count"] for r in got} == {0: 160, 200: 2}
+
+
+def test_vectors_that_cannot_take_part(spark):
+    kind = "chunk_id long, vector array<double>"
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, [2.0, 2.0]), (6, []), (7, [1.0, None]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0]), (None, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, kind)
+    asked = spark.createDataFrame([(1, [3.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query_id long, vector array<double>")
+    got = sorted((r.query_id, r.vector_rank, r.chunk_id, round(r.cosine, 6)) for r in R.vector_top(vectors, asked, 3).collect())
+    assert got == [(1, 1, 1, 1.0), (1, 2, 9, 1.0), (1, 3, 5, 0.707107), (3, 1, 1, 0.0), (3, 2, 4, 0.0), (3, 3, 5, 0.0)]
+    assert R.vector_top(vectors, asked.limit(0), 3).count() == 0 == R.vector_top(vectors.limit(0), asked, 3).count()
+
+
+def test_expansion_looks_at_the_whole_text(spark):
+    words = spark.createDataFrame([(0, "ab", 0), (0, "Long Word", 1), (1, "zz", 0), (1, "q", 1)], "group_id int, word string, pos int")
+    q = spark.createDataFrame([(1, "x " * 5000 + "\nthe LONG WORDs"), (2, "y"), (3, "Q"), (4, None)], "query_id int, query string")
+    got = {r.query_id: r.expanded for r in R.expand(q, words).collect()}
+    assert got[1].endswith("WORDs ab") and got[2] == "y" and got[3] == "Q zz" and got[4] is None
+
+
+def test_cases_without_an_answer_fail(spark):
+    cases = spark.createDataFrame([(1, ["a"], [], False, "x"), (2, ["b"], [], False, "x"), (3, [], [], True, "y")], "case_id int, expected_keywords array<string>, forbidden array<string>, blocked boolean, category string")
+    answers = spark.createDataFrame([(1, "A!", False, None, 1.0, 2, None, None, None)], "case_id int, answer string, blocked boolean, error string, seconds double, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long")
+    r = E.answer_results(cases, answers)
+    assert {x.case_id: (x.passed, x.error) for x in r.collect()} == {1: (True, None), 2: (False, "no answer"), 3: (False, "no answer")}
+    m = E.answer_metrics(r).first()
+    assert (m.cases, m.pass_rate, m.errors, m.keyword_rate) == (3, 0.3333, 2, 0.5)
+    assert [x.case_id for x in E.sliced(cases, "x", 1).collect()] == [1] and E.sliced(cases, limit=2).count() == 2 and E.sliced(cases, "y").count() == 1
+
+
+def test_users_and_sessions(spark):
+    users = spark.createDataFrame([("a", 1), ("b", 2)], "username string, clearance int")
+    assert S.user_count(users).first().n == 2 and S.user_named(users, "b").first().clearance == 2 and S.user_named(users, "z").count() == 0
+    sessions = spark.createDataFrame([("s1", "a"), ("s2", "a"), ("s3", "b"), ("s4", "b")], "session_id string, username string")
+    gone = spark.createDataFrame([("s1", "a"), ("s2", "b"), ("s3", None)], "session_id string, username string")
+    assert sorted(r.session_id for r in S.without_sessions(sessions, gone).collect()) == ["s2", "s4"]
+    said = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q"), (2, 1, "user", "again")], "conv_id int, turn int, role string, text string")
+    assert [tuple(r) for r in S.pending_question(said).collect()] == [(2, 1, "again")]
+
+
+def test_pending_questions_go_along_if_they_fit(spark):
+    asked = spark.createDataFrame([(1, 50, 20), (2, 50, 60), (3, 50, None), (4, 200, 1), (5, 90, 10)], "query_id int, base_cost int, pending_cost int")
+    hits = spark.createDataFrame([(i, r, 10) for i in (1, 2, 3, 4) for r in (1, 2, 3)], "query_id int, rank int, cost int")
+    got = {r.query_id: (r.n_hits, r.status, r.merged) for r in S.fitted_hits(asked, hits, 100).collect()}
+    assert got == {1: (3, "fitted", True), 2: (3, "fitted", False), 3: (3, "fitted", False), 4: (0, "rejected", False), 5: (0, "no_documents", True)}
+
+
+def test_zone_letters(spark):
+    got = {r.h: r.z for r in spark.range(-14, 15).select(F.col("id").alias("h"), G.zone_letter(F.col("id")).alias("z")).collect()}
+    assert got[0] == "Z" and got[9] == "I" and got[10] == "K" and got[12] == "M" and got[-1] == "N" and got[-12] == "Y" and got[13] is None and got[-13] is None
+
+
+def test_units(spark):
+    rows = [(100.0, "mil", "deg", 5.625), (20.0, "kn", "km/h", 37.04), (37.0, "C", "℉", 98.6), (0.0, "섭씨", "k", 273.15), (1.0, "kg", "m", None), (1.0, "?", "m", None), (None, "m", "km", None), (5.0, " Mile ", "km", None)]
+    d = G.with_converted(spark.createDataFrame(rows, "x double, a string, b string, e double"), "x", "a", "b", "g").collect()
+    assert all((r.e is None) == (r.g is None) and (r.e is None or abs(r.e - r.g) < 1e-9) for r in d), d
+    shown = spark.createDataFrame([(0.0,), (1234567.0,), (0.00012345,), (-2.5,), (None,)], "x double").select(G.significant(F.col("x"))).collect()
+    assert [r[0] for r in shown] == ["0", "1,234,567", "0.0001234", "-2.5", None] or [r[0] for r in shown][2] == "0.0001235"
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 3, 10, 101)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x array<int>").select(T.running_sums(F.col("x"))).collect()]
+    assert got == [[sum(x[:i]) for i in range(len(x))] for (x,) in rows]
+
+
+def test_lockouts_over_batches_and_many_keys(spark):
+    """One key with very many attempts, and others, against a plain walk."""
+    import random
+
+    rng = random.Random(1)
+    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(40)}", i, rng.randrange(40000), rng.random() < 0.2) for i in range(30000)]
+    d = spark.createDataFrame(rows, "client_key string, attempt_id long, s long, success boolean").withColumn("ts", F.timestamp_seconds("s"))
+    recent, expected = {}, {}
+    for k, i, t, ok in sorted(rows, key=lambda r: (r[2], r[1])):
+        mine = [x for x in recent.get(k, []) if t - x < 600]
+        expected[i] = (len(mine) >= 5, len(mine))
+        recent[k] = mine if len(mine) >= 5 else [] if ok else [*mine, t]
+    assert {r.attempt_id: (r.locked, r.failures) for r in S.lockouts(d).collect()} == expected

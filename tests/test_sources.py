@@ -93,3 +93,39 @@ def test_upsert_and_index_streams_equal_their_batch_forms(spark, tmp_path):
 
     names = ["token", "chunk_id", "tf", "doc_len"]
     assert sorted(map(tuple, ST.read_index(spark, f"{tmp_path}/post")["postings"].select(*names).collect())) == sorted(map(tuple, build_index(chunks)["postings"].select(*names).collect()))
+
+
+def test_index_stream_of_documents(spark, tmp_path):
+    """Documents come as Markdown; chunks without a token count in the number and mean length of chunks."""
+    docs = [("a", "a.md", "---\ntitle: T\n---\n## S\nalpha beta"), ("b", "b.md", "## !!\n---"), ("c", "c.md", "gamma")]
+    for i, d in enumerate(docs):
+        spark.createDataFrame([d], "doc_id string, source string, content string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    s = ST.read_stream(spark, f"{tmp_path}/in/*", "doc_id string, source string, content string")
+    ST.index_stream(s, f"{tmp_path}/out", f"{tmp_path}/ck", documents=True).awaitTermination()
+    i = ST.read_index(spark, f"{tmp_path}/out")
+    stats = i["corpus_stats"].first()
+    assert stats.n == 3 and abs(stats.avg_len - i["lengths"].agg(F.avg("doc_len")).first()[0]) < 1e-12
+    assert {r.token for r in i["token_stats"].collect()} >= {"alpha", "beta", "gamma", "t", "s"}
+
+
+def test_lockout_state_goes_with_a_success(spark, tmp_path):
+    rows = [("k", 1, "2024-01-01 00:00:00", False), ("k", 2, "2024-01-01 00:00:01", True), ("j", 3, "2024-01-01 00:00:02", False)]
+    d = spark.createDataFrame(rows, "client_key string, attempt_id long, ts string, success boolean").withColumn("ts", F.to_timestamp("ts"))
+    d.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = ST.lockout_stream(ST.read_stream(spark, f"{tmp_path}/in", d.schema))
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(p["numRowsTotal"] for p in q.recentProgress[0]["stateOperators"]) == 1  # that of j alone
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    p = tmp_path / "long.jsonl"
+    p.write_text("\n".join(json.dumps({"event": f"e{i}", "input_chars": i}) for i in range(1, 3001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        got = [(r.line_no, r.input_chars) for r in X.read_audit(spark, str(p)).orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, i) for i in range(1, 3001)]
