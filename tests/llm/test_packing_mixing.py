@@ -53,6 +53,28 @@ def test_odd_texts_and_edges(spark):
     assert all(len(r.ids) == 4 * r.length for r in ids)
 
 
+def test_other_tokenizers_are_not_cut_word_by_word(spark, tmp_path):
+    """A tokenizer that splits or normalises in another way goes through itself, and gives its own ids."""
+    import glob
+    import json
+    import os
+
+    path = P.default_tokenizer()
+    assert P.by_words(path)
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    rules["normalizer"] = None
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(rules, f)
+    found = [other, *[x for x in glob.glob(os.path.join(os.path.dirname(path), "*.json")) if x != path][:1]]
+    for x in found:
+        tok, ids = Tokenizer.from_file(x), P.tokenized(x)
+        assert not P.by_words(x)
+        for t in ODD:
+            assert np.frombuffer(ids(t or ""), "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids
+
+
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plan_gives_every_document_a_place(counts):
     used, ranks = {}, {n: [] for n in counts}
@@ -91,3 +113,21 @@ def test_mixing_edges(spark):
     assert all(abs(t - k) <= 3 for t, k, _ in by.values())
     assert sorted(map(tuple, M.mix(spark.createDataFrame(rows, kind)).select("doc_id", "taken").collect()), key=str) == sorted(((r.doc_id, r.taken) for r in got), key=str)
     assert M.mix(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_repeated_rows_share_the_end_of_the_fraction(spark):
+    """A hundred rows of one id come near their target together, and so do rows without ids."""
+    for ids in ([7] * 100, [None] * 100, list(range(100))):
+        rows = [(i, "word " * 4, "s") for i in ids] + [(1000 + i, "w " * 8, "t") for i in range(40)]
+        got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        for source in "st":
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5 * 100 and all(r.taken <= 2 * r.size for r in mine)
+
+
+def test_slices_are_even_for_any_keys(spark):
+    """Texts without blanks have low weights and so large keys: no slice holds much more than its share."""
+    rows = [(i, "x" * 4000, "s") for i in range(1500)] + [(5000 + i, "good words here ok", "s") for i in range(1500)]
+    d = M.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    n = [r["count"] for r in M.sliced(d).groupBy("slice").count().collect()]
+    assert len(n) > 25 and max(n) < 3 * 3000 / len(n)

@@ -149,6 +149,23 @@ def test_warc_round_trip(spark, sf):
         assert got == sorted(expected, key=str)
 
 
+def test_repeated_keys_over_blocks_and_parts(spark):
+    """Rows with one url and id are a record each, though they fill blocks and parts; shared digests joined without a broadcast give the same types."""
+    rows = [(5, "http://a.b/", f"page {i % 37}") for i in range(90)] + [(None, None, f"x{i}") for i in range(30)] + [(6, "http://a.b/", "page 1"), (4, "http://a.b/", "big " * 400000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = sorted((tuple(r) for r in W.round_trip(pages, archive_bytes=900, block_lines=4).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    top = {}
+    for i, _, h in rows:
+        top[h] = max(top.get(h, -1), -1 if i is None else i)
+    expected = []
+    for i, _, h in rows:
+        again = top[h] != -1 and i != top[h]
+        expected.append((i, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if again else "response", top[h] if again else None))
+    assert got == sorted(expected, key=str)
+    a, b = (sorted(map(str, W.with_types(pages, broadcast_rows=n).drop("html", "salt").collect())) for n in (0, 1000))
+    assert a == b
+
+
 def test_archives_hold_whole_payloads(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     archives, places = W.write_archives(W.with_types(pages, min_bytes=1 << 40), 30000)
@@ -204,6 +221,41 @@ def test_long_chains_of_calls(spark):
     assert sorted(r.depth for r in TC.depths(d).collect()) == list(range(n))
 
 
+def test_cycles_end_soon_and_arguments_may_be_anything(spark):
+    deep = "[" * 100000 + "]" * 100000
+    texts = ['{"query":"\\ud800"}', '{"query":NaN}', '{"query":"q","limit":1e999}', deep, "", "null", '{"text":"\\ud83d\\ude00","tags":[]}', '{"query":"' + "long " * 300000 + '"}', '{"\\udc00":1,"query":"q"}']
+    kind = "conv_id long, turn long, call_id string, name string, arguments string, parent string"
+    rows = [(1, i, f"c{i}", "note" if "tags" in t else "search", t, f"c{i ^ 1}" if i < 2 else None) for i, t in enumerate(texts)]
+    calls = spark.createDataFrame(rows, kind)
+    got = {r.turn: r for r in TC.link(calls, spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")).collect()}
+    assert [got[i].status for i in range(3)] == ["cyclic", "cyclic", "unanswered"]
+    assert got[0].valid and json.loads(got[0].canonical)["arguments"] == {"query": "\ud800"} and "\\ud800" in got[0].canonical
+    assert all(got[i].violations == ["not JSON"] for i in (1, 2, 3, 4)) and got[5].violations == ["$: not object"]
+    assert got[6].valid and "\U0001f600" in got[6].canonical and got[7].valid and got[8].violations == ["$.\\udc00: unknown"]
+    assert all("NaN" not in r.canonical and "Infinity" not in r.canonical for r in got.values())
+
+
+def test_calls_with_several_parents(spark):
+    """Depth is that of the longest chain, over forks, chains between them, repeats and cycles."""
+    rng = np.random.default_rng(2)
+    up = {}
+    for i in range(120):
+        up[i] = sorted(set(rng.integers(max(0, i - 9), i, rng.integers(0, 4)).tolist())) if i % 10 else []
+    up |= {200: [201, 5], 201: [200], 202: [201, 3], 203: [202], 204: [999, 4]}  # a cycle, what stands on it, and a parent that is none
+    rows = [(c, f"c{i}", [f"c{j}" for j in up[i]] or None) for i in up for c in (1, 2)]
+    rows += [(1, "c7", None), (None, "c1", ["c0"]), (1, None, ["c1"])]
+    d = spark.createDataFrame(rows, "conv_id long, call_id string, parent array<string>")
+
+    def depth(i, seen=()):
+        if i in seen:
+            return None
+        below = [depth(j, (*seen, i)) for j in up[i] if j in up]
+        return None if None in below else 1 + max(below, default=-1)
+
+    got = {(r.conv_id, r.call_id): r.depth for r in TC.depths(d).collect()}
+    assert got == {(c, f"c{i}"): depth(i) for i in up for c in (1, 2)} | {(None, "c1"): 0}
+
+
 def song(n, seed):
     t, g = np.arange(256) / 2048, np.random.default_rng(seed)
     return np.concatenate([9000 * np.sin(2 * np.pi * 220 * 2 ** (g.integers(24) / 12) * t) for _ in range(n)])
@@ -330,5 +382,41 @@ def test_stages_keep_rows_with_null_or_equal_ids(spark, sf):
     assert sum(passage in t for _, t in got) == 1 and sum(t.startswith(f) for _, t in got) == 1
 
 
+def test_stages_on_edges(spark, sf, tmp_path):
+    """Every stage: an empty table; null, empty and very long texts; null and repeated ids; repeated rows; more columns with odd names."""
+    rng = np.random.default_rng(8)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60000))
+    text = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**6, n))
+    a, b = text(80), text(80)
+    rows = [(1, None, "s"), (2, "", None), (3, a, "s"), (3, b, None), (None, a + " more", "s"), (None, text(30), "t"), (7, b, "t"), (7, b, "t"), (9, long, "s"), (10, "one", "t")]
+    names = ["row", "rest", "doc", "text2", "p_noise", "keep", "size", "taken", "key", "__id", "spans"]
+    d = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        d = d.withColumn(n, F.concat(F.lit("x-"), F.col("doc_id").cast("string")))
+    d.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0
+        got = stage(spark, docs, sf)
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in got.collect()} == {r[0] for r in rows} and got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] == 2048
+            continue
+        assert got.columns == docs.columns == empty.columns
+        kept = got.collect()
+        assert all(r[n] == (None if r.doc_id is None else f"x-{r.doc_id}") for r in kept for n in names)
+        texts = sorted(((r.doc_id, r.text) for r in kept), key=str)
+        if name == "quality_classifier":
+            assert len(kept) == len(rows)
+        elif name == "simhash_near_dedup":
+            left = sorted([(i, t) for i, t, _ in rows if (i, t) not in ((2, ""), (7, b), (None, a + " more"))], key=str)
+            assert texts == left
+        elif name == "suffix_array_dedup":
+            assert (1, None) in texts and (2, "") in texts and (9, long) in texts and texts.count((7, b)) == 0 and sum(r.doc_id == 7 for r in kept) == 0
+            assert [r.text for r in kept if r.doc_id is None and r.text.endswith(" more")] == [" more"]
+        else:
+            assert {r.doc_id for r in kept} <= {r[0] for r in rows}
+
+
 def test_registry():
     assert [k.split("_")[0] for k in registry.queries()] == [f"op{i}" for i in range(1, 11)]

@@ -112,3 +112,15 @@ def test_small_and_distant_distrust_blocks(spark):
     rank = LT.personalised_rank(LT.reversed_edges(edges), seeds, rounds=None).withColumn("rank", LT.rounded(F.col("rank")))
     ranks = {r.host: r["rank"] for r in rank.collect()}
     assert all(ranks[f"h{i}.net"] > 0 for i in range(1, 17)) and 0 < ranks["far.net"] < 5e-11
+
+
+def test_a_table_of_rules_is_the_list_of_rules(spark, sf):
+    """The joined form gives what the expression gives, and takes more rules than an expression could."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("host", LT.host_of()).withColumn("path", LT.path_of())
+    rules = [*LT.RULES, ("block", "org", "/"), ("block", "com", ""), ("allow", "com", "")]
+    table = spark.createDataFrame(rules, "verdict string, host string, path string")
+    a, b = (sorted((r.page_id, r["__r"]) for r in LT.with_rules(pages, x).select("page_id", "__r").collect()) for x in (tuple(rules), table))
+    assert a == b and len({r for _, r in a}) > 2
+    many = tuple([*rules, *[("block", f"h{i}.example", "/") for i in range(1500)]])
+    got = {r.page_id: r.verdict for r in LT.judge(spark.read.parquet(f"{sf}/pages.parquet"), many).collect()}
+    assert got == {r.page_id: r.verdict for r in LT.judge(spark.read.parquet(f"{sf}/pages.parquet"), tuple(rules)).collect()}
