@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text import GRAM, grams
+
 # Months, and how date-time groups and ISO times look.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 DTG = r"^(\d{2})(\d{2})(\d{2})([A-IK-Z])([A-Z]{3})(\d{2}|\d{4})$"
@@ -142,8 +144,12 @@ def look_up_terms(queries: DataFrame, glossary: DataFrame, limit: int = 5) -> Da
     exact = q.join(best, term_key(F.col("query")) == F.col("key")).select("query_id", F.lit(1).alias("place"), "e.*", F.lit(True).alias("exact"))
     rest = q.join(exact.select("query_id"), "query_id", "left_anti")
     low = F.lower("query")
-    hit = F.lower("term").contains(low) | F.lower("full").contains(low) | F.lower("ko").contains(low) | F.lower("desc").contains(low)
-    near = rest.join(glossary, hit).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("place") <= limit)
+    holds = lambda field: F.lower(field).contains(low)
+    # Only entries that hold the query's first characters are looked at: a join on equality, however long the glossary.
+    said = F.lower(F.concat_ws("\n", "term", "full", "ko", "desc"))
+    by_gram = glossary.select("term", "full", "ko", "desc", "pos", F.explode(grams(said)).alias("gram"))
+    met = rest.withColumn("gram", F.left(low, F.lit(GRAM))).join(by_gram, "gram").where(holds("term") | holds("full") | holds("ko") | holds("desc"))
+    near = met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("place") <= limit)
     return exact.union(near.select("query_id", "place", "term", "full", "ko", "desc", F.lit(False)))
 
 

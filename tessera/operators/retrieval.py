@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import best_windows, content_hash, embed, snippet, tokens
+from ..functions.text import GRAM, best_windows, content_hash, embed, grams, snippet, tokens
 from ..sources.shared import written
 from .graph import components
 
@@ -190,9 +190,6 @@ def synonym_groups(groups: DataFrame) -> DataFrame:
     return first.select(F.col("label").alias("group_id"), "word", (F.row_number().over(order) - 1).alias("pos"))
 
 
-GRAM = 3
-
-
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """queries with `expanded`: where a word of a group occurs in the query, the group's words that do not.
 
@@ -201,10 +198,9 @@ def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """
     low = F.lower("query")
     words = synonyms.withColumn("low", F.lower("word")).withColumn("gram", F.left("low", F.lit(GRAM)))
-    grams = F.array_distinct(F.concat(*[F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]))
     q = queries.select("query_id", low.alias("low"))
     used = words.select("gram").distinct()
-    holding = q.select("query_id", F.explode(grams).alias("gram")).join(used, "gram").join(words.select("gram", "group_id", F.col("low").alias("w")), "gram")
+    holding = q.select("query_id", F.explode(grams(F.col("low"))).alias("gram")).join(used, "gram").join(words.select("gram", "group_id", F.col("low").alias("w")), "gram")
     hit = holding.join(q, "query_id").where(F.col("low").contains(F.col("w"))).select("query_id", "group_id").distinct()
     extra = (
         hit.join(words, "group_id").join(q.withColumnRenamed("low", "text"), "query_id").where(~F.col("text").contains(F.col("low")))
