@@ -33,7 +33,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
+    return note(spark.read.schema(df.schema).parquet(path), path)
+
+
+def note(found: DataFrame, path: str) -> DataFrame:
+    """found, with the path that it was written to kept for erase() and the open scope."""
     found._tessera_path = path
     if SCOPES:
         SCOPES[-1].made.append(found)
