@@ -134,7 +134,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, query_rows: int =
     non-finite parts take no part, nor do vectors of another length than the query's; without
     queries or vectors there are no rows.
     """
-    asked = written(packed(queries.repartition(max(1, -(-queries.count() // query_rows))), "query_id", query_rows).withColumn("b", F.monotonically_increasing_id()), "queries")
+    asked = written(packed(queries, "query_id", query_rows).withColumn("b", F.monotonically_increasing_id()), "queries")
     held = packed(vectors, "chunk_id", VECTOR_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,6 +116,12 @@ SELECT label, CAST(n AS BIGINT) AS n FROM (SELECT '이메일' AS label, sum(e) A
     lambda a: list_max(list_transform(string_split(a, '.'), lambda o: CAST(o AS INT))) <= 255))) FROM m) WHERE n > 0"""
 
 
+#: Documents hold e-mail addresses and internal addresses only; other labels would show as a difference.
+C5_SQL = r"""WITH m AS (SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[이메일]', 'g') AS t FROM documents),
+i AS (SELECT doc_id, regexp_replace(t, '\b(?:10\.OCTET|172\.(?:1[6-9]|2\d|3[01])|192\.168)\.OCTET\.OCTET\b', '[내부IP]', 'g') AS t FROM m)
+SELECT doc_id, CAST(len(regexp_extract_all(t, '[[](이메일|내부IP)[]]')) AS BIGINT) AS mask_total, md5(t) AS masked_md5 FROM i""".replace("OCTET", r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})")
+
+
 def governed(spark, sf):
     return G.govern(V.messages(spark, sf), V.users(spark, sf), 2)
 
@@ -163,7 +169,7 @@ QUERIES = {
     "c6_odd_texts": (c6, f"SELECT p_partkey, translate({listed_sql(m for _, m in MASKS)}, '{DIGITS}', '{WIDE}') AS masked FROM part"),
     "c3_level_aliases": (c3, C3_SQL),
     "c4_clearance_gate": (c4, f"WITH {GATED_SQL} SELECT conv_id, turn, level, max_level, level > max_level AS blocked FROM g"),
-    "c5_masking": (c5, None),
+    "c5_masking": (c5, C5_SQL),
     "c5_email_masking": (c5_email, r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[이메일]', 'g')) AS masked_md5 FROM documents"),
     "c7_mask_totals": (c7, C7_SQL),
     "c8_audit_records": (c8, C8_SQL),
