@@ -119,7 +119,7 @@ def depths(calls: DataFrame) -> DataFrame:
         )
         erase(before)
     forks = edges.where("size(ups) > 1").select("conv_id", "call_id", F.explode("ups").alias("parent"))
-    if not many or forks.isEmpty():
+    if forks.isEmpty():
         return state.select("conv_id", "call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
     return _forked(state, forks)
 
@@ -171,7 +171,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict = TOOLS) -> DataFra
     calls: conv_id, turn, call_id, name, arguments (JSON), parent (an id, or an array of ids);
     results: conv_id, turn, call_id, content. status: answered, unanswered, orphan (a result without a call) or cyclic. Of several
     results the earliest is taken (by turn, then content) and all are counted; a call id that
-    occurs again in a conversation is one call each time, with the same result; null call ids link
+    occurs again in a conversation is one call each time, with the same result and the parents of all; null call ids link
     to nothing; null or broken arguments are violations, and so are NaN and numbers beyond the
     doubles, which JSON has not; halves of surrogate pairs are written as escapes; empty tables
     give no rows; further columns are ignored. valid, violations and canonical come from a small helper per row.
