@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, small, written
 
 CHUNK = 256
 
@@ -67,7 +67,7 @@ def leader_pairs(posts: DataFrame) -> DataFrame:
     lead = posts.groupBy("j", "key").agg(
         F.min(F.struct("row", "at", "grp")).alias("lead"), F.min("grp").alias("lo"), F.max("grp").alias("hi")
     ).where("lo <> hi").select("j", "key", "lead")
-    return posts.join(lead, ["j", "key"]).where("grp <> lead.grp").select(
+    return posts.join(small(written(lead, "leads"), 48), ["j", "key"]).where("grp <> lead.grp").select(
         F.col("lead.row").alias("a"), F.col("row").alias("b"), (F.col("lead.at") - F.col("at")).cast("long").alias("off")
     ).distinct()
 
@@ -92,7 +92,7 @@ def star_links(pairs: DataFrame, payloads: DataFrame, fits: Callable[[bytes, byt
                     linked = row
             yield edges_batch(out)
 
-    dealt = members.union(leaders).join(payloads, "row").repartition(partitions(pairs.sparkSession), "a", "chunk")
+    dealt = small(members.union(leaders), 40).join(payloads, "row").repartition(partitions(pairs.sparkSession), "a", "chunk")
     return dealt.sortWithinPartitions("a", "chunk", "role", "row").select("a", "role", "row", "off", "payload").mapInArrow(run, "a long, b long")
 
 
@@ -105,10 +105,11 @@ def block_links(posts: DataFrame, payloads: DataFrame, meet: Callable[[list, lis
     per = posts.groupBy("j", "key", "grp").agg(F.count("*").alias("c"))
     shards = per.groupBy("j", "key").agg(
         F.sum("c").alias("n"), F.max("c").alias("top"), F.max_by("grp", F.struct("c", "grp")).alias("major"), F.count("*").alias("kinds")
-    ).where("kinds > 1 AND n > 2").select(
+    ).where("kinds > 1 AND n > 2")
+    shards = shards.select(
         "j", "key", "major", F.ceil(F.col("n") / chunk).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top")) / chunk).cast("int").alias("few")
     )
-    x = posts.join(shards, ["j", "key"])
+    x = posts.join(small(written(shards, "shards"), 40), ["j", "key"])
     h = F.xxhash64("row")
     asking = x.where("grp <> major").withColumn("q", F.pmod(h, F.col("few")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = x.withColumn("t", F.pmod(h, F.col("blocks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
@@ -121,7 +122,7 @@ def block_links(posts: DataFrame, payloads: DataFrame, meet: Callable[[list, lis
             if all(sides):
                 yield edges_batch(meet(*sides))
 
-    dealt = rows.join(payloads, "row").select(*names, "payload").repartition(partitions(posts.sparkSession), "j", "key", "q", "t")
+    dealt = small(rows, 64).join(payloads, "row").select(*names, "payload").repartition(partitions(posts.sparkSession), "j", "key", "q", "t")
     return dealt.sortWithinPartitions(*names[:6]).mapInArrow(run, "a long, b long")
 
 
@@ -129,4 +130,4 @@ def with_groups(posts: DataFrame, comp: DataFrame | None) -> DataFrame:
     """posts with grp: the component of the row, itself if it has none."""
     if comp is None:
         return posts.withColumn("grp", F.col("row"))
-    return posts.join(comp, F.col("row") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "row")).drop("node", "component")
+    return posts.join(small(comp, 16), F.col("row") == F.col("node"), "left").withColumn("grp", F.coalesce("component", "row")).drop("node", "component")

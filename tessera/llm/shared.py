@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..sources.shared import erase, fresh_path, scratch, shared_folder, written
 
-__all__ = ["components", "erase", "fresh_path", "partitions", "per_worker", "scratch", "shared_folder", "table", "written"]
+__all__ = ["components", "erase", "fresh_path", "partitions", "per_worker", "scratch", "shared_folder", "small", "table", "written"]
+
+
+#: What a side of a join may take, by the count of its rows, to be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df for one side of a join: to be broadcast if its rows, counted now, take no more than limit; else as it is.
+
+    Spark's own choice comes too late where the other side is long: its shuffle has begun by then.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def per_worker(key: tuple, make):
     """What make() gives, kept for the life of a Python worker.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import Joined, block_links, edges_batch, leader_pairs, star_links, with_groups
-from .shared import components, scratch, table, written
+from .shared import components, scratch, small, table, written
 
 SEED = 42
 SLAB = 1 << 15
@@ -344,9 +344,9 @@ def similar_entries(rows: DataFrame, k: int, similarity: float, radius: int) ->
         "entries",
     ).withColumn("row", F.col("first.row"))
     every = entries.select("row", "fp", F.posexplode("keys").alias("j", "key"))
-    several = every.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    several = written(every.groupBy("j", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared-keys")
     # at: the fingerprint, which the blocks' trees take.
-    posts = written(every.join(several, ["j", "key"]).select("j", "key", "row", F.col("fp").alias("at")), "posts")
+    posts = written(every.join(small(several, 12), ["j", "key"]).select("j", "key", "row", F.col("fp").alias("at")), "posts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -354,7 +354,7 @@ def similar_entries(rows: DataFrame, k: int, similarity: float, radius: int) ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["row", "payload"])
 
     def payloads(needed: DataFrame) -> DataFrame:
-        return rows.select("row", "text").join(needed.distinct(), "row", "left_semi").mapInArrow(sets, "row long, payload binary")
+        return rows.select("row", "text").join(small(needed.distinct(), 8), "row", "left_semi").mapInArrow(sets, "row long, payload binary")
 
     def fits(x: bytes, y: bytes, _: int) -> bool:
         return similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity)
@@ -368,7 +368,7 @@ def similar_entries(rows: DataFrame, k: int, similarity: float, radius: int) ->
         comp = written(components(links), "groups")
     split = written(with_groups(posts, comp), "posts")
     kinds = split.groupBy("j", "key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2").select("j", "key")
-    needed = written(split.join(kinds, ["j", "key"], "left_semi"), "open")
+    needed = written(split.join(small(written(kinds, "kinds"), 12), ["j", "key"], "left_semi"), "open")
     if not needed.isEmpty():
         more = block_links(needed, payloads(needed.select("row")), lambda q, t: similar_in_block(q, t, radius, similarity))
         comp = written(components(links.union(written(more, "links"))), "groups")
