@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..sources.shared import erase, fresh_path, scratch, shared_folder, written
+from ..sources.shared import erase, fresh_path, note, scratch, shared_folder, written
 
-__all__ = ["components", "erase", "fresh_path", "partitions", "per_worker", "scratch", "shared_folder", "small", "table", "written"]
+__all__ = ["bucketed", "components", "erase", "fresh_path", "partitions", "per_worker", "scratch", "shared_folder", "small", "table", "written"]
 
 
 #: What a side of a join may take, by the count of its rows, to be broadcast.
@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucketed(df: DataFrame, column: str, tag: str) -> DataFrame:
+    """Write df in the shared folder, bucketed by column: joins on it move the other side only."""
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    name = "tessera_" + path.rsplit("-", 1)[1]
+    df.write.bucketBy(partitions(spark), column).option("compression", "zstd").option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # from the catalog only: the files stay, and the plan knows them
+    return note(found, path)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df for one side of a join: to be broadcast if its rows, counted now, take no more than limit; else as it is.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import fresh_path, partitions, table, written
+from .shared import bucketed, table, written
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose minimisers go to one bucket.
@@ -503,17 +503,9 @@ def remove_repeats(
     further columns are ignored, but for a struct named rest, which comes along with its row
     without being joined to it. `kept` holds bytes: a cut may fall inside a character.
     """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "blocks")
-    name = "tessera_" + path.rsplit("-", 1)[1]
     if not ("rest" in docs.columns and isinstance(docs.schema["rest"].dataType, StructType)):
         docs = docs.drop("rest")
-    # Bucketed by block: the joins below move answers only, never the text.
-    pack_blocks(docs, id_col, text_col, block_bytes).write.bucketBy(partitions(spark), "block").option(
-        "compression", "zstd"
-    ).option("path", path).saveAsTable(name)
-    blocks = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # from the catalog only: the files stay, and the plan knows them
+    blocks = bucketed(pack_blocks(docs, id_col, text_col, block_bytes), "block", "blocks")
     buckets = max(1, -(-(blocks.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
     how = {"size": min_bytes, "q": q, "buckets": buckets}
 

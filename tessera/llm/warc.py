@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, table, written
+from .shared import bucketed, partitions, table, written
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 300
@@ -137,9 +137,8 @@ def write_archives(typed: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> tupl
             yield emit()
 
     keyed = typed.select("page_id", "url", "html", "record_type", "refers_to", reversed_host_key("url").alias("key"))
-    both = written(
-        keyed.mapInArrow(run, "archive long, data binary, records array<struct<offset:long,length:long,key:string,page_id:long>>"),
-        "archives",
+    both = bucketed(
+        keyed.mapInArrow(run, "archive long, data binary, records array<struct<offset:long,length:long,key:string,page_id:long>>"), "archive", "archives",
     )
     return both.select("archive", "data"), both.select("archive", F.inline("records"))
 
@@ -271,7 +270,7 @@ def read_ranges(places: DataFrame, archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     by_archive = places.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("places"))  # an archive is bounded
-    return archives.join(by_archive, "archive").select("data", "places").mapInArrow(
+    return archives.join(by_archive.hint("shuffle_hash"), "archive").select("data", "places").mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     )
 
