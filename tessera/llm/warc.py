@@ -27,6 +27,8 @@ from .shared import bucketed, partitions, table, written
 
 ARCHIVE_BYTES = 4 << 20
 BLOCK_LINES = 300
+#: Lines of a part of the index, about: a lookup opens a part in one task.
+PART_LINES = 1 << 20
 #: Shared digests that are broadcast at most, and tasks that each is dealt to beyond that.
 BROADCAST_ROWS, SALTS = 200_000, 16
 DATE = "2024-01-01T00:00:00Z"
@@ -166,7 +168,8 @@ def build_index(places: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
             yield emit(n, held)
 
     order = ["key", "page_id", "archive", "offset"]  # records of one key may fill several parts
-    ranged = places.repartitionByRange(partitions(places.sparkSession), *order).sortWithinPartitions(*order)
+    parts = max(partitions(places.sparkSession), -(-places.count() // PART_LINES))
+    ranged = places.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return written(
         ranged.select("key", "page_id", "archive", "offset", "length").mapInArrow(
             run, "part int, block int, first_key string, first_page long, lines binary"
@@ -196,7 +199,7 @@ def look_up(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """(key, page_id, archive, offset, length) of every record of each distinct (key, page_id) of wanted, through the index.
 
     The range of each part comes from its own first key; a key goes to all parts that may hold it.
-    Parts are as many as shuffle partitions, so their first keys are a short list.
+    Parts hold about PART_LINES lines or less, so their first keys are a short list.
     """
     parts = index.where("block = 0").select("part", "first_key", "first_page").orderBy("part").collect()
     firsts = [(_order(r["first_key"], r["first_page"]), r["part"]) for r in parts]
