@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..sources.shared import erase, fresh_path, note, scratch, shared_folder, written
 
-__all__ = ["bucketed", "components", "erase", "fresh_path", "partitions", "per_worker", "scratch", "shared_folder", "small", "table", "written"]
+__all__ = ["bucketed", "components", "erase", "fresh_path", "let_go", "partitions", "per_worker", "scratch", "shared_folder", "small", "table", "written"]
 
 
 #: What a side of a join may take, by the count of its rows, to be broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,14 @@ def per_worker(key: tuple, make):
     return kept[key]
 
 
+def let_go() -> None:
+    """Forget what per_worker kept: a worker that takes up another operator's task needs the room."""
+    import sys
+
+    if kept := sys.modules.get("tessera_worker_cache"):
+        for key in [k for k in vars(kept) if isinstance(k, tuple)]:
+            del vars(kept)[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import Joined, block_links, edges_batch, leader_pairs, star_links, with_groups
-from .shared import components, scratch, small, table, written
+from .shared import components, let_go, scratch, small, table, written
 
 SEED = 42
 SLAB = 1 << 15
@@ -241,6 +241,7 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
     """(row, doc_id, digest, fp, keys) of (row, doc_id, text): digest of the shingle sequence; SimHash and keys of the set of k-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             digests, fps, keys = [], [], []
             for t in b.column(2):
@@ -349,6 +350,7 @@ def similar_entries(rows: DataFrame, k: int, similarity: float, radius: int) ->
     posts = written(every.join(small(several, 12), ["j", "key"]).select("j", "key", "row", F.col("fp").alias("at")), "posts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             s = [np.unique(shingle_hashes(t.as_py(), k).astype(np.uint32)).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary())], ["row", "payload"])

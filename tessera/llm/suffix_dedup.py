@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import bucketed, table, written
+from .shared import bucketed, let_go, table, written
 
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose minimisers go to one bucket.
@@ -131,6 +131,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     others = ["rest"] if "rest" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         task, n = TaskContext.get().partitionId(), 0
 
         def emit(ids: list, texts: list[bytes], rest: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -208,6 +209,7 @@ def buckets_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def send_hashes(rows: Iterator[pa.RecordBatch], size: int, q: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in rows:
         for row in batch.to_pylist():
             data, lens, ids = _opened(row)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .shared import table, written
+from .shared import let_go, table, written
 
 #: Documents whose posterior labels train the scorer, at most.
 SAMPLE = 6000
@@ -112,6 +112,7 @@ def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, noise, abuse): the votes, written in base 3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             noise, abuse = [], []
             for t in b.column(1).cast(pa.binary()):
@@ -260,6 +261,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     names += ["p_noise", "p_abuse"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             texts = b.column(-1 if at is None else at)
             if at is not None and field:
