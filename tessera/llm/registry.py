@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chroma, hash_forest, link_trust, mixing, packing, simhash_bk, suffix_dedup, tool_calls, warc, weak_quality
+from . import chroma, divergence, hash_forest, link_trust, mixing, packing, simhash_bk, suffix_dedup, tool_calls, warc, weak_quality
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc_capture_index": warc.op8,
         "op9_simhash_bk_trees": simhash_bk.op9,
         "op10_tool_call_linking": tool_calls.op10,
+        "op13_source_divergence": divergence.op13,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_link_trust": link_trust.OP1_SQL,
         "op6_source_mixing": mixing.OP6_SQL,
+        "op13_source_divergence": divergence.OP13_SQL,
     }
