@@ -131,7 +131,7 @@ def audit(
     chunk of CHUNK_TERMS terms with two blocks of sources is a task's, whatever a source's size.
     """
     names = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    kept = written(numbered(kept_terms(term_counts(names), min_documents)), "terms")
+    kept = written(numbered(written(kept_terms(term_counts(names), min_documents), "kept")), "terms")
     present = names.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
     occurring = kept.select("lang", "bucket", "chunk", "bit", "term", "total", F.explode("at").alias("a")).select(
         "lang", "bucket", "chunk", "bit", "term", "total", F.col("a.source").alias("source"), F.col("a.count").alias("count")
