@@ -1,4 +1,4 @@
-"""Training-data operators: ten jobs over text, pages, vectors and chats.
+"""Training-data operators: thirteen jobs over text, pages, vectors and chats.
 
 Nothing else in tessera imports this subpackage.
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chroma, divergence, hash_forest, link_trust, mixing, packing, phrases, simhash_bk, suffix_dedup, tool_calls, warc, weak_quality
+from . import chroma, divergence, hash_forest, line_blocks, link_trust, mixing, packing, phrases, simhash_bk, suffix_dedup, tool_calls, warc, weak_quality
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc_capture_index": warc.op8,
         "op9_simhash_bk_trees": simhash_bk.op9,
         "op10_tool_call_linking": tool_calls.op10,
+        "op11_main_text": line_blocks.op11,
         "op12_phrase_collocations": phrases.op12,
         "op13_source_divergence": divergence.op13,
     }
