@@ -12,10 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Dashes that count as '-'.
-DASHES = "‐‑‒–—―−﹘﹣－"
-#: Texts of these characters are the same after NFKC and hold no format characters.
-STABLE = r"^[\x00-\x7F가-힣À-ÖØ-öø-ÿ]*$"
+from . import forms
+
 # Particles that may follow a Korean noun, the longer before the shorter.
 PARTICLES = (
     "으로는", "에서는", "에게는", "으로", "에서", "에게", "까지", "부터", "이란", "란",
@@ -36,20 +34,27 @@ DIM = 512
 def with_normalised(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: text for matching (NFKC, no format characters, one kind of dash).
 
-    NFKC has no Spark function; only rows with other than stable characters meet the Arrow UDF,
-    and a filter keeps the two kinds apart (a CASE would run the UDF on every row).
+    Characters are put in place of others by column functions. Only texts with characters that
+    join with what precedes them (combining marks, parts of syllables) meet the Arrow function.
     """
-    stable = F.coalesce(F.col(text).rlike(STABLE), F.lit(True))
+    hyphens = forms.HYPHENS
 
     @F.pandas_udf("string")
     def nfkc(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: "".join(c for c in unicodedata.normalize("NFKC", t) if unicodedata.category(c) != "Cf")
-        )
-
-    plain = df.where(stable).withColumn(out, F.col(text))
-    other = df.where(~stable).withColumn(out, F.translate(nfkc(F.col(text)), DASHES, "-" * len(DASHES)))
-    return plain.unionByName(other)
+        def normal(t: str | None) -> str | None:
+            if t is None:
+                return None
+            found = unicodedata.normalize("NFKC", t).translate(hyphens)
+            return found.translate({ord(c): None for c in set(found) if unicodedata.category(c) == "Cf"})
+
+        return texts.map(normal)
+
+    odd = F.col("__odd")
+    d = df.select("*", forms.odd_characters(F.col(text)).alias("__odd"))
+    d = d.select("*", forms.has_meeting(odd).alias("__meets"), (forms.has_single(odd) | forms.has_unequal(odd)).alias("__changes"))
+    seen = F.when(F.col("__changes"), forms.view(F.col(text))).otherwise(F.col(text))
+    d = d.withColumn("__nfkc", nfkc(F.when(F.col("__meets"), F.col(text))))
+    return d.withColumn(out, F.when(F.col("__meets"), F.col("__nfkc")).otherwise(seen)).drop("__odd", "__meets", "__changes", "__nfkc")
 
 
 def tokens(text: Column) -> Column:
