@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import GRAM, grams
+from .dictionary import holders
 
 # Months, and how date-time groups and ISO times look.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
@@ -143,13 +143,14 @@ def look_up_terms(queries: DataFrame, glossary: DataFrame, limit: int = 5) -> Da
     best = glossary.withColumn("key", key).groupBy("key").agg(F.max_by(F.struct("term", "full", "ko", "desc"), "pos").alias("e"))
     exact = q.join(best, term_key(F.col("query")) == F.col("key")).select("query_id", F.lit(1).alias("place"), "e.*", F.lit(True).alias("exact"))
     rest = q.join(exact.select("query_id"), "query_id", "left_anti")
-    low = F.lower("query")
-    holds = lambda field: F.lower(field).contains(low)
-    # Only entries that hold the query's first characters are looked at: a join on equality, however long the glossary.
-    said = F.lower(F.concat_ws("\n", "term", "full", "ko", "desc"))
-    by_gram = glossary.select("term", "full", "ko", "desc", "pos", F.explode(grams(said)).alias("gram"))
-    met = rest.withColumn("gram", F.left(low, F.lit(GRAM))).join(by_gram, "gram").where(holds("term") | holds("full") | holds("ko") | holds("desc"))
-    near = met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("place") <= limit)
+    # What is left to find is itself a dictionary, looked for in the entries, which stay where they are.
+    low = rest.withColumn("word", F.lower("query"))
+    hits = holders(glossary, ["term", "full", "ko", "desc"], "pos", low.select("word").distinct(), limit)
+    if hits is None:
+        return exact
+    first = hits.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("pos"))).where(F.col("place") <= limit)
+    entries = glossary.select(F.col("pos").cast("long").alias("pos"), "term", "full", "ko", "desc")
+    near = low.join(first, "word").join(entries, "pos")
     return exact.union(near.select("query_id", "place", "term", "full", "ko", "desc", F.lit(False)))
 
 

@@ -169,14 +169,6 @@ def embed(df: DataFrame, key: str, text: str, embedder=None, batch: int = 1024)
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, vector array<double>")
 
 
-GRAM = 3
-
-
-def grams(text: Column, upto: int = GRAM) -> Column:
-    """The distinct runs of one to `upto` characters of a text."""
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, upto + 1)]))
-
-
 def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     """fn of a value that is computed once, however often fn uses it (an expression is copied to each use)."""
     return F.transform(F.array(value), fn)[0]

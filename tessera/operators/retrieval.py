@@ -9,13 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import GRAM, best_windows, content_hash, embed, grams, snippet, tokens
-from ..sources.shared import written
+from ..functions.dictionary import with_group_words
+from ..functions.text import best_windows, content_hash, embed, snippet, tokens
+from ..sources.shared import small, written
 from .graph import components
 
 K1, B = 1.5, 0.75
 #: Scores that differ beyond so many digits only are ties: sums of floating point numbers come in any order.
 DIGITS = 9
+#: Chunks of a block of the block index, and how many chunks for each wanted hit the rarest tokens of a query should lead to.
+BLOCK_CHUNKS, SEEDS = 256, 4
+#: By how much a bound must miss a score that counts: more than rounding to DIGITS and the order of sums can make up.
+MARGIN = 1e-7
 #: Queries in a packed row, vectors in a packed row, and bytes of packed queries that are broadcast at once.
 QUERY_ROWS, VECTOR_ROWS, WAVE_BYTES = 2048, 4096, 64 << 20
 
@@ -81,6 +86,118 @@ def bm25(queries: DataFrame, index: dict[str, DataFrame], k1: float = K1, b: flo
     return asked.join(scored, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("bm25")).where("bm25 > 0")
 
 
+def build_block_index(chunks: DataFrame) -> dict[str, DataFrame]:
+    """blocks (token, block, most, at), heads (token, df, most), lengths, and corpus_stats of one row, for bm25_top.
+
+    Chunks are dealt over blocks by a hash of their ids, and by block only: a token's postings in a
+    block are one row (at: chunk_id, tf, doc_len), so a word that all chunks have is as many rows
+    as there are blocks, and no task's alone. most: the greatest part that a posting gives to a
+    score before idf. One shuffle, of each chunk's tokens.
+    """
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "section")]
+    tags = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+    made = index_tokens(*parts, tags, F.coalesce("category", F.lit("")), F.col("text"))
+    listed = written(chunks.select("chunk_id", made.alias("tokens")), "tokens")
+    lengths = listed.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+    n, avg_len = stats.first()
+    of_block = listed.withColumn("block", block_of("chunk_id", n)).withColumn("doc_len", F.size("tokens").cast("long")).repartition("block")
+    counted = of_block.select("block", "chunk_id", "doc_len", F.explode("tokens").alias("token")).groupBy("block", "token", "chunk_id").agg(
+        F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")
+    )
+    blocks = written(counted.groupBy("block", "token").agg(
+        F.max(part_of(F.col("tf"), F.col("doc_len"), avg_len)).alias("most"), F.collect_list(F.struct("chunk_id", "tf", "doc_len")).alias("at")
+    ), "blocks")
+    heads = blocks.groupBy("token").agg(F.sum(F.size("at")).alias("df"), F.max("most").alias("most"))
+    return {"blocks": blocks, "heads": written(heads, "heads"), "lengths": lengths, "corpus_stats": stats, "n": n, "avg_len": avg_len}
+
+
+def block_of(chunk_id: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(chunk_id), F.lit(max(1, n // BLOCK_CHUNKS)))
+
+
+def part_of(tf: Column, doc_len: Column, avg_len: float | None, k1: float = K1, b: float = B) -> Column:
+    """What a posting gives to a score, before idf."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / F.lit(float(avg_len or 1.0))))
+
+
+def terms_of(queries: DataFrame, index: dict) -> DataFrame:
+    """(query_id, token, df, idf, bound): each query's tokens that the index has, and the most that one adds to a score."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
+    i = idf(F.lit(index["n"]), F.col("df"))
+    return asked.join(index["heads"], "token").select("query_id", "token", "df", i.alias("idf"), (i * F.col("most")).alias("bound"))
+
+
+def kth_best(scores: DataFrame, score: str, k: int) -> DataFrame:
+    """(query_id, floor): each query's k-th best score; none where there are fewer."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(score))
+    best = scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return best.where(F.col("place") == k).select("query_id", F.col(score).alias("floor"))
+
+
+def summed_over(terms: DataFrame, index: dict, kept: DataFrame | None) -> DataFrame:
+    """(query_id, chunk_id, score): sums over these terms only."""
+    met = index["blocks"].join(small(terms, 100), "token").select("query_id", "idf", F.explode("at").alias("a")).select("query_id", "idf", "a.*")
+    if kept is not None:
+        met = met.join(kept, "chunk_id", "left_semi")
+    part = F.col("idf") * part_of(F.col("tf"), F.col("doc_len"), index["avg_len"])
+    return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def essential(terms: DataFrame, floors: DataFrame) -> DataFrame:
+    """terms with `needed`: false for the weakest terms of a query whose bounds sum to less than its floor.
+
+    A chunk that has only such tokens cannot reach the floor, so only needed ones lead to candidates.
+    """
+    weakest = Window.partitionBy("query_id").orderBy("bound", "token")
+    upto = F.sum("bound").over(weakest)
+    return terms.join(floors, "query_id", "left").withColumn("needed", F.coalesce(upto + MARGIN >= F.col("floor"), F.lit(True))).drop("floor")
+
+
+def summed_for(candidates: DataFrame, terms: DataFrame, index: dict) -> DataFrame:
+    """(query_id, chunk_id, more): the sums over these terms for candidates (query_id, chunk_id) only.
+
+    A block is met once for each query with candidates in it; postings of other chunks are passed over.
+    """
+    by_block = candidates.groupBy("query_id", block_of("chunk_id", index["n"]).alias("block")).agg(F.collect_set("chunk_id").alias("wanted"))
+    wanted = written(by_block.join(terms.select("query_id", "token", "idf"), "query_id"), "wanted")
+    met = index["blocks"].join(small(wanted, 200), ["token", "block"])
+    own = F.filter("at", lambda a: F.array_contains("wanted", a["chunk_id"]))
+    part = F.col("idf") * part_of(F.col("tf"), F.col("doc_len"), index["avg_len"])
+    return met.select("query_id", "idf", F.explode(own).alias("a")).select("query_id", "idf", "a.*").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("more"))
+
+
+def floors_of(terms: DataFrame, index: dict, k: int, kept: DataFrame | None = None) -> DataFrame:
+    """(query_id, floor): the least of the full scores of k chunks, those that a query's rarest tokens speak for most."""
+    rarest = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = written(terms.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < SEEDS * k).drop("before"), "seeds")
+    first = written(ranked(summed_over(seeds, index, kept), "score", "place", k), "first")
+    return kth_best(summed_for(first, terms, index), "more", k)
+
+
+def bm25_top(queries: DataFrame, index: dict, k: int, kept: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, bm25, bm25_rank): each query's k best of all chunks (of those in kept: chunk_id), as ranked(bm25(…), k) gives them.
+
+    The chunks that a query's rarest tokens speak for give a floor: what its k-th best scores at
+    least. Tokens whose bounds together stay below it lead to no candidate: they are read only for
+    chunks that other tokens lead to and that can still reach the floor with them, by block, so the
+    postings of common words are mostly left unread.
+    """
+    terms = written(terms_of(queries, index), "terms")
+    floors = written(floors_of(terms, index, k, kept), "floors")
+    split = written(essential(terms, floors), "split")
+    first = written(summed_over(split.where("needed").drop("needed"), index, kept), "sums")
+    weak = split.where("NOT needed")
+    rest = weak.groupBy("query_id").agg(F.sum("bound").alias("rest"))
+    able = written(first.join(rest, "query_id", "left").join(floors, "query_id", "left").where(
+        F.col("floor").isNull() | (F.col("score") + F.coalesce("rest", F.lit(0.0)) + MARGIN >= F.col("floor"))
+    ).select("query_id", "chunk_id", "score"), "able")
+    total = able.join(summed_for(able, weak, index), ["query_id", "chunk_id"], "left").select(
+        "query_id", "chunk_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), DIGITS).alias("bm25")
+    )
+    return ranked(total.where("bm25 > 0"), "bm25", "bm25_rank", k)
+
+
 def ranked(df: DataFrame, score: str, rank: str, limit: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit)
@@ -193,22 +310,13 @@ def synonym_groups(groups: DataFrame) -> DataFrame:
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """queries with `expanded`: where a word of a group occurs in the query, the group's words that do not.
 
-    A word is looked for only in queries that hold its first GRAM characters (all, if it is shorter),
-    which is a join on equality; whole queries of any length are expanded.
+    Words are found by an automaton over the dictionary, part by part; queries of any length are
+    read where they are.
     """
-    low = F.lower("query")
-    words = synonyms.withColumn("low", F.lower("word")).withColumn("gram", F.left("low", F.lit(GRAM)))
-    q = queries.select("query_id", low.alias("low"))
-    used = words.select("gram").distinct()
-    holding = q.select("query_id", F.explode(grams(F.col("low"))).alias("gram")).join(used, "gram").join(words.select("gram", "group_id", F.col("low").alias("w")), "gram")
-    hit = holding.join(q, "query_id").where(F.col("low").contains(F.col("w"))).select("query_id", "group_id").distinct()
-    extra = (
-        hit.join(words, "group_id").join(q.withColumnRenamed("low", "text"), "query_id").where(~F.col("text").contains(F.col("low")))
-        .groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("group_id", "pos", "word"))).alias("x"))
-    )
-    return queries.join(extra, "query_id", "left").withColumn(
-        "expanded", F.when(F.col("x").isNull(), F.col("query")).otherwise(F.concat_ws(" ", "query", F.array_join(F.col("x.word"), " ")))
-    ).drop("x")
+    words = synonyms.select("group_id", F.col("pos").cast("int").alias("pos"), "word", F.lower("word").alias("low")).where("low <> ''")
+    d = with_group_words(queries, F.lower("query"), words, "__more")
+    more = F.array_join(F.transform("__more", lambda x: x["word"]), " ")
+    return d.withColumn("expanded", F.when(F.size("__more") > 0, F.concat_ws(" ", "query", more)).otherwise(F.col("query"))).drop("__more")
 
 
 def fuse(lexical: DataFrame, vector: DataFrame | None, weight: float, top_k: int, min_score: float = 0.0) -> DataFrame:
@@ -246,10 +354,12 @@ def search(
         asked = expand(asked, synonyms)
     wide = max(5 * top_k, 20)
     kept = allowed(chunks, **only).select("chunk_id") if any(only.values()) else None
-    lexical = bm25(asked.select("query_id", (F.col("expanded") if synonyms is not None else F.col("query")).alias("query")), index)
-    if kept is not None:
-        lexical = lexical.join(kept, "chunk_id", "left_semi")
-    lexical = ranked(lexical, "bm25", "bm25_rank", wide)
+    words = asked.select("query_id", (F.col("expanded") if synonyms is not None else F.col("query")).alias("query"))
+    if "blocks" in index:
+        lexical = bm25_top(words, index, wide, kept)
+    else:
+        lexical = bm25(words, index)
+        lexical = ranked(lexical if kept is None else lexical.join(kept, "chunk_id", "left_semi"), "bm25", "bm25_rank", wide)
     if vectors is None:
         return fuse(lexical, None, 0.0, top_k, min_score)
     if query_vectors is None:

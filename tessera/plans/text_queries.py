@@ -93,7 +93,7 @@ def t7(spark, sf):
 
 
 def hits_of(spark, sf, k):
-    return R.search(V.passages(spark, sf), V.chunks(spark, sf), R.build_index(V.chunks(spark, sf)), top_k=k)
+    return R.search(V.passages(spark, sf), V.chunks(spark, sf), R.build_block_index(V.chunks(spark, sf)), top_k=k)
 
 
 def t8(spark, sf):
@@ -139,11 +139,11 @@ def r2(spark, sf):
 
 def r3(spark, sf):
     """BM25: the ten best documents for each benchmark passage."""
-    return R.ranked(R.bm25(V.passages(spark, sf), R.build_index(V.chunks(spark, sf))), "bm25", "bm25_rank", 10).select("query_id", "bm25_rank", "chunk_id", F.round("bm25", 6).alias("bm25"))
+    return R.bm25_top(V.passages(spark, sf), R.build_block_index(V.chunks(spark, sf)), 10).select("query_id", "bm25_rank", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def r6(spark, sf):
-    hits = R.search(V.passages(spark, sf), V.chunks(spark, sf), R.build_index(V.chunks(spark, sf)), top_k=4, category="EN", tag="SRC0")
+    hits = R.search(V.passages(spark, sf), V.chunks(spark, sf), R.build_block_index(V.chunks(spark, sf)), top_k=4, category="EN", tag="SRC0")
     return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -217,7 +217,7 @@ SELECT query_id, chunk_id, round(cosine, 6) AS cosine, vector_rank FROM r WHERE
 def r9(spark, sf):
     """Hybrid search for each passage: BM25 and n-gram vectors fused, the four best."""
     ch = V.chunks(spark, sf)
-    return R.search(V.passages(spark, sf), ch, R.build_index(ch), T.embed(ch, "chunk_id", "text")).withColumn("score", F.round("score", 6))
+    return R.search(V.passages(spark, sf), ch, R.build_block_index(ch), T.embed(ch, "chunk_id", "text")).withColumn("score", F.round("score", 6))
 
 
 R9_SQL = f"""{BM25_SQL}, lex AS (SELECT query_id, chunk_id, bm25_rank, bm25 / max(bm25) OVER (PARTITION BY query_id) AS l FROM r WHERE bm25_rank <= 20),

@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: What a side of a join may take, by the count of its rows, to be broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Scopes that are open, inmost last.
 SCOPES: list = []
 
@@ -36,6 +39,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return note(spark.read.schema(df.schema).parquet(path), path)
 
 
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df (a written table: it is counted) for one side of a join, to be broadcast if its rows take no more than limit; else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def per_worker(key: tuple, make):
+    """What make() gives, kept for the life of a Python worker: the functions that tasks run come by value, without their module."""
+    import sys
+    import types
+
+    kept = vars(sys.modules.setdefault("tessera_kept", types.ModuleType("tessera_kept")))
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def note(found: DataFrame, path: str) -> DataFrame:
     """found, with the path that it was written to kept for erase() and the open scope."""
     found._tessera_path = path
