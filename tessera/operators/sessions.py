@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import message_cost
+from ..sources.shared import small, written
 
 # Fixed value: what stands in for an answer without text.
 NO_RESPONSE = "(표시할 응답이 없습니다. 안전 정책에 따라 답변이 거부되었을 수 있습니다.)"
 MAX_ATTEMPTS, LOCKOUT_SECONDS = 5, 600
+#: Attempts of a key that are one task's, about.
+PIECE_ATTEMPTS = 100_000
 
 
 def transcript(messages: DataFrame) -> DataFrame:
@@ -153,34 +156,100 @@ def without_sessions(sessions: DataFrame, deletions: DataFrame) -> DataFrame:
     return sessions.join(d, (F.col("session_id") == F.col("gone")) & by, "left_anti")
 
 
-def lockouts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
+def lockouts(
+    attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, seconds: int = LOCKOUT_SECONDS, piece: int = PIECE_ATTEMPTS
+) -> DataFrame:
     """attempts (client_key, attempt_id, ts, success) with locked and failures.
 
     An attempt is locked if max_attempts failures or more lie within `seconds` before it; locked
-    attempts leave no trace; success forgets the failures. The attempts of a key come to one task
-    in order of time (then id) and pass through it: what is kept is the last max_attempts times.
+    attempts leave no trace; success forgets the failures. The attempts of a key pass through a
+    task in order of time (then id): what is kept is the last max_attempts times. A key with more
+    than `piece` attempts is cut into spans of time of about so many, each a task's. What a piece
+    hands on is only known when what it was handed is, but pieces forget quickly (at a success, or
+    a pause of `seconds`): all run from what is known so far, and those that were handed something
+    else than they ran from run again, until none is.
     """
-    span = seconds * 1_000_000
+    key = attempts.schema["client_key"].dataType.simpleString()
+    rows = attempts.select("client_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("attempt_id").cast("bigint").alias("attempt_id"), "success")
+    fold = fold_of(max_attempts, seconds * 1_000_000)
+    sizes = rows.groupBy(F.col("client_key").alias("hot_key")).agg(F.count("*").alias("n"), F.min("t").alias("begin"), F.max("t").alias("end"))
+    hot = written(sizes.where(F.col("n") > piece), "hot")
+    shape = f"client_key {key}, piece bigint, attempt_id bigint, locked boolean, failures int, after array<bigint>"
+    nothing = F.array().cast("array<bigint>")
+
+    def folded(pieces: DataFrame) -> DataFrame:
+        """pieces (client_key, piece, t, attempt_id, success, before), folded; after: what a piece hands on, on its last row."""
+        dealt = pieces.repartition("client_key", "piece").sortWithinPartitions("client_key", "piece", "t", "attempt_id")
+        return dealt.select("client_key", "piece", "t", "attempt_id", "success", "before").mapInArrow(fold, shape)
+
+    if hot.isEmpty():
+        return folded(rows.withColumns({"piece": F.lit(0).cast("bigint"), "before": nothing})).drop("piece", "after")
+    with_size = rows.join(small(hot, 64), F.col("client_key").eqNullSafe(F.col("hot_key")), "left")
+    width = F.greatest(F.ceil((F.col("end") - F.col("begin") + 1) * (F.lit(float(piece)) / F.col("n"))), F.lit(1))
+    cut = with_size.withColumn("piece", F.coalesce(F.floor((F.col("t") - F.col("begin")) / width), F.lit(0)).cast("bigint"))
+    shown = ["client_key", "piece", "t", "attempt_id", "success"]
+    cold = folded(cut.where("n IS NULL").select(*shown).withColumn("before", nothing)).drop("piece", "after")
+    pieces = written(cut.where("n IS NOT NULL").select(*shown), "pieces")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    # One row for each piece from here on: what it was handed, and what it handed on.
+    state, kept, again = None, None, pieces.withColumn("before", nothing)
+    while True:
+        handed = folded(again).where("after IS NOT NULL").select("client_key", "piece", "after")
+        handed = written(handed if kept is None else handed.unionByName(kept), "handed")
+        before = F.coalesce(F.lag("after").over(Window.partitionBy("client_key").orderBy("piece")), nothing)
+        new = handed.select(F.col("client_key").alias("k"), F.col("piece").alias("p"), "after", before.alias("before"))
+        if state is None:
+            state = written(new.withColumn("changed", F.size("before") > 0), "state")
+        else:
+            old = state.select(F.col("k").alias("ok"), F.col("p").alias("op"), F.col("before").alias("was"))
+            state = written(new.join(old, same("k", "ok") & same("p", "op")).select("k", "p", "after", "before", (F.col("before") != F.col("was")).alias("changed")), "state")
+        moved = state.where("changed")
+        if moved.isEmpty():
+            break
+        again = pieces.join(small(moved.select("k", "p", "before"), 128), same("client_key", "k") & same("piece", "p")).drop("k", "p")
+        kept = state.where("NOT changed").select(F.col("k").alias("client_key"), F.col("p").alias("piece"), "after")
+    final = pieces.join(small(state.select("k", "p", "before"), 128), same("client_key", "k") & same("piece", "p")).drop("k", "p")
+    return cold.unionByName(folded(final).drop("piece", "after"))
+
+
+def fold_of(max_attempts: int, span: int):
+    """For mapInArrow over (client_key, piece, t, attempt_id, success, before), pieces in order of time one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, recent = None, []
+        names = ["client_key", "piece", "attempt_id", "locked", "failures", "after"]
+        at, recent, held = None, [], None
+
+        def told(b: pa.RecordBatch, locked: list, failures: list, after: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                b.column(0), b.column(1), b.column(3), pa.array(locked, pa.bool_()), pa.array(failures, pa.int32()), pa.array(after, pa.list_(pa.int64())),
+            ], names)
+
         for b in batches:
-            locked, failures = [], []
-            for k, t, success in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
-                if k != key:
-                    key, recent = k, []
+            if not b.num_rows:
+                continue
+            locked, failures, after = [], [], []
+            for k, p, t, success, before in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+                if (k, p) != at:
+                    # The row before was its piece's last.
+                    if after:
+                        after[-1] = recent
+                    elif held is not None:
+                        held[3][-1] = recent
+                    at, recent = (k, p), before
                 recent = [x for x in recent if t - x < span]
                 locked.append(len(recent) >= max_attempts)
                 failures.append(len(recent))
+                after.append(None)
                 if not locked[-1]:
                     recent = [] if success else [*recent, t]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(locked, pa.bool_()), pa.array(failures, pa.int32())], names)
-
-    names = ["client_key", "attempt_id", "locked", "failures"]
-    key = attempts.schema["client_key"].dataType.simpleString()
-    ordered = attempts.select("client_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("attempt_id").cast("bigint").alias("attempt_id"), "success")
-    dealt = ordered.repartition("client_key").sortWithinPartitions("client_key", "t", "attempt_id")
-    return dealt.mapInArrow(run, f"client_key {key}, attempt_id bigint, locked boolean, failures int")
+            if held is not None:
+                yield told(*held)
+            held = (b, locked, failures, after)
+        if held is not None:
+            held[3][-1] = recent
+            yield told(*held)
+
+    return run
 
 
 def recent_failures(attempts: DataFrame, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
