@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 
 CHUNK_CHARS, HEADING_CHARS = 1200, 60
+#: Lines of a document that are one task's in a scan.
+BLOCK_LINES = 1 << 16
 # Keys of the front matter.
 KNOWN = ("title", "category", "effective_date", "version", "source_file", "tags")
 U = "(?U)"
@@ -35,6 +37,62 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP, "")
 
 
+# ---- scans ----------------------------------------------------------------------------------------
+
+def scanned(
+    lines: DataFrame, order: list[str], block: Column, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
+    lags: dict[str, Column] | None = None, firsts: dict[str, Column] | None = None, ranges: dict[str, Column] | None = None,
+) -> DataFrame:
+    """lines with values that run along a document, found block by block, so that no document is one task's.
+
+    sums: running sums, the line's own included; lasts: the last value so far that is not null;
+    lags: the value of the line before; firsts: the document's first value that is not null;
+    ranges: how far a number goes in the document, its greatest less its least. block grows along
+    order (columns). Each block is summed up in a row, what comes before a block is carried over
+    these rows, and the rest is a window inside the block.
+    """
+    sums, lasts, lags, firsts, ranges = sums or {}, lasts or {}, lags or {}, firsts or {}, ranges or {}
+    cut, place = lines.withColumn("__block", block), F.struct(*order)
+    made = [F.sum(c).alias(f"__{n}") for n, c in sums.items()]
+    made += [F.max_by(c, F.when(c.isNotNull(), place)).alias(f"__{n}") for n, c in lasts.items()]
+    made += [F.max_by(F.struct(c.alias("v")), place).alias(f"__{n}") for n, c in lags.items()]
+    made += [F.min_by(c, F.when(c.isNotNull(), place)).alias(f"__{n}") for n, c in firsts.items()]
+    made += [F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"__{n}") for n, c in ranges.items()]
+    of_doc = Window.partitionBy("doc_id").orderBy("__block")
+    earlier, whole = of_doc.rowsBetween(Window.unboundedPreceding, -1), of_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = [F.sum(f"__{n}").over(earlier).alias(f"__{n}") for n in sums]
+    carried += [F.last(f"__{n}", ignorenulls=True).over(earlier).alias(f"__{n}") for n in [*lasts, *lags]]
+    carried += [F.first(f"__{n}", ignorenulls=True).over(whole).alias(f"__{n}") for n in firsts]
+    carried += [(F.max(F.col(f"__{n}.hi")).over(whole) - F.min(F.col(f"__{n}.lo")).over(whole)).alias(f"__{n}") for n in ranges]
+    carry = cut.groupBy("doc_id", "__block").agg(*made).select(F.col("doc_id").alias("__doc"), F.col("__block").alias("__of"), *carried)
+    d = cut.join(carry, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("__block").eqNullSafe(F.col("__of")))
+    inside = Window.partitionBy("doc_id", "__block").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = {n: F.coalesce(F.sum(c).over(upto), F.lit(0)) + F.coalesce(f"__{n}", F.lit(0)) for n, c in sums.items()}
+    found |= {n: F.coalesce(F.last(c, ignorenulls=True).over(upto), f"__{n}") for n, c in lasts.items()}
+    found |= {n: F.coalesce(F.lag(F.struct(c.alias("v"))).over(inside), f"__{n}")["v"] for n, c in lags.items()}
+    found |= {n: F.col(f"__{n}") for n in [*firsts, *ranges]}
+    return d.select(*lines.columns, *[c.alias(n) for n, c in found.items()])
+
+
+def with_document(lines: DataFrame, known: DataFrame, block: Column) -> DataFrame:
+    """lines with the columns of known (one row for each doc_id), which are first joined to the document's blocks, then to the lines of each."""
+    cut = lines.withColumn("__block", block)
+    told = cut.select("doc_id", "__block").distinct().join(known, "doc_id").select(
+        F.col("doc_id").alias("__doc"), F.col("__block").alias("__of"), *[c for c in known.columns if c != "doc_id"]
+    )
+    return cut.join(told, (F.col("doc_id") == F.col("__doc")) & F.col("__block").eqNullSafe(F.col("__of"))).drop("__block", "__doc", "__of")
+
+
+def line_block(line: str = "line_no") -> Column:
+    return F.floor(F.col(line) / BLOCK_LINES)
+
+
+def page_block() -> Column:
+    """Blocks of lines inside pages, in order."""
+    return F.struct(F.col("page_no").alias("p"), line_block().alias("l"))
+
+
 # ---- front matter --------------------------------------------------------------------------------
 
 def with_front_matter(df: DataFrame, content: str = "content") -> DataFrame:
@@ -88,25 +146,24 @@ def lines_of(df: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def titled_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, text, h1, name): body lines outside the first H1; later H1 lines become H2.
+    """(doc_id, line_no, text, h1): body lines outside the first H1; later H1 lines become H2.
 
     docs: doc_id, body. Lines inside fences are no headings. h1 is the document's first H1 or null.
     """
-    doc = Window.partitionBy("doc_id").orderBy("line_no")
     ln = lines_of(docs.withColumn("body", strip(F.col("body"))), "body", "doc_id")
     fence = F.col("text").rlike(r"^\s*(?:```|~~~)")
-    ln = ln.withColumn("__open", F.sum(fence.cast("int")).over(doc) % 2 == 1)
-    is_h1 = ~fence & ~F.col("__open") & F.col("text").startswith("# ")
-    ln = ln.withColumn("__h1", is_h1).withColumn("__nth", F.sum(F.col("__h1").cast("int")).over(doc))
-    first = F.max(F.when(F.col("__h1") & (F.col("__nth") == 1), strip(F.substring("text", 3, 1 << 30)))).over(Window.partitionBy("doc_id"))
-    ln = ln.withColumn("h1", first).where(~(F.col("__h1") & (F.col("__nth") == 1)))
-    return ln.withColumn("text", F.when(F.col("__h1"), F.concat(F.lit("#"), "text")).otherwise(F.col("text"))).select("doc_id", "line_no", "text", "h1")
+    ln = scanned(ln.withColumn("__fence", fence.cast("int")), ["line_no"], line_block(), sums={"__fences": F.col("__fence")})
+    is_h1 = (F.col("__fence") == 0) & (F.col("__fences") % 2 == 0) & F.col("text").startswith("# ")
+    first = F.when(F.col("__h1"), F.struct("line_no", strip(F.substring("text", 3, 1 << 30)).alias("title")))
+    ln = scanned(ln.withColumn("__h1", is_h1), ["line_no"], line_block(), firsts={"__first": first})
+    ln = ln.where(F.col("__first").isNull() | (F.col("line_no") != F.col("__first.line_no")))
+    return ln.select("doc_id", "line_no", F.when(F.col("__h1"), F.concat(F.lit("#"), "text")).otherwise(F.col("text")).alias("text"), F.col("__first.title").alias("h1"))
 
 
 def sections(lines: DataFrame) -> DataFrame:
     """(doc_id, section_no, section, text): cut at `## ` lines; sections of blanks only are dropped."""
-    doc = Window.partitionBy("doc_id").orderBy("line_no")
-    cut = lines.withColumn("head", F.col("text").startswith("## ")).withColumn("section_no", F.sum(F.col("head").cast("int")).over(doc))
+    headed = lines.withColumn("head", F.col("text").startswith("## "))
+    cut = scanned(headed, ["line_no"], line_block(), sums={"section_no": F.col("head").cast("int")})
     return (
         cut.groupBy("doc_id", "section_no")
         .agg(
@@ -213,14 +270,16 @@ def strip_page_numbers(lines: DataFrame) -> DataFrame:
     A bare number counts only up to the page count plus 100.
     """
     filled = F.col("text").rlike(r"(?U)\S")
-    page = Window.partitionBy("doc_id", "page_no")
-    d = lines.withColumn("__lo", F.min(F.when(filled, F.col("line_no"))).over(page)).withColumn("__hi", F.max(F.when(filled, F.col("line_no"))).over(page))
-    d = d.withColumn("__pages", F.max("page_no").over(Window.partitionBy("doc_id")) - F.min("page_no").over(Window.partitionBy("doc_id")) + 1)
+    # The edges of a page are two rows of it, whatever its length; the pages of a document are told by its blocks.
+    edges = lines.where(filled).groupBy(F.col("doc_id").alias("__doc"), F.col("page_no").alias("__page")).agg(F.min("line_no").alias("__lo"), F.max("line_no").alias("__hi"))
+    edge = edges.select("__doc", "__page", F.explode(F.array_distinct(F.array("__lo", "__hi"))).alias("__line"))
+    spanned = scanned(lines, ["page_no", "line_no"], page_block(), ranges={"__pages": F.col("page_no")})
+    here = F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("page_no").eqNullSafe(F.col("__page")) & (F.col("line_no") == F.col("__line"))
+    d = spanned.join(edge, here, "left")
     flat = strip(F.col("text"))
     bare = F.regexp_extract(flat, PAGE_EDGE, 1)
-    number = flat.rlike(PAGE_EDGE) & ((bare == "") | flat.rlike("[-–—]") | (bare.try_cast("int") <= F.col("__pages") + 100))
-    edge = (F.col("line_no") == F.col("__lo")) | (F.col("line_no") == F.col("__hi"))
-    return d.withColumn("text", F.when(edge & number, "").otherwise(F.col("text"))).drop("__lo", "__hi", "__pages")
+    number = flat.rlike(PAGE_EDGE) & ((bare == "") | flat.rlike("[-–—]") | (bare.try_cast("int") <= F.col("__pages") + 101))
+    return d.withColumn("text", F.when(F.col("__line").isNotNull() & number, "").otherwise(F.col("text"))).drop("__doc", "__page", "__line", "__pages")
 
 
 def merge_lines(lines: DataFrame) -> DataFrame:
@@ -230,12 +289,13 @@ def merge_lines(lines: DataFrame) -> DataFrame:
     Whether a sentence ends is seen at the end of the last line alone, so neighbours decide.
     """
     flat = lines.withColumn("text", strip(F.col("text"))).where(~F.col("text").rlike(PAGE_DECORATED))
-    doc = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
-    before = F.lag("text").over(doc)
-    new_page = F.lag("page_no").over(doc) != F.col("page_no")
+    order = ["page_no", "line_no"]
+    flat = scanned(flat, order, page_block(), lags={"__before": F.struct("text", "page_no")})
+    before = F.col("__before.text")
+    new_page = F.col("__before.page_no") != F.col("page_no")
     starts = before.isNull() | new_page | (before == "") | F.col("text").rlike(U + HEADING_START) | before.rlike(U + LINE_END)
     d = flat.withColumn("__starts", starts).where("text <> ''")
-    d = d.withColumn("paragraph_no", F.sum(F.col("__starts").cast("int")).over(doc))
+    d = scanned(d, order, page_block(), sums={"paragraph_no": F.col("__starts").cast("int")})
     return d.groupBy("doc_id", "paragraph_no").agg(F.array_sort(F.collect_list(F.struct("page_no", "line_no", "text"))).alias("x")).select(
         "doc_id", "paragraph_no", F.array_join("x.text", " ").alias("text")
     )
@@ -289,8 +349,8 @@ def structured(paras: DataFrame, modes: DataFrame) -> DataFrame:
     In article mode a chapter goes before the names of its articles until the next chapter or an
     appendix, and what follows an article's head on its line is its first paragraph.
     """
-    doc = Window.partitionBy("doc_id").orderBy("paragraph_no")
-    d = paras.join(modes, "doc_id")
+    order, block = ["paragraph_no"], line_block("paragraph_no")
+    d = with_document(paras, modes, block)
     flat = F.when(F.col("text").startswith("#"), strip(F.regexp_replace("text", "^#+", ""))).otherwise(F.col("text"))
     d = d.withColumn("s", flat)
     short = F.length(F.substring_index("s", ")", 1)) <= HEADING_CHARS
@@ -304,13 +364,13 @@ def structured(paras: DataFrame, modes: DataFrame) -> DataFrame:
     )
     d = d.withColumn("kind", kind)
     # A later H1 is a heading too: one with a section before it, that is, with any paragraph or heading before it flushed.
-    before = doc.rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum(F.col("kind").isNotNull().cast("int")).over(doc), F.lit(0))
-    had = (seen >= 2) | ((seen >= 1) & F.coalesce(F.min("kind").over(before).isNull() | F.first(F.col("kind").isNull()).over(before), F.lit(False)))
-    d = d.withColumn("__had", had)
-    d = d.withColumn("kind", F.when(F.col("kind").isNull() & F.col("text").startswith("# ") & F.col("__had"), "heading").otherwise(F.col("kind")))
-    chapter = F.last(F.when(F.col("kind") == "chapter", F.col("s")).when(F.col("kind") == "appendix", F.lit("")), ignorenulls=True).over(doc)
-    d = d.withColumn("chapter", F.coalesce(chapter, F.lit("")))
+    kind = F.col("kind")
+    d = scanned(d, order, block, sums={"__seen": kind.isNotNull().cast("int")}, firsts={"__first": F.struct(kind.isNull().alias("plain"))})
+    had = (F.col("__seen") >= 2) | ((F.col("__seen") >= 1) & F.col("__first.plain"))
+    d = d.withColumn("kind", F.when(kind.isNull() & F.col("text").startswith("# ") & had, "heading").otherwise(kind))
+    chapter = F.when(F.col("kind") == "chapter", F.col("s")).when(F.col("kind") == "appendix", F.lit(""))
+    d = scanned(d, order, block, lasts={"chapter": chapter}, sums={"section_no": F.col("kind").isNotNull().cast("int")})
+    d = d.withColumn("chapter", F.coalesce("chapter", F.lit("")))
     part = lambda i: F.regexp_extract("s", U + ARTICLE, i)
     head = F.concat(F.lit("제"), part(1), F.lit("조"), F.when(part(2) != "", F.concat(F.lit("의"), part(2))).otherwise(""))
     label = F.when(part(3) != "", part(3)).otherwise(part(4))
@@ -319,7 +379,6 @@ def structured(paras: DataFrame, modes: DataFrame) -> DataFrame:
         F.when(label != "", F.concat(F.lit("("), label, F.lit(")"))).otherwise(""),
     )
     d = d.withColumn("name", F.when(F.col("kind") == "article", article).when(F.col("kind").isNotNull(), F.col("s")))
-    d = d.withColumn("section_no", F.sum(F.col("kind").isNotNull().cast("int")).over(doc))
     said = F.when(F.col("kind") == "article", F.when(strip(part(5)) != "", strip(part(5)))).when(F.col("kind").isNull(), F.col("text"))
     return (
         d.withColumn("said", said).groupBy("doc_id", "section_no")
