@@ -9,16 +9,17 @@ group lacks are the complement of its levels, so no zero is ever stored. All sum
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .phrases import FACTORS, blocks, hashes, slices
 from .shared import small, table, written
 
-#: Everything but ASCII letters and characters beyond ASCII parts terms.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCUMENTS, TOP, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
 #: Words of 64 bits in a level of a chunk, terms that are put in order of frequency together, sources of a block.
 WORDS, BUCKET_TERMS, BLOCK = 16, 16_384, 8
@@ -27,22 +28,70 @@ CHUNK_TERMS = 64 * WORDS
 CELLS = 1 << 16
 
 
-def terms_of(text: str) -> Column:
-    """The terms of a text, in alphabetical order."""
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    return F.sort_array(F.filter(F.split(lowered, BETWEEN), lambda w: w != ""))
+def kinds() -> np.ndarray:
+    """For each byte: 0 inside a term (ASCII letters and all beyond ASCII), 2 between terms."""
+    found = np.zeros(256, np.uint8)
+    found[[b for b in range(128) if not chr(b).isalpha()]] = 2
+    return found
+
+
+def by_term(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of each kind, how many there are of it, and in how many documents, which ascend; kinds differ in h or in g."""
+    order = np.argsort(h, kind="stable")
+    hs, gs = h[order], g[order]
+    new = np.concatenate(([True], hs[1:] != hs[:-1]))
+    if (np.minimum.reduceat(gs, np.flatnonzero(new)) != np.maximum.reduceat(gs, np.flatnonzero(new))).any():
+        order = np.lexsort((g, h))
+        hs, gs = h[order], g[order]
+        new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])))
+    ds, first = doc[order], np.flatnonzero(new)
+    of_doc = new | np.concatenate(([True], ds[1:] != ds[:-1]))
+    return order[first], np.diff(np.append(first, len(h))), np.add.reduceat(of_doc, first, dtype=np.int64)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (text, lang, source), each text closed by a line end: term counts, block by block."""
+    import xxhash
+
+    kind_of, lower = kinds(), np.arange(256, dtype=np.uint8)
+    lower[65:91] += 32
+    for batch in batches:
+        texts, (langs, sources) = batch.column(0), (batch.column(i).dictionary_encode() for i in (1, 2))
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+        data = lower[np.frombuffer(texts.buffers()[2], np.uint8)]
+        kind, seen = kind_of[data], np.zeros(0, np.uint64)
+        width = len(sources.dictionary)
+        group = langs.indices.to_numpy().astype(np.int64) * width + sources.indices.to_numpy()
+        lang_names, source_names = langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
+        salts = {int(x): xxhash.xxh64_intdigest(f"{lang_names[x // width]}\0{source_names[x % width]}") for x in np.unique(group)}
+        salt = np.array([salts[int(x)] for x in group], np.uint64)
+        for begin, owned, _ in blocks(kind, offsets, reach=1):
+            inside = np.concatenate(([False], kind[begin:owned] == 0, [False]))
+            starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+            if begin in offsets:
+                seen = seen[:0]  # the terms that earlier blocks of a long text had
+            if not len(starts):
+                continue
+            block, doc = data[begin:owned], np.searchsorted(offsets, starts + begin, "right") - 1
+            h, g = (hashes(block, starts, ends, salt[doc], f) for f in FACTORS)
+            rows, n, documents = by_term(h, g, doc)
+            if owned not in offsets or len(seen):
+                documents -= np.isin(h[rows], seen)
+                seen = np.union1d(seen, h[rows])
+            x = group[doc[rows]]
+            yield pa.RecordBatch.from_arrays([
+                langs.dictionary.take(pa.array(x // width)), sources.dictionary.take(pa.array(x % width)), slices(block, starts[rows], ends[rows]),
+                pa.array(n), pa.array(documents),
+            ], ["lang", "source", "term", "count", "documents"])
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, count, documents): occurrences, and the documents of the group that have the term."""
     rows = docs.select(
-        F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), terms_of(text_col).alias("ordered")
-    )
-    marked = F.transform("ordered", lambda w, i: F.struct(w.alias("term"), (F.get("ordered", i - 1).eqNullSafe(w)).alias("again")))
-    each = rows.select("lang", "source", F.explode(marked).alias("t"))
-    return each.groupBy("lang", "source", F.col("t.term").alias("term")).agg(
-        F.count("*").alias("count"), F.sum(F.when(F.col("t.again"), 0).otherwise(1)).alias("documents")
+        F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n")), F.coalesce(F.col(lang_col), F.lit("")), F.coalesce(F.col(source_col), F.lit(""))
     )
+    each = rows.mapInArrow(counted, "lang string, source string, term string, count long, documents long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
 
 
 def share(count: str, total: str, kept: str) -> Column:

@@ -214,6 +214,23 @@ def test_audit_against_plain_sums(spark, monkeypatch, block, words_of_chunk):
     assert got == plain_audit(docs, 6, 7)
 
 
+def test_terms_of_long_texts(monkeypatch):
+    """A text of many blocks counts once for each of its terms, beside short texts."""
+    import pyarrow as pa
+
+    cut = P.blocks
+    monkeypatch.setattr(D, "blocks", lambda kind, offsets, reach: cut(kind, offsets, 64, reach))
+    texts = ["aa bb " * 60 + "Zz 1é2 aa", "aa", "", "bb aa-aa " * 30, "q"]
+    batch = pa.RecordBatch.from_arrays([pa.array([t + "\n" for t in texts]), pa.array(["en", "en", "en", "en", "de"]), pa.array(["s", "s", "s", "t", "s"])], ["text", "lang", "source"])
+    got = defaultdict(lambda: np.zeros(2, int))
+    for b in D.counted(iter([batch])):
+        for r in b.to_pylist():
+            got[r["lang"], r["source"], r["term"]] += r["count"], r["documents"]
+    assert {k: v.tolist() for k, v in got.items()} == {
+        ("en", "s", "aa"): [62, 2], ("en", "s", "bb"): [60, 1], ("en", "s", "zz"): [1, 1], ("en", "s", "é"): [1, 1], ("en", "t", "bb"): [30, 1], ("en", "t", "aa"): [60, 1], ("de", "s", "q"): [1, 1],
+    }
+
+
 def test_audit_of_nothing(spark):
     assert rows(D.audit(spark.createDataFrame([], "text string, lang string, source string"))) == []
 
