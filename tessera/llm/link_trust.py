@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import erase, table, written
+from .shared import erase, table, unused, written
 
 #: (verdict, host, path)
 RULES = (
@@ -145,11 +145,12 @@ def judge(pages: DataFrame, rules: tuple | DataFrame = RULES, url: str = "url",
     (and count as often); an empty table gives no rows. Columns named like the new ones are replaced.
     """
     clean = pages.drop("host", "path", "rule", "verdict", "trust", "distrust")
-    known = with_rules(clean.withColumn("host", host_of(url)).withColumn("path", path_of(url)), rules)
+    hit, of_host = unused("hit", clean.columns), unused("of_host", clean.columns)
+    known = with_rules(clean.withColumn("host", host_of(url)).withColumn("path", path_of(url)), rules, hit)
     edges = written(host_edges(known, html), "edges")
     counts = written(
-        known.where("host <> '' AND __r IS NOT NULL").groupBy("host").agg(
-            F.count_if(F.col("__r.verdict") == "allow").alias("allowed"), F.count_if(F.col("__r.verdict") == "block").alias("blocked")
+        known.where((F.col("host") != "") & F.col(hit).isNotNull()).groupBy("host").agg(
+            F.count_if(F.col(f"`{hit}`.verdict") == "allow").alias("allowed"), F.count_if(F.col(f"`{hit}`.verdict") == "block").alias("blocked")
         ),
         "seeds",
     )
@@ -161,17 +162,17 @@ def judge(pages: DataFrame, rules: tuple | DataFrame = RULES, url: str = "url",
     trust = personalised_rank(edges, seeds("allowed", total[0]), rounds=None).withColumnRenamed("rank", "trust")
     distrust = personalised_rank(reversed_edges(edges), seeds("blocked", total[1]), rounds=None).withColumnRenamed("rank", "distrust")
     hosts = trust.join(distrust, "host", "full").select(
-        F.col("host").alias("h"), rounded(F.coalesce("trust", F.lit(0.0))).alias("trust"), rounded(F.coalesce("distrust", F.lit(0.0))).alias("distrust")
+        F.col("host").alias(of_host), rounded(F.coalesce("trust", F.lit(0.0))).alias("trust"), rounded(F.coalesce("distrust", F.lit(0.0))).alias("distrust")
     )
     hosts = written(hosts, "hosts")
-    joined = known.join(hosts, known.host == hosts.h, "left").drop("h")
-    verdict = F.coalesce(F.col("__r.verdict"), F.when(F.col("distrust") > margin * F.col("trust"), "block").otherwise("allow"))
+    joined = known.join(hosts, known.host == hosts[of_host], "left").drop(of_host)
+    verdict = F.coalesce(F.col(f"`{hit}`.verdict"), F.when(F.col("distrust") > margin * F.col("trust"), "block").otherwise("allow"))
     return (
         joined.withColumn("trust", F.coalesce("trust", F.lit(0.0)))
         .withColumn("distrust", F.coalesce("distrust", F.lit(0.0)))
-        .withColumn("rule", F.col("__r.rule"))
+        .withColumn("rule", F.col(f"`{hit}`.rule"))
         .withColumn("verdict", verdict)
-        .drop("__r")
+        .drop(hit)
     )
 
 

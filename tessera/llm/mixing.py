@@ -143,10 +143,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality
     gives no rows. Columns named like the new ones are replaced.
     The text is never shuffled: it meets the plan, one row per source.
     """
-    clean = docs.drop("size", "key", "source_size", "target", "epochs", "taken", "slice")
-    s = sized(clean, id_col, text_col, quality)
-    narrow = written(s.select(id_col, "source", "size", "key"), "sizes")
-    return taken(s, written(cuts(narrow, id_col, **how), "cuts"), id_col)
+    new = ("size", "source_size", "target", "epochs", "taken")
+    given = [c for c in docs.columns if c.lower() not in new]
+    with_size = docs.select(*[F.col(f"`{c}`") for c in given], words(text_col).alias("size"))
+    q = quality if quality is not None else word_length_quality(text_col, F.col("size"))
+    # The given columns are one from here on, so that their names meet no others.
+    rows = with_size.select(
+        F.struct(*[F.col(f"`{c}`") for c in given]).alias("row"), F.col(id_col).alias("id"), "source", "size", (-F.log(uniform(id_col)) / q).alias("key")
+    )
+    narrow = written(rows.select("id", "source", "size", "key"), "sizes")
+    return taken(rows, written(cuts(narrow, "id", **how), "cuts"), "id").select("row.*", *new)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..sources.shared import erase, fresh_path, note, scratch, shared_folder, written
 
-__all__ = ["bucketed", "components", "erase", "fresh_path", "let_go", "partitions", "per_worker", "scratch", "shared_folder", "small", "table", "written"]
+__all__ = ["bucketed", "components", "erase", "fresh_path", "let_go", "note", "partitions", "per_worker", "scratch", "shared_folder", "small", "table", "unused", "written"]
 
 
 #: What a side of a join may take, by the count of its rows, to be broadcast.
@@ -62,5 +62,13 @@ def let_go() -> None:
             del vars(kept)[key]
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, or one like it that is none of columns (whatever their case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
