@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +16,11 @@ from ..operators.governance import govern
 from ..operators.retrieval import build_index, index_of
 from ..operators.sessions import LOCKOUT_SECONDS, MAX_ATTEMPTS, upsert_sessions
 from ..operators.structure import chunks as cut_chunks
-from ..sources.shared import scratch
+from ..sources import versions
+from ..sources.shared import scratch, written
+
+#: Buckets of sessions, deltas before they are compacted, and segments of a size that are merged into one.
+BUCKETS, COMPACT, MERGE = 64, 8, 4
 
 
 def read_stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -82,38 +88,151 @@ def lockout_stream(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, second
 
 
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest-wins sessions: each batch gives a new whole snapshot below `path`; the last one counts."""
+    """Latest-wins sessions, kept below `path` as a base and deltas by buckets of sessions; latest() merges them.
+
+    A batch writes those of its changes that say something new, in the buckets that they touch; of
+    a batch that ran before, or the same changes under another checkpoint, nothing is written.
+    After COMPACT deltas base and deltas become a new base.
+    """
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        current = spark.read.parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], batch.schema)
-        upsert_sessions(current, batch).write.mode("overwrite").parquet(f"{path}/v={number}")
+        version, held = versions.current(spark, path)
+        if held.get("done", {}).get(checkpoint, -1) >= number:
+            return
+        parts = held.get("parts", [])
+        held = {"parts": parts, "done": held.get("done", {}) | {checkpoint: number}}
+        with scratch():
+            keyed = written(batch.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")), "changes")
+            news = upsert_sessions(keyed.limit(0), keyed)
+            if parts:
+                touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # BUCKETS at most
+                news = _news(news, _merged(_parts(spark, path, parts).where(F.col("bucket").isin(touched))))
+            news = written(news.withColumn("seq", F.lit(version + 1)), "news")
+            if not news.isEmpty():
+                name = versions.new_part("delta")
+                news.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+                held["parts"] = [*parts, name]
+        versions.commit(spark, path, version + 1, held)
+        if len(held["parts"]) > COMPACT:
+            compact(spark, path)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _parts(spark, path: str, parts: list[str]) -> DataFrame:
+    found = [spark.read.parquet(f"{path}/{p}") for p in parts]
+    return found[0] if len(found) == 1 else reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row for each session: the latest updated_at wins, then the later delta; the first created_at stays."""
+    rest = [c for c in rows.columns if c not in ("session_id", "created_at")]
+    latest_row = F.max_by(F.struct(*rest), F.struct("updated_at", "seq"))
+    return rows.groupBy("session_id").agg(latest_row.alias("s"), F.min("created_at").alias("created_at")).select("session_id", "s.*", "created_at")
+
+
+def _news(changes: DataFrame, known: DataFrame) -> DataFrame:
+    """Changes that alter a session: it is new, later, as late with other values, or created earlier."""
+    rest = [c for c in changes.columns if c not in ("session_id", "bucket")]
+    old = known.select(F.col("session_id").alias("__id"), F.struct(*rest).alias("__old"))
+    later = F.col("updated_at") > F.col("__old.updated_at")
+    other = (F.col("updated_at") == F.col("__old.updated_at")) & ~F.struct(*[c for c in rest if c != "created_at"]).eqNullSafe(F.struct(*[F.col(f"__old.{c}").alias(c) for c in rest if c != "created_at"]))
+    earlier = F.col("created_at") < F.col("__old.created_at")
+    return changes.join(old, F.col("session_id").eqNullSafe(F.col("__id")), "left").where(F.col("__old").isNull() | later | other | earlier).drop("__id", "__old")
+
+
+def compact(spark, path: str) -> None:
+    """Merge base and deltas into a new base; the old parts go once the new version is there."""
+    version, held = versions.current(spark, path)
+    name = versions.new_part("base")
+    _merged(_parts(spark, path, held["parts"])).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+    versions.commit(spark, path, version + 1, held | {"parts": [name]})
+    versions.drop_parts(spark, path, held["parts"])
+
+
 def latest(spark, path: str) -> DataFrame:
     """The sessions as the last batch of upsert_stream left them."""
-    sc = spark.sparkContext
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    names = [f.getPath().getName() for f in place.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(place)]
-    return spark.read.parquet(f"{path}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+    _, held = versions.current(spark, path)
+    return _merged(_parts(spark, path, held["parts"])).drop("bucket", "seq")
 
 
 def index_stream(chunks: DataFrame, path: str, checkpoint: str, documents: bool = False) -> StreamingQuery:
-    """New chunks (chunk_id, title, section, tags, category, text) appended below `path` as postings and lengths.
+    """An index below `path` of chunks (chunk_id, title, section, tags, category, text) as they come; read_index() reads it.
 
     With `documents` the stream holds documents (doc_id, source, content), which each batch cuts
-    into chunks; a chunk's id is a hash of document, section and part. read_index() reads it all.
+    into chunks; a chunk's id is a hash of document, section and part. A batch is a segment. What
+    comes again replaces what there was, a document without content (a chunk that says deleted)
+    takes it away: the segment names those that it makes obsolete in segments before it. As soon as
+    MERGE segments are alike in size (by powers of MERGE) they become one, without what is obsolete.
+    A batch holds a document once; a batch that ran before changes nothing.
     """
     def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        version, held = versions.current(spark, path)
+        if held.get("done", {}).get(checkpoint, -1) >= number:
+            return
+        segments, name, seq = held.get("segments", []), versions.new_part("segment"), version + 1
         with scratch():
-            index = build_index(chunk_rows(batch) if documents else batch)
-            for name in ("postings", "lengths"):
-                index[name].write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            key = "doc_id" if documents else "chunk_id"
+            came = written(batch, "batch")
+            there = came.where("content IS NOT NULL") if documents else (came.where("NOT coalesce(deleted, false)") if "deleted" in came.columns else came)
+            rows = written(chunk_rows(there) if documents else there, "rows")
+            index = build_index(rows)
+            keys = rows.select("chunk_id", F.col(key).cast("string").alias("key"))
+            index["lengths"].join(keys, "chunk_id").withColumn("seq", F.lit(seq)).write.parquet(f"{path}/{name}/lengths")
+            index["postings"].withColumn("seq", F.lit(seq)).write.parquet(f"{path}/{name}/postings")
+            gone = came.select(F.col(key).cast("string").alias("key")).distinct()
+            if segments:
+                gone = gone.join(_tables(spark, path, segments, "lengths").select("key").distinct(), "key", "left_semi")
+            else:
+                gone = gone.limit(0)
+            gone.withColumn("seq", F.lit(seq)).write.parquet(f"{path}/{name}/gone")
+            size = rows.count()
+        segments = [*segments, {"name": name, "size": size}]
+        versions.commit(spark, path, seq, {"segments": segments, "done": held.get("done", {}) | {checkpoint: number}})
+        merge_segments(spark, path)
 
     return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _tables(spark, path: str, segments: list[dict], table: str) -> DataFrame:
+    schema = {
+        "lengths": "chunk_id bigint, doc_len bigint, key string, seq int", "postings": "token string, chunk_id bigint, tf bigint, doc_len bigint, seq int",
+        "gone": "key string, seq int",
+    }[table]
+    return spark.read.schema(schema).parquet(*[f"{path}/{s['name']}/{table}" for s in segments])
+
+
+def _live(spark, path: str, segments: list[dict], every: list[dict]) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of segments without what any segment of `every` made obsolete; both with seq."""
+    last = _tables(spark, path, every, "gone").groupBy("key").agg(F.max("seq").alias("last"))
+    lengths = _tables(spark, path, segments, "lengths").join(last, "key", "left").where("last IS NULL OR seq >= last").drop("last")
+    postings = _tables(spark, path, segments, "postings").join(lengths.select("chunk_id", "seq"), ["chunk_id", "seq"], "left_semi")
+    return postings, lengths
+
+
+def merge_segments(spark, path: str) -> None:
+    """Make one of MERGE segments or more of a tier, again while a tier has so many."""
+    while True:
+        version, held = versions.current(spark, path)
+        tiers: dict[int, list[dict]] = {}
+        for s in held["segments"]:
+            tiers.setdefault(int(math.log(max(s["size"], 1), MERGE)), []).append(s)
+        many = next((t for t in tiers.values() if len(t) >= MERGE), None)
+        if many is None:
+            return
+        name = versions.new_part("segment")
+        postings, lengths = _live(spark, path, many, held["segments"])
+        lengths.write.parquet(f"{path}/{name}/lengths")
+        postings.write.parquet(f"{path}/{name}/postings")
+        # What these made obsolete may lie in segments that stay as they are.
+        _tables(spark, path, many, "gone").groupBy("key").agg(F.max("seq").alias("seq")).write.parquet(f"{path}/{name}/gone")
+        size = _tables(spark, path, [{"name": name}], "lengths").count()
+        kept = [s for s in held["segments"] if s not in many]
+        versions.commit(spark, path, version + 1, held | {"segments": [*kept, {"name": name, "size": size}]})
+        versions.drop_parts(spark, path, [s["name"] for s in many])
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, source, content) as chunks to be indexed."""
     return cut_chunks(docs).select(
@@ -123,8 +242,10 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 
 def read_index(spark, path: str) -> dict[str, DataFrame]:
-    """The index that index_stream has written so far: document frequencies, number and mean length of chunks follow from it."""
-    return index_of(*(spark.read.parquet(f"{path}/{name}").drop("batch") for name in ("postings", "lengths")))
+    """The index that index_stream has written so far: document frequencies, number and mean length of chunks follow from what is live."""
+    _, held = versions.current(spark, path)
+    postings, lengths = _live(spark, path, held["segments"], held["segments"])
+    return index_of(postings.drop("seq"), lengths.select("chunk_id", "doc_len"))
 
 
 def replay(stream: DataFrame, folder: str, schema: str, mode: str = "append") -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import os
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,7 +83,7 @@ def test_upsert_and_index_streams_equal_their_batch_forms(spark, tmp_path):
         base.where(F.col("turns") % 3 == i).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     s = ST.read_stream(spark, f"{tmp_path}/in/*", base.schema)
     ST.upsert_stream(s, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/out/v=2")
+    last = ST.latest(spark, f"{tmp_path}/out")
     batch = S.upsert_sessions(base.limit(0), base)
     # A batch may hold several changes of a session; whatever the batches, the last one counts.
     assert {(r.session_id, r.turns, r.created_at) for r in last.collect()} == {(r.session_id, r.turns, r.created_at) for r in batch.collect()}
@@ -108,6 +110,64 @@ def test_index_stream_of_documents(spark, tmp_path):
     assert {r.token for r in i["token_stats"].collect()} >= {"alpha", "beta", "gamma", "t", "s"}
 
 
+def folders(path, tag):
+    return sorted(n for n in os.listdir(path) if n.startswith(tag))
+
+
+def test_session_deltas_touch_their_buckets_only(spark, tmp_path, monkeypatch):
+    """Batches one by one: what each writes, replays, late and equal changes, and compaction."""
+    monkeypatch.setattr(ST, "COMPACT", 3)
+    schema = "session_id string, username string, turns long, created_at timestamp, updated_at timestamp"
+    out = f"{tmp_path}/out"
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    every = []
+
+    def feed(rows, name, checkpoint="ck"):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        every.extend(rows)
+        ST.upsert_stream(ST.read_stream(spark, f"{tmp_path}/in*", schema), out, f"{tmp_path}/{checkpoint}").awaitTermination()
+
+    def state():
+        return sorted(map(tuple, ST.latest(spark, out).select("session_id", "username", "turns", "created_at", "updated_at").collect()))
+
+    feed([(f"s{i}", "u", i, at(0), at(i)) for i in range(50)], "in0")
+    feed([("s1", "u", 100, at(5), at(500)), ("s1", "u", 101, at(5), at(501))], "in1")
+    touched = [sum(f.startswith("bucket=") for f in os.listdir(f"{out}/{d}")) for d in folders(out, "delta")]
+    assert len(touched) == 2 and sorted(touched)[0] == 1
+    before, n = state(), len(folders(out, "delta"))
+    # The same files under another checkpoint change nothing and write no part.
+    ST.upsert_stream(ST.read_stream(spark, f"{tmp_path}/in*", schema), out, f"{tmp_path}/other").awaitTermination()
+    assert state() == before and len(folders(out, "delta")) == n
+    feed([("s2", "u", 7, at(0), at(1)), ("s3", "late", 7, at(-9), at(1))], "in2")  # older: the first adds nothing, the second an earlier start
+    assert ("s2", "u", 2, at(0), at(2)) in state() and ("s3", "u", 3, at(-9), at(3)) in state()
+    feed([("new", "u", 1, at(0), at(1))], "in3")
+    assert len(folders(out, "base")) == 1 and folders(out, "delta") == []
+    whole = S.upsert_sessions(spark.createDataFrame([], schema), spark.createDataFrame(every, schema))
+    assert state() == sorted(map(tuple, whole.select("session_id", "username", "turns", "created_at", "updated_at").collect()))
+
+
+def test_index_of_documents_that_change(spark, tmp_path, monkeypatch):
+    """Updates and deletions, segments merged on the way: the index is that of what is left."""
+    monkeypatch.setattr(ST, "MERGE", 2)
+    from tessera.operators.retrieval import build_index
+
+    out, schema = f"{tmp_path}/out", "doc_id string, source string, content string"
+    steps = [
+        [("a", "a.md", "## S\nalpha beta"), ("b", "b.md", "beta gamma"), ("c", "c.md", "gamma")], [("a", "a.md", "## S\nalpha\n## T\ndelta"), ("d", "d.md", "beta")],
+        [("b", "b.md", None)], [("a", "a.md", "epsilon"), ("e", "e.md", None)], [("b", "b.md", "back again")], [("c", "c.md", "gamma gamma")],
+    ]
+    now = {}
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+        ST.index_stream(ST.read_stream(spark, f"{tmp_path}/in*", schema), out, f"{tmp_path}/ck", documents=True).awaitTermination()
+        now |= {r[0]: r for r in rows}
+        left = spark.createDataFrame([r for r in now.values() if r[2] is not None], schema)
+        want, got = build_index(ST.chunk_rows(left)), ST.read_index(spark, out)
+        for name, columns in (("postings", ["token", "chunk_id", "tf", "doc_len"]), ("lengths", ["chunk_id", "doc_len"]), ("token_stats", ["token", "df"]), ("corpus_stats", ["n", "avg_len"])):
+            assert sorted(map(tuple, got[name].select(*columns).collect())) == sorted(map(tuple, want[name].select(*columns).collect())), (i, name)
+    assert len(folders(out, "segment")) < len(steps)
+
+
 def test_lockout_state_goes_with_a_success(spark, tmp_path):
     rows = [("k", 1, "2024-01-01 00:00:00", False), ("k", 2, "2024-01-01 00:00:01", True), ("j", 3, "2024-01-01 00:00:02", False)]
     d = spark.createDataFrame(rows, "client_key string, attempt_id long, ts string, success boolean").withColumn("ts", F.to_timestamp("ts"))
