@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ipaddress
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import message_cost
+from ..functions.text import let, message_cost
 from ..sources.shared import small, written
 
 # Fixed value: what stands in for an answer without text.
@@ -259,13 +261,52 @@ def recent_failures(attempts: DataFrame, seconds: int = LOCKOUT_SECONDS) -> Data
     return d.withColumn("recent_failures", F.sum((~F.col("success")).cast("long")).over(w)).drop("t")
 
 
+TOKEN_SUMS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
+
+
+def audit_sums() -> list[Column]:
+    """Records, blocked rate, and token sums (cache reads and writes apart; unknown counts as nothing)."""
+    return [
+        F.count("*").alias("records"), F.round(F.avg((F.col("event") == "blocked").cast("int")), 6).alias("blocked_rate"),
+        *[F.sum(c).alias(c) for c in TOKEN_SUMS],
+    ]
+
+
 def audit_rollup(audit: DataFrame, *by: str) -> DataFrame:
-    """Per group: records, blocked rate, and token sums (cache reads and writes apart; unknown counts as nothing)."""
-    return audit.groupBy(*by).agg(
-        F.count("*").alias("records"),
-        F.round(F.avg((F.col("event") == "blocked").cast("int")), 6).alias("blocked_rate"),
-        *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")],
-    )
+    """The sums of an audit trail for each group."""
+    return audit.groupBy(*by).agg(*audit_sums())
+
+
+#: The views of an audit trail: how many of (day, event), user and label are grouped by.
+VIEWS = {"all": (), "day": ("day",), "day and event": ("day", "event"), "event": ("event",), "user": ("user_id",), "user and label": ("user_id", "classification"), "label": ("classification",)}
+
+
+def audit_views(audit: DataFrame) -> DataFrame:
+    """(view, day, event, user_id, classification, key, records, blocked_rate, token sums, times): an audit trail from all sides in one pass.
+
+    One row for each group of each of VIEWS, told apart by grouping_id, so a null that is a value
+    stays one; further, for each tool that was called (key) the records and how often (view tool),
+    and for each label that was masked (key) the records and how often (view redaction). A record's
+    day is that of its timestamp.
+    """
+    d = audit.withColumn("day", F.to_date("timestamp"))
+    keys = ["day", "event", "user_id", "classification"]
+    sets = [[F.col(k) for k in v] for v in VIEWS.values()]
+    # grouping_id has a bit for each key, the first highest, that is 1 where the key is not grouped by.
+    numbers = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in v): name for name, v in VIEWS.items()}
+    of = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])
+    # The event is grouped away in most views: what is counted of it is a column of its own.
+    said = d.withColumn("was_blocked", (F.col("event") == "blocked").cast("int"))
+    sums = [F.count("*").alias("records"), F.round(F.avg("was_blocked"), 6).alias("blocked_rate"), *[F.sum(c).alias(c) for c in TOKEN_SUMS]]
+    views = said.groupingSets(sets, *keys).agg(F.grouping_id().cast("int").alias("g"), *sums)
+    views = views.withColumn("view", of[F.col("g")]).drop("g").withColumns({"key": F.lit(None).cast("string"), "times": F.lit(None).cast("long")})
+    tools = d.select(F.explode(F.map_entries(F.aggregate(
+        F.coalesce("tools_called", F.array().cast("array<string>")), F.create_map().cast("map<string,long>"),
+        lambda m, t: F.map_concat(F.map_filter(m, lambda k, _: k != t), F.create_map(t, F.coalesce(F.try_element_at(m, t), F.lit(0).cast("long")) + 1)),
+    ))).alias("e")).select(F.lit("tool").alias("view"), F.col("e.key").alias("key"), F.col("e.value").alias("n"))
+    masked = d.select(F.explode("redactions").alias("key", "n")).select(F.lit("redaction").alias("view"), "key", F.col("n").cast("long").alias("n"))
+    more = tools.unionByName(masked).groupBy("view", "key").agg(F.count("*").alias("records"), F.sum("n").alias("times"))
+    return views.unionByName(more, allowMissingColumns=True).select("view", *keys, "key", "records", "blocked_rate", *TOKEN_SUMS, "times")
 
 
 def tool_counts(audit: DataFrame) -> DataFrame:
@@ -277,31 +318,84 @@ def last_audit(audit: DataFrame, limit: int, order: str = "timestamp", tie: str
     return audit.orderBy(F.desc(order), F.desc(tie)).limit(min(max(limit, 1), 1000)).orderBy(order, tie)
 
 
-def ipv4_number(address: Column) -> Column:
-    """An IPv4 address as a number; null if it is none."""
-    parts = F.transform(F.split(F.trim(address), "[.]"), lambda o: F.when(o.rlike("^[0-9]{1,3}$"), o.try_cast("bigint")))
-    good = (F.size(parts) == 4) & F.forall(parts, lambda o: o.isNotNull() & (o <= 255))
-    return F.when(good, F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x))
+# How addresses are written.
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
+GROUP = "[0-9A-Fa-f]{1,4}"
+
 
+def address_bits(address: Column) -> Column:
+    """An address as v4 and 8, or v6 and 32 hexadecimal digits, which are in the order of addresses; null if it is none.
 
-def client_address(peer: Column, forwarded: Column, trusted: list[tuple[str, int]]) -> Column:
+    A zone after % is left out. An IPv4 address that is written into IPv6 (::ffff:1.2.3.4) is one
+    of IPv6: networks of either family hold only their own.
+    """
+    t = F.trim(address)
+    hex_of = lambda x, n: F.lpad(F.lower(x), n, "0")
+
+    def digits_of_v4(x: Column) -> Column:
+        return F.array_join(F.transform(F.split(x, "[.]"), lambda o: hex_of(F.hex(o.try_cast("bigint")), 2)), "")
+
+    v4 = F.when(t.rlike(f"^{IPV4}$"), F.concat(F.lit("v4"), digits_of_v4(t)))
+    six = F.regexp_replace(t, "%[^/%]+$", "")
+    tail = F.regexp_extract(six, f"(?<=:)({IPV4})$", 1)
+    inner = digits_of_v4(tail)
+    groups_only = F.when(tail == "", six).otherwise(F.concat(F.left(six, F.length(six) - F.length(tail)), F.left(inner, F.lit(4)), F.lit(":"), F.substring(inner, 5, 4)))
+    sides = F.split(groups_only, "::", -1)
+    parts = lambda x: F.filter(F.split(x, ":", -1), lambda g: g != "")
+    before, after = parts(sides[0]), F.when(F.size(sides) == 2, parts(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    n = F.size(before) + F.size(after)
+    whole = groups_only.rlike(f"^{GROUP}(?::{GROUP}){{7}}$")
+    cut = (F.size(sides) == 2) & (n <= 7) & groups_only.rlike(f"^(?:{GROUP}(?::{GROUP})*)?::(?:{GROUP}(?::{GROUP})*)?$")
+    filled = F.concat(before, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), after)
+    v6 = F.when(whole | cut, F.concat(F.lit("v6"), F.array_join(F.transform(filled, lambda g: hex_of(g, 4)), "")))
+    return F.coalesce(v4, v6)
+
+
+def trusted_networks(names: Iterable[str]) -> tuple[list[tuple[str, str]], bool]:
+    """(ranges, all): networks and addresses of either family as ranges of address_bits, merged and in order; all: whether `*` is among them.
+
+    What cannot be read is left out, as are blanks.
+    """
+    found, every = [], False
+    for name in (n.strip() for n in names):
+        if name == "*":
+            every = True
+        elif name:
+            try:
+                net = ipaddress.ip_network(name, strict=False)
+            except ValueError:
+                continue
+            digits = 8 if net.version == 4 else 32
+            found.append((f"v{net.version}{int(net[0]):0{digits}x}", f"v{net.version}{int(net[-1]):0{digits}x}"))
+    merged: list[tuple[str, str]] = []
+    for lo, hi in sorted(found):
+        if merged and lo <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(hi, merged[-1][1]))
+        else:
+            merged.append((lo, hi))
+    return merged, every
+
+
+def client_address(peer: Column, forwarded: Column, trusted: Iterable[str | tuple[str, int]]) -> Column:
     """The right-most forwarded hop that is no trusted proxy; else the first hop; else the peer.
 
-    trusted: (network, prefix length) pairs. Only a trusted peer's header is believed.
+    trusted: networks of IPv4 or IPv6 (10.0.0.0/8, 2001:db8::/32, or (network, prefix length)),
+    addresses, or `*` for any peer. Only a trusted peer's header is believed. Networks become
+    disjoint ranges, and an address is looked up in their order by halving.
     """
-    if not trusted:
+    ranges, every = trusted_networks(n if isinstance(n, str) else f"{n[0]}/{n[1]}" for n in trusted)
+    if not ranges and not every:
         return peer
-    ranges = []
-    for net, bits in trusted:
-        base = sum(int(x) << 8 * (3 - i) for i, x in enumerate(net.split(".")))
-        size = 1 << (32 - bits)
-        ranges.append((base // size * size, base // size * size + size - 1))
+
+    def within(bits: Column, some: list[tuple[str, str]]) -> Column:
+        if len(some) <= 2:
+            return reduce(lambda a, b: a | b, [bits.between(lo, hi) for lo, hi in some])
+        half = len(some) // 2
+        return F.when(bits < some[half][0], within(bits, some[:half])).otherwise(within(bits, some[half:]))
 
     def inside(a: Column) -> Column:
-        n, hit = ipv4_number(a), F.lit(False)
-        for lo, hi in ranges:
-            hit = hit | F.coalesce(n.between(lo, hi), F.lit(False))
-        return hit
+        return F.lit(True) if every else F.coalesce(let(address_bits(a), lambda bits: within(bits, ranges)), F.lit(False))
 
     hops = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda h: F.trim(h)), lambda h: h != "")
     outside = F.filter(F.reverse(hops), lambda h: ~inside(h))

@@ -244,9 +244,10 @@ def chunks(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
 
 
 def catalogue(chunked: DataFrame) -> DataFrame:
-    """(doc_id, title, source, chunks): one row per document."""
+    """(doc_id, title, source, chunks, and meta where the chunks have one): one row per document, as its first chunk has it."""
     first = F.struct("section_no", "part")
-    return chunked.groupBy("doc_id").agg(F.min_by("title", first).alias("title"), F.min_by("source", first).alias("source"), F.count("*").alias("chunks"))
+    told = [F.min_by(c, first).alias(c) for c in ("title", "source", "meta") if c in chunked.columns]
+    return chunked.groupBy("doc_id").agg(*told, F.count("*").alias("chunks"))
 
 
 def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:

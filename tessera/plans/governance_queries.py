@@ -155,6 +155,43 @@ U11_SQL = f"""WITH {GATED_SQL} SELECT 'u' || (conv_id % 50) AS user_id, {NAME_SQ
   CAST(sum(length(trim(marked))) AS BIGINT) AS input_tokens, CAST(NULL AS BIGINT) AS output_tokens, CAST(NULL AS BIGINT) AS cache_read_tokens, CAST(NULL AS BIGINT) AS cache_creation_tokens FROM g GROUP BY ALL"""
 
 
+def u11_views(spark, sf):
+    """All views of the audit trail; its days and tools follow from the lengths of the messages."""
+    size = F.col("input_chars")
+    tools = F.when(size % 4 == 0, F.array(F.lit("search"), F.lit("search"), F.lit("glossary"))).when(size % 4 == 1, F.array(F.lit("search")))
+    day = F.make_timestamp(F.lit(2024), F.lit(1), (1 + size % 3).cast("int"), F.lit(12), F.lit(0), F.lit(0))
+    a = governed(spark, sf)[2].withColumns({"timestamp": day, "tools_called": tools, "input_tokens": size.cast("long")})
+    return S.audit_views(a).select("view", "day", "event", "user_id", "classification", "key", "records", "blocked_rate", "input_tokens", "output_tokens", "times")
+
+
+U11_VIEWS_SQL = f"""WITH {GATED_SQL}, a AS (SELECT 'u' || (conv_id % 50) AS user_id, {NAME_SQL} AS classification, CASE WHEN level > max_level THEN 'blocked' ELSE 'chat' END AS event,
+  length(trim(marked)) AS size, DATE '2024-01-01' + CAST(length(trim(marked)) % 3 AS INT) AS day, level <= max_level AND (conv_id + turn) % 3 = 0 AS masked FROM g),
+v AS (SELECT CASE GROUPING(day, event, user_id, classification) WHEN 15 THEN 'all' WHEN 7 THEN 'day' WHEN 3 THEN 'day and event' WHEN 11 THEN 'event' WHEN 13 THEN 'user' WHEN 12 THEN 'user and label' WHEN 14 THEN 'label' END AS view,
+  day, event, user_id, classification, CAST(NULL AS VARCHAR) AS key, count(*) AS records, round(avg(CAST(was AS INT)), 6) AS blocked_rate, CAST(sum(size) AS BIGINT) AS input_tokens FROM (SELECT *, event = 'blocked' AS was FROM a)
+  GROUP BY GROUPING SETS ((), (day), (day, event), (event), (user_id), (user_id, classification), (classification)))
+SELECT *, CAST(NULL AS BIGINT) AS output_tokens, CAST(NULL AS BIGINT) AS times FROM v
+UNION ALL SELECT 'tool', NULL, NULL, NULL, NULL, key, count(*), NULL, NULL, NULL, CAST(sum(n) AS BIGINT) FROM (
+  SELECT 'search' AS key, CASE WHEN size % 4 = 0 THEN 2 ELSE 1 END AS n FROM a WHERE size % 4 < 2 UNION ALL SELECT 'glossary', 1 FROM a WHERE size % 4 = 0) GROUP BY key
+UNION ALL SELECT 'redaction', NULL, NULL, NULL, NULL, key, count(*), NULL, NULL, NULL, count(*) FROM a, (SELECT unnest(['휴대전화', '이메일']) AS key) WHERE masked GROUP BY key"""
+
+
+def c6_documents(spark, sf):
+    """All documents in other characters: full width forms, dashes, or an invisible sign after each @; an ellipsis and a curly quote at the end."""
+    d = read_table(spark, sf, "documents")
+    odd = F.when(F.col("doc_id") % 3 == 0, F.translate("text", ODD_FROM, ODD_TO)).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("@"), F.lit("@\u200b"))).otherwise(F.col("text"))
+    m = G.mask(d.select("doc_id", F.concat(odd, F.lit(" …’")).alias("text")))
+    return m.select("doc_id", F.col("mask_total").cast("long").alias("mask_total"), F.md5("masked").alias("masked_md5"))
+
+
+#: What masks leave, in the characters that the documents of c6_documents are written in.
+ODD_FROM, ODD_TO = DIGITS + "-.", WIDE + "–．"
+C6_DOCUMENTS_SQL = (
+    C5_SQL.rsplit("SELECT doc_id, CAST(len", 1)[0]
+    + f"""SELECT doc_id, CAST(len(regexp_extract_all(t, '[[](이메일|내부IP)[]]')) AS BIGINT) AS mask_total,
+md5(CASE doc_id % 3 WHEN 0 THEN translate(t, '{ODD_FROM}', '{ODD_TO}') WHEN 1 THEN replace(t, '@', '@' || chr(8203)) ELSE t END || ' …’') AS masked_md5 FROM i"""
+)
+
+
 def s9(spark, sf):
     e = read_table(spark, sf, "events").select(F.col("event_id").alias("session_id"), F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("event"))
     return S.last_audit(e, 5000).select("session_id", "event")
@@ -175,5 +212,7 @@ QUERIES = {
     "c8_audit_records": (c8, C8_SQL),
     "c9_governance_pass": (c9, C9_SQL),
     "u11_audit_rollup": (u11, U11_SQL),
+    "u11_audit_views": (u11_views, U11_VIEWS_SQL),
+    "c6_odd_documents": (c6_documents, C6_DOCUMENTS_SQL),
     "s9_last_audit": (s9, "SELECT event_id AS session_id, event_type AS event FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000"),
 }

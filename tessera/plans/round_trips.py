@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import governance as G
 from ..operators import sessions as S
+from ..operators import structure as D
 from ..sources import files as X
 from ..sources.files import read_table
 from ..sources.shared import fresh_path
@@ -14,6 +15,7 @@ from ..streaming import streams as ST
 from . import views as V
 from .governance_queries import GATED_SQL
 from .session_queries import LOCKOUT_SQL
+from .structure_queries import D12_SQL, numbered_paragraphs
 from .text_queries import INDEX_SQL
 
 
@@ -128,6 +130,30 @@ def s7(spark, sf):
     return status.join(kept, status.doc_id == kept.k, "left").select("doc_id", "first", "status", "content_md5")
 
 
+def s7_markdown(spark, sf):
+    """Structured documents written as Markdown with their front matter, twice, and read as sections again."""
+    p = numbered_paragraphs(spark, sf)
+    none = [F.lit("").alias(k) for k in ("category", "effective_date", "version")]
+    named = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    meta = F.struct(
+        named.alias("title"), *none, F.lit("s.txt").alias("source_file"), F.array(F.lit("x")).alias("tags"), F.create_map().cast("map<string,string>").alias("extra")
+    )
+    titles = read_table(spark, sf, "documents").select("doc_id", named.alias("title"), meta.alias("meta"))
+    path = fresh_path(spark, "store")
+    sections = D.structured(p, D.document_modes(p))
+    X.write_markdown(sections, titles, path)
+    X.write_markdown(sections.where("doc_id % 2 = 0"), titles.where("doc_id % 2 = 0"), path, "overwrite")
+    d = spark.read.parquet(path)
+    return d.select("doc_id", F.md5("content").alias("content_md5"))
+
+
+S7_MARKDOWN_SQL = D12_SQL.rsplit("SELECT doc_id, section_no, coalesce(max(name), '') AS section, count(said)", 1)[0] + """SELECT doc_id,
+  md5('---' || chr(10) || 'title: Document ' || doc_id || chr(10) || 'source_file: s.txt' || chr(10) || 'tags: x' || chr(10) || '---' || chr(10) || '# Document ' || doc_id || chr(10) || chr(10)
+    || coalesce(string_agg(block, chr(10) || chr(10) ORDER BY section_no, part, pos), '') || chr(10)) AS content_md5 FROM documents LEFT JOIN (
+  SELECT doc_id, section_no, 0 AS part, 0 AS pos, '## ' || max(name) AS block FROM x GROUP BY doc_id, section_no HAVING max(name) <> ''
+  UNION ALL SELECT doc_id, section_no, 1, pos, said FROM x WHERE said IS NOT NULL) USING (doc_id) GROUP BY doc_id"""
+
+
 S7_SQL = """SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'ok' END END AS first,
   CASE WHEN doc_id % 11 = 0 THEN 'failed' WHEN doc_id % 3 <> 0 THEN 'skipped' ELSE 'ok' END AS status,
   CASE WHEN doc_id % 11 <> 0 THEN md5(CASE WHEN doc_id % 5 = 0 THEN '*' || text WHEN doc_id % 3 <> 0 THEN text ELSE text || '!' END) END AS content_md5 FROM documents"""
@@ -202,6 +228,7 @@ QUERIES = {
     "s7_write_corpus": (s7, S7_SQL),
     "s8_reports": (s8, "SELECT doc_id, toxic, 'two' AS run_id FROM labels WHERE quality = 1"),
     "st5_session_stream": (st5, ST5_SQL),
+    "s7_markdown_corpus": (s7_markdown, S7_MARKDOWN_SQL),
     "st6_index_stream": (st6, ST6_SQL),
     "c8_login_audit": (c8_logins, C8_LOGINS_SQL),
     "c8_error_audit": (c8_errors, C8_ERRORS_SQL),

@@ -145,6 +145,38 @@ def u12(spark, sf):
 U12_SQL = """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '9.9.0.' || (s_suppkey % 250) WHEN s_suppkey % 5 = 0 THEN '10.0.0.' || (s_suppkey % 250)
   WHEN s_suppkey % 2 = 0 THEN '1.2.3.' || (s_suppkey % 200) ELSE '7.7.7.7' END AS client FROM supplier"""
 
+def u12_networks(spark, sf):
+    """Customers as requests of both families behind proxies of both; with any peer trusted, too."""
+    k = F.col("c_custkey")
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    n = (k % 200).cast("string")
+    peer = F.when(k % 4 == 0, F.concat(F.lit("2001:db8::"), F.lower(F.hex(k % 4096)))).when(k % 4 == 1, F.concat(F.lit("10.0.0."), n)).when(k % 4 == 2, F.concat(F.lit("::ffff:10.0.0."), n)).otherwise(F.concat(F.lit("9.9.0."), n))
+    hops = F.concat(F.lit("fe80::1, 1.2.3."), n, F.when(k % 3 == 0, ", 2001:DB8:0:0::7").when(k % 3 == 1, ", 10.0.0.7, ::1").otherwise(", 2001:db9::7 "))
+    trusted = ["10.0.0.0/8", "2001:db8::/32", "::1", " ", "no network"]
+    d = c.select("c_custkey", peer.alias("peer"), F.when(k % 5 != 0, hops).alias("fwd"))
+    return d.select("c_custkey", S.client_address(F.col("peer"), F.col("fwd"), trusted).alias("client"), S.client_address(F.col("peer"), F.col("fwd"), ["*"]).alias("by_any"))
+
+
+U12_NETWORKS_SQL = """WITH p AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '2001:db8::' || lower(to_hex(c_custkey % 4096)) WHEN 1 THEN '10.0.0.' || (c_custkey % 200) WHEN 2 THEN '::ffff:10.0.0.' || (c_custkey % 200) ELSE '9.9.0.' || (c_custkey % 200) END AS peer FROM customer)
+SELECT k AS c_custkey, CASE WHEN k % 4 > 1 OR k % 5 = 0 THEN peer WHEN k % 3 = 2 THEN '2001:db9::7' ELSE '1.2.3.' || (k % 200) END AS client, CASE WHEN k % 5 = 0 THEN peer ELSE 'fe80::1' END AS by_any FROM p"""
+
+
+def u9_views(spark, sf):
+    """Users in order, their number, one of them, and who has sessions left after deletions by owners and by anyone."""
+    users = V.users(spark, sf)
+    listed = S.user_list(users).select(F.lit("listed").alias("view"), "username", F.lit(None).cast("long").alias("n"))
+    counted = S.user_count(users).select(F.lit("count").alias("view"), F.lit(None).cast("string").alias("username"), "n")
+    named = S.user_named(users, "u7").select(F.lit("named").alias("view"), "username", F.col("clearance").cast("long").alias("n"))
+    s = current_sessions(spark, sf)
+    # Owners delete some of theirs, strangers try, and some go whoever owns them.
+    gone = s.select("session_id", F.when(F.length("session_id") % 3 == 0, F.col("username")).when(F.length("session_id") % 3 == 1, "stranger").alias("username"))
+    left = S.without_sessions(s, gone).groupBy("username").agg(F.count("*").alias("n")).select(F.lit("left").alias("view"), "username", "n")
+    return listed.unionByName(counted).unionByName(named).unionByName(left)
+
+
+U9_VIEWS_SQL = f"""WITH {USERS}, {LATEST} SELECT 'listed' AS view, username, CAST(NULL AS BIGINT) AS n FROM us UNION ALL SELECT 'count', NULL, count(*) FROM us
+UNION ALL SELECT 'named', username, CAST(clearance AS BIGINT) FROM us WHERE username = 'u7' UNION ALL SELECT 'left', username, count(*) FROM ls WHERE o = 1 AND length(session_id) % 3 = 1 GROUP BY username"""
+
 QUERIES = {
     "u1_transcript": (u1, U1_SQL),
     "u2_merged_roles": (u2, U2_SQL),
@@ -158,4 +190,6 @@ QUERIES = {
     "u10_lockouts": (u10, LOCKOUT_SQL),
     "u10_recent_failures": (u10_window, f"WITH {ATTEMPTS} SELECT attempt_id, CAST(sum(CAST(NOT success AS INT)) OVER (PARTITION BY k ORDER BY epoch_us(ts) RANGE BETWEEN {SECONDS * 1000000 - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_failures FROM att"),
     "u12_client_address": (u12, U12_SQL),
+    "u12_trusted_networks": (u12_networks, U12_NETWORKS_SQL),
+    "u9_user_views": (u9_views, U9_VIEWS_SQL),
 }

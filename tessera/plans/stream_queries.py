@@ -52,6 +52,30 @@ def st2(spark, sf):
     return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def st2_sliding(spark, sf):
+    """Counts for five minutes by one, with late rows: copies of the last five minutes, which count, and of what lies half an hour back or more, which is too late."""
+    e = read_table(spark, sf, "events")
+    end = e.agg(F.max("ts").alias("end"))  # one row
+    at = folder(spark)
+    e.write.parquet(f"{at}/in/1")
+    back = e.crossJoin(F.broadcast(end)).where("ts >= end - INTERVAL 5 MINUTES OR ts < end - INTERVAL 30 MINUTES").drop("end")
+    back.withColumn("event_type", F.lit("late")).coalesce(1).write.parquet(f"{at}/in/2")
+    last = e.limit(1).crossJoin(F.broadcast(end)).withColumn("ts", F.col("end") + F.expr("INTERVAL 365 DAYS")).withColumn("event_type", F.lit("end")).drop("end")
+    last.coalesce(1).write.parquet(f"{at}/in/3")
+    # One folder after the other: what a batch finds late depends on those before.
+    out, checkpoint = f"{at}/out", f"{at}/checkpoint"
+    for upto in ("{1}", "{1,2}", "{1,2,3}"):
+        stream = spark.readStream.schema(EVENTS).parquet(f"{at}/in/{upto}").withColumn("ts", F.col("ts").cast("timestamp"))
+        counts = ST.windowed_counts(stream, size="5 minutes", slide="1 minute")
+        counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    d = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(out).where("event_type <> 'end'")
+    return d.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+ST2_SLIDING_SQL = """WITH e AS (SELECT ts, event_type, value FROM events UNION ALL SELECT ts, 'late', value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 5 MINUTE)
+SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(CAST(unnest(range(0, 5)) AS INT)) AS start FROM e) GROUP BY ALL"""
+
+
 def st3(spark, sf):
     """Lockouts as a stream with state."""
     s = events(spark, sf).where("event_type IN ('error', 'signup')").select(
@@ -95,6 +119,7 @@ def _is_file(spark, sf: str, table: str) -> bool:
 QUERIES = {
     "st1_governed_stream": (st1, SINKS_SQL),
     "st2_windowed_counts": (st2, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
+    "st2_sliding_windows": (st2_sliding, ST2_SLIDING_SQL),
     "st3_lockout_stream": (st3, LOCKOUT_SQL),
     "st4_activity_sessions": (st4, ST4_SQL),
 }

@@ -188,6 +188,12 @@ def d14(spark, sf):
     return D.catalogue(c)
 
 
+def d14_meta(spark, sf):
+    """The catalogue of the documents as Markdown, with what their front matter says."""
+    c = D.catalogue(D.chunks(V.markdown(spark, sf)))
+    return c.select("doc_id", "title", "chunks", "meta.category", F.array_join("meta.tags", "|").alias("tags"), "meta.effective_date", F.size(F.map_keys("meta.extra")).cast("long").alias("n_extra"))
+
+
 def d14_seen(spark, sf):
     return D.first_seen(V.chunks(spark, sf), "category", "chunk_id")
 
@@ -212,6 +218,7 @@ QUERIES = {
     "d12_structure": (d12, D12_SQL),
     "d13_titles": (d13, D13_SQL),
     "d14_catalogue": (d14, "SELECT source AS doc_id, 'Source ' || source AS title, source, count(*) AS chunks FROM documents GROUP BY source"),
+    "d14_catalogue_metadata": (d14_meta, D5_SQL.rsplit("SELECT doc_id, section_no, part, CASE", 1)[0] + "SELECT doc_id, 'Document ' || doc_id AS title, count(*) AS chunks, 'text' AS category, 'a|b' AS tags, '' AS effective_date, CAST(0 AS BIGINT) AS n_extra FROM every GROUP BY doc_id"),
     "d14_first_seen": (d14_seen, "SELECT lang AS category, min(doc_id) AS first_seen FROM documents WHERE lang <> '' GROUP BY lang"),
     "d15_ingest_summary": (d15, "SELECT CASE WHEN n_chars < 100 THEN 'failed' WHEN doc_id % 5 = 0 THEN 'skipped' ELSE 'ok' END AS status, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS sections FROM documents GROUP BY 1"),
 }

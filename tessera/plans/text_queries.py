@@ -300,6 +300,12 @@ def e7(spark, sf):
     return E.retrieval_metrics(r, "category")
 
 
+def e7_first(spark, sf):
+    """The first seven cases of a kind, in their order."""
+    c = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("k"), (F.col("item_id") % 3).cast("string")).alias("category"), F.md5("text").alias("text_md5"))
+    return E.sliced(c, "k1", 7)
+
+
 def r4(spark, sf):
     return R.synonym_groups(synonyms_of(spark, sf)).select("group_id", "word", F.col("pos").cast("long").alias("pos"))
 
@@ -406,5 +412,6 @@ QUERIES = {
     "e5_answer_metrics": (e5, E5_SQL),
     "e6_compare_runs": (e6, E6_SQL),
     "e7_metrics_by_category": (e7, f"{E_SQL} SELECT 'k' || (case_id % 3) AS category, count(*) AS cases, round(avg(CAST(rank IS NOT NULL AS INT)), 4) AS hit_at_k, round(avg(CAST(coalesce(rank = 1, false) AS INT)), 4) AS hit_at_1, round(avg(coalesce(1 / CAST(rank AS DOUBLE), 0)), 4) AS mrr FROM res WHERE NOT skipped GROUP BY 1"),
+    "e7_first_cases": (e7_first, "SELECT item_id AS case_id, 'k1' AS category, md5(text) AS text_md5 FROM benchmark WHERE item_id % 3 = 1 ORDER BY item_id LIMIT 7"),
     "e8_top_failures": (e8, f"{ANSWER_SQL} SELECT case_id FROM pa WHERE NOT passed ORDER BY case_id LIMIT 10"),
 }

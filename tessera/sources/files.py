@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,9 +146,8 @@ def write_corpus(docs: DataFrame, path: str, mode: str = "skip") -> DataFrame:
         new = judged.where("status = 'ok'").select("doc_id", "content")
         if mode == "overwrite":
             kept = known.join(new.select("doc_id"), "doc_id", "left_anti")
-            out = kept.unionByName(new).checkpoint()  # the old files are read before they go
             result = judged.select("doc_id", "status").checkpoint()
-            out.write.mode("overwrite").parquet(path)
+            replace_folder(kept.unionByName(new), path)
             return result
         result = judged.select("doc_id", "status").checkpoint()
         new.write.mode("append").parquet(path)
@@ -154,6 +155,30 @@ def write_corpus(docs: DataFrame, path: str, mode: str = "skip") -> DataFrame:
     return judged.select("doc_id", "status")
 
 
+def replace_folder(df: DataFrame, path: str) -> None:
+    """Write df beside path, then put it in its place: a failure leaves the old rows, here or beside, and df may read them."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    of = sc._jvm.org.apache.hadoop.fs.Path
+    aside, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    fs = of(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.exists(of(path)) and not fs.rename(of(path), of(old)):
+        raise OSError(f"{path} cannot be moved")
+    if not fs.rename(of(aside), of(path)):
+        fs.rename(of(old), of(path))
+        raise OSError(f"{aside} cannot be put in the place of {path}")
+    fs.delete(of(old), True)
+    spark.catalog.refreshByPath(path)
+
+
+def write_markdown(sections: DataFrame, titles: DataFrame, path: str, mode: str = "skip") -> DataFrame:
+    """Structured documents (doc_id, section_no, section, paragraphs; titles: doc_id, title and perhaps meta) as Markdown into a corpus; returns (doc_id, status)."""
+    from ..operators.structure import markdown
+
+    return write_corpus(markdown(sections, titles), path, mode)
+
+
 def save_report(results: DataFrame, path: str, run_id: str, kind: str) -> None:
     """Keep the rows of a run below path/kind/run_id=…"""
     results.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{kind}")

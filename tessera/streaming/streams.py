@@ -41,11 +41,28 @@ def govern_stream(messages: DataFrame, users: DataFrame, out: str, checkpoint: s
 
 
 def windowed_counts(events: DataFrame, by: str = "event_type", size: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
-    """(start, by, n, total) over tumbling or sliding windows; rows later than `late` are dropped."""
-    w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
-        F.col("w.start").alias("start"), by, "n", "total"
-    )
+    """(start, by, n, total) over tumbling or sliding windows; rows later than `late` are dropped.
+
+    Where windows slide by a part of their size, rows are counted once, in panes as long as the
+    slide, and a window is the sum of its panes: state and shuffle hold a row for each pane, and no
+    event is copied for each window that it lies in.
+    """
+    timed = events.withWatermark("ts", late)
+    pane = slide or size
+    if slide and _micros(events, size) % _micros(events, slide):
+        pane = None
+    w = F.window("ts", pane) if pane else F.window("ts", size, slide)
+    found = timed.groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    if slide and pane:
+        over = F.window(F.window_time("w"), size, slide)
+        found = found.groupBy(over.alias("w"), by).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return found.select(F.col("w.start").alias("start"), by, "n", "total")
+
+
+def _micros(df: DataFrame, interval: str) -> int:
+    """How long an interval is, in microseconds."""
+    zero = "TIMESTAMP '1970-01-01 00:00:00'"
+    return df.sparkSession.range(1).selectExpr(f"unix_micros({zero} + INTERVAL {interval}) - unix_micros({zero})").first()[0]
 
 
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
