@@ -86,6 +86,20 @@ def st3(spark, sf):
     )
 
 
+def st3_ordered(spark, sf):
+    """The same in the order of time over all batches, each attempt as the watermark passes it."""
+    s = closed(spark, sf).where("event_type IN ('error', 'signup', 'end')").select(
+        F.col("user_id").cast("string").alias("client_key"), F.col("event_id").alias("attempt_id"), "ts", (F.col("event_type") == "signup").alias("success")
+    )
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    try:
+        d = appended(spark, ST.ordered_lockout_stream(s, seconds=SECONDS), "client_key string, attempt_id long, locked boolean, failures int")
+    finally:
+        spark.conf.set(name, before)
+    return d.where("attempt_id >= 0").select("attempt_id", "locked", F.col("failures").cast("long").alias("failures"))
+
+
 def st4(spark, sf):
     """Sessions of activity with a gap of half an hour, appended as the watermark passes their end."""
     s = ST.activity_sessions(closed(spark, sf)).select("user_id", "start", "n")
@@ -121,5 +135,6 @@ QUERIES = {
     "st2_windowed_counts": (st2, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),
     "st2_sliding_windows": (st2_sliding, ST2_SLIDING_SQL),
     "st3_lockout_stream": (st3, LOCKOUT_SQL),
+    "st3_ordered_lockouts": (st3_ordered, LOCKOUT_SQL),
     "st4_activity_sessions": (st4, ST4_SQL),
 }

@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.governance import govern
@@ -104,6 +104,77 @@ def lockout_stream(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, second
     )
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OrderedLockouts(StatefulProcessor):
+    """The fold of one key's attempts in order of time, whatever order and batches they come in.
+
+    An attempt waits in the map state `waiting`, by its millisecond, until the watermark has passed
+    it; timers then call in order of time. The list state `recent` has the times of the last
+    failures, at most max_attempts of them, and goes with a success or when a timer finds that the
+    lockout has run out.
+    """
+
+    def __init__(self, max_attempts: int, seconds: int):
+        self.max_attempts, self.seconds = max_attempts, seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "times array<long>, ids array<long>, successes array<boolean>")
+        self.recent = handle.getListState("recent", "t long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:  # a frame at a time; what it holds is state before the next one comes
+            micros = frame["ts"].astype("datetime64[us]").astype("int64")
+            for ms, part in frame.assign(micros=micros).groupby(micros // 1000):
+                at = (int(ms),)
+                held = self.waiting.getValue(at) if self.waiting.containsKey(at) else ([], [], [])
+                new = (part["micros"].tolist(), part["attempt_id"].tolist(), part["success"].tolist())
+                self.waiting.updateValue(at, tuple(list(a) + b for a, b in zip(held, new)))
+                self.handle.registerTimer(int(ms))
+        yield self.told([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms, span = expiredTimerInfo.getExpiryTimeInMs(), self.seconds * 1_000_000
+        before = [t for (t,) in self.recent.get()] if self.recent.exists() else []
+        recent, out = [t for t in before if ms * 1000 - t < span], []
+        if self.waiting.containsKey((ms,)):
+            for t, i, success in sorted(zip(*self.waiting.getValue((ms,)))):
+                recent = [x for x in recent if t - x < span]
+                locked = len(recent) >= self.max_attempts
+                out.append((key[0], i, locked, len(recent)))
+                if not locked:
+                    recent = [] if success else [*recent, t]
+            self.waiting.removeKey((ms,))
+        if recent:
+            self.recent.put([(t,) for t in recent])
+            self.handle.registerTimer(recent[-1] // 1000 + self.seconds * 1000 + 1)
+        elif before:
+            self.recent.clear()
+        yield self.told(out)
+
+    def told(self, rows: list) -> pd.DataFrame:
+        # Plain objects: text of pandas' own kind comes in chunks, which the state's writer does not take.
+        return pd.DataFrame(rows, columns=["client_key", "attempt_id", "locked", "failures"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_lockout_stream(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, seconds: int = LOCKOUT_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """attempts (client_key, attempt_id, ts, success) with locked and failures, as the watermark passes them.
+
+    In the order of time over all batches, so that an attempt that comes late, but within `late`,
+    is judged in its place. No batch of a key is held in memory. Needs the state store that keeps
+    its rows outside the heap, which the session is set to.
+    """
+    attempts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return attempts.withWatermark("ts", late).groupBy("client_key").transformWithStateInPandas(
+        OrderedLockouts(max_attempts, seconds), "client_key string, attempt_id long, locked boolean, failures int", "Append", "EventTime"
+    )
+
+
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Latest-wins sessions, kept below `path` as a base and deltas by buckets of sessions; latest() merges them.
 

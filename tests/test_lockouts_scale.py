@@ -43,3 +43,24 @@ def test_pieces_of_a_hot_key(spark, kind):
 
 def test_no_attempts(spark):
     assert S.lockouts(spark.createDataFrame([], "client_key string, attempt_id long, ts timestamp, success boolean")).collect() == []
+
+
+def test_ordered_stream(spark, tmp_path):
+    """Attempts that come in any order over three batches, within the watermark, are judged as if they had come in order."""
+    from tessera.streaming import streams as ST
+
+    r, t0 = random.Random(4), datetime(2024, 1, 1)
+    rows = [(r.choice("ab"), i, t0 + timedelta(seconds=r.randint(0, 400), microseconds=r.randint(0, 3) * 400), r.random() < 0.15) for i in range(90)]
+    end = ("end", 1000, t0 + timedelta(days=3), False)
+    schema = "client_key string, attempt_id long, ts timestamp, success boolean"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        for i, part in enumerate([rows[:30], rows[30:60], rows[60:], [end]]):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+            out = ST.ordered_lockout_stream(ST.read_stream(spark, f"{tmp_path}/in*", schema), seconds=120)
+            q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {x.attempt_id: (x.locked, x.failures) for x in spark.read.schema("client_key string, attempt_id long, locked boolean, failures int").parquet(f"{tmp_path}/out").collect()}
+    assert got == plain(rows, S.MAX_ATTEMPTS, 120)
