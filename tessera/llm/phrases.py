@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import erase, fresh_path, note, small, table, written
+from .shared import erase, fresh_path, note, per_worker, small, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_COUNT, LONGEST, TOP, SHARDS = 100, 5, 2000, 3
@@ -28,9 +28,13 @@ MARK_BITS = 24
 BLOCK = 2 << 20
 #: Bytes that end a piece, and blanks between its words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
+#: Of the two hashes that tell words apart.
+FACTORS = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)
 #: A top list is taken in so many parts before it is taken of their tops.
 PARTS = 64
-SCHEMA = "lang string, phrase string, k int, h long, a int, n long"
+#: A phrase's length, the step it became active in and the step it reached the threshold in (0: not yet) travel as one number.
+SCHEMA = "lang string, phrase string, h long, p long, n long"
+K, A, R = "CAST(shiftright(p, 8) & 255 AS INT)", "CAST(shiftright(p, 16) AS INT)", "CAST(p & 255 AS INT)"
 
 
 def kinds() -> np.ndarray:
@@ -77,10 +81,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def powers(factor: int, n: int) -> np.ndarray:
-    """factor to the powers 0 to n - 1, modulo 2^64."""
-    found = np.full(n, factor, np.uint64)
-    found[:1] = 1
-    return np.multiply.accumulate(found)
+    """factor to the powers 0 to n - 1, modulo 2^64; made once in a worker for blocks of the common size."""
+    held = per_worker(("powers", factor), lambda: [np.zeros(0, np.uint64)])
+    if len(held[0]) < n:
+        held[0] = np.full(max(n, BLOCK), factor, np.uint64)
+        held[0][0] = 1
+        np.multiply.accumulate(held[0], out=held[0])
+    return held[0][:n]
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray, factor: int) -> np.ndarray:
@@ -93,7 +100,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndar
 
 def grouped(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A row of each kind and how many there are of it; kinds differ in h or in g, which tells equal h apart."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     hs, gs = h[order], g[order]
     first = np.flatnonzero(np.concatenate(([True], hs[1:] != hs[:-1])))
     if (np.minimum.reduceat(gs, first) != np.maximum.reduceat(gs, first)).any():
@@ -123,7 +130,7 @@ def counts_of_block(
     piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
     lang = langs[np.searchsorted(row_ends, starts, "right")]
     mine = int(np.searchsorted(starts, owned))
-    h1, g1 = hashes(data, starts, ends, salts[lang], 0x5851F42D4C957F2D), hashes(data, starts, ends, salts[lang], 0x2545F4914F6CDD1D)
+    h1, second = hashes(data, starts, ends, salts[lang], FACTORS[0]), []
     # Words one blank apart, so that a phrase is one slice.
     keep = inside[1:-1].copy()
     keep[ends[ends < len(data)]] = True
@@ -132,27 +139,31 @@ def counts_of_block(
     begin = np.concatenate(([0], np.cumsum(width + 1)[:-1]))
     shift = np.uint64(64 - bits)
 
-    def found(k: int, at: np.ndarray, h: np.ndarray, g: np.ndarray, a: np.ndarray | None) -> pa.RecordBatch:
+    def found(k: int, at: np.ndarray, h: np.ndarray, a: np.ndarray | None) -> pa.RecordBatch:
+        if not second:
+            second.append(hashes(data, starts, ends, salts[lang], FACTORS[1]))
+        g = second[0][at]
+        for i in range(1, k):
+            g = mixed(g * np.uint64(0xA0761D6478BD642F) + second[0][at + i])
         rows, n = grouped(h, g)
         first = at[rows]
         phrase = slices(closed, begin[first], begin[first + k - 1] + width[first + k - 1])
-        since = np.zeros(len(rows), np.int32) if a is None else a[rows].astype(np.int32)
+        since = np.zeros(len(rows), np.int64) if a is None else a[rows].astype(np.int64)
         return pa.RecordBatch.from_arrays([
-            pa.array(names, pa.string()).take(pa.array(lang[first])), phrase, pa.array(np.full(len(rows), k, np.int32)),
-            pa.array(h[rows].view(np.int64)), pa.array(since), pa.array(n.astype(np.int64)),
-        ], ["lang", "phrase", "k", "h", "a", "n"])
+            pa.array(names, pa.string()).take(pa.array(lang[first])), phrase, pa.array(h[rows].view(np.int64)), pa.array((since << 16) + (k << 8)),
+            pa.array(n.astype(np.int64)),
+        ], ["lang", "phrase", "h", "p", "n"])
 
     if step <= shards and mine:
-        yield found(1, np.arange(mine), h1[:mine], g1[:mine], None)
+        yield found(1, np.arange(mine), h1[:mine], None)
         of_lang = np.bincount(lang[:mine], minlength=len(names))
         some = np.flatnonzero(of_lang)
         zero = np.zeros(len(some), np.int64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(names, pa.string()).take(pa.array(some)), pa.array([""] * len(some)), pa.array(zero.astype(np.int32)), pa.array(zero),
-            pa.array(zero.astype(np.int32)), pa.array(of_lang[some].astype(np.int64)),
-        ], ["lang", "phrase", "k", "h", "a", "n"])
+            pa.array(names, pa.string()).take(pa.array(some)), pa.array([""] * len(some)), pa.array(zero), pa.array(zero), pa.array(of_lang[some].astype(np.int64)),
+        ], ["lang", "phrase", "h", "p", "n"])
     # reached[i]: the step in which the phrase of k - 1 words at word i, and all within it, had been marked; 0 if not.
-    h, g, reached = h1, g1, marks[(h1 >> shift).astype(np.int64)]
+    h, reached = h1, marks[(h1 >> shift).astype(np.int64)]
     for k in range(2, longest + 1):
         n = len(starts) - k + 1
         if n <= 0:
@@ -162,14 +173,13 @@ def counts_of_block(
         if not len(at):
             return
         hk = mixed(h[at] * np.uint64(0xD6E8FEB86659FD93) + h1[at + k - 1])
-        gk = mixed(g[at] * np.uint64(0xA0761D6478BD642F) + g1[at + k - 1])
         since = active[at]
         now = (since.astype(np.int64) + shards >= step) & (at < mine)
         if now.any():
-            yield found(k, at[now], hk[now], gk[now], since[now])
+            yield found(k, at[now], hk[now], since[now])
         marked = marks[(hk >> shift).astype(np.int64)]
-        h, g, reached = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
-        h[at], g[at] = hk, gk
+        h, reached = np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        h[at] = hk
         reached[at] = np.where(marked > 0, np.maximum(marked, since), 0)
 
 
@@ -209,7 +219,7 @@ def dealt(docs: DataFrame, text_col: str, lang_col: str, shards: int) -> DataFra
 def newly_marked(counts: DataFrame, step: int, longest: int, bits: int) -> np.ndarray:
     """The places of the phrases that reached the threshold in this step: a bitmap of 2^bits bits in parts, whatever their number."""
     place = F.shiftrightunsigned("h", 64 - bits) + 1
-    new = counts.where((F.col("r") == step) & F.col("k").between(1, longest - 1)).select(place.alias("place"))
+    new = counts.where((F.expr(R) == step) & F.expr(K).between(1, longest - 1)).select(place.alias("place"))
     parts = new.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     found = [np.zeros(0, np.int64)]
     for part, held in parts.collect():
@@ -233,16 +243,14 @@ def frequent_phrases(
         step += 1
         sent = spark.sparkContext.broadcast(marks.tobytes())
         shard = texts.where(F.col("shard") == (step - 1) % shards).select("lang", "text")
-        rows = shard.mapInArrow(counter(sent, step, shards, longest, bits), SCHEMA).withColumn("r", F.lit(None).cast("int"))
+        rows = shard.mapInArrow(counter(sent, step, shards, longest, bits), SCHEMA)
         if under_way is not None:
-            rows = rows.unionByName(under_way.where(F.col("a") + shards >= step))
-        summed = rows.groupBy("lang", "phrase").agg(*[F.max(c).alias(c) for c in ("k", "h", "a", "r")], F.sum("n").alias("n"))
-        over = F.col("a") + shards <= step
-        kept = summed.withColumn("r", F.coalesce("r", F.when(F.col("n") >= min_count, step))).where(
-            ~over | (F.col("n") >= min_count) | (F.col("k") == 0)
-        )
-        now = written(kept, "counts")
-        done.append(written(now.where(over).select("lang", "phrase", "k", "n"), "frequent"))
+            rows = rows.unionByName(under_way.where(F.expr(A) + shards >= step))
+        summed = rows.groupBy("lang", "phrase").agg(F.max("h").alias("h"), F.max("p").alias("p"), F.sum("n").alias("n"))
+        over, often = F.expr(A) + shards <= step, F.col("n") >= min_count
+        reached = F.when(often & (F.expr(R) == 0), F.col("p") + step).otherwise(F.col("p"))
+        now = written(summed.withColumn("p", reached).where(~over | often | (F.expr(K) == 0)), "counts")
+        done.append(written(now.where(over).select("lang", "phrase", F.expr(K).alias("k"), "n"), "frequent"))
         new = newly_marked(now, step, longest, bits)
         new = new[marks[new] == 0]
         marks[new] = step
