@@ -419,4 +419,4 @@ def test_stages_on_edges(spark, sf, tmp_path):
 
 
 def test_registry():
-    assert [k.split("_")[0] for k in registry.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in registry.queries()] == [f"op{i}" for i in range(1, 14)]
