@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -276,17 +277,18 @@ def test_audio(spark):
 
 
 def brute_recordings(fps, run=C.RUN):
-    """Groups of recordings by the rule itself: every pair, every offset at which the signs of a run of integers are equal."""
+    """Groups of recordings by the rule itself: every pair, offsets counted one shared run after another, bits compared at the peaks."""
     words = {i: {} for i in fps}
     for i, x in fps.items():
-        begun = [(x[at : at + run] & C.SIGNS).tobytes() for at in range(len(x) - run + 1)]
-        for at, w in enumerate(begun):
-            if not (0 < at < len(begun) - 1 and begun[at - 1] == w == begun[at + 1]):  # inside a held tone
-                words[i].setdefault(w, []).append(at)
+        for at in range(len(x) - run + 1):
+            words[i].setdefault((x[at : at + run] & C.SIGNS).tobytes(), []).append(at)
 
     def same(i, j):
         x, y = fps[i], fps[j]
-        for o in {p - q for w in words[i].keys() & words[j].keys() for p in words[i][w] for q in words[j][w]}:
+        votes = Counter(p - q for w in words[i].keys() & words[j].keys() for p in words[i][w] for q in words[j][w])
+        for o, n in votes.items():
+            if max(votes.get(o - 1, 0), votes.get(o + 1, 0)) > n or votes.get(o - 1) == votes.get(o + 1) == n:
+                continue
             u, v = x[max(0, o) :], y[max(0, -o) :]
             n = min(len(u), len(v))
             if n >= max(8, 0.5 * min(len(x), len(y))) and sum(int(a ^ b).bit_count() for a, b in zip(u[:n], v[:n])) <= 0.2 * 32 * n:
@@ -298,6 +300,16 @@ def brute_recordings(fps, run=C.RUN):
     return brute_groups({i: i for i in fps}, same)
 
 
+def test_histogram_of_offsets():
+    """Against counting one by one, with long held values, nothing in common, and in small steps."""
+    rng = np.random.default_rng(4)
+    for n, m, kinds in [(1, 1, 1), (60, 40, 1), (80, 50, 3), (50, 90, 40), (30, 30, 10**6)]:
+        a, b = (np.repeat(rng.integers(kinds, size=k), rng.integers(1, 5, size=k))[:k] for k in (n, m))
+        votes = Counter(i - j for i in range(len(a)) for j in range(len(b)) if a[i] == b[j])
+        for C.MEETINGS in (3, 1 << 20):
+            assert C.histogram(a, b).tolist() == [votes[o] for o in range(1 - len(b), len(a))]
+
+
 def test_recordings_against_brute_force(spark):
     """Songs with noisy copies (10 dB), excerpts and held tones: every pair that fits is joined, and nearly all copies fit."""
     rng, rows, copies = np.random.default_rng(3), [], []
