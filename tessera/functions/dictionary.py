@@ -10,23 +10,25 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import per_worker
+from ..sources.shared import per_worker, written
 
 #: Bytes of words in a part, about: what the driver holds and each task keeps at once.
 PART_BYTES = 4 << 20
+#: Characters of words that a task adds to texts before it passes them on, about.
+YIELD_BYTES = 4 << 20
 
 
 def parts(words: DataFrame, by: str, word: str, part_bytes: int = PART_BYTES) -> Iterator[list]:
-    """The rows of words, part by part: those of one value of `by` are together, and a part holds about part_bytes of `word`."""
+    """The rows of words, part by part, in order of `by`: those of one value of it are together, and a part holds about part_bytes of `word`."""
     size = words.agg(F.sum(F.octet_length(word) + 16)).first()[0] or 0
     n = int(size // part_bytes) + 1
+    dealt = written(words.repartitionByRange(n, by).withColumn("__part", F.spark_partition_id()), "words") if n > 1 else words
     for i in range(n):
-        if found := words.where(F.pmod(F.xxhash64(by), F.lit(n)) == i).collect() if n > 1 else words.collect():
+        if found := dealt.where(F.col("__part") == i).drop("__part").collect() if n > 1 else words.collect():
             yield found
 
 
@@ -39,39 +41,52 @@ def automaton(words: list[str]):
 
 
 def with_group_words(texts: DataFrame, low: Column, words: DataFrame, out: str) -> DataFrame:
-    """texts with `out`: for each group that has a word in the text, its words that are not in it, in order.
+    """texts with `out`: for each group that has a word in the text, its words that are not in it, in order of
+    (group_id, pos, word), joined by spaces; empty where there are none.
 
-    low: the lower-cased text. words: group_id, pos, word, low. out: array of (group_id, pos, word).
+    low: the lower-cased text. words: group_id, pos, word, low. A text of many groups gets many
+    words, so a task passes on rows as soon as they come to YIELD_BYTES, however many it is given at once.
     """
-    kind = words.schema["group_id"].dataType.simpleString()
-    made = f"array<struct<group_id:{kind},pos:int,word:string>>"
-    found = []
+    d = texts.withColumn(out, F.lit(""))
     for part in parts(words.select("group_id", "pos", "word", "low").distinct(), "group_id", "low"):
         sent = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part]))
-        found.append(F.pandas_udf(missing_words(sent), made)(low))
-    return texts.withColumn(out, F.array_sort(F.concat(*found)) if found else F.array().cast(made))
+        told = d.withColumn("__low", low)
+        d = told.mapInArrow(missing_words(sent, YIELD_BYTES), d.schema)
+    return d
 
 
-def missing_words(sent):
-    """For with_group_words; sent: a name and the rows of a part, broadcast."""
+def missing_words(sent, yield_bytes: int):
+    """For with_group_words: adds to the last column but one by the last, which is dropped; sent: a name and the rows of a part, broadcast."""
 
     def make():
         groups, lows = {}, {}
-        for group, pos, word, key in sent.value[1]:
-            groups.setdefault(group, []).append((group, pos, word, key))
-            lows.setdefault(key, set()).add(group)
-        return automaton(list(lows)), list(lows.items()), groups
-
-    def missing(texts: pd.Series) -> pd.Series:
-        made, lows, groups = per_worker(("group words", sent.value[0]), make)
-
-        def one(text: str | None) -> list:
+        for row in sent.value[1]:
+            groups.setdefault(row[0], []).append(row[1:])
+        order = sorted(groups, key=lambda g: (g is not None, g))
+        listed = [[(word, key) for _, word, key in sorted(groups[g], key=lambda w: (w[0] is not None, w[0], w[1]))] for g in order]
+        for at, of_group in enumerate(listed):
+            for _, key in of_group:
+                lows.setdefault(key, set()).add(at)
+        return automaton(list(lows)), list(lows.items()), listed
+
+    def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, lows, listed = per_worker(("group words", sent.value[0]), make)
+
+        def one(before: str, text: str | None) -> str:
             here = {i for _, i in made.iter(text)} if text else set()
             said = {lows[i][0] for i in here}
-            hit = set().union(*(lows[i][1] for i in here))
-            return [{"group_id": g, "pos": pos, "word": word} for group in hit for g, pos, word, key in groups[group] if key not in said]
-
-        return texts.map(one)
+            hit = sorted(set().union(*(lows[i][1] for i in here)))
+            return " ".join([before] * (before != "") + [word for at in hit for word, key in listed[at] if key not in said])
+
+        for batch in batches:
+            kept, begin, grown, size = batch.num_columns - 2, 0, [], 0
+            for i in range(batch.num_rows):
+                grown.append(one(batch.column(kept)[i].as_py(), batch.column(kept + 1)[i].as_py()))
+                size += len(grown[-1])
+                if size > yield_bytes or i + 1 == batch.num_rows:
+                    cut = batch.slice(begin, i + 1 - begin)
+                    yield pa.RecordBatch.from_arrays([*cut.columns[:kept], pa.array(grown, pa.string())], batch.schema.names[: kept + 1])
+                    begin, grown, size = i + 1, [], 0
 
     return missing
 
