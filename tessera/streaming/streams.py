@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -107,13 +109,20 @@ def lockout_stream(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, second
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows that are told at once.
+FRAME_ROWS = 10_000
+#: Attempts of a key that wait together in one entry of the state, neighbours in time.
+WAIT_TOGETHER = 256
+
+
 class OrderedLockouts(StatefulProcessor):
     """The fold of one key's attempts in order of time, whatever order and batches they come in.
 
-    An attempt waits in the map state `waiting`, by its millisecond, until the watermark has passed
-    it; timers then call in order of time. The list state `recent` has the times of the last
-    failures, at most max_attempts of them, and goes with a success or when a timer finds that the
-    lockout has run out.
+    Attempts wait in the map state `waiting`, WAIT_TOGETHER neighbours in time to an entry, until
+    the watermark has passed them. A key's first timer then judges all that the watermark has
+    passed, in order of time: entries are merged, each read when the time of its first attempt has
+    come. The list state `recent` has the times of the last failures, at most max_attempts of them,
+    and goes with a success or when a timer finds that the lockout has run out.
     """
 
     def __init__(self, max_attempts: int, seconds: int):
@@ -121,32 +130,55 @@ class OrderedLockouts(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "times array<long>, ids array<long>, successes array<boolean>")
+        self.waiting = handle.getMapState("waiting", "ms long, name string", "times array<long>, ids array<long>, successes array<boolean>")
         self.recent = handle.getListState("recent", "t long")
 
+    def wait(self, rows: list[tuple]) -> None:
+        """Keep rows (time, id, success), in order of time, until a timer at the first one's time or later."""
+        for i in range(0, len(rows), WAIT_TOGETHER):
+            part = rows[i : i + WAIT_TOGETHER]
+            self.waiting.updateValue((part[0][0] // 1000, uuid.uuid4().hex), tuple(map(list, zip(*part))))
+        self.handle.registerTimer(rows[0][0] // 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:  # a frame at a time; what it holds is state before the next one comes
             micros = frame["ts"].astype("datetime64[us]").astype("int64")
-            for ms, part in frame.assign(micros=micros).groupby(micros // 1000):
-                at = (int(ms),)
-                held = self.waiting.getValue(at) if self.waiting.containsKey(at) else ([], [], [])
-                new = (part["micros"].tolist(), part["attempt_id"].tolist(), part["success"].tolist())
-                self.waiting.updateValue(at, tuple(list(a) + b for a, b in zip(held, new)))
-                self.handle.registerTimer(int(ms))
+            self.wait(sorted(zip(micros.tolist(), frame["attempt_id"].tolist(), frame["success"].tolist())))
         yield self.told([])
 
+    def due(self, upto: int) -> Iterator[tuple]:
+        """The waiting attempts up to a millisecond, in order; what was read and lies later waits again, and a timer calls for the rest."""
+        every = sorted(self.waiting.keys())
+        entries = [k for k in every if k[0] <= upto]
+        if len(entries) < len(every):
+            self.handle.registerTimer(every[len(entries)][0])
+        held, at = [], 0
+        while held or at < len(entries):
+            while at < len(entries) and (not held or entries[at][0] * 1000 <= held[0][0]):
+                for row in zip(*self.waiting.getValue(entries[at])):
+                    heapq.heappush(held, row)
+                self.waiting.removeKey(entries[at])
+                at += 1
+            if held[0][0] // 1000 > upto:
+                break
+            yield heapq.heappop(held)
+        if held:
+            self.wait(sorted(held))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms, span = expiredTimerInfo.getExpiryTimeInMs(), self.seconds * 1_000_000
+        upto, span = timerValues.getCurrentWatermarkInMs(), self.seconds * 1_000_000
         before = [t for (t,) in self.recent.get()] if self.recent.exists() else []
-        recent, out = [t for t in before if ms * 1000 - t < span], []
-        if self.waiting.containsKey((ms,)):
-            for t, i, success in sorted(zip(*self.waiting.getValue((ms,)))):
-                recent = [x for x in recent if t - x < span]
-                locked = len(recent) >= self.max_attempts
-                out.append((key[0], i, locked, len(recent)))
-                if not locked:
-                    recent = [] if success else [*recent, t]
-            self.waiting.removeKey((ms,))
+        recent, out = before, []
+        for t, i, success in self.due(upto):
+            recent = [x for x in recent if t - x < span]
+            locked = len(recent) >= self.max_attempts
+            out.append((key[0], i, locked, len(recent)))
+            if not locked:
+                recent = [] if success else [*recent, t]
+            if len(out) == FRAME_ROWS:
+                yield self.told(out)
+                out = []
+        recent = [t for t in recent if upto * 1000 - t < span]  # what comes later than the watermark does not see the others
         if recent:
             self.recent.put([(t,) for t in recent])
             self.handle.registerTimer(recent[-1] // 1000 + self.seconds * 1000 + 1)

@@ -64,3 +64,49 @@ def test_ordered_stream(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     got = {x.attempt_id: (x.locked, x.failures) for x in spark.read.schema("client_key string, attempt_id long, locked boolean, failures int").parquet(f"{tmp_path}/out").collect()}
     assert got == plain(rows, S.MAX_ATTEMPTS, 120)
+
+
+def test_ordered_stream_makes_few_calls_for_many_attempts(monkeypatch):
+    """A key's attempts are a few entries of state and one timer, not some for each attempt; they are judged in pieces as the watermark passes."""
+    import pandas as pd
+
+    from tessera.streaming import streams as ST
+
+    class Held(dict):
+        def exists(self): return bool(self)
+        def get(self): return iter(self.get_rows())
+        def get_rows(self): return list(self.values())
+        def put(self, rows): self.clear(), self.update(enumerate(rows))
+        def getValue(self, k): calls.append("get"); return self[k]
+        def updateValue(self, k, v): calls.append("update"); self[k] = v
+        def removeKey(self, k): del self[k]
+
+    class Handle:
+        def getMapState(self, *_): return Held()
+        def getListState(self, *_): return Held()
+        def registerTimer(self, ms): calls.append("timer"); timers.add(ms)
+
+    class Now:
+        def __init__(self, ms): self.ms = ms
+        def getCurrentWatermarkInMs(self): return self.ms
+        def getExpiryTimeInMs(self): return self.ms
+
+    calls, timers = [], set()
+    r, t0 = random.Random(5), datetime(2024, 1, 1)
+    rows = [("k", i, t0 + timedelta(seconds=r.randint(0, 40_000)), r.random() < 0.15) for i in range(3000)]
+    fold = ST.OrderedLockouts(S.MAX_ATTEMPTS, 600)
+    fold.init(Handle())
+    for part in (rows[:2000], rows[2000:]):
+        frame = pd.DataFrame(part, columns=["client_key", "attempt_id", "ts", "success"])
+        list(fold.handleInputRows(("k",), iter([frame]), Now(0)))
+    got, passed = {}, 0
+    for minutes in (100, 101, 400, 2000):
+        mark = int((t0 - datetime(1970, 1, 1)).total_seconds() + minutes * 60) * 1000
+        while due := sorted(t for t in timers if t <= mark):
+            timers.remove(due[0])
+            for frame in fold.handleExpiredTimer(("k",), Now(mark), Now(due[0])):
+                got |= {x.attempt_id: (x.locked, x.failures) for x in frame.itertuples()}
+        passed = sum(x[2] <= t0 + timedelta(minutes=minutes) for x in rows)
+        assert len(got) == passed
+    assert got == plain(rows, S.MAX_ATTEMPTS, 600) and not fold.waiting and not fold.recent
+    assert len(calls) < 150
