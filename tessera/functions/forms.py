@@ -20,6 +20,7 @@ HYPHENS = str.maketrans(dict.fromkeys(DASHES, "-"))
 PLANES = ((0x80, 0x3400), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE1000))
 #: Runs of characters of no interest that are at least this long are passed over at once.
 RUN = 32
+ASCII = r"[\x00-\x7F]"
 
 
 def counts_as(ch: str) -> str:
@@ -81,8 +82,16 @@ def unequal() -> str:
 
 
 def odd_characters(text: Column) -> Column:
-    """The characters of a text outside the calm runs: few as a rule, so that long patterns are tried on these alone."""
-    return F.regexp_replace(text, calm() + "+", "")
+    """The characters of a text outside the calm runs: few as a rule, so that long patterns are tried on these alone.
+
+    ASCII, which is calm, goes first: the pattern of the calm runs is slow for each character.
+    """
+    return F.regexp_replace(F.regexp_replace(text, ASCII + "+", ""), calm() + "+", "")
+
+
+def has_odd(text: Column) -> Column:
+    """Whether odd_characters(text) has any; stops at the first."""
+    return text.rlike("[^" + ASCII[1:]) & text.rlike("[^" + calm()[1:])
 
 
 def has_single(odd: Column) -> Column:

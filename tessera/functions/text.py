@@ -31,30 +31,33 @@ LATIN_RUN = r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*"
 DIM = 512
 
 
+def nfkc(texts: list[str | None]) -> list[str | None]:
+    """Texts for matching: NFKC, one kind of dash, no format characters."""
+    def normal(t: str) -> str:
+        found = unicodedata.normalize("NFKC", t)
+        for c in set(found):  # a text has few of these kinds, so they are replaced one by one
+            if c in forms.DASHES:
+                found = found.replace(c, "-")
+            elif unicodedata.category(c) == "Cf":
+                found = found.replace(c, "")
+        return found
+
+    return [None if t is None else normal(t) for t in texts]
+
+
 def with_normalised(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with `out`: text for matching (NFKC, no format characters, one kind of dash).
 
-    Characters are put in place of others by column functions. Only texts with characters that
-    join with what precedes them (combining marks, parts of syllables) meet the Arrow function.
+    Texts of characters that neither change nor join with others stay as they are; the others meet
+    the Arrow function: patterns of all characters that change cost more for a text than to
+    normalise it.
     """
-    hyphens = forms.HYPHENS
-
     @F.pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
-        def normal(t: str | None) -> str | None:
-            if t is None:
-                return None
-            found = unicodedata.normalize("NFKC", t).translate(hyphens)
-            return found.translate({ord(c): None for c in set(found) if unicodedata.category(c) == "Cf"})
-
-        return texts.map(normal)
-
-    odd = F.col("__odd")
-    d = df.select("*", forms.odd_characters(F.col(text)).alias("__odd"))
-    d = d.select("*", forms.has_meeting(odd).alias("__meets"), (forms.has_single(odd) | forms.has_unequal(odd)).alias("__changes"))
-    seen = F.when(F.col("__changes"), forms.view(F.col(text))).otherwise(F.col(text))
-    d = d.withColumn("__nfkc", nfkc(F.when(F.col("__meets"), F.col(text))))
-    return d.withColumn(out, F.when(F.col("__meets"), F.col("__nfkc")).otherwise(seen)).drop("__odd", "__meets", "__changes", "__nfkc")
+    def normalised(texts: pd.Series) -> pd.Series:
+        return pd.Series(nfkc(texts.tolist()), dtype=object)
+
+    d = df.select("*", F.when(forms.has_odd(F.col(text)), F.col(text)).alias("__odd"))
+    return d.withColumn("__nfkc", normalised("__odd")).withColumn(out, F.coalesce("__nfkc", text)).drop("__odd", "__nfkc")
 
 
 def tokens(text: Column) -> Column:

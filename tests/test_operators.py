@@ -23,6 +23,22 @@ def test_normalised(spark):
     assert {r.t: r.n for r in T.with_normalised(d, "t", "n").collect()} == {"ＡＢ\u200b–c": "AB-c", "plain": "plain", None: None}
 
 
+def test_normalised_odd_texts_meet_no_long_pattern(spark):
+    """Texts of any kind as the standard library has them; the plan has no pattern of all characters that change."""
+    import unicodedata
+
+    from tessera.functions import forms
+
+    texts = ["ascii - only", "é 한글 漢", "ｆｕｌｌ\u200b \u00adｗｉｄｔｈ – x", "e\u0301 ㎏ … ’ ﬁ", "\u1100\u1161", "가\u11a8", "\U000e0041x", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    n = T.with_normalised(d, "t", "n").withColumns({"odd": forms.has_odd(F.col("t")), "left": forms.odd_characters(F.col("t"))})
+    for r in n.collect():
+        want = None if r.t is None else "".join(c for c in unicodedata.normalize("NFKC", r.t).translate(forms.HYPHENS) if unicodedata.category(c) != "Cf")
+        assert r.n == want and (r.t is None or r.odd == (r.left != ""))
+    plan = T.with_normalised(d, "t", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 10_000
+
+
 def test_embedder_hook(spark):
     d = spark.createDataFrame([(1, "ab"), (2, None)], "id long, text string")
     v = {r.id: r.vector for r in T.embed(d, "id", "text", lambda texts: [[len(t or ""), 0.0] for t in texts]).collect()}
