@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..sources.shared import written
 
 CHUNK_CHARS, HEADING_CHARS = 1200, 60
 #: Lines of a document that are one task's in a scan.
@@ -33,10 +34,21 @@ PAGE_DECORATED = r"^[-–—]\s*\d{1,4}\s*[-–—]$"
 PAGE_EDGE = r"^(?:[-–—]?\s*(\d{1,4})\s*[-–—]?|\d{1,4}\s*/\s*\d{1,4}|(?:[Pp]age|[Pp]\.)\s*\d{1,4}|\d{1,4}\s*쪽)$"
 
 
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often they are used (as in governance)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, STRIP, "")
 
 
+def strip_text(c: str) -> Column:
+    """strip of a column of whole texts: the pattern, which tries each place of a text, meets only those that begin or end with white space."""
+    edges = F.concat(F.left(F.col(c), F.lit(1)), F.right(F.col(c), F.lit(1)))
+    return F.when(edges.rlike(U + r"\s"), strip(F.col(c))).otherwise(F.col(c))
+
+
 # ---- scans ----------------------------------------------------------------------------------------
 
 def scanned(
@@ -149,8 +161,28 @@ def titled_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, text, h1): body lines outside the first H1; later H1 lines become H2.
 
     docs: doc_id, body. Lines inside fences are no headings. h1 is the document's first H1 or null.
+    Without fences any line that looks like an H1 is one, which the text alone tells; documents with
+    fences are scanned, block by block.
     """
-    ln = lines_of(docs.withColumn("body", strip(F.col("body"))), "body", "doc_id")
+    d = docs.select("doc_id", strip_text("body").alias("body"))
+    fenced = F.coalesce(F.col("body").contains("```") | F.col("body").contains("~~~"), F.lit(False))
+    return unfenced_lines(d.where(~fenced)).unionByName(fenced_lines(d.where(fenced)))
+
+
+def unfenced_lines(docs: DataFrame) -> DataFrame:
+    """titled_lines of documents (doc_id, body) without fences: nothing moves."""
+    cut = docs.select("doc_id", F.split("body", r"\r\n|\r|\n").alias("__lines"))
+    at = F.array_position(F.transform("__lines", lambda x: x.startswith("# ")), True)
+    cut = evaluated(cut, __at=F.nullif(at, F.lit(0)))
+    title = strip(F.substring(F.try_element_at("__lines", F.col("__at").cast("int")), 3, 1 << 30))
+    ln = cut.select("doc_id", "__at", title.alias("h1"), F.posexplode("__lines").alias("line_no", "text"))
+    ln = ln.where(F.col("__at").isNull() | (F.col("line_no") != F.col("__at") - 1))
+    return ln.select("doc_id", "line_no", F.when(F.col("text").startswith("# "), F.concat(F.lit("#"), "text")).otherwise(F.col("text")).alias("text"), "h1")
+
+
+def fenced_lines(docs: DataFrame) -> DataFrame:
+    """titled_lines of any documents (doc_id, body), by scans."""
+    ln = lines_of(docs, "body", "doc_id")
     fence = F.col("text").rlike(r"^\s*(?:```|~~~)")
     ln = scanned(ln.withColumn("__fence", fence.cast("int")), ["line_no"], line_block(), sums={"__fences": F.col("__fence")})
     is_h1 = (F.col("__fence") == 0) & (F.col("__fences") % 2 == 0) & F.col("text").startswith("# ")
@@ -161,16 +193,18 @@ def titled_lines(docs: DataFrame) -> DataFrame:
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """(doc_id, section_no, section, text): cut at `## ` lines; sections of blanks only are dropped."""
+    """(doc_id, section_no, section, text, and h1 if the lines have it): cut at `## ` lines; sections of blanks only are dropped."""
+    told = [c for c in ("h1",) if c in lines.columns]
     headed = lines.withColumn("head", F.col("text").startswith("## "))
     cut = scanned(headed, ["line_no"], line_block(), sums={"section_no": F.col("head").cast("int")})
     return (
         cut.groupBy("doc_id", "section_no")
         .agg(
             F.coalesce(F.max(F.when(F.col("head"), strip(F.substring("text", 4, 1 << 30)))), F.lit("")).alias("section"),
-            F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "text")))).alias("x"),
+            F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("line_no", "text")))).alias("x"), *[F.max(c).alias(c) for c in told],
         )
-        .select("doc_id", "section_no", "section", strip(F.array_join("x.text", "\n")).alias("text"))
+        .select("doc_id", "section_no", "section", F.array_join("x.text", "\n").alias("text"), *told)
+        .withColumn("text", strip_text("text"))
         .where("text <> ''")
     )
 
@@ -222,9 +256,10 @@ def bounded_sections(secs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     short = F.length("text") <= limit
     packed = _packed(paragraphs(F.col("text"), limit), limit, "\n\n", 0)
     d = secs.withColumn("__pieces", F.when(short, F.array("text")).otherwise(packed))
-    d = d.select("doc_id", "section_no", "section", F.size("__pieces").alias("n"), F.posexplode("__pieces").alias("part", "text"))
+    told = [c for c in ("h1",) if c in secs.columns]
+    d = d.select("doc_id", "section_no", "section", *told, F.size("__pieces").alias("n"), F.posexplode("__pieces").alias("part", "text"))
     name = F.when(F.col("n") > 1, F.concat("section", F.lit(" ("), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("section"))
-    return d.select("doc_id", "section_no", "part", name.alias("section"), "text")
+    return d.select("doc_id", "section_no", "part", name.alias("section"), "text", *told)
 
 
 def chunks(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
@@ -232,12 +267,10 @@ def chunks(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
 
     The title is that of the front matter, else the first H1, else the id.
     """
-    with_meta = with_front_matter(docs)
-    lines = titled_lines(with_meta)
-    heads = lines.groupBy("doc_id").agg(F.max("h1").alias("h1"))
-    cut = bounded_sections(sections(lines), limit)
+    with_meta = written(with_front_matter(docs).select("doc_id", "source", "meta", "body"), "documents")  # read for its lines and for its meta
+    cut = bounded_sections(sections(titled_lines(with_meta)), limit)
     return (
-        cut.join(heads, "doc_id").join(with_meta.select("doc_id", "source", "meta"), "doc_id")
+        cut.join(with_meta.select("doc_id", "source", "meta"), "doc_id")
         .withColumn("title", F.coalesce(F.when(F.col("meta.title") != "", F.col("meta.title")), "h1", F.col("doc_id").cast("string")))
         .select("doc_id", "section_no", "part", "title", "section", "text", "source", "meta")
     )

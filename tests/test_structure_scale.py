@@ -50,3 +50,16 @@ def test_scan_against_plain_values(spark, monkeypatch):
                 assert x.s == sum(upto) and x.l == (upto[-1] if upto else None) and x.f == some[0] and x.r == max(some) - min(some)
                 assert x.b == (mine[x.line_no - 1] if x.line_no else None)
         assert len(got) == len(rows)
+
+
+def test_documents_without_fences_are_titled_where_they_are(spark):
+    """Texts with no fence give what the scan gives, without a shuffle; blanks of any kind at both ends are cut."""
+    docs = {k: [x for x in v if not x.startswith(("```", "~~~"))] for k, v in made(spark, 12, 9).items()}
+    texts = [(k, "\n".join(v)) for k, v in docs.items()] + [("n", None), ("e", ""), ("w", "　 \n# A \r\nb\r# C\n "), ("h", "# only")]
+    d = spark.createDataFrame(texts, "doc_id string, body string")
+    scanned = D.fenced_lines(d.withColumn("body", D.strip(F.col("body"))))
+    got = D.titled_lines(d)
+    assert sorted(map(str, got.collect())) == sorted(map(str, scanned.select(*got.columns).collect())) != []
+    assert "Exchange" not in D.unfenced_lines(d)._jdf.queryExecution().executedPlan().toString()
+    stripped = d.select("doc_id", D.strip_text("body").alias("a"), D.strip(F.col("body")).alias("b")).collect()
+    assert all(r.a == r.b for r in stripped)
