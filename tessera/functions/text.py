@@ -28,6 +28,9 @@ TRANSLITERATIONS = {
     "줄루": "zulu", "알오이": "roe", "나토": "nato",
 }
 LATIN_RUN = r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*"
+#: Where tokens are more than runs of ASCII letters and digits: where runs are joined, and at Hangul and the two letters that have
+#: ASCII ones in lower case. BEYOND holds all of the latter; as one range it is found many times faster.
+JOINED, BEYOND, NOT_PLAIN = r"[.\-/](?<=[A-Za-z0-9].)[A-Za-z0-9]", r"[\u0130-\ud7a3]", r"[가-힣\u0130\u212a]"
 DIM = 512
 
 
@@ -84,6 +87,11 @@ def tokens(text: Column) -> Column:
     return F.concat(latins, hanguls)
 
 
+def is_plain(text: Column) -> Column:
+    """Whether the tokens of text are its runs of ASCII letters and digits in lower case, no more."""
+    return ~(text.rlike(JOINED) | (text.rlike(BEYOND) & text.rlike(NOT_PLAIN)))
+
+
 TOKENS_SQL = r"""flatten(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+(?:[.\-/][a-z0-9]+)*'),
   lambda r: CASE WHEN len(string_split_regex(r, '[.\-/]')) > 1
     THEN list_concat(list_concat([r], string_split_regex(r, '[.\-/]')),
