@@ -325,7 +325,11 @@ def _tables(spark, path: str, segments: list[dict], table: str) -> DataFrame:
 
 def _live(spark, path: str, segments: list[dict], every: list[dict]) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of segments without what any segment of `every` made obsolete; both with seq."""
-    last = _tables(spark, path, every, "gone").groupBy("key").agg(F.max("seq").alias("last"))
+    gone = _tables(spark, path, every, "gone")
+    if gone.isEmpty():
+        # All are live, and so are their postings.
+        return _tables(spark, path, segments, "postings").where("chunk_id IS NOT NULL"), _tables(spark, path, segments, "lengths")
+    last = gone.groupBy("key").agg(F.max("seq").alias("last"))
     lengths = _tables(spark, path, segments, "lengths").join(last, "key", "left").where("last IS NULL OR seq >= last").drop("last")
     postings = _tables(spark, path, segments, "postings").join(lengths.select("chunk_id", "seq"), ["chunk_id", "seq"], "left_semi")
     return postings, lengths
