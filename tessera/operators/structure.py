@@ -165,17 +165,25 @@ def titled_lines(docs: DataFrame) -> DataFrame:
     fences are scanned, block by block.
     """
     d = docs.select("doc_id", strip_text("body").alias("body"))
-    fenced = F.coalesce(F.col("body").contains("```") | F.col("body").contains("~~~"), F.lit(False))
-    return unfenced_lines(d.where(~fenced)).unionByName(fenced_lines(d.where(fenced)))
+    return unfenced_lines(d.where(~has_fence())).unionByName(fenced_lines(d.where(has_fence())))
 
 
-def unfenced_lines(docs: DataFrame) -> DataFrame:
-    """titled_lines of documents (doc_id, body) without fences: nothing moves."""
-    cut = docs.select("doc_id", F.split("body", r"\r\n|\r|\n").alias("__lines"))
+def has_fence() -> Column:
+    """Whether a body may hold fences."""
+    return F.coalesce(F.col("body").contains("```") | F.col("body").contains("~~~"), F.lit(False))
+
+
+def with_h1(docs: DataFrame) -> DataFrame:
+    """docs with __lines for the body, the place of the first H1 among them (__at, from 1, or null), and h1."""
+    cut = docs.select(*[c for c in docs.columns if c != "body"], F.split("body", r"\r\n|\r|\n").alias("__lines"))
     at = F.array_position(F.transform("__lines", lambda x: x.startswith("# ")), True)
     cut = evaluated(cut, __at=F.nullif(at, F.lit(0)))
-    title = strip(F.substring(F.try_element_at("__lines", F.col("__at").cast("int")), 3, 1 << 30))
-    ln = cut.select("doc_id", "__at", title.alias("h1"), F.posexplode("__lines").alias("line_no", "text"))
+    return cut.withColumn("h1", strip(F.substring(F.try_element_at("__lines", F.col("__at").cast("int")), 3, 1 << 30)))
+
+
+def unfenced_lines(docs: DataFrame) -> DataFrame:
+    """titled_lines of documents (doc_id, body) without fences: nothing moves."""
+    ln = with_h1(docs).select("doc_id", "__at", "h1", F.posexplode("__lines").alias("line_no", "text"))
     ln = ln.where(F.col("__at").isNull() | (F.col("line_no") != F.col("__at") - 1))
     return ln.select("doc_id", "line_no", F.when(F.col("text").startswith("# "), F.concat(F.lit("#"), "text")).otherwise(F.col("text")).alias("text"), "h1")
 
@@ -209,6 +217,28 @@ def sections(lines: DataFrame) -> DataFrame:
     )
 
 
+def unfenced_sections(docs: DataFrame) -> DataFrame:
+    """sections(titled_lines(…)) of documents (doc_id, stripped body, further columns, which stay) without fences: nothing moves."""
+    cut = with_h1(docs)
+
+    def shown(x: Column, i: Column) -> Column:
+        return F.when(i + 1 == F.col("__at"), F.lit(None)).when(x.startswith("# "), F.concat(F.lit("#"), x)).otherwise(x)
+
+    cut = evaluated(cut, __said=F.filter(F.transform("__lines", shown), lambda x: x.isNotNull())).drop("__lines", "__at")
+    heads = F.filter(F.transform("__said", lambda x, i: F.when(x.startswith("## "), i + 1)), lambda i: i.isNotNull())
+    cut = evaluated(cut, __heads=heads)
+
+    def section(head: Column, end: Column) -> Column:
+        name = F.when(head > 0, strip(F.substring(F.element_at("__said", F.greatest(head, F.lit(1))), 4, 1 << 30))).otherwise("")
+        return F.struct(name.alias("section"), F.array_join(F.slice("__said", head + 1, end - head - 1), "\n").alias("text"))
+
+    found = F.zip_with(F.concat(F.array(F.lit(0)), "__heads"), F.concat("__heads", F.array(F.size("__said") + 1)), section)
+    kept = [c for c in cut.columns if not c.startswith("__")]
+    each = cut.select(*kept, F.posexplode(found).alias("section_no", "__s"))
+    each = each.select(*kept, F.col("section_no").cast("long").alias("section_no"), "__s.section", "__s.text")
+    return each.withColumn("text", strip_text("text")).where("text <> ''")
+
+
 def _packed(items: Column, limit: int, joiner: str, joiner_counts: int) -> Column:
     """Greedy packing of an array of strings into an array of joined strings of at most limit characters.
 
@@ -252,11 +282,11 @@ def paragraphs(text: Column, limit: int = CHUNK_CHARS) -> Column:
 
 
 def bounded_sections(secs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
-    """(doc_id, section_no, part, section, text): longer sections packed from their paragraphs as `name (1)`, `name (2)`."""
+    """(doc_id, section_no, part, section, text, further columns): longer sections packed from their paragraphs as `name (1)`, `name (2)`."""
     short = F.length("text") <= limit
     packed = _packed(paragraphs(F.col("text"), limit), limit, "\n\n", 0)
     d = secs.withColumn("__pieces", F.when(short, F.array("text")).otherwise(packed))
-    told = [c for c in ("h1",) if c in secs.columns]
+    told = [c for c in secs.columns if c not in ("doc_id", "section_no", "section", "text")]
     d = d.select("doc_id", "section_no", "section", *told, F.size("__pieces").alias("n"), F.posexplode("__pieces").alias("part", "text"))
     name = F.when(F.col("n") > 1, F.concat("section", F.lit(" ("), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("section"))
     return d.select("doc_id", "section_no", "part", name.alias("section"), "text", *told)
@@ -265,12 +295,15 @@ def bounded_sections(secs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
 def chunks(docs: DataFrame, limit: int = CHUNK_CHARS) -> DataFrame:
     """Documents (doc_id, source, content) as chunks: doc_id, section_no, part, title, section, text, source, meta.
 
-    The title is that of the front matter, else the first H1, else the id.
+    The title is that of the front matter, else the first H1, else the id. Documents without fences
+    are cut where they are; those with fences are scanned, block by block.
     """
-    with_meta = written(with_front_matter(docs).select("doc_id", "source", "meta", "body"), "documents")  # read for its lines and for its meta
-    cut = bounded_sections(sections(titled_lines(with_meta)), limit)
+    d = with_front_matter(docs.where("doc_id IS NOT NULL")).select("doc_id", "source", "meta", "body")
+    d = written(d.withColumn("body", strip_text("body")), "documents")  # read for those with fences and for those without
+    scanned_ones = d.where(has_fence())
+    cut = sections(fenced_lines(scanned_ones.select("doc_id", "body"))).join(scanned_ones.drop("body"), "doc_id")
     return (
-        cut.join(with_meta.select("doc_id", "source", "meta"), "doc_id")
+        bounded_sections(unfenced_sections(d.where(~has_fence())).unionByName(cut), limit)
         .withColumn("title", F.coalesce(F.when(F.col("meta.title") != "", F.col("meta.title")), "h1", F.col("doc_id").cast("string")))
         .select("doc_id", "section_no", "part", "title", "section", "text", "source", "meta")
     )

@@ -36,11 +36,10 @@ def numbered_lines(spark: SparkSession, sf: str, per_page: int = 8) -> DataFrame
 
 def markdown(spark: SparkSession, sf: str) -> DataFrame:
     """documents as Markdown: front matter, a title, and each fifth line a heading."""
-    d = lines(spark, sf)
-    text = F.when(F.col("pos") % 5 == 2, F.concat(F.lit("## "), "text")).otherwise(F.col("text"))
-    body = F.array_join(F.array_sort(F.collect_list(F.struct("pos", text.alias("t"))))["t"], "\n")
+    d = read_table(spark, sf, "documents").where("text IS NOT NULL")
+    shown = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 2, F.concat(F.lit("## "), x)).otherwise(x))
     front = F.concat(F.lit("---\ntitle: 'Document "), F.col("doc_id").cast("string"), F.lit("'\ntags: a, b\ncategory: text\n---\n# Head\n"))
-    return d.groupBy("doc_id").agg(body.alias("b")).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.concat(front, "b").alias("content"))
+    return d.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.concat(front, F.array_join(shown, "\n")).alias("content"))
 
 
 #: The marking that a message gets by its place, the level that it means, and what is found of it.

@@ -63,3 +63,17 @@ def test_documents_without_fences_are_titled_where_they_are(spark):
     assert "Exchange" not in D.unfenced_lines(d)._jdf.queryExecution().executedPlan().toString()
     stripped = d.select("doc_id", D.strip_text("body").alias("a"), D.strip(F.col("body")).alias("b")).collect()
     assert all(r.a == r.b for r in stripped)
+
+
+def test_documents_without_fences_are_cut_where_they_are(spark):
+    """Their sections are those of the scan, without a shuffle, also where documents with and without fences are mixed."""
+    docs = {k: [x for x in v if not x.startswith(("```", "~~~"))] for k, v in made(spark, 12, 11).items()}
+    texts = [(k, "\n".join(v)) for k, v in docs.items()] + [("n", None), ("e", ""), ("w", "　 \n# A \r\n## \rb\r# C\n "), ("h", "# only"), ("g", "## G"), ("l", "x\n##  H \n\n y \n## Z")]
+    d = spark.createDataFrame(texts, "doc_id string, body string").withColumn("body", D.strip_text("body"))
+    got = D.unfenced_sections(d)
+    assert sorted(map(str, got.collect())) == sorted(map(str, D.sections(D.fenced_lines(d)).select(*got.columns).collect())) != []
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    mixed = spark.createDataFrame([(k, "s" + k, t) for k, t in texts] + [("f", "sf", "# T\n```\n# no\n```\n## S\nz")], "doc_id string, source string, content string")
+    found = {(r.doc_id, r.section_no): (r.source, r.title, r.section, r.text) for r in D.chunks(mixed).collect()}
+    assert found["f", 1] == ("sf", "T", "S", "z") and found["w", 1] == ("sw", "A", "", "b")
+    assert found["l", 1] == ("sl", "l", "H", "y") and ("n", 0) not in found and ("h", 0) not in found
