@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..sources.shared import written
+from ..sources.shared import small, written
 
 CHUNK_CHARS, HEADING_CHARS = 1200, 60
 #: Lines of a document that are one task's in a scan.
@@ -52,7 +52,7 @@ def strip_text(c: str) -> Column:
 # ---- scans ----------------------------------------------------------------------------------------
 
 def scanned(
-    lines: DataFrame, order: list[str], block: Column, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
+    lines: DataFrame, order: list[str], block: Column | None, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
     lags: dict[str, Column] | None = None, firsts: dict[str, Column] | None = None, ranges: dict[str, Column] | None = None,
 ) -> DataFrame:
     """lines with values that run along a document, found block by block, so that no document is one task's.
@@ -61,9 +61,18 @@ def scanned(
     lags: the value of the line before; firsts: the document's first value that is not null;
     ranges: how far a number goes in the document, its greatest less its least. block grows along
     order (columns). Each block is summed up in a row, what comes before a block is carried over
-    these rows, and the rest is a window inside the block.
+    these rows, and the rest is a window inside the block. Without a block a document is one window.
     """
     sums, lasts, lags, firsts, ranges = sums or {}, lasts or {}, lags or {}, firsts or {}, ranges or {}
+    if block is None:
+        along = Window.partitionBy("doc_id").orderBy(*order)
+        upto, whole = along.rowsBetween(Window.unboundedPreceding, Window.currentRow), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        found = {n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()}
+        found |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
+        found |= {n: F.lag(c).over(along) for n, c in lags.items()}
+        found |= {n: F.first(c, ignorenulls=True).over(whole) for n, c in firsts.items()}
+        found |= {n: F.max(c).over(whole) - F.min(c).over(whole) for n, c in ranges.items()}
+        return lines.select("*", *[c.alias(n) for n, c in found.items()])
     cut, place = lines.withColumn("__block", block), F.struct(*order)
     made = [F.sum(c).alias(f"__{n}") for n, c in sums.items()]
     made += [F.max_by(c, F.when(c.isNotNull(), place)).alias(f"__{n}") for n, c in lasts.items()]
@@ -87,8 +96,10 @@ def scanned(
     return d.select(*lines.columns, *[c.alias(n) for n, c in found.items()])
 
 
-def with_document(lines: DataFrame, known: DataFrame, block: Column) -> DataFrame:
+def with_document(lines: DataFrame, known: DataFrame, block: Column | None) -> DataFrame:
     """lines with the columns of known (one row for each doc_id), which are first joined to the document's blocks, then to the lines of each."""
+    if block is None:
+        return lines.join(known, "doc_id")
     cut = lines.withColumn("__block", block)
     told = cut.select("doc_id", "__block").distinct().join(known, "doc_id").select(
         F.col("doc_id").alias("__doc"), F.col("__block").alias("__of"), *[c for c in known.columns if c != "doc_id"]
@@ -414,9 +425,19 @@ def structured(paras: DataFrame, modes: DataFrame) -> DataFrame:
     """(doc_id, section_no, section, paragraphs): paragraphs (doc_id, paragraph_no, text) under their headings.
 
     In article mode a chapter goes before the names of its articles until the next chapter or an
-    appendix, and what follows an article's head on its line is its first paragraph.
+    appendix, and what follows an article's head on its line is its first paragraph. Lines of
+    documents of one block move once, to their document; only those of longer ones are scanned by blocks.
     """
-    order, block = ["paragraph_no"], line_block("paragraph_no")
+    long = written(paras.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_LINES).select("doc_id"), "long")
+    few = small(long, 16)
+    if long.isEmpty():
+        return _structured(paras, modes, None)
+    short = _structured(paras.join(few, "doc_id", "left_anti"), modes, None)
+    return short.unionByName(_structured(paras.join(few, "doc_id", "left_semi"), modes, line_block("paragraph_no")))
+
+
+def _structured(paras: DataFrame, modes: DataFrame, block: Column | None) -> DataFrame:
+    order = ["paragraph_no"]
     d = with_document(paras, modes, block)
     flat = F.when(F.col("text").startswith("#"), strip(F.regexp_replace("text", "^#+", ""))).otherwise(F.col("text"))
     d = d.withColumn("s", flat)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import erase, small, written
+
 CASE = "id string, question string, expected_refs array<string>, expected_keywords array<string>, forbidden array<string>, blocked boolean, category string, note string"
 #: Tables whose rows take long.
 TEXTS = ("documents", "pages", "conversations")
@@ -142,17 +144,18 @@ def write_corpus(docs: DataFrame, path: str, mode: str = "skip") -> DataFrame:
     there = known.select("doc_id", F.lit(True).alias("known"))
     status = F.when(F.col("content").isNull(), "failed").when(F.lit(mode == "skip") & F.col("known").isNotNull(), "skipped").otherwise("ok")
     judged = once.join(there, "doc_id", "left").withColumn("status", status)
-    if mode != "dry_run":
-        new = judged.where("status = 'ok'").select("doc_id", "content")
-        if mode == "overwrite":
-            kept = known.join(new.select("doc_id"), "doc_id", "left_anti")
-            result = judged.select("doc_id", "status").checkpoint()
-            replace_folder(kept.unionByName(new), path)
-            return result
-        result = judged.select("doc_id", "status").checkpoint()
+    if mode == "dry_run":
+        return judged.select("doc_id", "status")
+    # Read twice below: docs, which may take long and fill disks with shuffles, are made once.
+    told = written(judged.select("doc_id", "status", F.when(F.col("status") == "ok", F.col("content")).alias("content")), "judged")
+    new = told.where("status = 'ok'").select("doc_id", "content")
+    result = told.select("doc_id", "status").checkpoint()
+    if mode == "overwrite":
+        replace_folder(known.join(small(new.select("doc_id"), 40), "doc_id", "left_anti").unionByName(new), path)
+    else:
         new.write.mode("append").parquet(path)
-        return result
-    return judged.select("doc_id", "status")
+    erase(told)
+    return result
 
 
 def replace_folder(df: DataFrame, path: str) -> None:

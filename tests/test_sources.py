@@ -67,6 +67,23 @@ def test_write_corpus(spark, tmp_path):
     assert {r.doc_id: r.content for r in spark.read.parquet(path).collect()} == {"a": "2", "c": "3"}
 
 
+def test_write_corpus_makes_its_rows_once(spark, tmp_path):
+    """However the documents come about: not once for what is written and again for what is returned."""
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(str(tmp_path / "ck"))
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        made.add(1)
+        return str(i)
+
+    d = spark.range(10).select(F.col("id").cast("string").alias("doc_id"), text("id").alias("content"))
+    for times, mode in enumerate(("skip", "overwrite"), 1):
+        assert {r.status for r in X.write_corpus(d, str(tmp_path / "out"), mode).collect()} == {"ok"}
+        assert made.value == 10 * times
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
 def test_reports(spark, tmp_path):
     X.save_report(spark.range(3).withColumn("hit", F.lit(True)), str(tmp_path), "r1", "retrieval")
     assert X.load_report(spark, str(tmp_path), "r1", "retrieval", ("id", "hit")).count() == 3

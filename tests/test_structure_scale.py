@@ -33,6 +33,18 @@ def test_scans_over_blocks(spark, monkeypatch):
     assert all(one)
 
 
+def test_lines_of_short_documents_move_once(spark):
+    """All that runs along them, their sections and their Markdown come from one shuffle of the lines."""
+    r = random.Random(3)
+    lines = [(d, i, r.choice(LINES)) for d in range(20) for i in range(30)]
+    paras = spark.createDataFrame(lines, "doc_id long, paragraph_no int, text string").where("text <> ''")
+    modes = spark.createDataFrame([(d, ("article", "numbered", "plain")[d % 3]) for d in range(20)], "doc_id long, mode string")
+    found = D.markdown(D.structured(paras, modes), modes.select("doc_id", F.lit("T").alias("title")))
+    assert found.count() == 20
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 3  # the lines, the modes and the titles
+
+
 def test_scan_against_plain_values(spark, monkeypatch):
     """All kinds of running values, with nulls, ties of documents without an id, and one block or many."""
     r = random.Random(1)
