@@ -223,13 +223,28 @@ def op9(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def multipliers(n: int) -> np.ndarray:
+    """n odd numbers without anything in common (as SplitMix64 gives them)."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
 def band_keys(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Keys of a set of shingle hashes: each mixes `rows` min-hashes (the least under as many multiplications)."""
+    """Keys of a set of shingle hashes: each mixes `rows` min-hashes, the least under as many hashes.
+
+    A multiplication alone is no hash here: what is near zero under one is near it under its
+    multiples too, so one shingle would be the least of many, and all keys would hang on it.
+    """
     if not len(h):
         return np.zeros(bands, np.int64)
-    least = np.empty(bands * rows, np.uint64)
-    for j in range(len(least)):
-        least[j] = (h * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 3)) & 0xFFFFFFFFFFFFFFFF)).min()
+    by, least = multipliers(bands * rows)[:, None], np.full(bands * rows, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for s in range(0, len(h), 512):
+        x = h[s : s + 512] * by
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, x.min(1), out=least)
     out = np.zeros(bands, np.uint64)
     for r in range(rows):
         out = (out ^ least[r::rows]) * np.uint64(0xBF58476D1CE4E5B9)

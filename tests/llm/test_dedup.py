@@ -93,6 +93,23 @@ def test_similar_groups(spark, sf):
     assert SH.similar_groups(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_keys_of_similar_sets_are_as_good_as_said():
+    """Of sets of similarity s one in 1 / (1 - s ** ROWS) ** BANDS pairs shares no key, also where an element is extreme under one hash."""
+    rng = np.random.default_rng(12)
+    lost, expected = 0, 0.0
+    for i in range(6000):
+        n = int(rng.integers(40, 300))
+        k = max(1, n // 10)
+        x = rng.integers(0, 2**64, n + k, dtype=np.uint64)
+        s = (n - k) / (n + k)
+        lost += not (SH.band_keys(x[:n]) == SH.band_keys(x[k:])).any()
+        expected += (1 - s**SH.ROWS) ** SH.BANDS
+    assert expected < 1 and lost <= 2
+    text = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    text[0] = pow(0x9E3779B97F4A7C15, -1, 2**64)  # 1 under that multiplication, and the least under all its small multiples
+    assert (SH.band_keys(text) == SH.band_keys(text[1:])).sum() >= SH.BANDS - 4
+
+
 def test_similar_groups_of_repeated_and_distant_texts(spark):
     """Repeats do not part a text from the one without them; no distance of fingerprints parts what is similar."""
     rng = random.Random(7)
